@@ -116,7 +116,8 @@ def template_fields(template: str) -> list[str]:
 
 
 def render_template(template: str, fields: dict[str, Column]) -> Column:
-    """``concat`` of literals and field columns; NULL fields render as ''."""
+    """``concat`` of literals and field columns; NULL fields render as ''.
+    Fields of ``fields`` that the template does not use are ignored."""
     pieces = []
     for kind, val in _template_parts(template, set(fields)):
         if kind == "lit":
@@ -130,9 +131,8 @@ def join_code_blocks(blocks, prefix_template: str = MULTI_BLOCK_PREFIX) -> Colum
     """none -> ''; one -> itself; several -> numbered, first left-stripped."""
     arr = _col(blocks)
     numbered = F.transform(
-        arr, lambda c, i: render_template(
-            prefix_template, {"i": (i + 1).cast("string")}) + c if
-        "{i}" in prefix_template else F.concat(F.lit(prefix_template), c))
+        arr, lambda c, i: F.concat(render_template(
+            prefix_template, {"i": (i + 1).cast("string")}), c))
     stripped = F.transform(
         numbered, lambda c, i: F.when(i == 0, F.regexp_replace(c, r"(?U)^\s+", ""))
         .otherwise(c))

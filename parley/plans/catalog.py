@@ -14,6 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.operators import completions as C
+from parley.operators import logs as L
+from parley.operators import prompts as P
+from parley.operators import settings as S
 from parley.operators import turns as T
 from parley.session import table
 
@@ -178,3 +182,432 @@ def q_budget_status(spark, sf):
         "conv_id", F.expr(CONV_MODEL_SQL).alias("model"))
     return T.budget_status(conv, cm, T.models_table(spark),
                            max_tokens=BUDGET_MAX_TOKENS)
+
+
+# ------------------------------------------------------------- completions
+# Completions built from conversation text by one portable SQL expression
+# (the generated text holds no fences): assistant turns get zero, one or two
+# fenced blocks whose content comes from the row itself.
+COMPLETION_SQL = """CASE
+  WHEN role <> 'assistant' THEN text
+  WHEN turn % 4 = 1 THEN text || chr(10) || chr(10) || '```python' || chr(10)
+       || 'n_chars = ' || CAST(length(text) AS STRING) || chr(10) || '```'
+  WHEN turn % 4 = 3 THEN text || chr(10) || '```' || chr(10)
+       || regexp_extract(text, '[^ ]+$', 0) || chr(10) || '```' || chr(10) || chr(10)
+       || '```python' || chr(10) || 'turn = ' || CAST(turn AS STRING) || chr(10) || '```'
+  ELSE text END"""
+BLOCK_RE = r"(?s)```(?:python)?\n(.*?)\n```"
+
+
+def _completions(spark, sf):
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", "role", F.expr(COMPLETION_SQL).alias("completion"))
+
+
+COMPLETIONS_CTE = f"""c AS (SELECT conv_id, turn, role, {COMPLETION_SQL} AS completion
+                 FROM conversations),
+b AS (SELECT *, regexp_extract_all(completion, '{BLOCK_RE}', 1) AS blocks FROM c)"""
+JOINED_SQL = """CASE WHEN len(blocks) = 0 THEN '' WHEN len(blocks) = 1 THEN blocks[1]
+  ELSE '# 1' || chr(10) || blocks[1] || array_to_string(list_transform(blocks[2:],
+       lambda x, i: chr(10) || chr(10) || '# ' || CAST(i + 1 AS VARCHAR) || chr(10) || x), '')
+  END"""
+
+
+@register("extract_code_blocks", f"""
+WITH {COMPLETIONS_CTE},
+e AS (SELECT conv_id, turn, blocks, unnest(generate_series(1, len(blocks))) AS i FROM b)
+SELECT conv_id, turn, CAST(i AS BIGINT) AS block_no, blocks[i] AS code FROM e""")
+def q_extract_code_blocks(spark, sf):
+    return C.extract_code_blocks(_completions(spark, sf), keys=("conv_id", "turn"))
+
+
+@register("join_code_blocks", f"""
+WITH {COMPLETIONS_CTE}
+SELECT conv_id, turn, {JOINED_SQL} AS code FROM b""")
+def q_join_code_blocks(spark, sf):
+    return C.join_blocks(_completions(spark, sf)).select("conv_id", "turn", "code")
+
+
+@register("parse_completion", f"""
+WITH {COMPLETIONS_CTE}
+SELECT conv_id, turn, split_part(completion, chr(10) || '```', 1) AS explanation,
+  {JOINED_SQL} AS code FROM b""")
+def q_parse_completion(spark, sf):
+    return C.parse_completion(_completions(spark, sf)).select(
+        "conv_id", "turn", "explanation", "code")
+
+
+STRIP_SQL = r"regexp_replace(completion, '^\s+|\s+$', '', 'g')"
+
+
+@register("completion_log", f"""
+WITH c AS (SELECT conv_id, turn, {COMPLETION_SQL} AS completion
+           FROM conversations WHERE role = 'assistant'),
+a AS (SELECT conv_id, turn, CASE WHEN {STRIP_SQL} = ''
+        THEN 'Sorry, I don''t know. Can you try rephrasing your question?'
+        ELSE {STRIP_SQL} END AS completion FROM c),
+b AS (SELECT *, regexp_extract_all(completion, '{BLOCK_RE}', 1) AS blocks FROM a)
+SELECT conv_id AS session_id, turn AS seq, completion,
+  split_part(completion, chr(10) || '```', 1) AS explanation, '' AS code,
+  {JOINED_SQL} AS new_code, {JOINED_SQL} AS code_diff, NULL::MAP(VARCHAR, VARCHAR) AS extra
+FROM b""")
+def q_completion_log(spark, sf):
+    answers = _completions(spark, sf).where(F.col("role") == "assistant")
+    return C.completion_log(answers, session="conv_id", seq="turn")
+
+
+PURCHASE_SQL = "CASE WHEN event_type = 'purchase' THEN props ELSE '' END"
+
+
+@register("latest_nonempty", f"""
+WITH v AS (SELECT user_id, ts, event_id, {PURCHASE_SQL} AS v FROM events),
+r AS (SELECT user_id, v, row_number() OVER (PARTITION BY user_id
+        ORDER BY ts DESC, event_id DESC) AS rn FROM v WHERE v <> '')
+SELECT u.user_id, r.v AS latest FROM (SELECT DISTINCT user_id FROM events) u
+LEFT JOIN r ON r.user_id = u.user_id AND r.rn = 1""")
+def q_latest_nonempty(spark, sf):
+    ev = table(spark, sf, "events").select(
+        "user_id", "ts", "event_id", F.expr(PURCHASE_SQL).alias("v"))
+    return C.latest_nonempty(ev, "v", key="user_id", order=("ts", "event_id"))
+
+
+LINES_SQL = (r"CASE WHEN coalesce(text, '') = '' THEN []::VARCHAR[] ELSE "
+             r"regexp_split_to_array(regexp_replace(text, '(?:\r\n|[\n\x0B\x0C\r\x{85}"
+             r"\x{2028}\x{2029}])\z', ''), '\r\n|[\n\x0B\x0C\r\x{85}\x{2028}\x{2029}]') END")
+
+
+@register("revision_diff", f"""
+WITH v AS (SELECT conv_id, turn, text,
+             lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
+l AS (SELECT conv_id, turn, nxt, unnest({LINES_SQL}) AS line FROM v),
+d AS (SELECT conv_id, turn, line, 1 AS d FROM l
+      UNION ALL SELECT conv_id, nxt, line, -1 FROM l WHERE nxt IS NOT NULL),
+pl AS (SELECT conv_id, turn, line, sum(d) AS d FROM d GROUP BY ALL)
+SELECT v.conv_id, v.turn,
+  CAST(coalesce(sum(greatest(pl.d, 0)), 0) AS BIGINT) AS lines_added,
+  CAST(coalesce(sum(greatest(-pl.d, 0)), 0) AS BIGINT) AS lines_removed
+FROM v LEFT JOIN pl USING (conv_id, turn) GROUP BY v.conv_id, v.turn""")
+def q_revision_diff(spark, sf):
+    return C.revision_diff(table(spark, sf, "conversations"), doc="conv_id",
+                           version="turn")
+
+
+@register("batch_complete", """
+SELECT conv_id, turn, text AS prompt, upper(replace(text, 'ß', 'ss')) AS completion,
+  NULL::VARCHAR AS error
+FROM conversations WHERE role = 'user'""")
+def q_batch_complete(spark, sf):
+    prompts = table(spark, sf, "conversations").where(F.col("role") == "user") \
+        .select("conv_id", "turn", F.col("text").alias("prompt"))
+    return C.batch_complete(prompts)
+
+
+@register("completion_tokens", """
+WITH s AS (SELECT conv_id, turn, string_split(upper(replace(text, 'ß', 'ss')), ' ') AS parts
+           FROM conversations WHERE role = 'user'),
+e AS (SELECT conv_id, turn, parts, unnest(generate_series(1, len(parts))) AS i FROM s)
+SELECT conv_id, turn, CAST(i - 1 AS BIGINT) AS pos,
+  CASE WHEN i = len(parts) THEN parts[i] ELSE parts[i] || ' ' END AS token FROM e""")
+def q_completion_tokens(spark, sf):
+    prompts = table(spark, sf, "conversations").where(F.col("role") == "user") \
+        .select("conv_id", "turn", F.col("text").alias("prompt"))
+    done = C.batch_complete(prompts)
+    return C.completion_tokens(done, "completion", keys=("conv_id", "turn"))
+
+
+# ----------------------------------------------------------------- prompts
+WS1 = WS[:-1]  # one whitespace character (class without '+')
+DOC_TEMPLATE = ("Document {doc_id} ({lang}, {source}) quality={quality} "
+                "toxic={toxic}:\n{text}\n{{end}}")
+
+
+def _docs_labels(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+
+
+@register("prompt_render", """
+SELECT d.doc_id, 'Document ' || CAST(d.doc_id AS VARCHAR) || ' (' || coalesce(lang, '')
+  || ', ' || coalesce(source, '') || ') quality=' || coalesce(CAST(quality AS VARCHAR), '')
+  || ' toxic=' || coalesce(CAST(toxic AS VARCHAR), '') || ':' || chr(10)
+  || coalesce(text, '') || chr(10) || '{end}' AS prompt
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def q_prompt_render(spark, sf):
+    return P.prompt_render(_docs_labels(spark, sf), {"doc": DOC_TEMPLATE}) \
+        .select("doc_id", "prompt")
+
+
+FIELD_TEMPLATE = "Review {text} from {source} in {lang}; quality {quality}."
+
+
+def _field_rows(spark, sf):
+    d = _docs_labels(spark, sf)
+    m = F.map_filter(F.create_map(
+        F.lit("text"), F.col("text"), F.lit("source"), F.col("source"),
+        F.lit("lang"), F.col("lang"), F.lit("quality"), F.col("quality").cast("string"),
+        F.lit("toxic"), F.when(F.col("toxic") == 1, F.lit("yes"))),
+        lambda k, v: v.isNotNull())
+    return P.prompt_field_check(d.select("doc_id", m.alias("fields")), FIELD_TEMPLATE)
+
+
+FIELD_CHECK_CTE = """g AS (SELECT d.doc_id, list_filter([
+    CASE WHEN text IS NOT NULL THEN 'text' END, CASE WHEN source IS NOT NULL THEN 'source' END,
+    CASE WHEN lang IS NOT NULL THEN 'lang' END, CASE WHEN quality IS NOT NULL THEN 'quality' END,
+    CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS given
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+c AS (SELECT doc_id,
+  list_sort(list_filter(given, lambda x: NOT list_contains(['lang', 'quality', 'source', 'text'], x))) AS unexpected,
+  list_sort(list_filter(['lang', 'quality', 'source', 'text'], lambda x: NOT list_contains(given, x))) AS missing
+  FROM g),
+r AS (SELECT doc_id, unexpected, missing,
+  CASE WHEN len(unexpected) > 0 THEN 'Received unexpected kwarg(s): {' ||
+         array_to_string(list_transform(unexpected, lambda x: '''' || x || ''''), ', ') || '}'
+       WHEN len(missing) > 0 THEN 'Missing required kwarg(s): {' ||
+         array_to_string(list_transform(missing, lambda x: '''' || x || ''''), ', ') || '}'
+  END AS error FROM c)"""
+
+
+@register("prompt_field_check", f"""
+WITH {FIELD_CHECK_CTE}
+SELECT * FROM r""")
+def q_prompt_field_check(spark, sf):
+    return _field_rows(spark, sf).select("doc_id", "unexpected", "missing", "error")
+
+
+@register("prompt_field_report", f"""
+WITH {FIELD_CHECK_CTE}
+SELECT count(*) AS rows, count(*) FILTER (WHERE len(missing) > 0) AS rows_missing,
+  count(*) FILTER (WHERE len(unexpected) > 0) AS rows_unexpected,
+  count(*) FILTER (WHERE error IS NULL) AS rows_ok FROM r""")
+def q_prompt_field_report(spark, sf):
+    return P.prompt_field_report(_field_rows(spark, sf))
+
+
+def hour_chunk():
+    """Chunk key monotone in (ts, event_id): the hour of the event."""
+    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3600 * 10 ** 6))
+
+
+@register("prompt_kind", """
+WITH e AS (SELECT user_id, event_id, ts, event_type, event_type <> 'error' AS answered
+           FROM events),
+p AS (SELECT *, last_value(CASE WHEN answered THEN {'s': event_type} END IGNORE NULLS)
+        OVER (PARTITION BY user_id ORDER BY ts, event_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM e)
+SELECT user_id, event_id, CASE WHEN prev IS NOT NULL AND
+  prev IS NOT DISTINCT FROM {'s': event_type} THEN 'contextless' ELSE 'contextful' END
+  AS prompt_kind FROM p""")
+def q_prompt_kind(spark, sf):
+    ev = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
+    return P.prompt_kind(ev, session="user_id", order=("ts", "event_id"),
+                         state=("event_type",), answered=F.col("event_type") != "error",
+                         chunk=hour_chunk()).select("user_id", "event_id", "prompt_kind")
+
+
+@register("used_variables", f"""
+WITH bt AS (SELECT item_id, unnest(list_distinct(list_filter(
+              regexp_split_to_array(coalesce(text, ''), '{WS}'), lambda x: x <> ''))) AS name
+            FROM benchmark),
+v AS (SELECT name, min(item_id) AS value FROM bt GROUP BY name),
+v2 AS (SELECT * FROM v WHERE NOT (regexp_matches(name, '^_{{1,2}}i?[0-9]*$')
+         OR replace(name, '_', '') = '' OR name IN ('In', 'Out', '_dh', '_ih', '_ii', '_iii', '_oh'))),
+t AS (SELECT doc_id, unnest(list_distinct(list_filter(
+        regexp_split_to_array(coalesce(text, ''), '{WS}'), lambda x: x <> ''))) AS token
+      FROM documents)
+SELECT t.doc_id, v2.name, v2.value FROM t JOIN v2 ON t.token = v2.name""")
+def q_used_variables(spark, sf):
+    bt = P.code_tokens(table(spark, sf, "benchmark"), "text", ["item_id"])
+    variables = bt.groupBy(F.col("token").alias("name")).agg(F.min("item_id").alias("value"))
+    return P.used_variables(variables, table(spark, sf, "documents"), code_col="text",
+                            code_keys=["doc_id"])
+
+
+def _str_preview_sql(x: str, n: int = 400) -> str:
+    q = f"('''' || {x} || '''')"
+    return (f"CASE WHEN {x} IS NULL THEN 'None' WHEN length({q}) < {n} THEN {q} "
+            f"ELSE left({q}, {n - 16}) || '...'' (truncated)' END")
+
+
+SNAP_COLS = [("c_custkey", "bigint", False), ("c_name", "string", True),
+             ("c_nationkey", "int", False), ("c_mktsegment", "string", True)]
+
+
+def _snapshot_sql() -> str:
+    parts = []
+    for c, t, is_str in SNAP_COLS:
+        v = _str_preview_sql(c) if is_str else \
+            f"CASE WHEN {c} IS NULL THEN 'None' ELSE CAST({c} AS VARCHAR) END"
+        parts.append(f"chr(10) || '    ''{c}'': ' || ({v}) || ',   # type: {t}'")
+    return "'{' || " + " || ".join(parts) + " || chr(10) || '}'"
+
+
+@register("state_snapshot", f"""
+SELECT c_custkey, {_snapshot_sql()} AS snapshot FROM customer""")
+def q_state_snapshot(spark, sf):
+    return P.state_snapshot(table(spark, sf, "customer"), [c for c, _, _ in SNAP_COLS]) \
+        .select("c_custkey", "snapshot")
+
+
+def _until_comma_sql(s: str) -> str:
+    return (f"CASE WHEN strpos({s}, ',') = 0 THEN left({s}, length({s}) - 1) "
+            f"ELSE left({s}, length({s}) - strpos(reverse({s}), ',')) END")
+
+
+def _int_list_preview_sql(a: str, n: int = 400) -> str:
+    items = f"list_transform({a}, lambda x: coalesce(CAST(x AS VARCHAR), 'None'))"
+    full = f"('[' || array_to_string({items}, ', ') || ']')"
+    k = f"greatest(1, CAST(trunc({float(n)} / length({full}) * len({a})) AS BIGINT))"
+    head = f"array_to_string(list_slice({items}, 1, {k}), ', ')"
+    return (f"CASE WHEN {a} IS NULL THEN 'None' WHEN length({full}) < {n} THEN {full} "
+            f"WHEN {k} = len({a}) THEN '<list, truncated_data=' || "
+            f"{_until_comma_sql(f'left({full}, {n - 10})')} || ', len=' || "
+            f"CAST(len({a}) AS VARCHAR) || '>' "
+            f"ELSE '<list, truncated_data=[' || {head} || ', ...], len=' || "
+            f"CAST(len({a}) AS VARCHAR) || '>' END")
+
+
+@register("bounded_preview", f"""
+WITH d AS (SELECT doc_id, text,
+  list_transform(string_split(text, ' '), lambda w: length(w)) AS word_lengths FROM documents)
+SELECT doc_id, {_str_preview_sql('text')} AS text_preview,
+  {_int_list_preview_sql('word_lengths')} AS word_lengths_preview FROM d""")
+def q_bounded_preview(spark, sf):
+    d = table(spark, sf, "documents").select(
+        "doc_id", "text",
+        F.transform(F.split(F.col("text"), " ", -1), lambda w: F.length(w)).alias("word_lengths"))
+    return P.bounded_preview(d, ["text", "word_lengths"]).select(
+        "doc_id", "text_preview", "word_lengths_preview")
+
+
+# -------------------------------------------------------------------- logs
+LEVEL_SQL = "CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END"
+MESSAGE_SQL = "event_type || ' ' || coalesce(props, '')"
+
+
+@register("error_enrich", f"""
+WITH c AS (SELECT conv_id, turn, {COMPLETION_SQL} AS completion
+           FROM conversations WHERE role = 'assistant'),
+a AS (SELECT conv_id, turn, CASE WHEN {STRIP_SQL} = ''
+        THEN 'Sorry, I don''t know. Can you try rephrasing your question?'
+        ELSE {STRIP_SQL} END AS completion FROM c),
+b AS (SELECT *, regexp_extract_all(completion, '{BLOCK_RE}', 1) AS blocks FROM a),
+lg AS (SELECT conv_id, turn, completion, {JOINED_SQL} AS new_code FROM b),
+lc AS (SELECT conv_id, completion FROM (SELECT *, row_number() OVER (PARTITION BY conv_id
+         ORDER BY turn DESC) rn FROM lg WHERE completion <> '') WHERE rn = 1),
+lk AS (SELECT conv_id, new_code FROM (SELECT *, row_number() OVER (PARTITION BY conv_id
+         ORDER BY turn DESC) rn FROM lg WHERE new_code <> '') WHERE rn = 1),
+ex AS (SELECT s.conv_id, lc.completion, lk.new_code AS code
+       FROM (SELECT DISTINCT conv_id FROM lg) s LEFT JOIN lc USING (conv_id)
+       LEFT JOIN lk USING (conv_id)),
+r AS (SELECT event_id, user_id, {LEVEL_SQL} AS level, {MESSAGE_SQL} AS message FROM events)
+SELECT r.event_id, r.user_id, r.level,
+  CASE WHEN ex.completion IS NOT NULL THEN concat_ws(chr(10) || chr(10), r.message,
+       ex.completion, CASE WHEN ex.code <> '' THEN ex.code END) ELSE r.message END AS message
+FROM r LEFT JOIN ex ON r.user_id = ex.conv_id AND r.level = 'ERROR'""")
+def q_error_enrich(spark, sf):
+    answers = _completions(spark, sf).where(F.col("role") == "assistant")
+    log = C.completion_log(answers, session="conv_id", seq="turn")
+    ex = L.session_explanations(log, session="session_id", order=("seq",)) \
+        .withColumnRenamed("session_id", "user_id")
+    recs = table(spark, sf, "events").select(
+        "event_id", "user_id", F.expr(LEVEL_SQL).alias("level"),
+        F.expr(MESSAGE_SQL).alias("message"))
+    return L.error_enrich(recs, ex, session="user_id")
+
+
+LINE_SQL = ("CASE turn % 3 WHEN 0 THEN '>' || text WHEN 1 THEN '[dev]' || text || '?' "
+            "ELSE text END")
+
+
+@register("route_turns", f"""
+WITH l AS (SELECT conv_id, turn, {LINE_SQL} AS line FROM conversations),
+k AS (SELECT *, (contains(line, '?') OR starts_with(line, '>')) AS conv FROM l)
+SELECT conv_id, turn, line, CASE WHEN conv THEN 'conversational' ELSE 'command' END AS kind,
+  conv AND starts_with(line, '[dev]') AS verbose,
+  CASE WHEN conv THEN regexp_replace(line, '^>+', '') ELSE line END AS text FROM k""")
+def q_route_turns(spark, sf):
+    lines = table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.expr(LINE_SQL).alias("line"))
+    return L.route_turns(lines)
+
+
+LB = r"\r\n|[\n\x0B\x0C\r\x{85}\x{2028}\x{2029}]"
+STRIP_MARKER = "The "
+
+
+@register("strip_lines", f"""
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN text = '' THEN '' ELSE
+  array_to_string(list_filter(regexp_split_to_array(regexp_replace(text, '(?:{LB})\\z', ''),
+  '{LB}'), lambda l: NOT regexp_matches(l, '^{WS1}*The ')), chr(10)) END AS cleaned
+FROM documents""")
+def q_strip_lines(spark, sf):
+    return L.strip_lines(table(spark, sf, "documents"), "text", STRIP_MARKER, out="cleaned") \
+        .select("doc_id", "cleaned")
+
+
+SECRET_RE = 'token = "([^"]+)"'
+
+
+@register("redact_secrets", f"""
+WITH s AS (SELECT doc_id, regexp_extract_all(text, '{SECRET_RE}', 1) AS v FROM documents),
+e AS (SELECT doc_id, v, unnest(generate_series(1, len(v))) AS i FROM s)
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos,
+  left(v[i], 4) || repeat('*', CAST(greatest(0, length(v[i]) - 4) AS BIGINT)) AS masked,
+  starts_with(v[i], 'sk-') AS looks_valid FROM e""")
+def q_redact_secrets(spark, sf):
+    return L.redact_secrets(table(spark, sf, "documents"), "text", SECRET_RE, 1,
+                            keys=("doc_id",))
+
+
+# ---------------------------------------------------------------- settings
+SETTING_VALUE_SQL = "CASE WHEN value < 5 THEN NULL ELSE props END"
+
+
+@register("settings_upsert", f"""
+WITH c AS (SELECT user_id AS owner, event_type AS key, {SETTING_VALUE_SQL} AS value,
+             row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn
+           FROM events)
+SELECT owner, key, value FROM c WHERE rn = 1 AND value IS NOT NULL""")
+def q_settings_upsert(spark, sf):
+    ch = table(spark, sf, "events").select(
+        F.col("user_id").alias("owner"), F.col("event_type").alias("key"),
+        F.expr(SETTING_VALUE_SQL).alias("value"), F.col("event_id").alias("seq"))
+    return S.settings_upsert(None, ch)
+
+
+LAYER_SQL = ("CASE event_type WHEN 'purchase' THEN 'explicit' WHEN 'signup' THEN 'config' "
+             "WHEN 'view' THEN 'template' ELSE 'other' END")
+LAYER_KEY_SQL = "CASE WHEN value < 30 THEN 'model_name' ELSE 'openai_api_key' END"
+LAYER_VALUE_SQL = "CASE WHEN value < 10 THEN '' ELSE props END"
+
+
+@register("settings_resolve", f"""
+WITH l AS (SELECT user_id AS owner, {LAYER_KEY_SQL} AS key, {LAYER_VALUE_SQL} AS value,
+             {LAYER_SQL} AS layer, event_id FROM events),
+c AS (SELECT *, CASE layer WHEN 'explicit' THEN 0 WHEN 'config' THEN 1
+                 WHEN 'template' THEN 2 END AS prio FROM l
+      WHERE layer IN ('explicit', 'config', 'template')
+        AND NOT (layer = 'config' AND coalesce(value, '') = '')),
+r AS (SELECT *, row_number() OVER (PARTITION BY owner, key ORDER BY prio, event_id DESC) AS rn
+      FROM c)
+SELECT owner, key, value, layer AS source FROM r WHERE rn = 1""")
+def q_settings_resolve(spark, sf):
+    lay = table(spark, sf, "events").select(
+        F.col("user_id").alias("owner"), F.expr(LAYER_KEY_SQL).alias("key"),
+        F.expr(LAYER_VALUE_SQL).alias("value"), F.expr(LAYER_SQL).alias("layer"),
+        F.col("event_id").alias("seq"))
+    return S.settings_resolve(lay, seq="seq")
+
+
+SCHEMA_TYPES = [("o_orderpriority", "int"), ("o_orderstatus", "string"),
+                ("o_orderkey_text", "bigint")]
+
+
+@register("schema_check", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS type, count({c}) AS \"values\", "
+    f"count(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST({c} AS {t.upper()}) IS NULL) "
+    f"AS violations FROM (SELECT *, CAST(o_orderkey AS VARCHAR) AS o_orderkey_text FROM orders)"
+    for c, t in SCHEMA_TYPES))
+def q_schema_check(spark, sf):
+    o = table(spark, sf, "orders").withColumn(
+        "o_orderkey_text", F.col("o_orderkey").cast("string"))
+    return S.schema_check(o, dict(SCHEMA_TYPES))

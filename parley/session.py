@@ -28,7 +28,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "parley") -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", "16g"))
+               .config("spark.driver.memory", "16g")
+               .config("spark.ui.showConsoleProgress", "false"))
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
