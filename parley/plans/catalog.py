@@ -19,7 +19,9 @@ from parley.operators import logs as L
 from parley.operators import prompts as P
 from parley.operators import settings as S
 from parley.operators import turns as T
-from parley.session import table
+from parley.session import scratch_path, table
+from parley.sources import logtext as LT
+from parley.sources import notebooks as NB
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -611,3 +613,95 @@ def q_schema_check(spark, sf):
     o = table(spark, sf, "orders").withColumn(
         "o_orderkey_text", F.col("o_orderkey").cast("string"))
     return S.schema_check(o, dict(SCHEMA_TYPES))
+
+
+# ------------------------------------------------------------ files (O19-O25)
+# Messages span lines; error messages carry a line that looks like a record
+# start (written escaped) and an indented trace line.
+LOG_MESSAGE_SQL = ("CASE WHEN event_type = 'error' THEN 'failed: ' || coalesce(props, '') "
+                   "|| chr(10) || '1999-12-31 23:59:59,999 [ERROR]: nested' || chr(10) "
+                   "|| '  trace ' || CAST(event_id AS STRING) "
+                   "ELSE event_type || ' ' || coalesce(props, '') END")
+
+
+def _log_events(spark, sf):
+    return table(spark, sf, "events").select(
+        "ts", F.expr(LEVEL_SQL).alias("level"), F.expr(LOG_MESSAGE_SQL).alias("message"))
+
+
+@register("log_records", f"""
+SELECT CAST(date_trunc('millisecond', ts) AS TIMESTAMP) AS ts, {LEVEL_SQL} AS level,
+  {LOG_MESSAGE_SQL} AS message FROM events""")
+def q_log_records(spark, sf):
+    path = scratch_path(spark, "log")
+    LT.log_write(_log_events(spark, sf), path, "w")
+    return LT.log_records(spark, path).select("ts", "level", "message")
+
+
+@register("log_write", f"""
+WITH r AS (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S,%g') || ' [' || {LEVEL_SQL} || ']: ' ||
+  regexp_replace({LOG_MESSAGE_SQL}, '{LT.ESCAPE_FIND.replace(chr(92) + "n", chr(10))}',
+                 '\\1 \\2', 'g') AS rec FROM events)
+SELECT unnest(string_split(rec, chr(10))) AS value FROM r""")
+def q_log_write(spark, sf):
+    path = scratch_path(spark, "log")
+    LT.log_write(_log_events(spark, sf), path, "w")
+    return spark.read.text(path)
+
+
+def _source_lines_sql() -> str:
+    return ("CASE WHEN text IS NULL THEN NULL WHEN text = '' THEN [] ELSE "
+            "list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN "
+            "i < len(string_split(text, chr(10))) THEN l || chr(10) ELSE l END) END")
+
+
+@register("notebook_text", """
+SELECT conv_id, coalesce(string_agg(CASE WHEN text IS NULL OR text = '' THEN NULL
+    WHEN role = 'assistant' THEN chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10)
+    ELSE chr(10) || text || chr(10) END, '' ORDER BY turn), '') AS text
+FROM conversations GROUP BY conv_id""")
+def q_notebook_text(spark, sf):
+    conv = table(spark, sf, "conversations")
+    parts = F.split(F.col("text"), "\n", -1)
+    src = (F.when(F.col("text").isNull(), F.lit(None))
+           .when(F.col("text") == "", F.array().cast("array<string>"))
+           .otherwise(F.transform(parts, lambda l, i: F.when(
+               i < F.size(parts) - 1, F.concat(l, F.lit("\n"))).otherwise(l))))
+    cell = F.struct(F.when(F.col("role") == "assistant", "code").otherwise("markdown")
+                    .alias("cell_type"), src.alias("source"))
+    nbs = conv.groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", cell.alias("c")))),
+                    lambda x: x["c"]).alias("cells"))
+    path = scratch_path(spark, "notebooks")
+    (nbs.select(F.to_json(F.struct(
+        F.create_map(F.lit("conv_id"), F.col("conv_id").cast("string")).alias("metadata"),
+        "cells")).alias("value")).write.option("lineSep", "\n").text(path))
+    nb = NB.notebook_text(NB.read_notebooks(spark, path, multiline=False))
+    return nb.select(F.col("metadata")["conv_id"].cast("bigint").alias("conv_id"), "text")
+
+
+HISTORY_SESSION_ROWS = 10
+
+
+@register("history_text", f"""
+WITH l AS (SELECT doc_id // {HISTORY_SESSION_ROWS} AS session, doc_id,
+             unnest(string_split(text, chr(10))) AS line,
+             generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+c AS (SELECT session, doc_id, i, regexp_replace(replace(line, chr(13), ' '),
+        '^{WS}|{WS}$', '', 'g') AS cell FROM l)
+SELECT CAST(session AS BIGINT) AS session, string_agg('```' || chr(10) || cell || chr(10) || '```',
+  chr(10) || chr(10) ORDER BY doc_id, i) AS text FROM c WHERE cell <> '' GROUP BY session""")
+def q_history_text(spark, sf):
+    docs = table(spark, sf, "documents")
+    lines = docs.select(
+        (F.col("doc_id") / HISTORY_SESSION_ROWS).cast("bigint").alias("session"), "doc_id",
+        F.posexplode(F.split(F.col("text"), "\n", -1)).alias("i", "line"))
+    hist = lines.select("session", "doc_id", "i", F.concat(
+        (F.col("i") + 1).cast("string"), F.lit(": "),
+        F.regexp_replace("line", "\r", " ")).alias("value"))
+    path = scratch_path(spark, "history")
+    (hist.repartition("session").sortWithinPartitions("doc_id", "i")
+     .select("session", "value").write.partitionBy("session").option("lineSep", "\n")
+     .text(path))
+    out = NB.history_text(NB.history_lines(spark, path), keys=("session",))
+    return out.select(F.col("session").cast("bigint").alias("session"), "text")
