@@ -164,15 +164,19 @@ def preview_string(c: Column, max_len: int = PREVIEW_MAX_LEN) -> Column:
 
 
 def _seq_preview(items: Column, size: Column, opener: str, closer: str,
-                 label: str, max_len: int, full: Column) -> Column:
-    """Shared cut rule for sequences. ``items`` are the element texts used
-    for the slice (pairs for maps), ``full`` the whole repr."""
-    n = F.greatest(F.lit(1), (F.lit(float(max_len)) / F.length(full) * size).cast("int"))
-    head = F.slice(items, 1, n)
-    sliced = F.concat(F.lit("["), F.array_join(head, ", "), F.lit(", ...]"))
+                 label: str, max_len: int) -> Column:
+    """Shared cut rule for sequences; ``items`` are the element texts (pairs
+    for maps). The length of the whole text is computed from the item
+    lengths, so only short texts and the kept head are ever built."""
+    full_len = F.aggregate(items, F.lit(0).cast("bigint"),
+                           lambda acc, x: acc + F.length(x)) \
+        + F.greatest(F.size(items) - 1, F.lit(0)) * 2 + 2
+    n = F.greatest(F.lit(1), (F.lit(float(max_len)) / full_len * size).cast("int"))
+    full = F.concat(F.lit(opener), F.array_join(items, ", "), F.lit(closer))
+    sliced = F.concat(F.lit("["), F.array_join(F.slice(items, 1, n), ", "), F.lit(", ...]"))
     whole = F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
     same_len = _until_last_comma(_cut(whole, max_len - 10))
-    return (F.when(F.length(full) < max_len, full)
+    return (F.when(full_len < max_len, full)
             .when(n == size, F.concat(F.lit(f"<{label}, truncated_data="), same_len,
                                       F.lit(", len="), size.cast("string"), F.lit(">")))
             .otherwise(F.concat(F.lit(f"<{label}, truncated_data="), sliced,
@@ -182,23 +186,35 @@ def _seq_preview(items: Column, size: Column, opener: str, closer: str,
 def preview_array(c: Column, elem: T.DataType, max_len: int = PREVIEW_MAX_LEN) -> Column:
     """Bounded text of an array of scalars (a ``list`` in the reference)."""
     items = F.transform(c, lambda x: _scalar_repr(x, elem))
-    full = F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
     return F.when(c.isNull(), F.lit("None")).otherwise(
-        _seq_preview(items, F.size(c), "[", "]", "list", max_len, full))
+        _seq_preview(items, F.size(c), "[", "]", "list", max_len))
 
 
 def preview_map(c: Column, key: T.DataType, value: T.DataType,
                 max_len: int = PREVIEW_MAX_LEN) -> Column:
-    """Bounded text of a map (a ``dict``): cut as a list of pairs."""
+    """Bounded text of a map (a ``dict``): cut as a list of pairs. The whole
+    text is ``{k: v, ...}``; its length equals that of the pair list minus
+    the two parentheses per pair."""
     ent = F.map_entries(c)
-    kv = F.transform(ent, lambda e: F.concat(_scalar_repr(e["key"], key), F.lit(": "),
-                                             _scalar_repr(e["value"], value)))
     pairs = F.transform(ent, lambda e: F.concat(F.lit("("), _scalar_repr(e["key"], key),
                                                 F.lit(", "), _scalar_repr(e["value"], value),
                                                 F.lit(")")))
+    kv = F.transform(ent, lambda e: F.concat(_scalar_repr(e["key"], key), F.lit(": "),
+                                             _scalar_repr(e["value"], value)))
+    full_len = F.aggregate(kv, F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x)) \
+        + F.greatest(F.size(kv) - 1, F.lit(0)) * 2 + 2
+    n = F.greatest(F.lit(1), (F.lit(float(max_len)) / full_len * F.size(c)).cast("int"))
     full = F.concat(F.lit("{"), F.array_join(kv, ", "), F.lit("}"))
+    sliced = F.concat(F.lit("["), F.array_join(F.slice(pairs, 1, n), ", "), F.lit(", ...]"))
+    whole = F.concat(F.lit("["), F.array_join(pairs, ", "), F.lit("]"))
+    same_len = _until_last_comma(_cut(whole, max_len - 10))
+    size = F.size(c)
     return F.when(c.isNull(), F.lit("None")).otherwise(
-        _seq_preview(pairs, F.size(c), "{", "}", "dict", max_len, full))
+        F.when(full_len < max_len, full)
+        .when(n == size, F.concat(F.lit("<dict, truncated_data="), same_len,
+                                  F.lit(", len="), size.cast("string"), F.lit(">")))
+        .otherwise(F.concat(F.lit("<dict, truncated_data="), sliced,
+                            F.lit(", len="), size.cast("string"), F.lit(">"))))
 
 
 def preview(c: Column, dt: T.DataType, max_len: int = PREVIEW_MAX_LEN) -> Column:

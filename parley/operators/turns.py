@@ -142,8 +142,12 @@ def context_at_turn(turns: DataFrame, limit: int, *, key: str = "conv_id",
 
 # ---------------------------------------------------------------- O6 -----
 def models_table(spark: SparkSession, windows=None) -> DataFrame:
+    """The model table as a JVM-side literal relation (no Python RDD)."""
     rows = MODEL_WINDOWS if windows is None else list(windows)
-    return spark.createDataFrame(rows, "model string, context_window int")
+    return spark \
+        .range(1).select(F.inline(F.array(*[
+            F.struct(F.lit(m).cast("string").alias("model"),
+                     F.lit(w).cast("int").alias("context_window")) for m, w in rows])))
 
 
 def model_limits(df: DataFrame, models: DataFrame, *, model: str = "model",

@@ -680,7 +680,7 @@ def q_notebook_text(spark, sf):
     return nb.select(F.col("metadata")["conv_id"].cast("bigint").alias("conv_id"), "text")
 
 
-HISTORY_SESSION_ROWS = 10
+HISTORY_SESSION_ROWS = 100
 
 
 @register("history_text", f"""
