@@ -76,7 +76,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str] | str,
     loc = d.select("*", *local)
 
     # -- 2. chunk table: partial aggregate, then offsets across chunks -----
-    ordkey = F.struct(*[F.col(o) for o in order])
+    # A bare order column keeps min_by/max_by buffers fixed-width for
+    # fixed-width values, so the chunk table is a HashAggregate (no sort).
+    ordkey = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(o) for o in order])
     aggs = [F.count(F.lit(1)).alias("_s_cnt")]
     for c in sums:
         aggs.append(F.sum(c).alias(f"_s_{c}"))
