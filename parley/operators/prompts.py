@@ -143,6 +143,17 @@ def _scalar_repr(c: Column, dt: T.DataType) -> Column:
     return F.when(c.isNull(), F.lit("None")).otherwise(r)
 
 
+def _scalar_len(c: Column, dt: T.DataType) -> Column:
+    """Length of ``_scalar_repr`` without building the quoted text."""
+    if isinstance(dt, T.StringType):
+        n = F.length(c) + 2
+    elif isinstance(dt, T.BooleanType):
+        n = F.when(c, F.lit(4)).otherwise(F.lit(5))
+    else:
+        n = F.length(c.cast("string"))
+    return F.when(c.isNull(), F.lit(4)).otherwise(n).cast("bigint")
+
+
 def _cut(s: Column, k: int) -> Column:
     """Python ``s[:k]`` for a driver-side int ``k`` (negative counts from the end)."""
     if k >= 0:
@@ -158,63 +169,57 @@ def _until_last_comma(s: Column) -> Column:
 
 
 def preview_string(c: Column, max_len: int = PREVIEW_MAX_LEN) -> Column:
-    r = quote(c)
-    cut = F.concat(_cut(r, max_len - 16), F.lit("...' (truncated)"))
-    return F.when(c.isNull(), F.lit("None")).when(F.length(r) < max_len, r).otherwise(cut)
-
-
-def _seq_preview(items: Column, size: Column, opener: str, closer: str,
-                 label: str, max_len: int) -> Column:
-    """Shared cut rule for sequences; ``items`` are the element texts (pairs
-    for maps). The length of the whole text is computed from the item
-    lengths, so only short texts and the kept head are ever built."""
-    full_len = F.aggregate(items, F.lit(0).cast("bigint"),
-                           lambda acc, x: acc + F.length(x)) \
-        + F.greatest(F.size(items) - 1, F.lit(0)) * 2 + 2
+    """Quoted text when shorter than ``max_len``, else its first
+    ``max_len - 16`` characters and a marker. Long texts are cut, never
+    copied whole."""
+    k = max_len - 16
+    head = F.concat(F.lit("'"), F.substring(c, 1, k - 1)) if k >= 1 else _cut(quote(c), k)
+    return (F.when(c.isNull(), F.lit("None"))
+            .when(F.length(c) + 2 < max_len, quote(c))
+            .otherwise(F.concat(head, F.lit("...' (truncated)"))))
+
+
+def _seq_preview(arr: Column, render, length, label: str, opener: str, closer: str,
+                 max_len: int) -> Column:
+    """Shared cut rule for arrays and maps (as pair lists). ``render(x)`` is
+    the element text in the whole form and ``length(x)`` its length; the
+    slice is rendered as pairs for maps. The length of the whole text is
+    summed from element lengths, so only short texts and the kept head are
+    built."""
+    size = F.size(arr)
+    full_len = F.aggregate(arr, F.lit(0).cast("bigint"), lambda acc, x: acc + length(x)) \
+        + F.greatest(size - 1, F.lit(0)) * 2 + 2
     n = F.greatest(F.lit(1), (F.lit(float(max_len)) / full_len * size).cast("int"))
-    full = F.concat(F.lit(opener), F.array_join(items, ", "), F.lit(closer))
-    sliced = F.concat(F.lit("["), F.array_join(F.slice(items, 1, n), ", "), F.lit(", ...]"))
-    whole = F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
-    same_len = _until_last_comma(_cut(whole, max_len - 10))
-    return (F.when(full_len < max_len, full)
-            .when(n == size, F.concat(F.lit(f"<{label}, truncated_data="), same_len,
-                                      F.lit(", len="), size.cast("string"), F.lit(">")))
-            .otherwise(F.concat(F.lit(f"<{label}, truncated_data="), sliced,
-                                F.lit(", len="), size.cast("string"), F.lit(">"))))
+    whole = F.concat(F.lit(opener), F.array_join(F.transform(arr, render[0]), ", "),
+                     F.lit(closer))
+    head = F.transform(F.slice(arr, 1, n), render[1])
+    sliced = F.concat(F.lit("["), F.array_join(head, ", "), F.lit(", ...]"))
+    as_list = F.concat(F.lit("["), F.array_join(F.transform(arr, render[1]), ", "), F.lit("]"))
+    same_len = _until_last_comma(_cut(as_list, max_len - 10))
+    tail = F.concat(F.lit(", len="), size.cast("string"), F.lit(">"))
+    return (F.when(full_len < max_len, whole)
+            .when(n == size, F.concat(F.lit(f"<{label}, truncated_data="), same_len, tail))
+            .otherwise(F.concat(F.lit(f"<{label}, truncated_data="), sliced, tail)))
 
 
 def preview_array(c: Column, elem: T.DataType, max_len: int = PREVIEW_MAX_LEN) -> Column:
     """Bounded text of an array of scalars (a ``list`` in the reference)."""
-    items = F.transform(c, lambda x: _scalar_repr(x, elem))
+    r = lambda x: _scalar_repr(x, elem)
     return F.when(c.isNull(), F.lit("None")).otherwise(
-        _seq_preview(items, F.size(c), "[", "]", "list", max_len))
+        _seq_preview(c, (r, r), lambda x: _scalar_len(x, elem), "list", "[", "]", max_len))
 
 
 def preview_map(c: Column, key: T.DataType, value: T.DataType,
                 max_len: int = PREVIEW_MAX_LEN) -> Column:
-    """Bounded text of a map (a ``dict``): cut as a list of pairs. The whole
-    text is ``{k: v, ...}``; its length equals that of the pair list minus
-    the two parentheses per pair."""
-    ent = F.map_entries(c)
-    pairs = F.transform(ent, lambda e: F.concat(F.lit("("), _scalar_repr(e["key"], key),
-                                                F.lit(", "), _scalar_repr(e["value"], value),
-                                                F.lit(")")))
-    kv = F.transform(ent, lambda e: F.concat(_scalar_repr(e["key"], key), F.lit(": "),
-                                             _scalar_repr(e["value"], value)))
-    full_len = F.aggregate(kv, F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x)) \
-        + F.greatest(F.size(kv) - 1, F.lit(0)) * 2 + 2
-    n = F.greatest(F.lit(1), (F.lit(float(max_len)) / full_len * F.size(c)).cast("int"))
-    full = F.concat(F.lit("{"), F.array_join(kv, ", "), F.lit("}"))
-    sliced = F.concat(F.lit("["), F.array_join(F.slice(pairs, 1, n), ", "), F.lit(", ...]"))
-    whole = F.concat(F.lit("["), F.array_join(pairs, ", "), F.lit("]"))
-    same_len = _until_last_comma(_cut(whole, max_len - 10))
-    size = F.size(c)
+    """Bounded text of a map (a ``dict``): whole as ``{k: v, ...}``, cut as a
+    list of ``(k, v)`` pairs."""
+    kv = lambda e: F.concat(_scalar_repr(e["key"], key), F.lit(": "),
+                            _scalar_repr(e["value"], value))
+    pair = lambda e: F.concat(F.lit("("), _scalar_repr(e["key"], key), F.lit(", "),
+                              _scalar_repr(e["value"], value), F.lit(")"))
+    ln = lambda e: _scalar_len(e["key"], key) + _scalar_len(e["value"], value) + 2
     return F.when(c.isNull(), F.lit("None")).otherwise(
-        F.when(full_len < max_len, full)
-        .when(n == size, F.concat(F.lit("<dict, truncated_data="), same_len,
-                                  F.lit(", len="), size.cast("string"), F.lit(">")))
-        .otherwise(F.concat(F.lit("<dict, truncated_data="), sliced,
-                            F.lit(", len="), size.cast("string"), F.lit(">"))))
+        _seq_preview(F.map_entries(c), (kv, pair), ln, "dict", "{", "}", max_len))
 
 
 def preview(c: Column, dt: T.DataType, max_len: int = PREVIEW_MAX_LEN) -> Column:

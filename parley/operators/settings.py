@@ -71,13 +71,29 @@ def schema_violations(df: DataFrame, allowed: Mapping[str, Sequence[str]]) -> li
     return out
 
 
+# Superset of the strings Spark can cast to an integral type (trimmed
+# control/space characters, sign, digits, a decimal point). Rows outside it
+# are malformed without asking ``try_cast``, which pays for an exception per
+# malformed row.
+_NUMERIC_SHAPE = r"^[\x00-\x20]*[+-]?[0-9.]+[\x00-\x20]*$"
+_INTEGRAL = {"tinyint", "smallint", "int", "integer", "bigint", "long", "short", "byte"}
+
+
+def _parses(c: str, t: str):
+    cast_ok = F.col(c).try_cast(t).isNotNull()
+    if t.lower() in _INTEGRAL:
+        return F.when(F.col(c).cast("string").rlike(_NUMERIC_SHAPE), cast_ok) \
+            .otherwise(F.lit(False))
+    return cast_ok
+
+
 def schema_check(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """For untyped text columns: rows whose value does not parse as the
     declared type (``try_cast`` NULL while the raw value is not NULL), per
     column, as one row of counts per column (an aggregate, no rows kept)."""
     aggs = []
     for c, t in types.items():
-        bad = F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()
+        bad = F.col(c).isNotNull() & ~_parses(c, t)
         aggs += [F.count_if(bad).alias(f"{c}__bad"), F.count(F.col(c)).alias(f"{c}__n")]
     one = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"),
