@@ -19,6 +19,7 @@ from parley.operators import logs as L
 from parley.operators import prompts as P
 from parley.operators import settings as S
 from parley.operators import turns as T
+from parley.plans import flows as FL
 from parley.session import scratch_path, table
 from parley.sources import logtext as LT
 from parley.sources import notebooks as NB
@@ -705,3 +706,16 @@ def q_history_text(spark, sf):
      .text(path))
     out = NB.history_text(NB.history_lines(spark, path), keys=("session",))
     return out.select(F.col("session").cast("bigint").alias("session"), "text")
+
+
+# -------------------------------------------------------- end-to-end paths
+@register("explain_errors", f"""
+WITH r AS (SELECT CAST(date_trunc('millisecond', ts) AS TIMESTAMP) AS ts, {LEVEL_SQL} AS level,
+             {LOG_MESSAGE_SQL} AS message FROM events)
+SELECT ts, level, CASE WHEN level = 'ERROR' THEN message || chr(10) || chr(10) ||
+  upper(replace('Explain this error:' || chr(10) || message, 'ß', 'ss')) ELSE message END
+  AS message FROM r""")
+def q_explain_errors(spark, sf):
+    path = scratch_path(spark, "log")
+    LT.log_write(_log_events(spark, sf), path, "w")
+    return FL.explain_errors(spark, path).select("ts", "level", "message")
