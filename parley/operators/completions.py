@@ -69,11 +69,13 @@ def completion_log(answers: DataFrame, *, session: str = "session_id",
     """
     answer = F.regexp_replace(F.col(completion), r"(?U)^\s+|\s+\z", "")
     answer = F.when(answer == "", F.lit(EMPTY_ANSWER)).otherwise(answer)
-    p = parse_completion(answers.withColumn("_answer", answer), "_answer", parser)
-    code = F.col(old_code) if old_code else F.lit("")
-    return p.select(F.col(session).alias("session_id"), F.col(seq).alias("seq"),
+    base = answers.select(F.col(session).alias("_sid"), F.col(seq).alias("_seq"),
+                          answer.alias("_answer"),
+                          (F.col(old_code) if old_code else F.lit("")).alias("_old"))
+    p = parse_completion(base, "_answer", parser)
+    return p.select(F.col("_sid").alias("session_id"), F.col("_seq").alias("seq"),
                     F.col("_answer").alias("completion"), "explanation",
-                    code.alias("code"), F.col("code").alias("new_code"),
+                    F.col("_old").alias("code"), F.col("code").alias("new_code"),
                     F.col("code").alias("code_diff"), "extra")
 
 
