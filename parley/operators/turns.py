@@ -174,28 +174,29 @@ def model_limits(df: DataFrame, models: DataFrame, *, model: str = "model",
 
 
 # ---------------------------------------------------------------- O4 -----
-def budget_status(turns: DataFrame, conv_models: DataFrame, models: DataFrame,
-                  *, key: str = "conv_id", max_tokens: int = 0,
+def budget_status(turns: DataFrame, models: DataFrame, *, key: str = "conv_id",
+                  model: str = "model", max_tokens: int = 0,
                   chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Per conversation: truncate to its model's hard budget (O2), then
     ``overflow`` (pinned + last alone exceed it), ``warn`` (remaining words
     above the soft budget) or ``ok``.
 
-    ``conv_models(conv_id, model)`` has one row per conversation.
-    """
-    lim = model_limits(conv_models, models, max_tokens=max_tokens)
-    t = turns.join(lim.select(key, "hard_limit"), key)
-    kept = history_truncate(t, F.col("hard_limit"), key=key,
-                            chunk_rows=chunk_rows)
-    per = kept.groupBy(key).agg(
+    ``turns`` carries the conversation's model name in column ``model``. The
+    limits come from a broadcast of the literal model table, so no
+    per-conversation table is shuffled against the turns; the output row of
+    a conversation comes from the same partially aggregated ``groupBy`` (the
+    model and its limits are constant within a conversation, so grouping by
+    them too changes nothing and keeps the aggregate a HashAggregate)."""
+    t = model_limits(turns, models, model=model, max_tokens=max_tokens)
+    kept = history_truncate(t, F.col("hard_limit"), key=key, chunk_rows=chunk_rows)
+    per = kept.groupBy(key, model, "context_window", "hard_limit", "soft_limit").agg(
         F.sum("n_words").cast("bigint").alias("words_kept"),
         F.count(F.lit(1)).alias("turns_kept"),
         F.max(F.col("status") == "overflow").alias("_over"))
-    out = per.join(lim, key)
     status = (F.when(F.col("_over"), "overflow")
               .when(F.col("words_kept") > F.col("soft_limit"), "warn")
               .otherwise("ok"))
-    return out.select(key, "model", "context_window", "hard_limit", "soft_limit",
+    return per.select(key, model, "context_window", "hard_limit", "soft_limit",
                       "words_kept", "turns_kept", status.alias("status"))
 
 

@@ -180,11 +180,8 @@ SELECT lim.conv_id, lim.model, lim.context_window, lim.hard_limit, lim.soft_limi
        ELSE 'ok' END AS status
 FROM k JOIN lim USING (conv_id)""")
 def q_budget_status(spark, sf):
-    conv = table(spark, sf, "conversations")
-    cm = conv.select("conv_id").distinct().select(
-        "conv_id", F.expr(CONV_MODEL_SQL).alias("model"))
-    return T.budget_status(conv, cm, T.models_table(spark),
-                           max_tokens=BUDGET_MAX_TOKENS)
+    conv = table(spark, sf, "conversations").withColumn("model", F.expr(CONV_MODEL_SQL))
+    return T.budget_status(conv, T.models_table(spark), max_tokens=BUDGET_MAX_TOKENS)
 
 
 # ------------------------------------------------------------- completions

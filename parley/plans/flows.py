@@ -49,8 +49,10 @@ def answer_questions(lines: DataFrame, *, session: str = "session_id", seq: str
     kinds = prompt_kind(routed, session=session, order=(seq,), state=tuple(state),
                         answered=ans)
     rendered = prompt_render(kinds, dict(templates), choose="prompt_kind")
-    done = batch_complete(rendered.select(session, seq, *state, "prompt_kind", "prompt"),
-                          model_fn)
+    # Model answers are written to the shared checkpoint folder once: a lost
+    # executor downstream must not call the model again.
+    done = cut_lineage(batch_complete(
+        rendered.select(session, seq, *state, "prompt_kind", "prompt"), model_fn))
     log = completion_log(done.where(F.col("error").isNull()), session=session, seq=seq,
                          old_code=state[0] if state else None)
     return log
@@ -67,7 +69,7 @@ def explain_errors(spark: SparkSession, log_paths, out_path: str | None = None,
         "session_id", F.concat_ws("#", F.col("file"), F.col("rec").cast("string"))))
     errs = recs.where(F.col("level") == "ERROR").select("session_id", "rec", "message")
     prompts = prompt_render(errs, {"error": template})
-    done = batch_complete(prompts.select("session_id", "rec", "prompt"), model_fn)
+    done = cut_lineage(batch_complete(prompts.select("session_id", "rec", "prompt"), model_fn))
     log = completion_log(done.where(F.col("error").isNull()), session="session_id",
                          seq="rec", completion="completion")
     enriched = error_enrich(recs, session_explanations(log))
