@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from parley.functions.text import (DEBUGGER_MARKER, VERBOSE_PREFIX, is_conversational,
                                    looks_like_key, redact, strip_comment_prefix,
                                    strip_marker_lines)
-from parley.operators.completions import latest_nonempty
-
 ERROR_LEVEL = "ERROR"
 
 
@@ -18,11 +16,16 @@ ERROR_LEVEL = "ERROR"
 def session_explanations(log: DataFrame, *, session: str = "session_id",
                          order: tuple[str, ...] = ("seq",),
                          code: str = "new_code") -> DataFrame:
-    """Newest non-empty completion and code per session (two ``max_by``
-    aggregates in one partially aggregated ``groupBy``)."""
-    a = latest_nonempty(log, "completion", key=session, order=order, out="completion")
-    b = latest_nonempty(log, code, key=session, order=order, out="code")
-    return a.join(b, session)
+    """Newest non-empty completion and code per session: two conditional
+    ``max_by`` aggregates in one partially aggregated ``groupBy``."""
+    ordkey = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(o) for o in order])
+
+    def newest(v):
+        good = F.col(v).isNotNull() & (F.col(v) != "")
+        return F.max_by(F.when(good, F.col(v)), F.when(good, ordkey))
+
+    return log.groupBy(session).agg(newest("completion").alias("completion"),
+                                    newest(code).alias("code"))
 
 
 def error_enrich(records: DataFrame, explanations: DataFrame, *,
@@ -54,6 +57,12 @@ def route_turns(lines: DataFrame, line: str = "line") -> DataFrame:
                         .otherwise(F.col(line))))
 
 
+def write_routed(routed: DataFrame, path: str, mode: str = "append") -> None:
+    """Send conversational lines and commands to separate sinks: one
+    partitioned write, a folder per ``kind``."""
+    routed.write.mode(mode).partitionBy("kind").parquet(path)
+
+
 # ---------------------------------------------------------------- O23 ----
 def strip_lines(df: DataFrame, col: str = "code", marker: str = DEBUGGER_MARKER,
                 out: str | None = None) -> DataFrame:

@@ -262,3 +262,30 @@ def map_snapshot(m: Column, value_type: str = "string",
                               F.lit(",   # type: " + value_type))
     return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(m), line), ""),
                     F.lit("\n}"))
+
+
+def table_preview(df: DataFrame, cols: Sequence[str], order: Sequence[str], *, k: int = 3,
+                  max_len: int = PREVIEW_MAX_LEN) -> DataFrame:
+    """Per column of a table: ``column, type, non_null, first_values`` where
+    ``first_values`` previews the column's values in the first ``k`` rows by
+    ``order``, as a list.
+
+    The first rows are a top-k (each partition keeps ``k`` rows, then one
+    merge): the limit is the feature here. Counts are one global aggregate.
+    Both results are a few rows, combined per column without a join."""
+    sch = {f.name: f.dataType for f in df.schema.fields}
+    first = df.orderBy(*order).limit(k).select(
+        F.lit(1).alias("_one"), F.struct(*[F.col(o) for o in order]).alias("_o"),
+        *[F.col(c) for c in cols])
+    heads = first.groupBy("_one").agg(*[
+        F.transform(F.array_sort(F.collect_list(F.struct("_o", F.col(c).alias("v")))),
+                    lambda x: x["v"]).alias(c) for c in cols])
+    counts = df.agg(*[F.count(F.col(c)).alias(f"_n_{c}") for c in cols]) \
+        .withColumn("_one", F.lit(1))
+    both = counts.join(heads, "_one", "left")  # one row with one row
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(sch[c].simpleString()).alias("type"),
+                     F.col(f"_n_{c}").alias("non_null"),
+                     preview_array(F.coalesce(F.col(c), F.array().cast(T.ArrayType(sch[c]))),
+                                   sch[c], max_len).alias("first_values"))
+            for c in cols]
+    return both.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

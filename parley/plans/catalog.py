@@ -716,3 +716,21 @@ def q_explain_errors(spark, sf):
     path = scratch_path(spark, "log")
     LT.log_write(_log_events(spark, sf), path, "w")
     return FL.explain_errors(spark, path).select("ts", "level", "message")
+
+
+PREVIEW_COLS = ["c_name", "c_nationkey", "c_mktsegment"]
+
+
+def _list_sql(c: str, is_str: bool) -> str:
+    item = f"CASE WHEN {c} IS NULL THEN 'None' ELSE " + (
+        f"'''' || {c} || '''' END" if is_str else f"CAST({c} AS VARCHAR) END")
+    return item
+
+
+@register("table_preview", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS type, (SELECT count({c}) FROM customer) AS non_null, "
+    f"'[' || (SELECT string_agg({_list_sql(c, t == 'string')}, ', ' ORDER BY c_custkey) FROM "
+    f"(SELECT * FROM customer ORDER BY c_custkey LIMIT 3)) || ']' AS first_values"
+    for c, t in [("c_name", "string"), ("c_nationkey", "int"), ("c_mktsegment", "string")]))
+def q_table_preview(spark, sf):
+    return P.table_preview(table(spark, sf, "customer"), PREVIEW_COLS, ["c_custkey"], k=3)
