@@ -76,3 +76,45 @@ def log_records(spark: SparkSession, paths) -> DataFrame:
         .alias("ts"),
         F.when(is_rec, F.regexp_extract(first, r"^[^\[]*\[([A-Z]+)\]: ", 1)).alias("level"),
         body.alias("message"))
+
+
+# ------------------------------------------------------------- streaming --
+def stream_log_records(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Streaming O19 for rolled log files: each new file is one row
+    (``wholetext``), cut into records at every line that starts a record
+    (look-ahead split), stateless. Files must be of bounded size (rolled
+    logs); very large single files belong to the split-safe batch reader."""
+    # `wholetext` must be passed to text(): its default argument would reset
+    # an option set earlier.
+    raw = (spark.readStream.options(**options).text(path, wholetext=True)
+           .select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+           .where(F.col("value") != ""))  # empty part files hold no record
+    body = F.regexp_replace(F.col("value"), r"\n\z", "")
+    parts = F.split(body, "\n(?=" + RECORD_START[1:] + ")")
+    recs = raw.select("file", F.posexplode(parts).alias("_p", "_r"))
+    lines = F.split(F.col("_r"), "\n")
+    first = F.element_at(lines, 1)
+    rest = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))),
+                       lambda x: F.regexp_replace(x, r"^ ( *\d{4}-\d{2}-\d{2} "
+                                                  r"\d{2}:\d{2}:\d{2},\d{3} \[[A-Z]+\]: )",
+                                                  "$1"))
+    is_rec = first.rlike(RECORD_START)
+    head = F.when(is_rec, F.regexp_replace(first, RECORD_START, "")).otherwise(first)
+    body_txt = F.when(F.size(rest) > 0, F.concat(head, F.lit("\n"), F.array_join(rest, "\n"))) \
+        .otherwise(head)
+    return recs.select(
+        "file",
+        F.when(is_rec, F.to_timestamp_ntz(F.substring(first, 1, 23), F.lit(TS_FORMAT)))
+        .alias("ts"),
+        F.when(is_rec, F.regexp_extract(first, r"^[^\[]*\[([A-Z]+)\]: ", 1)).alias("level"),
+        body_txt.alias("message"))
+
+
+def stream_log_write(stream: DataFrame, path: str, checkpoint: str, *, ts: str = "ts",
+                     level: str = "level", message: str = "message"):
+    """Streaming O20: append formatted records to a text file sink. Returns
+    the started query."""
+    out = stream.select(format_records(stream, ts=ts, level=level, message=message)
+                        .alias("value"))
+    return (out.writeStream.format("text").option("path", path)
+            .option("checkpointLocation", checkpoint).outputMode("append").start())

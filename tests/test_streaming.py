@@ -93,3 +93,31 @@ def test_stream_latest_nonempty_update_mode(spark, sf_dir):
     exp = {r.user_id: r.latest for r in
            C.latest_nonempty(ev, "v", key="user_id", order=("event_id",)).collect()}
     assert final == exp
+
+
+def test_stream_log_roundtrip_and_notebooks(spark):
+    from parley.sources import logtext as LT
+    from parley.sources import notebooks as NB
+    rows = [(f"2024-01-01 10:00:{i:02d}", "ERROR" if i % 2 else "INFO",
+             f"m{i}" + ("\n2024-01-01 00:00:00,000 [INFO]: fake\n  t" if i % 2 else ""))
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "ts string, level string, message string") \
+        .withColumn("ts", F.to_timestamp_ntz("ts"))
+    src = scratch_path(spark, "stream-in")
+    df.coalesce(1).write.parquet(src)
+    logs = scratch_path(spark, "stream-logs")
+    q = LT.stream_log_write(spark.readStream.schema(df.schema).parquet(src), logs,
+                            scratch_path(spark, "stream-ckpt"))
+    q.processAllAvailable()
+    q.stop()
+    got = _run(spark, LT.stream_log_records(spark, logs))
+    assert sorted((r.ts, r.level, r.message) for r in got.collect()) == \
+        sorted((r.ts, r.level, r.message) for r in df.collect())
+    # notebooks: the batch function on a file stream
+    nb_dir = scratch_path(spark, "stream-nb")
+    spark.createDataFrame([('{"metadata": {}, "cells": [{"cell_type": "code", '
+                            '"source": ["x = 1"]}]}',)], "value string") \
+        .coalesce(1).write.text(nb_dir)
+    nbs = spark.readStream.schema(NB.NOTEBOOK).json(nb_dir)
+    assert [r.text for r in _run(spark, NB.notebook_text(nbs).select("text")).collect()] == \
+        ["\n```\nx = 1\n```\n"]
