@@ -698,7 +698,9 @@ def q_history_text(spark, sf):
         (F.col("i") + 1).cast("string"), F.lit(": "),
         F.regexp_replace("line", "\r", " ")).alias("value"))
     path = scratch_path(spark, "history")
-    (hist.repartition("session").sortWithinPartitions("doc_id", "i")
+    # Sorted by the partition column first: the writer's own sort on it would
+    # otherwise reorder the lines of a session file.
+    (hist.repartition("session").sortWithinPartitions("session", "doc_id", "i")
      .select("session", "value").write.partitionBy("session").option("lineSep", "\n")
      .text(path))
     out = NB.history_text(NB.history_lines(spark, path), keys=("session",))

@@ -70,5 +70,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Optional deployment knob: inputs written as one or a few large row groups
+# scan in that many tasks, so all per-row work before the first shuffle runs
+# on one core. Setting ``parley.scan.partitions`` spreads each input over
+# that many partitions (a round-robin shuffle of the raw table). Leave it
+# unset when inputs have many row groups (the normal case at scale).
+# Only inputs of at least ``parley.scan.spread_min_bytes`` (local files,
+# whose size is known here) are spread; the shuffle would cost more than it
+# saves on smaller ones.
+SCAN_PARTITIONS_CONF = "parley.scan.partitions"
+SPREAD_MIN_BYTES_CONF = "parley.scan.spread_min_bytes"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
+    n = int(spark.conf.get(SCAN_PARTITIONS_CONF, "0") or 0)
+    if n <= 0 or not os.path.isfile(path):
+        return df
+    min_bytes = int(spark.conf.get(SPREAD_MIN_BYTES_CONF, str(8 << 20)))
+    return df.repartition(n) if os.path.getsize(path) >= min_bytes else df
