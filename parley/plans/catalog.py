@@ -23,6 +23,7 @@ from parley.plans import flows as FL
 from parley.session import scratch_path, table
 from parley.sources import logtext as LT
 from parley.sources import notebooks as NB
+from parley.streaming import stateful as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -736,3 +737,55 @@ def _list_sql(c: str, is_str: bool) -> str:
     for c, t in [("c_name", "string"), ("c_nationkey", "int"), ("c_mktsegment", "string")]))
 def q_table_preview(spark, sf):
     return P.table_preview(table(spark, sf, "customer"), PREVIEW_COLS, ["c_custkey"], k=3)
+
+
+# --------------------------------------------------------------- streaming
+def _stream_source(spark, df, col: str, bounds: list[int]) -> str:
+    """The table written as consecutive slices of ``col`` (one write each,
+    natural partitioning), so a file stream sees each key's rows in order."""
+    src = scratch_path(spark, "stream-src")
+    lo = None
+    for hi in bounds + [None]:
+        part = df
+        if lo is not None:
+            part = part.where(F.col(col) >= lo)
+        if hi is not None:
+            part = part.where(F.col(col) < hi)
+        part.write.mode("append").parquet(src)
+        lo = hi
+    return src
+
+
+def _run_to_parquet(spark, sdf) -> DataFrame:
+    out = scratch_path(spark, "stream-out")
+    q = (sdf.writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
+         .outputMode("append").start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.parquet(out)
+
+
+@register("context_at_turn_stream", ORACLES["context_at_turn"])
+def q_context_at_turn_stream(spark, sf):
+    conv = table(spark, sf, "conversations")
+    src = _stream_source(spark, conv, "turn", [2, 4])
+    stream = spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", 4).parquet(src)
+    out = _run_to_parquet(spark, ST.stream_context_at_turn(stream, CONTEXT_LIMIT))
+    return out.select("conv_id", "turn", "first_kept", "turns_sent", "words", "status")
+
+
+@register("prompt_kind_stream", ORACLES["prompt_kind"])
+def q_prompt_kind_stream(spark, sf):
+    ev = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
+    n = ev.agg(F.max("event_id")).first()[0] or 0
+    src = _stream_source(spark, ev, "event_id", [n // 3 + 1, 2 * n // 3 + 1])
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(src)
+    # event ids follow event time in this table, so event_id orders the stream
+    out = _run_to_parquet(spark, ST.stream_prompt_kind(
+        stream, session="user_id", seq="event_id", state=("event_type",),
+        answered=F.col("event_type") != "error"))
+    return out.select(F.col("session").alias("user_id"), F.col("seq").alias("event_id"),
+                      "prompt_kind")
