@@ -16,7 +16,7 @@ from parley.plans.ordered import DEFAULT_CHUNK_ROWS, ordered_scan
 # Names an interactive shell defines, never sent as variables
 SHELL_NAMES = ["In", "Out", "_dh", "_ih", "_ii", "_iii", "_oh"]
 SHELL_NAME_PATTERN = r"(?U)^_{1,2}i?\d*$"
-# Default preview size, and its cut-off markers
+# Fixed value: default preview size in characters
 PREVIEW_MAX_LEN = 400
 CONTEXTFUL, CONTEXTLESS = "contextful", "contextless"
 
@@ -104,16 +104,28 @@ def is_shell_name(name: Column) -> Column:
             | name.isin(SHELL_NAMES))
 
 
-def code_tokens(df: DataFrame, code: str, keys: Sequence[str]) -> DataFrame:
-    """Distinct whitespace tokens of each code text: ``keys..., token``."""
-    return df.select(*keys, F.explode(F.array_distinct(F.filter(
-        F.split(F.coalesce(F.col(code), F.lit("")), r"(?U)\s+"),
-        lambda x: x != ""))).alias("token"))
+IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
+
+
+def code_tokens(df: DataFrame, code: str, keys: Sequence[str],
+                tokens: str = "whitespace") -> DataFrame:
+    """Distinct tokens of each code text: ``keys..., token``. ``whitespace``
+    (the reference's rule: ``nums[j]`` is one token) or ``identifier``
+    (``nums`` and ``j``)."""
+    text = F.coalesce(F.col(code), F.lit(""))
+    if tokens == "identifier":
+        arr = F.regexp_extract_all(text, F.lit(IDENTIFIER), 0)
+    elif tokens == "whitespace":
+        arr = F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
+    else:
+        raise ValueError("tokens must be 'whitespace' or 'identifier'")
+    return df.select(*keys, F.explode(F.array_distinct(arr)).alias("token"))
 
 
 def used_variables(variables: DataFrame, code: DataFrame, *,
                    keys: Sequence[str] = (), code_col: str = "code",
-                   code_keys: Sequence[str] = (), name: str = "name") -> DataFrame:
+                   code_keys: Sequence[str] = (), name: str = "name",
+                   tokens: str = "whitespace") -> DataFrame:
     """Variables whose name is a whitespace token of the code (``nums[j]``
     does not use ``nums``), minus shell names.
 
@@ -121,7 +133,7 @@ def used_variables(variables: DataFrame, code: DataFrame, *,
     variables are one global namespace shared by every code row. An equi-join
     on ``(keys, name)``: Catalyst chooses broadcast or shuffle from sizes."""
     keys = list(keys)
-    toks = code_tokens(code, code_col, list(code_keys) or keys)
+    toks = code_tokens(code, code_col, list(code_keys) or keys, tokens)
     v = variables.where(~is_shell_name(F.col(name)))
     cond = [toks[k] == v[k] for k in keys] + [toks["token"] == v[name]]
     extra = [c for c in code_keys if c not in keys]

@@ -76,6 +76,10 @@ def test_used_variables(spark):
     got = sorted((r.seq, r.name) for r in P.used_variables(var, code, keys=["sid", "seq"])
                  .collect())
     assert got == [(1, "x"), (2, "x")]  # nums[j] does not use nums; shell names dropped
+    ident = sorted((r.seq, r.name) for r in
+                   P.used_variables(var, code, keys=["sid", "seq"], tokens="identifier")
+                   .collect())
+    assert ident == [(1, "n"), (1, "nums"), (1, "x"), (2, "x")]
 
 
 def test_error_enrich(spark):
