@@ -93,31 +93,35 @@ def context_at_turn(turns: DataFrame, limit: int, *, key: str = "conv_id",
     width = max(int(limit), int(chunk_rows), 1)
     s = s.withColumn("_c2", F.floor(F.col("_pos") / F.lit(width)))
     w0 = F.col("n_words_first")
-    cand = (s.where(F.col("_pos") >= 1)
-            .select(key, F.explode(F.array(F.col("_c2"), F.col("_c2") + 1))
-                    .alias("_c2"),
-                    (F.col("n_words_run") - F.col("n_words")).alias("_key"),
-                    F.lit(0).alias("_probe"),
-                    F.struct(F.col("_pos").alias("pos"),
-                             F.col(order).alias("turn"),
-                             (F.col("n_words_run") - F.col("n_words"))
-                             .alias("before")).alias("_cand"),
-                    F.lit(None).cast("bigint").alias("_t_pos"),
-                    F.lit(None).cast(s.schema[order].dataType).alias("_t_turn"),
-                    F.lit(None).cast("bigint").alias("_t_run"),
-                    F.lit(None).cast("bigint").alias("_t_n"),
-                    F.lit(None).cast("bigint").alias("_w0")))
-    probe = (s.where(F.col(role) == user_role)
-             .select(key, "_c2",
-                     (F.col("n_words_run") + w0 - _lim(limit)).alias("_key"),
-                     F.lit(1).alias("_probe"),
-                     F.lit(None).cast(cand.schema["_cand"].dataType).alias("_cand"),
-                     F.col("_pos").alias("_t_pos"), F.col(order).alias("_t_turn"),
-                     F.col("n_words_run").alias("_t_run"),
-                     F.col("n_words").alias("_t_n"), w0.alias("_w0")))
+    # One pass emits both sides of the as-of lookup: each non-pinned row is a
+    # candidate in its position chunk and in the next one; each user row is
+    # also a probe in its own chunk. (Two branches over the scan would run
+    # the whole ordered scan twice.)
+    before_i = F.col("n_words_run") - F.col("n_words")
+    turn_t = s.schema[order].dataType
+    cand_val = F.struct(F.col("_pos").cast("bigint").alias("pos"),
+                        F.col(order).alias("turn"), before_i.cast("bigint").alias("before"))
+
+    def item(c2, k, probe, cand, t_pos, t_turn, t_run, t_n, w, keep):
+        return F.struct(keep.alias("_keep"), c2.cast("bigint").alias("_c2"),
+                        k.cast("bigint").alias("_key"), F.lit(probe).alias("_probe"),
+                        cand.alias("_cand"), t_pos.cast("bigint").alias("_t_pos"),
+                        t_turn.cast(turn_t).alias("_t_turn"), t_run.cast("bigint").alias("_t_run"),
+                        t_n.cast("bigint").alias("_t_n"), w.cast("bigint").alias("_w0"))
+
+    nul = F.lit(None)
+    is_cand = F.col("_pos") >= 1
+    items = F.array(
+        item(F.col("_c2"), before_i, 0, cand_val, nul, nul, nul, nul, nul, is_cand),
+        item(F.col("_c2") + 1, before_i, 0, cand_val, nul, nul, nul, nul, nul, is_cand),
+        item(F.col("_c2"), F.col("n_words_run") + w0 - _lim(limit), 1,
+             F.when(F.lit(False), cand_val), F.col("_pos"), F.col(order),
+             F.col("n_words_run"), F.col("n_words"), w0, F.col(role) == user_role))
+    u0 = s.select(key, F.explode(F.filter(items, lambda x: x["_keep"])).alias("_e")) \
+        .select(key, "_e.*").drop("_keep")
     w = (Window.partitionBy(key, "_c2").orderBy(F.col("_key").desc(), "_probe")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = cand.unionByName(probe).withColumn("_best", F.min("_cand").over(w))
+    u = u0.withColumn("_best", F.min("_cand").over(w))
     p = u.where(F.col("_probe") == 1)
     pinned = F.col("_t_pos") == 0
     over = F.when(pinned, F.col("_w0") > _lim(limit)).otherwise(
