@@ -17,6 +17,12 @@ because the order value is unique within its group):
 3. the offsets are left-joined back on ``(key, chunk)``. The join side is
    small, so AQE turns it into a broadcast from its measured size; when it is
    not small the join stays a shuffle join.
+
+The input is read by both branches: the window branch with all columns, the
+chunk-table branch column-pruned and partially aggregated before its small
+shuffle. (Feeding both from one explicit repartition does not share it:
+Catalyst prunes the aggregate branch below the exchange, and that branch then
+loses its map-side aggregation.)
 """
 
 from __future__ import annotations
