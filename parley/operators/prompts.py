@@ -18,6 +18,9 @@ SHELL_NAMES = ["In", "Out", "_dh", "_ih", "_ii", "_iii", "_oh"]
 SHELL_NAME_PATTERN = r"(?U)^_{1,2}i?\d*$"
 # Fixed value: default preview size in characters
 PREVIEW_MAX_LEN = 400
+# Field-check messages (unexpected fields are reported first)
+UNEXPECTED_MSG = "Received unexpected kwarg(s): "
+MISSING_MSG = "Missing required kwarg(s): "
 CONTEXTFUL, CONTEXTLESS = "contextful", "contextless"
 
 
@@ -55,9 +58,9 @@ def prompt_field_check(df: DataFrame, template: str, *, fields: str = "fields")
     fmt = lambda a: F.concat(F.lit("{"), F.array_join(
         F.transform(a, lambda x: quote(x)), ", "), F.lit("}"))
     error = (F.when(F.size(unexpected) > 0,
-                    F.concat(F.lit("Received unexpected kwarg(s): "), fmt(unexpected)))
+                    F.concat(F.lit(UNEXPECTED_MSG), fmt(unexpected)))
              .when(F.size(missing) > 0,
-                   F.concat(F.lit("Missing required kwarg(s): "), fmt(missing))))
+                   F.concat(F.lit(MISSING_MSG), fmt(missing))))
     return (df.withColumn("unexpected", unexpected).withColumn("missing", missing)
             .withColumn("error", error))
 

@@ -151,3 +151,14 @@ def stream_context_at_turn(turns: DataFrame, limit: int, *, key: str = "conv_id"
 def stream_latest_nonempty(log: DataFrame, value: str, **kw) -> DataFrame:
     """Streaming O17: the batch aggregate, to be written in ``update`` mode."""
     return latest_nonempty(log, value, **kw)
+
+
+# ------------------------------------------------------------ O26 stream --
+def stream_settings_upsert(changes: DataFrame, *, owner: str = "owner", key: str = "key",
+                           value: str = "value", seq: str = "seq") -> DataFrame:
+    """Streaming O26, written in ``update`` mode: each changed key emits its
+    latest value; a deletion surfaces as a NULL value (a downstream upsert
+    removes the key)."""
+    latest = changes.groupBy(owner, key).agg(
+        F.max_by(F.struct(F.col(value).alias("v")), F.col(seq)).alias("_last"))
+    return latest.select(owner, key, F.col("_last.v").alias(value))

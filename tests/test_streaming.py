@@ -121,3 +121,30 @@ def test_stream_log_roundtrip_and_notebooks(spark):
     nbs = spark.readStream.schema(NB.NOTEBOOK).json(nb_dir)
     assert [r.text for r in _run(spark, NB.notebook_text(nbs).select("text")).collect()] == \
         ["\n```\nx = 1\n```\n"]
+
+
+def test_stream_settings_upsert_and_enrich(spark):
+    from parley.operators import logs as L
+    from parley.operators import settings as SET
+    ch = spark.createDataFrame(
+        [("u", "model_name", "gpt-4", 1), ("u", "openai_api_key", "sk-1", 2),
+         ("u", "model_name", None, 3), ("v", "model_name", "gpt-4o", 4)],
+        "owner string, key string, value string, seq long")
+    src = _files(spark, ch, [3], "seq")
+    stream = spark.readStream.schema(ch.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    final = {}
+    for r in _run(spark, S.stream_settings_upsert(stream), mode="update").collect():
+        final[(r.owner, r.key)] = r.value  # later updates overwrite
+    live = {k: v for k, v in final.items() if v is not None}
+    assert live == {(r.owner, r.key): r.value for r in SET.settings_upsert(None, ch).collect()}
+    assert final[("u", "model_name")] is None  # the deletion surfaced
+    # error enrichment as a stream-static join
+    recs = spark.createDataFrame([(1, "s1", "ERROR", "boom"), (2, "s1", "INFO", "ok")],
+                                 "id int, session_id string, level string, message string")
+    ex = spark.createDataFrame([("s1", "EXPLAINED", "fix()")],
+                               "session_id string, completion string, code string")
+    rsrc = scratch_path(spark, "stream-src")
+    recs.write.parquet(rsrc)
+    got = _run(spark, L.error_enrich(spark.readStream.schema(recs.schema).parquet(rsrc), ex))
+    assert {r.id: r.message for r in got.collect()} == \
+        {r.id: r.message for r in L.error_enrich(recs, ex).collect()}
