@@ -60,9 +60,8 @@ def history_truncate(turns: DataFrame, limit, *, key: str = "conv_id",
     overflow = F.when(single, w0 > lim).otherwise(w0 + F.col("n_words_last") > lim)
     keep = ((F.col(order) == F.col(f"{order}_first")) |
             (F.col(order) == F.col(f"{order}_last")) | (w0 + suffix <= lim))
-    return (s.where(keep)
-            .withColumn("status", F.when(overflow, "overflow").otherwise("ok"))
-            .select(*turns.columns, "n_words", "status"))
+    return s.where(keep).select(*turns.columns, "n_words",
+                                F.when(overflow, "overflow").otherwise("ok").alias("status"))
 
 
 # ---------------------------------------------------------------- O3 -----

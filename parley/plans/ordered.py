@@ -115,7 +115,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str] | str,
                     .alias(f"_g_p_{c}"))
     off = (chunks.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
                          F.col(CHUNK).alias("_k_chunk"), *offs)
-           .where(F.col("_n_chunks") > 1).drop("_n_chunks"))
+           .where(F.col("_n_chunks") > 1))
 
     # -- 3. join offsets back (small side; AQE broadcasts it when small) ---
     cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]

@@ -83,8 +83,13 @@ SPREAD_MIN_BYTES_CONF = "parley.scan.spread_min_bytes"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table. Each path is listed and its schema read once per
+    session (the inputs are immutable), like registering a view once."""
     path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
+    cache = spark.__dict__.setdefault("_parley_tables", {})
+    df = cache.get(path)
+    if df is None:
+        df = cache[path] = spark.read.parquet(path)
     n = int(spark.conf.get(SCAN_PARTITIONS_CONF, "0") or 0)
     if n <= 0 or not os.path.isfile(path):
         return df
