@@ -206,14 +206,19 @@ def budget_status(turns: DataFrame, models: DataFrame, *, key: str = "conv_id",
 # ---------------------------------------------------------------- O5 -----
 def history_render(turns: DataFrame, *, key: str = "conv_id",
                    order: str = "turn", sep: str = "\n\n",
-                   speaker_prefix: bool = True) -> DataFrame:
+                   speaker_prefix: bool = True, limit=None,
+                   chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """One string per conversation, turns in order, ``"Speaker: text"``.
 
     Ordered string aggregate per conversation: ``collect_list`` of
     ``(turn, piece)`` (an ObjectHashAggregate with partial aggregation), then
     ``array_sort`` and ``array_join``. The output is one value per
     conversation, so its size is that conversation's text; feed it the
-    truncated history (O2) to bound it by the word budget."""
+    truncated history (O2) to bound it by the word budget: with ``limit``
+    given, only the turns O2 keeps are rendered, so no group holds more than
+    the pinned turn, the last turn and ``limit`` words."""
+    if limit is not None:
+        turns = history_truncate(turns, limit, key=key, order=order, chunk_rows=chunk_rows)
     body = F.coalesce(F.col("text"), F.lit(""))
     piece = F.concat(speaker_label("role"), F.lit(": "), body) if speaker_prefix \
         else body

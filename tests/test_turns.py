@@ -91,6 +91,13 @@ def test_model_limits(spark):
                    "nope": (8192, 6144, 5760), None: (8192, 6144, 5760)}
 
 
+def test_history_render_truncated(spark):
+    df = _fixture(spark).where("conv_id = 1")
+    got = T.history_render(df, limit=15).first().history
+    kept, _ = replay.truncate([(r.turn, r.text) for r in df.orderBy("turn").collect()], 15)
+    assert got.count("\n\n") == len(kept) - 1 and got.startswith("System: a b c")
+
+
 def test_history_render(spark):
     df = _fixture(spark).where("conv_id in (1, 4)")
     got = {r.conv_id: r.history for r in T.history_render(df).collect()}
