@@ -23,12 +23,13 @@ from parley.operators.prompts import CONTEXTFUL, CONTEXTLESS, prompt_kind, promp
 from parley.session import cut_lineage
 from parley.sources.logtext import log_records, log_write
 
-# Our own prompt wording; the field sets are the reference's.
+# Our own prompt wording; the field sets (which values a prompt needs) are
+# the reference's.
 QUESTION_TEMPLATES = {
-    CONTEXTFUL: ("QUESTION:\n{question}\n\nCODE SNIPPET:\n{code}\n\nNEXT LINE TO EXECUTE:\n"
-                 "{next_line}\n\nLOCAL VARIABLES:\n{local_vars}\n\nGLOBAL VARIABLES:\n"
-                 "{global_vars}"),
-    CONTEXTLESS: "QUESTION:\n{question}",
+    CONTEXTFUL: ("Asked: {question}\nSource:\n{code}\nAbout to run: {next_line}\n"
+                 "Locals: {local_vars}\nGlobals: {global_vars}\n"
+                 "Reply with an explanation, then fixed code in one fenced block."),
+    CONTEXTLESS: "Asked: {question}",
 }
 ERROR_TEMPLATE = "Explain this error:\n{message}"
 STATE_FIELDS = ("code", "next_line", "local_vars", "global_vars")

@@ -11,6 +11,6 @@ def test_answer_questions(spark):
        "local_vars string, global_vars string")
     log = {r.seq: r for r in FL.answer_questions(lines).collect()}
     assert sorted(log) == [1, 3, 4]
-    assert log[1].completion.startswith("QUESTION:\nWHY IS X 3?\n\nCODE SNIPPET:\nX = 3")
-    assert log[3].completion == "QUESTION:\n AND THEN?"
-    assert log[4].code == "y = 1" and "CODE SNIPPET" in log[4].completion
+    assert log[1].completion.startswith("ASKED: WHY IS X 3?\nSOURCE:\nX = 3")
+    assert log[3].completion == "ASKED:  AND THEN?"
+    assert log[4].code == "y = 1" and "SOURCE:" in log[4].completion

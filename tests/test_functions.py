@@ -139,7 +139,7 @@ def test_template_fields_and_render(spark):
                   "GLOBALS: {global_vars}\n{{ answer }}")
     assert set(X.template_fields(contextful)) == {"code", "global_vars", "local_vars",
                                                   "next_line", "question"}
-    assert X.template_fields("QUESTION:\n{question}") == ["question"]
+    assert X.template_fields("Asked: {question}") == ["question"]
     df = spark.createDataFrame([("why?", "x = 1", None, "{}", "{}")],
                                "question string, code string, next_line string, "
                                "local_vars string, global_vars string")
