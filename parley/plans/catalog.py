@@ -783,9 +783,7 @@ def q_prompt_kind_stream(spark, sf):
     n = ev.agg(F.max("event_id")).first()[0] or 0
     src = _stream_source(spark, ev, "event_id", [n // 3 + 1, 2 * n // 3 + 1])
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(src)
-    # event ids follow event time in this table, so event_id orders the stream
     out = _run_to_parquet(spark, ST.stream_prompt_kind(
-        stream, session="user_id", seq="event_id", state=("event_type",),
+        stream, session="user_id", seq=("ts", "event_id"), state=("event_type",),
         answered=F.col("event_type") != "error"))
-    return out.select(F.col("session").alias("user_id"), F.col("seq").alias("event_id"),
-                      "prompt_kind")
+    return out.select(F.col("session").alias("user_id"), "event_id", "prompt_kind")

@@ -16,6 +16,7 @@ Python handler; the handler only walks the (bounded) state.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -34,47 +35,66 @@ def _timeout_conf(idle_timeout_ms: int | None) -> str:
 
 
 # ------------------------------------------------------------- O9 stream --
-KIND_STATE = "last_seq long, has_prev boolean, prev string"
+KIND_STATE = "last_key string, has_prev boolean, prev string"
+
+
+def _order_key(values) -> list:
+    """Comparable form of one row's order values (timestamps as integers)."""
+    out = []
+    for v in values:
+        if isinstance(v, pd.Timestamp):
+            v = v.value
+        elif hasattr(v, "item"):
+            v = v.item()
+        out.append(v)
+    return out
 
 
 def stream_prompt_kind(events: DataFrame, *, session: str = "session_id",
-                       seq: str = "seq", state: Sequence[str] = ("state",),
+                       seq: str | Sequence[str] = "seq", state: Sequence[str] = ("state",),
                        answered: str | Column = "answered",
                        idle_timeout_ms: int | None = None) -> DataFrame:
-    """Streaming O9: ``session, seq, prompt_kind, late`` per question.
+    """Streaming O9: ``session, <seq columns>, prompt_kind, late`` per
+    question, ordered by ``seq`` (one or several columns, compared in order).
 
-    ``seq`` is a single sortable column (e.g. an event id or a timestamp);
-    the state compared is ``to_json(struct(state))`` so a NULL state and a
-    missing state differ."""
+    The state compared is ``to_json(struct(state))`` so a NULL state and a
+    missing state differ; the last order key seen is kept as a JSON list."""
+    order = [seq] if isinstance(seq, str) else list(seq)
     ans = F.col(answered) if isinstance(answered, str) else answered
-    inp = events.select(F.col(session).alias("session"), F.col(seq).alias("seq"),
+    inp = events.select(F.col(session).alias("session"), *[F.col(c) for c in order],
                         F.to_json(F.struct(*[F.col(c) for c in state])).alias("st"),
                         ans.alias("answered"))
-    seq_type = inp.schema["seq"].dataType.simpleString()
     key_type = inp.schema["session"].dataType.simpleString()
-    out_schema = (f"session {key_type}, seq {seq_type}, prompt_kind string, "
-                  f"late boolean")
+    out_schema = ", ".join([f"session {key_type}"] +
+                           [f"{c} {inp.schema[c].dataType.simpleString()}" for c in order] +
+                           ["prompt_kind string", "late boolean"])
 
     def step(key, pdfs: Iterator[pd.DataFrame], gs: GroupState):
         if gs.hasTimedOut:
             gs.remove()
             return
-        last, has_prev, prev = (gs.get if gs.exists else (None, False, None))
-        rows = pd.concat(list(pdfs)).sort_values("seq", kind="stable")
+        last_s, has_prev, prev = (gs.get if gs.exists else (None, False, None))
+        last = json.loads(last_s) if last_s else None
+        rows = pd.concat(list(pdfs)).sort_values(order, kind="stable")
         kinds, lates = [], []
-        for sq, st, ok in zip(rows["seq"], rows["st"], rows["answered"]):
-            late = last is not None and sq <= last
+        for vals, st, ok in zip(rows[order].itertuples(index=False, name=None),
+                                rows["st"], rows["answered"]):
+            k = _order_key(vals)
+            late = last is not None and k <= last
             kinds.append(CONTEXTLESS if has_prev and st == prev else CONTEXTFUL)
             lates.append(bool(late))
             if not late:
-                last = sq
+                last = k
                 if ok:
                     has_prev, prev = True, st
-        gs.update((last, has_prev, prev))
+        gs.update((json.dumps(last), has_prev, prev))
         if idle_timeout_ms:
             gs.setTimeoutDuration(int(idle_timeout_ms))
-        yield pd.DataFrame({"session": key[0], "seq": rows["seq"].to_numpy(),
-                            "prompt_kind": kinds, "late": lates})
+        out = rows[order].reset_index(drop=True)
+        out.insert(0, "session", key[0])
+        out["prompt_kind"] = kinds
+        out["late"] = lates
+        yield out
 
     return inp.groupBy("session").applyInPandasWithState(
         step, out_schema, KIND_STATE, "append", _timeout_conf(idle_timeout_ms))

@@ -60,7 +60,7 @@ def test_stream_prompt_kind_equals_batch(spark, sf_dir):
                                            answered=F.col("event_type") != "error"))
     exp = P.prompt_kind(ev, session="user_id", order=("event_id",), state=("event_type",),
                         answered=F.col("event_type") != "error")
-    assert {(r.session, r.seq): r.prompt_kind for r in got.collect()} == \
+    assert {(r.session, r.event_id): r.prompt_kind for r in got.collect()} == \
         {(r.user_id, r.event_id): r.prompt_kind for r in exp.collect()}
 
 
