@@ -1,7 +1,6 @@
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from parley.operators import turns as T
 from parley.session import table
