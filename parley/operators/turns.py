@@ -65,9 +65,9 @@ def history_truncate(turns: DataFrame, limit, *, key: str = "conv_id",
 
 
 # ---------------------------------------------------------------- O3 -----
-def context_at_turn(turns: DataFrame, limit: int, *, key: str = "conv_id",
+def context_at_turn(turns: DataFrame, limit, *, key: str = "conv_id",
                     order: str = "turn", role: str = "role",
-                    user_role: str = "user",
+                    user_role: str = "user", max_limit: int | None = None,
                     chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """What is sent to the model at each user turn when the history is
     truncated after every user message (drops are permanent, answers are
@@ -83,13 +83,25 @@ def context_at_turn(turns: DataFrame, limit: int, *, key: str = "conv_id",
     position chunks of ``max(limit, chunk_rows)`` rows and each candidate
     copied into the next chunk, no window partition exceeds three chunks.
 
+    ``limit`` is an int or a column constant within a conversation (e.g. the
+    hard budget of its model, O6); with a column, ``max_limit`` bounds it and
+    sizes the position chunks.
+
     Output per user turn: ``conv_id, turn, first_kept, turns_sent, words,
     status``.
     """
-    t = turn_words(turns).select(key, order, role, "n_words")
+    if isinstance(limit, Column):
+        if max_limit is None:
+            raise ValueError("a column limit needs max_limit (its upper bound)")
+        bound = int(max_limit)
+    else:
+        bound = int(limit)
+    t = turn_words(turns).select(key, order, role, "n_words",
+                                 _lim(limit).cast("bigint").alias("_limit"))
     s = ordered_scan(t, key, order, sums=["n_words"], firsts=["n_words"],
                      position="_pos", chunk_rows=chunk_rows)
-    width = max(int(limit), int(chunk_rows), 1)
+    limit = F.col("_t_lim")
+    width = max(bound, int(chunk_rows), 1)
     s = s.withColumn("_c2", F.floor(F.col("_pos") / F.lit(width)))
     w0 = F.col("n_words_first")
     # One pass emits both sides of the as-of lookup: each non-pinned row is a
@@ -101,21 +113,23 @@ def context_at_turn(turns: DataFrame, limit: int, *, key: str = "conv_id",
     cand_val = F.struct(F.col("_pos").cast("bigint").alias("pos"),
                         F.col(order).alias("turn"), before_i.cast("bigint").alias("before"))
 
-    def item(c2, k, probe, cand, t_pos, t_turn, t_run, t_n, w, keep):
+    def item(c2, k, probe, cand, t_pos, t_turn, t_run, t_n, w, keep, lim=F.lit(None)):
         return F.struct(keep.alias("_keep"), c2.cast("bigint").alias("_c2"),
                         k.cast("bigint").alias("_key"), F.lit(probe).alias("_probe"),
                         cand.alias("_cand"), t_pos.cast("bigint").alias("_t_pos"),
                         t_turn.cast(turn_t).alias("_t_turn"), t_run.cast("bigint").alias("_t_run"),
-                        t_n.cast("bigint").alias("_t_n"), w.cast("bigint").alias("_w0"))
+                        t_n.cast("bigint").alias("_t_n"), w.cast("bigint").alias("_w0"),
+                        lim.cast("bigint").alias("_t_lim"))
 
     nul = F.lit(None)
     is_cand = F.col("_pos") >= 1
     items = F.array(
         item(F.col("_c2"), before_i, 0, cand_val, nul, nul, nul, nul, nul, is_cand),
         item(F.col("_c2") + 1, before_i, 0, cand_val, nul, nul, nul, nul, nul, is_cand),
-        item(F.col("_c2"), F.col("n_words_run") + w0 - _lim(limit), 1,
+        item(F.col("_c2"), F.col("n_words_run") + w0 - F.col("_limit"), 1,
              F.when(F.lit(False), cand_val), F.col("_pos"), F.col(order),
-             F.col("n_words_run"), F.col("n_words"), w0, F.col(role) == user_role))
+             F.col("n_words_run"), F.col("n_words"), w0, F.col(role) == user_role,
+             F.col("_limit")))
     u0 = s.select(key, F.explode(F.filter(items, lambda x: x["_keep"])).alias("_e")) \
         .select(key, "_e.*").drop("_keep")
     w = (Window.partitionBy(key, "_c2").orderBy(F.col("_key").desc(), "_probe")

@@ -102,3 +102,21 @@ def test_history_render(spark):
     got = {r.conv_id: r.history for r in T.history_render(df).collect()}
     assert got[4] == "Human: \n\nAI: \n\nHuman: q"
     assert got[1].startswith("System: a b c\n\nHuman: x")
+
+
+def test_context_at_turn_column_limit(spark, sf_dir):
+    from pyspark.sql import functions as F
+    df = table(spark, sf_dir, "conversations")
+    lim = {0: 60, 1: 200, 2: 400}
+    with_lim = df.withColumn("lim", F.when(F.col("conv_id") % 3 == 0, 60)
+                             .when(F.col("conv_id") % 3 == 1, 200).otherwise(400))
+    got = {(r.conv_id, r.turn): (r.first_kept, r.turns_sent, r.words, r.status)
+           for r in T.context_at_turn(with_lim, F.col("lim"), max_limit=400,
+                                      chunk_rows=3).collect()}
+    by = defaultdict(list)
+    for r in df.collect():
+        by[r.conv_id].append((r.turn, r.role, r.text))
+    for cid, rows in by.items():
+        rows.sort()
+        for turn, v in replay.context_replay(rows, lim[cid % 3]).items():
+            assert got[(cid, turn)] == v
