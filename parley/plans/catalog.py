@@ -740,9 +740,10 @@ def q_table_preview(spark, sf):
 
 
 # --------------------------------------------------------------- streaming
-def _stream_source(spark, df, col: str, bounds: list[int]) -> str:
-    """The table written as consecutive slices of ``col`` (one write each,
-    natural partitioning), so a file stream sees each key's rows in order."""
+def _stream_source(spark, df, col: str, bounds: list[int], key: str) -> str:
+    """The table written as consecutive slices of ``col``, one write each,
+    hash-partitioned by ``key``: a key's rows of one slice share a file, and
+    later slices have later files, so a file stream sees each key in order."""
     src = scratch_path(spark, "stream-src")
     lo = None
     for hi in bounds + [None]:
@@ -751,16 +752,33 @@ def _stream_source(spark, df, col: str, bounds: list[int]) -> str:
             part = part.where(F.col(col) >= lo)
         if hi is not None:
             part = part.where(F.col(col) < hi)
-        part.write.mode("append").parquet(src)
+        part.repartition(key).write.mode("append").parquet(src)
         lo = hi
     return src
 
 
+def _files_per_trigger(spark, src: str, batches: int = 3) -> int:
+    """About ``batches`` micro-batches whatever the number of files (any
+    boundary keeps each key in order: see ``_stream_source``)."""
+    n = len(spark.read.parquet(src).inputFiles())
+    return max(1, -(-n // batches))
+
+
 def _run_to_parquet(spark, sdf) -> DataFrame:
+    """Run a stream to completion into a parquet sink and read it back. The
+    state partition count is fixed when a stream starts (then kept in its
+    checkpoint): these small fixtures start with the default parallelism,
+    and the session setting is restored right after."""
     out = scratch_path(spark, "stream-out")
-    q = (sdf.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
-         .outputMode("append").start())
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        q = (sdf.writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
+             .outputMode("append").start())
+    finally:
+        spark.conf.set(key, old)
     try:
         q.processAllAvailable()
     finally:
@@ -771,8 +789,9 @@ def _run_to_parquet(spark, sdf) -> DataFrame:
 @register("context_at_turn_stream", ORACLES["context_at_turn"])
 def q_context_at_turn_stream(spark, sf):
     conv = table(spark, sf, "conversations")
-    src = _stream_source(spark, conv, "turn", [2, 4])
-    stream = spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    src = _stream_source(spark, conv, "turn", [2, 4], "conv_id")
+    stream = spark.readStream.schema(conv.schema).option(
+        "maxFilesPerTrigger", _files_per_trigger(spark, src)).parquet(src)
     out = _run_to_parquet(spark, ST.stream_context_at_turn(stream, CONTEXT_LIMIT))
     return out.select("conv_id", "turn", "first_kept", "turns_sent", "words", "status")
 
@@ -781,8 +800,9 @@ def q_context_at_turn_stream(spark, sf):
 def q_prompt_kind_stream(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
     n = ev.agg(F.max("event_id")).first()[0] or 0
-    src = _stream_source(spark, ev, "event_id", [n // 3 + 1, 2 * n // 3 + 1])
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    src = _stream_source(spark, ev, "event_id", [n // 3 + 1, 2 * n // 3 + 1], "user_id")
+    stream = spark.readStream.schema(ev.schema).option(
+        "maxFilesPerTrigger", _files_per_trigger(spark, src)).parquet(src)
     out = _run_to_parquet(spark, ST.stream_prompt_kind(
         stream, session="user_id", seq=("ts", "event_id"), state=("event_type",),
         answered=F.col("event_type") != "error"))
