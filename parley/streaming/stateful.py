@@ -105,17 +105,18 @@ CONTEXT_STATE = ("has_pinned boolean, w0 long, last_turn long, "
                  "kept_turns array<long>, kept_words array<long>")
 
 
-def stream_context_at_turn(turns: DataFrame, limit: int, *, key: str = "conv_id",
+def stream_context_at_turn(turns: DataFrame, limit: int | Column, *, key: str = "conv_id",
                            order: str = "turn", role: str = "role",
                            user_role: str = "user",
                            idle_timeout_ms: int | None = None) -> DataFrame:
     """Streaming O3: per user turn ``conv_id, turn, first_kept, turns_sent,
     words, status, late``. State: the pinned row's words and the kept turns
     with their words; it never holds more than ``limit`` words plus the
-    newest turn."""
+    newest turn. ``limit`` may be a column constant within a conversation."""
+    lim_col = limit if isinstance(limit, Column) else F.lit(limit)
     inp = turns.select(F.col(key).alias("k"), F.col(order).cast("long").alias("t"),
                        (F.col(role) == user_role).alias("is_user"),
-                       speaker_words("text").alias("n"))
+                       speaker_words("text").alias("n"), lim_col.cast("long").alias("lim"))
     key_type = inp.schema["k"].dataType.simpleString()
     out_schema = (f"{key} {key_type}, {order} long, first_kept long, turns_sent long, "
                   f"words long, status string, late boolean")
@@ -130,6 +131,7 @@ def stream_context_at_turn(turns: DataFrame, limit: int, *, key: str = "conv_id"
         else:
             has_pinned, w0, last, kt, kw = False, 0, None, [], []
         rows = pd.concat(list(pdfs)).sort_values("t", kind="stable")
+        limit = int(rows["lim"].iloc[0])
         out = []
         total = sum(kw)
         for t, is_user, n in zip(rows["t"], rows["is_user"], rows["n"]):

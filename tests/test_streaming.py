@@ -51,6 +51,17 @@ def test_stream_context_at_turn_equals_batch(spark, sf_dir):
                      for r in exp}
 
 
+def test_stream_context_column_limit(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations").withColumn(
+        "lim", F.when(F.col("conv_id") % 2 == 0, 60).otherwise(300))
+    src = _files(spark, conv, [2, 4], "turn")
+    stream = spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = _run(spark, S.stream_context_at_turn(stream, F.col("lim")))
+    exp = T.context_at_turn(conv, F.col("lim"), max_limit=300)
+    assert {(r.conv_id, r.turn): (r.first_kept, r.words, r.status) for r in got.collect()} == \
+        {(r.conv_id, r.turn): (r.first_kept, r.words, r.status) for r in exp.collect()}
+
+
 def test_stream_prompt_kind_equals_batch(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     src = _files(spark, ev, [3000, 7000], "event_id")
