@@ -14,3 +14,29 @@ def test_answer_questions(spark):
     assert log[1].completion.startswith("ASKED: WHY IS X 3?\nSOURCE:\nX = 3")
     assert log[3].completion == "ASKED:  AND THEN?"
     assert log[4].code == "y = 1" and "SOURCE:" in log[4].completion
+
+
+def test_explain_errors_with_failing_model(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from parley.session import scratch_path
+    from parley.sources import logtext as LT
+
+    recs = spark.createDataFrame(
+        [("2024-01-01 00:00:01", "ERROR", "bad index"), ("2024-01-01 00:00:02", "INFO", "fine"),
+         ("2024-01-01 00:00:03", "ERROR", "boom here")],
+        "ts string, level string, message string").withColumn("ts", F.to_timestamp_ntz("ts"))
+    path = scratch_path(spark, "log")
+    LT.log_write(recs, path, "w")
+
+    def model(prompts: pd.Series) -> pd.Series:
+        if prompts.str.contains("boom").any():
+            raise RuntimeError("model down")
+        return "Because.\n```python\nfix()\n```" + prompts.str.len().astype(str).str[:0]
+
+    out = {r.message.split("\n")[0]: r.message
+           for r in FL.explain_errors(spark, path, model_fn=model).collect()}
+    assert out["fine"] == "fine"
+    assert out["boom here"] == "boom here"  # the model failed: record unchanged
+    assert out["bad index"] == "bad index\n\nBecause.\n```python\nfix()\n```\n\nfix()"
