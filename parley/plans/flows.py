@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from parley.operators.completions import batch_complete, completion_log, upper_stub
 from parley.operators.logs import error_enrich, route_turns, session_explanations
 from parley.operators.prompts import CONTEXTFUL, CONTEXTLESS, prompt_kind, prompt_render
+from parley.operators.turns import context_at_turn
 from parley.session import cut_lineage
 from parley.sources.logtext import log_records, log_write
 
@@ -40,10 +41,16 @@ Model = Callable[[pd.Series], pd.Series]
 def answer_questions(lines: DataFrame, *, session: str = "session_id", seq: str = "seq",
                      line: str = "line", state: Sequence[str] = STATE_FIELDS,
                      templates: Mapping[str, str] = QUESTION_TEMPLATES,
-                     model_fn: Model = upper_stub, answered: str | None = None) -> DataFrame:
+                     model_fn: Model = upper_stub, answered: str | None = None,
+                     context_limit: int | None = None) -> DataFrame:
     """Completion log for the conversational lines of each session. Prompt
     kind compares the state with the last answered question; ``answered``
-    names a column from an earlier run (default: every question answered)."""
+    names a column from an earlier run (default: every question answered).
+
+    With ``context_limit`` (words, e.g. a model's hard budget from O6) the log
+    also reports, per question, what the truncated conversation sent with it
+    held (O3 over the session's prompts and answers): ``context_words`` and
+    ``context_status``."""
     routed = route_turns(lines, line).where(F.col("kind") == "conversational") \
         .withColumn("question", F.col("text"))
     ans = F.col(answered) if answered else F.lit(True)
@@ -54,9 +61,20 @@ def answer_questions(lines: DataFrame, *, session: str = "session_id", seq: str
     # executor downstream must not call the model again.
     done = cut_lineage(batch_complete(
         rendered.select(session, seq, *state, "prompt_kind", "prompt"), model_fn))
-    log = completion_log(done.where(F.col("error").isNull()), session=session, seq=seq,
-                         old_code=state[0] if state else None)
-    return log
+    ok = done.where(F.col("error").isNull())
+    log = completion_log(ok, session=session, seq=seq, old_code=state[0] if state else None)
+    if context_limit is None:
+        return log
+    # The session as a conversation: prompt then answer for each question.
+    turns = ok.select(F.col(session).alias("conv_id"), F.explode(F.array(
+        F.struct((F.col(seq) * 2).alias("turn"), F.lit("user").alias("role"),
+                 F.col("prompt").alias("text")),
+        F.struct((F.col(seq) * 2 + 1).alias("turn"), F.lit("assistant").alias("role"),
+                 F.col("completion").alias("text")))).alias("t")).select("conv_id", "t.*")
+    ctx = context_at_turn(turns, context_limit).select(
+        F.col("conv_id").alias("session_id"), (F.col("turn") / 2).cast("long").alias("seq"),
+        F.col("words").alias("context_words"), F.col("status").alias("context_status"))
+    return log.join(ctx, ["session_id", "seq"], "left")
 
 
 def explain_errors(spark: SparkSession, log_paths, out_path: str | None = None, *,

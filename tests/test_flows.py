@@ -14,6 +14,16 @@ def test_answer_questions(spark):
     assert log[1].completion.startswith("ASKED: WHY IS X 3?\nSOURCE:\nX = 3")
     assert log[3].completion == "ASKED:  AND THEN?"
     assert log[4].code == "y = 1" and "SOURCE:" in log[4].completion
+    # context report: the session as prompt/answer turns, truncated per question
+    from tests import replay
+    rep = {r.seq: (r.context_words, r.context_status)
+           for r in FL.answer_questions(lines, context_limit=40).collect()}
+    hist = []
+    for s in sorted(log):
+        # the stub answers with the upper-cased prompt, so prompt words = answer words
+        hist += [(2 * s, "user", log[s].completion), (2 * s + 1, "assistant", log[s].completion)]
+    exp = replay.context_replay(hist, 40)
+    assert rep == {s: (exp[2 * s][2], exp[2 * s][3]) for s in sorted(log)}
 
 
 def test_explain_errors_with_failing_model(spark):
