@@ -144,6 +144,19 @@ def used_variables(variables: DataFrame, code: DataFrame, *,
                                               *[v[c] for c in v.columns])
 
 
+def used_variables_in_row(df: DataFrame, variables: str, code: str, *,
+                          out: str | None = None, tokens: str = "whitespace") -> DataFrame:
+    """Row-local form of O10: ``variables`` is a ``MAP<name, value>`` in the
+    same row as the code; keep entries whose name is a token of the code and
+    not a shell name. No join, no shuffle (works on streams as is)."""
+    text = F.coalesce(F.col(code), F.lit(""))
+    toks = F.regexp_extract_all(text, F.lit(IDENTIFIER), 0) if tokens == "identifier" else \
+        F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
+    kept = F.map_filter(F.col(variables),
+                        lambda k, v: F.array_contains(toks, k) & ~is_shell_name(k))
+    return df.withColumn(out or variables, kept)
+
+
 # ---------------------------------------------------------------- O12 ----
 def _scalar_repr(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.StringType):

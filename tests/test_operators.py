@@ -154,3 +154,21 @@ def test_revision_diff_multichunk(spark):
                for r in C.revision_diff(df, chunk_rows=chunk).collect()}
         assert got == {(1, 0): (2, 0), (1, 1): (2, 1), (1, 2): (0, 3), (1, 5): (1, 0),
                        (2, 3): (0, 0)}
+
+
+def test_used_variables_in_row(spark):
+    df = spark.createDataFrame(
+        [("for j in range(n): nums[j] += x", {"nums": "[1]", "n": "3", "x": "2", "_": "9"})],
+        "code string, vars map<string,string>")
+    got = P.used_variables_in_row(df, "vars", "code").first().vars
+    assert got == {"x": "2"}
+    got = P.used_variables_in_row(df, "vars", "code", tokens="identifier").first().vars
+    assert got == {"nums": "[1]", "n": "3", "x": "2"}
+
+
+def test_parse_completion_with_json_parser(spark):
+    schema = "explanation string, code string, extra map<string,string>"
+    df = spark.createDataFrame(
+        [('{"explanation": "why", "code": "fix()", "extra": {"k": "v"}}',)], "completion string")
+    r = C.parse_completion(df, parser=lambda c: F.from_json(c, schema)).first()
+    assert (r.explanation, r.code, r.extra) == ("why", "fix()", {"k": "v"})
