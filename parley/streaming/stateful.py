@@ -17,6 +17,8 @@ Python handler; the handler only walks the (bounded) state.
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -184,3 +186,60 @@ def stream_settings_upsert(changes: DataFrame, *, owner: str = "owner", key: str
     latest = changes.groupBy(owner, key).agg(
         F.max_by(F.struct(F.col(value).alias("v")), F.col(seq)).alias("_last"))
     return latest.select(owner, key, F.col("_last.v").alias(value))
+
+
+# ------------------------------------------------------------ O18 stream --
+# Same line breaks as the batch form (functions.text.LINE_BREAK).
+_BREAK = re.compile("\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]")
+DIFF_STATE = "last_version long, counts string"
+
+
+def _line_counts(text) -> Counter:
+    if text is None or text == "":
+        return Counter()
+    body = text
+    m = _BREAK.search(body, max(0, len(body) - 2))  # one final break is not a line
+    if m and m.end() == len(body):
+        body = body[:m.start()]
+    return Counter(_BREAK.split(body))
+
+
+def stream_revision_diff(versions: DataFrame, *, doc: str = "doc_id",
+                         version: str = "version", text: str = "text",
+                         idle_timeout_ms: int | None = None) -> DataFrame:
+    """Streaming O18: ``doc, version, lines_added, lines_removed, late`` per
+    version, against the previous version seen for the document. State: the
+    line counts of the latest version (one document's lines)."""
+    inp = versions.select(F.col(doc).alias("d"), F.col(version).cast("long").alias("v"),
+                          F.col(text).alias("x"))
+    key_type = inp.schema["d"].dataType.simpleString()
+    out_schema = (f"{doc} {key_type}, {version} long, lines_added long, "
+                  f"lines_removed long, late boolean")
+
+    def step(k, pdfs: Iterator[pd.DataFrame], gs: GroupState):
+        if gs.hasTimedOut:
+            gs.remove()
+            return
+        last, counts = gs.get if gs.exists else (None, None)
+        prev = Counter(json.loads(counts)) if counts else Counter()
+        rows = pd.concat(list(pdfs)).sort_values("v", kind="stable")
+        out = []
+        for v, x in zip(rows["v"], rows["x"]):
+            v = int(v)
+            if last is not None and v <= last:
+                out.append((v, None, None, True))
+                continue
+            cur = _line_counts(x)
+            added = sum(max(n - prev.get(line, 0), 0) for line, n in cur.items())
+            removed = sum(max(n - cur.get(line, 0), 0) for line, n in prev.items())
+            out.append((v, added, removed, False))
+            last, prev = v, cur
+        gs.update((last, json.dumps(prev)))
+        if idle_timeout_ms:
+            gs.setTimeoutDuration(int(idle_timeout_ms))
+        df = pd.DataFrame(out, columns=[version, "lines_added", "lines_removed", "late"])
+        df.insert(0, doc, k[0])
+        yield df.astype({"lines_added": "Int64", "lines_removed": "Int64"})
+
+    return inp.groupBy("d").applyInPandasWithState(
+        step, out_schema, DIFF_STATE, "append", _timeout_conf(idle_timeout_ms))

@@ -159,3 +159,13 @@ def test_stream_settings_upsert_and_enrich(spark):
     got = _run(spark, L.error_enrich(spark.readStream.schema(recs.schema).parquet(rsrc), ex))
     assert {r.id: r.message for r in got.collect()} == \
         {r.id: r.message for r in L.error_enrich(recs, ex).collect()}
+
+
+def test_stream_revision_diff_equals_batch(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    src = _files(spark, conv, [2, 4], "turn")
+    stream = spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = _run(spark, S.stream_revision_diff(stream, doc="conv_id", version="turn"))
+    exp = C.revision_diff(conv, doc="conv_id", version="turn")
+    assert {(r.conv_id, r.turn): (r.lines_added, r.lines_removed) for r in got.collect()} == \
+        {(r.conv_id, r.turn): (r.lines_added, r.lines_removed) for r in exp.collect()}
