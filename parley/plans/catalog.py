@@ -807,3 +807,13 @@ def q_prompt_kind_stream(spark, sf):
         stream, session="user_id", seq=("ts", "event_id"), state=("event_type",),
         answered=F.col("event_type") != "error"))
     return out.select(F.col("session").alias("user_id"), "event_id", "prompt_kind")
+
+
+@register("revision_diff_stream", ORACLES["revision_diff"])
+def q_revision_diff_stream(spark, sf):
+    conv = table(spark, sf, "conversations")
+    src = _stream_source(spark, conv, "turn", [2, 4], "conv_id")
+    stream = spark.readStream.schema(conv.schema).option(
+        "maxFilesPerTrigger", _files_per_trigger(spark, src)).parquet(src)
+    out = _run_to_parquet(spark, ST.stream_revision_diff(stream, doc="conv_id", version="turn"))
+    return out.select("conv_id", "turn", "lines_added", "lines_removed")
