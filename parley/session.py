@@ -6,7 +6,7 @@ settings from it. ``local_session`` exists for tests and the bench script.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -41,8 +41,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (local tests) a fresh folder is made under the system temp dir.
+    ``spark.checkpoint.dir`` is read from the session. Only a single-JVM
+    ``local`` session (tests, the bench) without that setting gets a folder of
+    its own; on a cluster a machine-local folder would lose other executors'
+    parts, so the setting is demanded there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and "
+                             "all executors share")
         conf_dir = tempfile.mkdtemp(prefix="parley-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -70,28 +75,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# Optional deployment knob: inputs written as one or a few large row groups
-# scan in that many tasks, so all per-row work before the first shuffle runs
-# on one core. Setting ``parley.scan.partitions`` spreads each input over
-# that many partitions (a round-robin shuffle of the raw table). Leave it
-# unset when inputs have many row groups (the normal case at scale).
-# Only inputs of at least ``parley.scan.spread_min_bytes`` (local files,
-# whose size is known here) are spread; the shuffle would cost more than it
-# saves on smaller ones.
-SCAN_PARTITIONS_CONF = "parley.scan.partitions"
-SPREAD_MIN_BYTES_CONF = "parley.scan.spread_min_bytes"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table. Each path is listed and its schema read once per
-    session (the inputs are immutable), like registering a view once."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    cache = spark.__dict__.setdefault("_parley_tables", {})
-    df = cache.get(path)
-    if df is None:
-        df = cache[path] = spark.read.parquet(path)
-    n = int(spark.conf.get(SCAN_PARTITIONS_CONF, "0") or 0)
-    if n <= 0 or not os.path.isfile(path):
-        return df
-    min_bytes = int(spark.conf.get(SPREAD_MIN_BYTES_CONF, str(8 << 20)))
-    return df.repartition(n) if os.path.getsize(path) >= min_bytes else df
+    """An input table, read by Spark from whatever store the path names."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
