@@ -83,3 +83,30 @@ def op5_line_dedup(spark, sf_dir):
     from parley.llm.line_dedup import dedup_lines
     return dedup_lines(documents(spark, sf_dir), LINE_MIN_CHARS).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+# --------------------------------------------------------------- tokenizers
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@register("op7_bpe")
+def op7_bpe(spark, sf_dir):
+    from parley.llm.bpe import bpe_round_trip
+    return bpe_round_trip(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+@register("op8_token_counts")
+def op8_token_counts(spark, sf_dir):
+    from parley.llm.token_counts import token_counts
+    return token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+# ------------------------------------------------------------------ secrets
+@register("op9_secrets")
+def op9_secrets(spark, sf_dir):
+    from parley.llm.secrets import scan_secrets
+    return scan_secrets(documents(spark, sf_dir)).select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(F.encode("base_spans", "UTF-8"), 256).alias("base_sha256"), "spans")
