@@ -110,3 +110,14 @@ def op9_secrets(spark, sf_dir):
     return scan_secrets(documents(spark, sf_dir)).select(
         "doc_id", "n_assign", "n_access", "n_hex",
         F.sha2(F.encode("base_spans", "UTF-8"), 256).alias("base_sha256"), "spans")
+
+
+# ------------------------------------------------------------------ simhash
+SIMHASH_WORDS, SIMHASH_BITS = 4, 4
+
+
+@register("op6_simhash")
+def op6_simhash(spark, sf_dir):
+    from parley.llm.simhash import hex_digits, near_duplicates
+    return near_duplicates(documents(spark, sf_dir), SIMHASH_WORDS, SIMHASH_BITS).select(
+        "doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
