@@ -121,3 +121,27 @@ def op6_simhash(spark, sf_dir):
     from parley.llm.simhash import hex_digits, near_duplicates
     return near_duplicates(documents(spark, sf_dir), SIMHASH_WORDS, SIMHASH_BITS).select(
         "doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+# ----------------------------------------------------------------- toxicity
+TOXIC_AT = 0.3
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Rows that are never learned from: crc32 of the id as text, mod 4, is 2.
+    A null id is not held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def toxicity_grammar(spark: SparkSession, sf_dir: str):
+    from parley.llm.toxicity import train
+    labels = read(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out())
+    return train(documents(spark, sf_dir), labels)
+
+
+@register("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    from parley.llm.toxicity import score_toxicity
+    return score_toxicity(documents(spark, sf_dir), toxicity_grammar(spark, sf_dir)).select(
+        "doc_id", held_out().alias("held_out"), "score",
+        (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
