@@ -145,3 +145,15 @@ def op2_toxicity(spark, sf_dir):
     return score_toxicity(documents(spark, sf_dir), toxicity_grammar(spark, sf_dir)).select(
         "doc_id", held_out().alias("held_out"), "score",
         (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
+# ------------------------------------------------------------------ vectors
+ANN_NEAREST, ANN_QUERY_MOD = 20, 20
+
+
+@register("op4_ann")
+def op4_ann(spark, sf_dir):
+    from parley.llm.ann import nearest
+    vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    queries = vectors.where(F.col("vec_id") % ANN_QUERY_MOD == 0).select(F.col("vec_id").alias("id"))
+    return nearest(vectors, queries, ANN_NEAREST)
