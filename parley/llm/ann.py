@@ -38,7 +38,7 @@ GROUP, START = 512, 2
 #: A round's joins tell a node at most this many partners by each common neighbour.
 TOLD = 6
 #: Rounds end when a smaller share of all list entries is new, or at ROUNDS.
-STILL, ROUNDS = 0.01, 10
+STILL, ROUNDS = 0.01, 7
 
 _EMPTY = np.iinfo(np.int64).max
 
@@ -316,7 +316,7 @@ def graph_search(queries: DataFrame, graph: DataFrame, codes: DataFrame, degree:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding",
-            degree: int = 32, beam: int = 256) -> DataFrame:
+            degree: int = 32, beam: int = 192) -> DataFrame:
     """``query_id, rank, vec_id, score``: of each query id (``queries.id``) the
     ``k`` nearest other ids found, all of them where there are no more.
 
