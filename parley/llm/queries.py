@@ -157,3 +157,13 @@ def op4_ann(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
     queries = vectors.where(F.col("vec_id") % ANN_QUERY_MOD == 0).select(F.col("vec_id").alias("id"))
     return nearest(vectors, queries, ANN_NEAREST)
+
+
+# -------------------------------------------------------------- suffix array
+REPEAT_BYTES = 100
+
+
+@register("op1_suffix_dedup")
+def op1_suffix_dedup(spark, sf_dir):
+    from parley.llm.suffix_dedup import remove_repeats
+    return remove_repeats(documents(spark, sf_dir), REPEAT_BYTES)
