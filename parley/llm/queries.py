@@ -167,3 +167,26 @@ REPEAT_BYTES = 100
 def op1_suffix_dedup(spark, sf_dir):
     from parley.llm.suffix_dedup import remove_repeats
     return remove_repeats(documents(spark, sf_dir), REPEAT_BYTES)
+
+
+TOP_K, TOP_QUERY_MOD, TOP_SCALE = 10, 100, 1024
+
+TOP_SQL = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({TOP_SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % {TOP_QUERY_MOD} = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+             vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= {TOP_K}"""
+
+
+@register("op10_topk", TOP_SQL)
+def op10_topk(spark, sf_dir):
+    from parley.llm.topk import top_k
+    vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    queries = vectors.where(F.col("vec_id") % TOP_QUERY_MOD == 0).select(F.col("vec_id").alias("id"))
+    return top_k(vectors, queries, TOP_K, TOP_SCALE)
