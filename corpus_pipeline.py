@@ -46,7 +46,11 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return apply_mix(docs, Q.MIX_WEIGHTS, Q.MIX_BUDGET, Q.MIX_EPOCHS, Q.MIX_SEED)
+    """``n_chars`` follows the text (of fractional repetitions)."""
+    mixed = apply_mix(docs, Q.MIX_WEIGHTS, Q.MIX_BUDGET, Q.MIX_EPOCHS, Q.MIX_SEED)
+    return mixed.select(*[
+        F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else
+        F.col(f"`{c}`") for c in docs.columns])
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from parley.llm.common import text_or_empty
+from parley.llm.common import id_in, id_out, text_or_empty
 
 #: Words kept by a worker; beyond that it starts anew.
 KEPT_WORDS = 400_000
@@ -199,8 +199,8 @@ def bpe_round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFr
                     if with_ids:
                         ids.append([i for x in e for i in x[3]])
                         texts.append(decoded.decode())
-                out = {"doc_id": part["doc_id"].astype("Int64").reset_index(drop=True), "n_tokens": n,
+                out = {"doc_id": part["doc_id"].to_numpy(), "n_tokens": n,
                        "ids_sha256": ids_sha, "decoded_sha256": text_sha}
                 yield pd.DataFrame(out | ({"ids": ids, "decoded": texts} if with_ids else {}))
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(batches, schema)
+    return id_out(docs.select(id_in(), text_or_empty().alias("text")).mapInPandas(batches, schema))

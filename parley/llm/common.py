@@ -28,3 +28,16 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
+
+
+#: Stands for a null id while rows are in pandas, where a column of long ids
+#: with nulls would turn to doubles.
+NO_ID = -(1 << 63)
+
+
+def id_in(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id")
+
+
+def id_out(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID + 1} - 1)"))

@@ -19,9 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from parley.llm.common import text_or_empty
+from parley.llm.common import id_in, id_out, text_or_empty
 
 KINDS = ("assign", "access", "hex")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
@@ -237,9 +236,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             rows = [secret_spans(t) for t in pdf["text"]]
             counts = [[sum(1 for s in base if s[2] == k) for base, _ in rows] for k in range(3)]
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"), "n_assign": counts[0], "n_access": counts[1],
+                "doc_id": pdf["doc_id"], "n_assign": counts[0], "n_access": counts[1],
                 "n_hex": counts[2], "base_spans": [_joined(b) for b, _ in rows],
                 "spans": [_joined(a) for _, a in rows]})
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(
-        batches, "doc_id long, n_assign long, n_access long, n_hex long, base_spans string, spans string")
+    return id_out(docs.select(id_in(), text_or_empty().alias("text")).mapInPandas(
+        batches, "doc_id long, n_assign long, n_access long, n_hex long, base_spans string, spans string"))

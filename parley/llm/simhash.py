@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import text_or_empty, written
+from parley.llm.common import id_in, id_out, text_or_empty, written
 from parley.llm.components import components, forest
 
 SEED = 42
@@ -65,11 +65,11 @@ def fingerprints(docs: DataFrame, n_words: int) -> DataFrame:
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             fp = np.array([fingerprint(t, n_words) for t in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "th": pdf["th"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "fp": fp.view(np.int64)})
 
     text = text_or_empty()
-    return docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")) \
-        .mapInPandas(batches, "doc_id long, th long, fp long")
+    return id_out(docs.select(id_in(), F.xxhash64(text).alias("th"), text.alias("text"))
+                  .mapInPandas(batches, "doc_id long, th long, fp long"))
 
 
 @lru_cache(maxsize=1)

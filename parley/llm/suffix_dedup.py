@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.ann import release
-from parley.llm.common import text_or_empty, written
+from parley.llm.common import id_in, id_out, text_or_empty, written
 from parley.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 GRAM = 32  # five doublings of one byte's hash
@@ -303,7 +303,7 @@ def _document(length: int, with_kept: bool):
         for pdf in frames:
             out = [one(t, m) for t, m in zip(pdf["text"], pdf["marks"], strict=True)]
             got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            got.insert(0, "doc_id", pdf["doc_id"].astype("Int64"))
+            got.insert(0, "doc_id", pdf["doc_id"])
             yield got if with_kept else got.drop(columns="kept")
 
     return batches
@@ -327,7 +327,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_kept: bool = False)
     """
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} or more")
-    rows = docs.select("doc_id", F.encode(text_or_empty(), "UTF-8").alias("text"),
+    rows = docs.select(id_in(), F.encode(text_or_empty(), "UTF-8").alias("text"),
                        *[c.alias(n) for n, c in _ids(docs).items()])
     first = written(distinct_segments(rows.select("doc", "th", "text")
                                       .mapInPandas(segments(length), _SEGMENT)), "repeats")
@@ -350,5 +350,5 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_kept: bool = False)
     release()
     by_doc = marks.groupBy("doc", "th").agg(F.collect_list("at").alias("marks"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.join(by_doc, ["doc", "th"], "left").select("doc_id", "text", "marks") \
-        .mapInPandas(_document(length, with_kept), schema + ", kept binary" * with_kept)
+    return id_out(rows.join(by_doc, ["doc", "th"], "left").select("doc_id", "text", "marks")
+                  .mapInPandas(_document(length, with_kept), schema + ", kept binary" * with_kept))

@@ -22,7 +22,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from parley.llm.common import text_or_empty
+from parley.llm.common import id_in, id_out, text_or_empty
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -110,7 +110,8 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = load(path)
         for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"),
+            yield pd.DataFrame({"doc_id": pdf["doc_id"],
                                 "n_tokens": [counter.count(t) for t in pdf["text"]]})
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(batches, "doc_id long, n_tokens long")
+    return id_out(docs.select(id_in(), text_or_empty().alias("text"))
+                  .mapInPandas(batches, "doc_id long, n_tokens long"))

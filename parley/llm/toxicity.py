@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import text_or_empty
+from parley.llm.common import id_in, id_out, text_or_empty
 
 #: Labelled texts that the model is fitted on, at most: those whose ids have the
 #: smallest hashes, in two folds.
@@ -41,6 +41,9 @@ MAX_LEXICON = 20_000
 #: A beginning of a word is read as one from this to that many letters.
 STEM = (3, 7)
 NEGATION_REACH = 3
+#: An entry is in this share of the toxic texts at least, and this much (as a
+#: logarithm) more often in them than in others.
+MIN_SHARE, MIN_RATIO = 0.012, 2.5
 
 TARGETS = frozenset("""you your yours yourself he him she her they them du dich dir dein ihr euch sie
     tu te toi ton vous votre il elle ils elles usted ustedes tú ti él ella ellos""".split())
@@ -186,7 +189,8 @@ def lexicon(counts: DataFrame, folds: tuple[int, ...]) -> dict[str, float]:
     if n is None or not n["clean"] or not n["toxic"]:
         return {}
     ratio = F.log((F.col("toxic") + 0.5) / (n["toxic"] + 1)) - F.log((F.col("clean") + 0.5) / (n["clean"] + 1))
-    rows = counts.where("toxic >= 4").withColumn("ratio", ratio).where("ratio > 2.5") \
+    least = max(3.0, MIN_SHARE * n["toxic"])
+    rows = counts.where(F.col("toxic") >= least).withColumn("ratio", ratio).where(f"ratio > {MIN_RATIO}") \
         .orderBy(F.desc(F.col("ratio") * F.col("toxic")), "entry").limit(MAX_LEXICON).collect()
     return {r["entry"]: float(r["ratio"]) for r in rows}
 
@@ -245,10 +249,11 @@ def score_toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"),
+            yield pd.DataFrame({"doc_id": pdf["doc_id"],
                                 "score": [grammar.score(t) for t in pdf["text"]]})
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(batches, "doc_id long, score double")
+    return id_out(docs.select(id_in(), text_or_empty().alias("text"))
+                  .mapInPandas(batches, "doc_id long, score double"))
 
 
 def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float) -> DataFrame:
