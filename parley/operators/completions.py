@@ -1,10 +1,9 @@
 """Completions: code blocks, explanation, the per-session completion log,
-newest useful value, line diffs between revisions, model calls in batches and
-the token stream of a completion."""
+newest useful value, line diffs between revisions and model calls in batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from parley.functions.text import (LINE_BREAK, MULTI_BLOCK_PREFIX, code_blocks,
                                    explanation, join_code_blocks)
-from parley.plans.ordered import DEFAULT_CHUNK_ROWS, ordered_scan
+from parley.plans.ordered import ordered_scan
 
 
 def _col(c) -> Column:
@@ -59,33 +58,42 @@ def parse_completion(df: DataFrame, text: str = "completion",
 # ---------------------------------------------------------------- O16 ----
 def completion_log(answers: DataFrame, *, session: str = "session_id",
                    seq: str = "seq", completion: str = "completion",
-                   old_code: str | None = None,
+                   old_code: str | None = None, keep: Sequence[str] = (),
                    parser: Callable[[Column], Column] = default_parser) -> DataFrame:
     """Log rows for answered questions: ``session_id, seq, completion,
-    explanation, code (the snippet asked about), new_code, code_diff, extra``.
+    explanation, code (the snippet asked about), new_code, lines_added,
+    lines_removed, extra``.
 
-    An empty answer is replaced by the fixed apology text before parsing.
-    ``code_diff`` is the new code (character colouring is display only).
+    An empty answer is replaced by the fixed apology text before parsing. The
+    diff of old and new code is the number of lines only one of them has, as
+    in O18 (character colouring is display only); none without new code. Columns
+    named by ``keep`` follow.
     """
     answer = F.regexp_replace(F.col(completion), r"(?U)^\s+|\s+\z", "")
     answer = F.when(answer == "", F.lit(EMPTY_ANSWER)).otherwise(answer)
     base = answers.select(F.col(session).alias("_sid"), F.col(seq).alias("_seq"),
                           answer.alias("_answer"),
-                          (F.col(old_code) if old_code else F.lit("")).alias("_old"))
-    p = parse_completion(base, "_answer", parser)
+                          (F.col(old_code) if old_code else F.lit("")).alias("_old"),
+                          F.struct(F.lit(0).alias("_"), *keep).alias("_keep"))
+    p = parse_completion(base, "_answer", parser).withColumnRenamed("code", "_new")
+    gone = F.when(F.col("_new") == "", F.lit(0).cast("bigint")).otherwise(_only_in("_old", "_new"))
     return p.select(F.col("_sid").alias("session_id"), F.col("_seq").alias("seq"),
                     F.col("_answer").alias("completion"), "explanation",
-                    F.col("_old").alias("code"), F.col("code").alias("new_code"),
-                    F.col("code").alias("code_diff"), "extra")
+                    F.col("_old").alias("code"), F.col("_new").alias("new_code"),
+                    _only_in("_new", "_old").alias("lines_added"), gone.alias("lines_removed"), "extra",
+                    *[F.col(f"_keep.{c}").alias(c) for c in keep])
 
 
-# Fixed value: text stored when the model returns only whitespace.
-EMPTY_ANSWER = "Sorry, I don't know. Can you try rephrasing your question?"
+def _only_in(a: str, b: str) -> Column:
+    """Lines of ``a`` beyond those that ``b`` also has, counting repeats."""
+    la, lb = _lines(F.col(a)), _lines(F.col(b))
+    times = lambda lines, x: F.size(F.filter(lines, lambda y: y == x))
+    return F.aggregate(F.array_distinct(la), F.lit(0).cast("bigint"),
+                       lambda n, x: n + F.greatest(F.lit(0), times(la, x) - times(lb, x)))
 
 
-def append_completion_log(log: DataFrame, path: str) -> None:
-    """Append to the log table, partitioned by nothing (sessions are keys)."""
-    log.write.mode("append").parquet(path)
+# Fixed value: text stored when the model returns only whitespace.
+EMPTY_ANSWER = "Sorry, I don't know. Can you try rephrasing your question?"
 
 
 # ---------------------------------------------------------------- O17 ----
@@ -113,19 +121,20 @@ def _lines(text: Column) -> Column:
 
 def revision_diff(versions: DataFrame, *, doc: str = "doc_id",
                   version: str = "version", text: str = "text",
-                  chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                  parts: int | None = None) -> DataFrame:
     """Lines added / removed from each version to the next (multiset diff);
     the first version adds all its lines.
 
-    The next version of each row comes from a skew-safe ordered scan in
-    descending order; each line then contributes ``+1`` to its own version
-    and ``-1`` to the next one, summed with one partially aggregated
-    ``groupBy``."""
-    v = versions.select(doc, version, text).withColumn("_neg", -F.col(version))
-    nxt = ordered_scan(v.withColumn("_v", F.col(version)), doc, "_neg",
-                       carries=["_v"], chunk_rows=chunk_rows)
-    rows = nxt.select(doc, version, F.col("_v_prev").alias("_next"),
-                      F.explode_outer(_lines(F.col(text))).alias("_line"))
+    The next version comes from a skew-safe ordered scan of the two id columns
+    in descending order, joined back to the texts; each line then contributes
+    ``+1`` to its own version and ``-1`` to the next one, summed with one
+    partially aggregated ``groupBy``."""
+    ids = versions.select(doc, version, (-F.col(version)).alias("_neg"), F.col(version).alias("_v"))
+    nxt = ordered_scan(ids, doc, "_neg", carries=["_v"], parts=parts) \
+        .select(F.col(doc).alias("_d0"), F.col(version).alias("_v0"), F.col("_v_prev").alias("_next"))
+    v = versions.select(doc, version, text).join(
+        nxt, F.col(doc).eqNullSafe(F.col("_d0")) & (F.col(version) == F.col("_v0")))
+    rows = v.select(doc, version, "_next", F.explode_outer(_lines(F.col(text))).alias("_line"))
     deltas = rows.select(
         doc, F.explode(F.array(
             F.struct(F.col(version).alias("v"), F.lit(1).alias("d")),
@@ -141,51 +150,59 @@ def revision_diff(versions: DataFrame, *, doc: str = "doc_id",
 
 
 # ---------------------------------------------------------------- O30 ----
-def upper_stub(prompts: pd.Series) -> pd.Series:
-    """Stub model: echoes the last message upper-cased."""
-    return prompts.str.upper()
-
-
-def batch_complete(prompts: DataFrame, model_fn: Callable[[pd.Series], pd.Series]
-                   = upper_stub, *, prompt: str = "prompt") -> DataFrame:
-    """Call ``model_fn`` on Arrow batches of prompts (``mapInPandas``; Spark
-    partitions are the request batches). Adds ``completion`` and ``error``:
-    a failing batch is retried row by row so only the failing rows get an
-    error and a NULL completion (the reference withdraws the turn and
-    re-raises; a table job keeps the other rows)."""
+class RowErrors(Exception):
+    """Raised by a model for a batch of which some prompts failed:
+    ``results`` has a completion or an exception for each prompt, in order, so
+    that no prompt that was answered is sent again."""
+
+    def __init__(self, results):
+        super().__init__("some prompts of the batch failed")
+        self.results = list(results)
+
+
+def upper_model(prompt: Column) -> Column:
+    """Stub model as a native expression: the last message, upper-cased."""
+    return F.upper(prompt)
+
+
+def batch_complete(prompts: DataFrame,
+                   model: Callable[[pd.Series], Sequence] | None = None, *,
+                   native: Callable[[Column], Column] | None = None,
+                   prompt: str = "prompt") -> DataFrame:
+    """Add ``completion`` and ``error`` for each prompt.
+
+    ``native`` is a model that is a Column expression (the default is the
+    stub); ``model`` is called once for each Arrow batch of prompts and returns
+    one completion a prompt. A model that raises RowErrors names the failing
+    rows. If it raises anything else, or returns another number of completions,
+    no prompt is sent again: each row of the batch gets the error and a NULL
+    completion (the reference withdraws the turn and re-raises; a table job
+    keeps the other batches)."""
+    if model is None:
+        return prompts.select("*", (native or upper_model)(F.col(prompt)).alias("completion"),
+                              F.lit(None).cast("string").alias("error"))
     schema = StructType(list(prompts.schema.fields) + [
         StructField("completion", StringType()), StructField("error", StringType())])
 
+    def told(e: BaseException) -> str:
+        return f"{type(e).__name__}: {e}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.copy()
+            n = len(pdf)
             try:
-                res = pd.Series(model_fn(pdf[prompt]), index=pdf.index)
-                pdf["completion"] = res.astype(object)
-                pdf["error"] = None
-            except Exception:  # isolate the failing rows
-                outs, errs = [], []
-                for p in pdf[prompt]:
-                    try:
-                        outs.append(pd.Series(model_fn(pd.Series([p]))).iloc[0])
-                        errs.append(None)
-                    except Exception as e:  # noqa: BLE001
-                        outs.append(None)
-                        errs.append(f"{type(e).__name__}: {e}")
-                pdf["completion"], pdf["error"] = outs, errs
-            yield pdf
+                results = list(model(pdf[prompt].reset_index(drop=True)))
+            except RowErrors as e:
+                results = e.results
+            except Exception as e:  # noqa: BLE001 - told in the error column
+                results = [e] * n
+            if len(results) != n:
+                results = [ValueError(f"the model returned {len(results)} completions for {n} prompts")] * n
+            failed = [isinstance(r, BaseException) for r in results]
+            yield pdf.assign(
+                completion=pd.Series([None if f else r for r, f in zip(results, failed, strict=True)],
+                                     index=pdf.index, dtype=object),
+                error=pd.Series([told(r) if f else None for r, f in zip(results, failed, strict=True)],
+                                index=pdf.index, dtype=object))
 
     return prompts.mapInPandas(run, schema)
-
-
-# ---------------------------------------------------------------- O31 ----
-def completion_tokens(df: DataFrame, text: str = "completion",
-                      keys: tuple[str, ...] = ()) -> DataFrame:
-    """Stream tokens: split on single spaces, every token but the last keeps
-    its trailing space. ``keys..., pos, token``."""
-    parts = df.select(*keys, F.posexplode(F.split(F.col(text), " ", -1))
-                      .alias("pos", "_t"),
-                      F.size(F.split(F.col(text), " ", -1)).alias("_n"))
-    return parts.select(*keys, F.col("pos").cast("bigint").alias("pos"),
-                        F.when(F.col("pos") == F.col("_n") - 1, F.col("_t"))
-                        .otherwise(F.concat(F.col("_t"), F.lit(" "))).alias("token"))

@@ -33,16 +33,17 @@ def error_enrich(records: DataFrame, explanations: DataFrame, *,
                  message: str = "message") -> DataFrame:
     """Append the session's explanation and code to each error record's
     message, separated by blank lines; other records, and errors of sessions
-    without a completion, are unchanged. ``level = 'ERROR'`` is part of the
-    left join condition, so non-errors never match."""
+    without a completion, are unchanged. Only error records are joined; the
+    others pass by unshuffled."""
     e = explanations.select(F.col(session).alias("_s"), F.col("completion").alias("_c"),
                             F.col("code").alias("_code"))
-    j = records.join(e, (records[session] == F.col("_s")) &
-                     (records[level] == F.lit(ERROR_LEVEL)), "left")
+    is_error = F.coalesce(F.col(level) == F.lit(ERROR_LEVEL), F.lit(False))
+    j = records.where(is_error).join(e, F.col(session) == F.col("_s"), "left")
     enriched = F.concat_ws("\n\n", F.col(message), F.col("_c"),
                            F.when(F.col("_code") != "", F.col("_code")))
-    return j.withColumn(message, F.when(F.col("_c").isNotNull(), enriched)
-                        .otherwise(F.col(message))).drop("_s", "_c", "_code")
+    errors = j.withColumn(message, F.when(F.col("_c").isNotNull(), enriched)
+                          .otherwise(F.col(message))).drop("_s", "_c", "_code")
+    return errors.unionByName(records.where(~is_error))
 
 
 # ---------------------------------------------------------------- O22 ----

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions.text import quote, render_template, template_fields
-from parley.plans.ordered import DEFAULT_CHUNK_ROWS, ordered_scan
+from parley.plans.ordered import ordered_scan
 
 # Names an interactive shell defines, never sent as variables
 SHELL_NAMES = ["In", "Out", "_dh", "_ih", "_ii", "_iii", "_oh"]
@@ -50,9 +50,10 @@ def prompt_render(df: DataFrame, templates: Mapping[str, str] | Sequence[tuple[s
 def prompt_field_check(df: DataFrame, template: str, *, fields: str = "fields") -> DataFrame:
     """Per row: ``unexpected`` (given but not used by the template) and
     ``missing`` (used but not given) field names, sorted, and the first error
-    in the reference's order (unexpected before missing)."""
+    in the reference's order (unexpected before missing). A field is given if
+    its key is in the map, whatever its value; a NULL map gives none."""
     expected = F.array(*[F.lit(f) for f in sorted(template_fields(template))])
-    given = F.map_keys(F.map_filter(F.col(fields), lambda k, v: v.isNotNull()))
+    given = F.coalesce(F.map_keys(F.col(fields)), F.array().cast("array<string>"))
     unexpected = F.array_sort(F.array_except(given, expected))
     missing = F.array_sort(F.array_except(expected, given))
     fmt = lambda a: F.concat(F.lit("{"), F.array_join(
@@ -78,8 +79,7 @@ def prompt_field_report(checked: DataFrame, by: str | None = None) -> DataFrame:
 def prompt_kind(questions: DataFrame, *, session: str = "session_id",
                 order: Sequence[str] = ("seq",), state: Sequence[str] = ("state",),
                 answered: str | Column = "answered", single_template: bool = False,
-                chunk: Column | None = None,
-                chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                parts: int | None = None) -> DataFrame:
     """``contextless`` iff the state equals the state at the previous
     *answered* question of the session (failed calls do not move the
     reference point); otherwise ``contextful``. A one-template prompt is
@@ -90,11 +90,7 @@ def prompt_kind(questions: DataFrame, *, session: str = "session_id",
     ans = F.col(answered) if isinstance(answered, str) else answered
     st = F.struct(*[F.col(c) for c in state])
     q = questions.withColumn("_st", F.when(ans, st))
-    order = list(order)
-    if chunk is None and len(order) > 1:
-        raise ValueError("give `chunk` (monotone in the order) for several order columns")
-    s = ordered_scan(q, session, order, carries=["_st"], chunk=chunk,
-                     chunk_rows=chunk_rows)
+    s = ordered_scan(q, session, list(order), carries=["_st"], parts=parts)
     same = F.col("_st_prev").isNotNull() & F.col("_st_prev").eqNullSafe(st)
     kind = F.lit(CONTEXTFUL) if single_template else \
         F.when(same, F.lit(CONTEXTLESS)).otherwise(F.lit(CONTEXTFUL))
@@ -136,12 +132,13 @@ def used_variables(variables: DataFrame, code: DataFrame, *,
     variables are one global namespace shared by every code row. An equi-join
     on ``(keys, name)``: Catalyst chooses broadcast or shuffle from sizes."""
     keys = list(keys)
-    toks = code_tokens(code, code_col, list(code_keys) or keys, tokens)
+    own = list(code_keys) or keys
+    toks = code_tokens(code, code_col, own, tokens).withColumnsRenamed({c: f"_code_{c}" for c in own})
     v = variables.where(~is_shell_name(F.col(name)))
-    cond = [toks[k] == v[k] for k in keys] + [toks["token"] == v[name]]
-    extra = [c for c in code_keys if c not in keys]
-    return toks.join(v, cond, "inner").select(*[toks[c] for c in extra],
-                                              *[v[c] for c in v.columns])
+    cond = [F.col(f"_code_{k}") == F.col(k) for k in keys] + [F.col("token") == F.col(name)]
+    extra = [c for c in own if c not in keys]
+    return toks.join(v, cond, "inner").select(*[F.col(f"_code_{c}").alias(c) for c in extra],
+                                              *[F.col(c) for c in v.columns])
 
 
 def used_variables_in_row(df: DataFrame, variables: str, code: str, *,
@@ -158,27 +155,73 @@ def used_variables_in_row(df: DataFrame, variables: str, code: str, *,
 
 
 # ---------------------------------------------------------------- O12 ----
+def _float_repr(c: Column) -> Column:
+    """Shortest text of a double with Python's layout: positional from 1e-4 up
+    to 1e16, else with an exponent of at least two digits."""
+    d = c.cast("double")
+    s = d.cast("string")
+    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    mantissa = F.regexp_extract(s, r"^-?([0-9.]+)E", 1)
+    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")
+    e = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int")
+    whole = F.rpad(digits, F.greatest(F.length(digits), e + 1), "0")
+    above = F.concat(F.substring(whole, F.lit(1), e + 1), F.lit("."),
+                     F.when(F.length(whole) > e + 1, F.substring(whole, e + 2, F.length(whole))).otherwise(F.lit("0")))
+    below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    scientific = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                          F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))),
+                                 F.lit("0")))
+    return (F.when(F.isnan(d), F.lit("nan")).when(d == float("inf"), F.lit("inf"))
+            .when(d == float("-inf"), F.lit("-inf")).when(~F.contains(s, F.lit("E")), s)
+            .otherwise(F.concat(sign, F.when((e >= 0) & (e < 16), above).when((e < 0) & (e >= -4), below)
+                                .otherwise(scientific))))
+
+
+NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def _value_preview(c: Column, dt: T.DataType, max_len: int) -> Column:
+    """A single value; one too long to tell is told by ``.3e`` if it is a
+    number, else by its type's name."""
+    r = _scalar_repr(c, dt)
+    short = F.format_string("%.3e", c.cast("double")) if isinstance(dt, NUMBERS) else F.lit(f"<{dt.simpleString()}>")
+    return F.when(F.length(r) < max_len, r).otherwise(short)
+
+
 def _scalar_repr(c: Column, dt: T.DataType) -> Column:
+    """Text of a value inside a preview; a type without a rule of its own is
+    told by its type name alone."""
     if isinstance(dt, T.StringType):
         r = quote(c)
     elif isinstance(dt, T.BooleanType):
         r = F.when(c, F.lit("True")).otherwise(F.lit("False"))
-    elif isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
-                         T.DecimalType)):
+    elif isinstance(dt, T.FloatType):
+        r = _float_repr(c.cast("string").cast("double"))  # the float's own shortest text
+    elif isinstance(dt, T.DoubleType):
+        r = _float_repr(c)
+    elif isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.DateType,
+                         T.TimestampType, T.TimestampNTZType)):
         r = c.cast("string")
+    elif isinstance(dt, T.ArrayType):
+        r = F.concat(F.lit("["), F.array_join(F.transform(
+            c, lambda x: _scalar_repr(x, dt.elementType)), ", "), F.lit("]"))
+    elif isinstance(dt, T.MapType):
+        r = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(
+            _scalar_repr(e["key"], dt.keyType), F.lit(": "), _scalar_repr(e["value"], dt.valueType))), ", "),
+            F.lit("}"))
     else:
-        raise TypeError(f"no preview rule for {dt.simpleString()}")
+        r = F.lit(f"<{dt.simpleString()}>")
     return F.when(c.isNull(), F.lit("None")).otherwise(r)
 
 
 def _scalar_len(c: Column, dt: T.DataType) -> Column:
-    """Length of ``_scalar_repr`` without building the quoted text."""
+    """Length of ``_scalar_repr``; for texts without building the quoted text."""
     if isinstance(dt, T.StringType):
         n = F.length(c) + 2
     elif isinstance(dt, T.BooleanType):
         n = F.when(c, F.lit(4)).otherwise(F.lit(5))
     else:
-        n = F.length(c.cast("string"))
+        n = F.length(_scalar_repr(c, dt))
     return F.when(c.isNull(), F.lit(4)).otherwise(n).cast("bigint")
 
 
@@ -257,14 +300,14 @@ def preview(c: Column, dt: T.DataType, max_len: int = PREVIEW_MAX_LEN) -> Column
         return preview_array(c, dt.elementType, max_len)
     if isinstance(dt, T.MapType):
         return preview_map(c, dt.keyType, dt.valueType, max_len)
-    return _scalar_repr(c, dt)
+    return _value_preview(c, dt, max_len)
 
 
 def bounded_preview(df: DataFrame, cols: Sequence[str], *, max_len: int = PREVIEW_MAX_LEN,
                     suffix: str = "_preview") -> DataFrame:
-    """Add ``{c}_preview`` for each column (strings, integer/boolean scalars,
-    arrays and maps of them). Float text differs between engines and is not
-    offered."""
+    """Add ``{c}_preview`` for each column: strings, numbers, booleans,
+    dates and times, arrays and maps of them, nested too; any other type is
+    told by its name."""
     sch = {f.name: f.dataType for f in df.schema.fields}
     return df.select("*", *[preview(F.col(c), sch[c], max_len).alias(c + suffix)
                             for c in cols])

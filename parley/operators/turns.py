@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import speaker_label, speaker_words
-from parley.plans.ordered import DEFAULT_CHUNK_ROWS, ordered_scan
+from parley.plans.ordered import ordered_scan
 
 # Fixed values (reference model table and budget rule):
 #   context windows in tokens per model name; unknown models get the smallest
@@ -25,6 +25,9 @@ MODEL_WINDOWS = [
 #   words per token used for both budgets
 WORDS_PER_TOKEN = 0.75
 
+# Rows of a position chunk of O3, at least.
+POSITION_ROWS = 1 << 16
+
 
 def _lim(limit) -> Column:
     return limit if isinstance(limit, Column) else F.lit(limit)
@@ -39,8 +42,7 @@ def turn_words(turns: DataFrame, text: str = "text",
 
 # ---------------------------------------------------------------- O2 -----
 def history_truncate(turns: DataFrame, limit, *, key: str = "conv_id",
-                     order: str = "turn",
-                     chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                     order: str = "turn", parts: int | None = None) -> DataFrame:
     """Final history of each conversation after dropping the oldest
     non-pinned turns until it fits ``limit`` words.
 
@@ -51,8 +53,7 @@ def history_truncate(turns: DataFrame, limit, *, key: str = "conv_id",
     """
     t = turn_words(turns)
     s = ordered_scan(t, key, order, sums=["n_words"],
-                     firsts=["n_words", order], lasts=["n_words", order],
-                     chunk_rows=chunk_rows)
+                     firsts=["n_words", order], lasts=["n_words", order], parts=parts)
     lim = _lim(limit)
     w0 = F.col("n_words_first")
     suffix = F.col("n_words_total") - F.col("n_words_run") + F.col("n_words")
@@ -67,8 +68,8 @@ def history_truncate(turns: DataFrame, limit, *, key: str = "conv_id",
 # ---------------------------------------------------------------- O3 -----
 def context_at_turn(turns: DataFrame, limit, *, key: str = "conv_id",
                     order: str = "turn", role: str = "role",
-                    user_role: str = "user", max_limit: int | None = None,
-                    chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                    user_role: str = "user", parts: int | None = None,
+                    position_rows: int = POSITION_ROWS) -> DataFrame:
     """What is sent to the model at each user turn when the history is
     truncated after every user message (drops are permanent, answers are
     appended afterwards).
@@ -80,28 +81,23 @@ def context_at_turn(turns: DataFrame, limit, *, key: str = "conv_id",
     Found as an as-of lookup: candidates keyed ``cum(i) - n(i)`` and probes
     keyed ``cum(t) + w_first - limit`` in one window ordered by key. Every row has at
     least one word, so *i* is at most ``limit`` rows before *t*: with
-    position chunks of ``max(limit, chunk_rows)`` rows and each candidate
+    position chunks of ``max(limit, position_rows)`` rows and each candidate
     copied into the next chunk, no window partition exceeds three chunks.
 
-    ``limit`` is an int or a column constant within a conversation (e.g. the
-    hard budget of its model, O6); with a column, ``max_limit`` bounds it and
-    sizes the position chunks.
+    ``limit`` is an int or a column, each user turn's own (e.g. the hard budget
+    of its model, O6); the largest one in the data sizes the position chunks.
+    A NULL limit keeps nothing but the pinned row and the turn (``overflow``).
 
     Output per user turn: ``conv_id, turn, first_kept, turns_sent, words,
     status``.
     """
-    if isinstance(limit, Column):
-        if max_limit is None:
-            raise ValueError("a column limit needs max_limit (its upper bound)")
-        bound = int(max_limit)
-    else:
-        bound = int(limit)
     t = turn_words(turns).select(key, order, role, "n_words",
-                                 _lim(limit).cast("bigint").alias("_limit"))
+                                 F.coalesce(_lim(limit).cast("bigint"), F.lit(0)).alias("_limit"))
     s = ordered_scan(t, key, order, sums=["n_words"], firsts=["n_words"],
-                     position="_pos", chunk_rows=chunk_rows)
+                     position="_pos", parts=parts)
+    bound = s.agg(F.max("_limit")).first()[0] or 0
     limit = F.col("_t_lim")
-    width = max(bound, int(chunk_rows), 1)
+    width = max(bound, int(position_rows), 1)
     s = s.withColumn("_c2", F.floor(F.col("_pos") / F.lit(width)))
     w0 = F.col("n_words_first")
     # One pass emits both sides of the as-of lookup: each non-pinned row is a
@@ -137,8 +133,8 @@ def context_at_turn(turns: DataFrame, limit, *, key: str = "conv_id",
     u = u0.withColumn("_best", F.min("_cand").over(w))
     p = u.where(F.col("_probe") == 1)
     pinned = F.col("_t_pos") == 0
-    over = F.when(pinned, F.col("_w0") > _lim(limit)).otherwise(
-        F.col("_w0") + F.col("_t_n") > _lim(limit))
+    over = F.when(pinned, F.col("_w0") > limit).otherwise(
+        F.col("_w0") + F.col("_t_n") > limit)
     fits = ~over & F.col("_best").isNotNull() & (F.col("_best.pos") <= F.col("_t_pos"))
     first_pos = F.when(pinned, F.lit(None)).when(fits, F.col("_best.pos")) \
         .otherwise(F.col("_t_pos"))
@@ -173,12 +169,13 @@ def model_limits(df: DataFrame, models: DataFrame, *, model: str = "model",
     the hard / soft word budgets ``int(.75 * window)`` and
     ``int(.75 * (window - max_tokens))`` (truncation toward zero).
 
-    ``models`` is a literal table of a handful of rows: broadcast is bounded.
-    The default window is a scalar subquery over it.
+    The default window is a scalar subquery over ``models``. A model named
+    twice has its smallest window. Whether the table is broadcast is left to
+    its measured size.
     """
     default = models.agg(F.min("context_window")).scalar()
-    m = models.select(F.col("model").alias("_m"), F.col("context_window").alias("_w"))
-    j = df.join(F.broadcast(m), df[model] == F.col("_m"), "left")
+    m = models.groupBy(F.col("model").alias("_m")).agg(F.min("context_window").alias("_w"))
+    j = df.join(m, df[model] == F.col("_m"), "left")
     win = F.coalesce(F.col("_w"), default)
     mt = F.col(max_tokens) if isinstance(max_tokens, str) else F.lit(max_tokens)
     return (j.withColumn("context_window", win.cast("bigint"))
@@ -193,19 +190,18 @@ def model_limits(df: DataFrame, models: DataFrame, *, model: str = "model",
 # ---------------------------------------------------------------- O4 -----
 def budget_status(turns: DataFrame, models: DataFrame, *, key: str = "conv_id",
                   model: str = "model", max_tokens: int = 0,
-                  chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                  parts: int | None = None) -> DataFrame:
     """Per conversation: truncate to its model's hard budget (O2), then
     ``overflow`` (pinned + last alone exceed it), ``warn`` (remaining words
     above the soft budget) or ``ok``.
 
     ``turns`` carries the conversation's model name in column ``model``. The
-    limits come from a broadcast of the literal model table, so no
-    per-conversation table is shuffled against the turns; the output row of
+    limits come from a join with the model table; the output row of
     a conversation comes from the same partially aggregated ``groupBy`` (the
     model and its limits are constant within a conversation, so grouping by
     them too changes nothing and keeps the aggregate a HashAggregate)."""
     t = model_limits(turns, models, model=model, max_tokens=max_tokens)
-    kept = history_truncate(t, F.col("hard_limit"), key=key, chunk_rows=chunk_rows)
+    kept = history_truncate(t, F.col("hard_limit"), key=key, parts=parts)
     per = kept.groupBy(key, model, "context_window", "hard_limit", "soft_limit").agg(
         F.sum("n_words").cast("bigint").alias("words_kept"),
         F.count(F.lit(1)).alias("turns_kept"),
@@ -221,7 +217,7 @@ def budget_status(turns: DataFrame, models: DataFrame, *, key: str = "conv_id",
 def history_render(turns: DataFrame, *, key: str = "conv_id",
                    order: str = "turn", sep: str = "\n\n",
                    speaker_prefix: bool = True, limit=None,
-                   chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                   parts: int | None = None) -> DataFrame:
     """One string per conversation, turns in order, ``"Speaker: text"``.
 
     Ordered string aggregate per conversation: ``collect_list`` of
@@ -232,7 +228,7 @@ def history_render(turns: DataFrame, *, key: str = "conv_id",
     given, only the turns O2 keeps are rendered, so no group holds more than
     the pinned turn, the last turn and ``limit`` words."""
     if limit is not None:
-        turns = history_truncate(turns, limit, key=key, order=order, chunk_rows=chunk_rows)
+        turns = history_truncate(turns, limit, key=key, order=order, parts=parts)
     body = F.coalesce(F.col("text"), F.lit(""))
     piece = F.concat(speaker_label("role"), F.lit(": "), body) if speaker_prefix \
         else body

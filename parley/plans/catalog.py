@@ -51,7 +51,7 @@ def words_sql(c: str) -> str:
 
 # ------------------------------------------------------------ conversations
 TRUNCATE_LIMIT = 200
-CONTEXT_LIMIT = 150
+CONTEXT_LIMIT = 70
 
 
 @register("turn_words", f"""
@@ -129,11 +129,18 @@ CONV_MODEL_SQL = ("CASE conv_id % 4 WHEN 0 THEN 'gpt-4' WHEN 1 THEN 'gpt-3.5-tur
 EVENT_MODEL_SQL = ("CASE event_type WHEN 'view' THEN 'gpt-4' WHEN 'click' THEN "
                    "'gpt-3.5-turbo' WHEN 'purchase' THEN 'gpt-4o' "
                    "WHEN 'signup' THEN 'gpt-4o-mini' ELSE 'local-model' END")
-MODELS_SQL = ("(SELECT * FROM (VALUES ('gpt-3.5-turbo', 16385), ('gpt-4', 8192), "
-              "('gpt-4-turbo', 128000), ('gpt-4o', 128000), ('gpt-4o-mini', 128000)) "
-              "AS m(model, context_window))")
-# A budget small enough for the test conversations to need truncation.
-BUDGET_MAX_TOKENS = 7900
+def _models_sql(windows) -> str:
+    rows = ", ".join(f"('{m}', {w})" for m, w in windows)
+    return f"(SELECT * FROM (VALUES {rows}) AS m(model, context_window))"
+
+
+MODELS_SQL = _models_sql(T.MODEL_WINDOWS)
+# Windows small enough for the conversations to be truncated, to overflow, to
+# pass the soft budget and to stay below it.
+BUDGET_WINDOWS = [("gpt-4", 130), ("gpt-3.5-turbo", 500), ("gpt-4o-mini", 4000)]
+BUDGET_SQL = _models_sql(BUDGET_WINDOWS)
+BUDGET_MIN = min(w for _, w in BUDGET_WINDOWS)
+BUDGET_MAX_TOKENS = 60
 
 
 @register("model_limits", f"""
@@ -156,11 +163,11 @@ WITH c AS (SELECT DISTINCT conv_id FROM conversations),
 cm AS (SELECT conv_id, {CONV_MODEL_SQL} AS model FROM c),
 lim AS (
   SELECT cm.conv_id, cm.model,
-    CAST(coalesce(m.context_window, 8192) AS BIGINT) AS context_window,
-    CAST(trunc(0.75 * coalesce(m.context_window, 8192)) AS BIGINT) AS hard_limit,
-    CAST(trunc(0.75 * (coalesce(m.context_window, 8192) - {BUDGET_MAX_TOKENS})) AS BIGINT)
+    CAST(coalesce(m.context_window, {BUDGET_MIN}) AS BIGINT) AS context_window,
+    CAST(trunc(0.75 * coalesce(m.context_window, {BUDGET_MIN})) AS BIGINT) AS hard_limit,
+    CAST(trunc(0.75 * (coalesce(m.context_window, {BUDGET_MIN}) - {BUDGET_MAX_TOKENS})) AS BIGINT)
       AS soft_limit
-  FROM cm LEFT JOIN {MODELS_SQL} m ON cm.model = m.model),
+  FROM cm LEFT JOIN {BUDGET_SQL} m ON cm.model = m.model),
 t AS (SELECT c.conv_id, c.turn, {words_sql('c.text')} + 1 AS n_words, lim.hard_limit
       FROM conversations c JOIN lim USING (conv_id)),
 s AS (SELECT *,
@@ -182,7 +189,7 @@ SELECT lim.conv_id, lim.model, lim.context_window, lim.hard_limit, lim.soft_limi
 FROM k JOIN lim USING (conv_id)""")
 def q_budget_status(spark, sf):
     conv = table(spark, sf, "conversations").withColumn("model", F.expr(CONV_MODEL_SQL))
-    return T.budget_status(conv, T.models_table(spark), max_tokens=BUDGET_MAX_TOKENS)
+    return T.budget_status(conv, T.models_table(spark, BUDGET_WINDOWS), max_tokens=BUDGET_MAX_TOKENS)
 
 
 # ------------------------------------------------------------- completions
@@ -238,23 +245,37 @@ def q_parse_completion(spark, sf):
         "conv_id", "turn", "explanation", "code")
 
 
+EMPTY_SQL = "'" + C.EMPTY_ANSWER.replace("'", "''") + "'"
 STRIP_SQL = r"regexp_replace(completion, '^\s+|\s+$', '', 'g')"
 
 
+OLD_CODE_SQL = ("CASE turn % 4 WHEN 1 THEN 'n_chars = ' || CAST(length(text) AS STRING) || chr(10) || 'pass' "
+                "|| chr(10) || 'pass' WHEN 3 THEN 'turn = 0' ELSE '' END")
+
+
+def _only_in_sql(a: str, b: str) -> str:
+    la, lb = (f"CASE WHEN {x} = '' THEN []::VARCHAR[] ELSE string_split({x}, chr(10)) END" for x in (a, b))
+    return (f"CAST(coalesce(list_sum(list_transform(list_distinct({la}), lambda x: greatest(0, "
+            f"len(list_filter({la}, lambda y: y = x)) - len(list_filter({lb}, lambda z: z = x))))), 0) AS BIGINT)")
+
+
 @register("completion_log", f"""
-WITH c AS (SELECT conv_id, turn, {COMPLETION_SQL} AS completion
+WITH c AS (SELECT conv_id, turn, {COMPLETION_SQL} AS completion, {OLD_CODE_SQL} AS old
            FROM conversations WHERE role = 'assistant'),
-a AS (SELECT conv_id, turn, CASE WHEN {STRIP_SQL} = ''
-        THEN 'Sorry, I don''t know. Can you try rephrasing your question?'
-        ELSE {STRIP_SQL} END AS completion FROM c),
-b AS (SELECT *, regexp_extract_all(completion, '{BLOCK_RE}', 1) AS blocks FROM a)
+a AS (SELECT conv_id, turn, old, CASE WHEN {STRIP_SQL} = ''
+        THEN {EMPTY_SQL} ELSE {STRIP_SQL} END AS completion FROM c),
+b AS (SELECT *, regexp_extract_all(completion, '{BLOCK_RE}', 1) AS blocks FROM a),
+n AS (SELECT *, {JOINED_SQL} AS new_code FROM b)
 SELECT conv_id AS session_id, turn AS seq, completion,
-  split_part(completion, chr(10) || '```', 1) AS explanation, '' AS code,
-  {JOINED_SQL} AS new_code, {JOINED_SQL} AS code_diff, NULL::MAP(VARCHAR, VARCHAR) AS extra
-FROM b""")
+  split_part(completion, chr(10) || '```', 1) AS explanation, old AS code, new_code,
+  {_only_in_sql('new_code', 'old')} AS lines_added,
+  CASE WHEN new_code = '' THEN 0 ELSE {_only_in_sql('old', 'new_code')} END AS lines_removed,
+  NULL::MAP(VARCHAR, VARCHAR) AS extra
+FROM n""")
 def q_completion_log(spark, sf):
-    answers = _completions(spark, sf).where(F.col("role") == "assistant")
-    return C.completion_log(answers, session="conv_id", seq="turn")
+    answers = table(spark, sf, "conversations").where(F.col("role") == "assistant").select(
+        "conv_id", "turn", F.expr(COMPLETION_SQL).alias("completion"), F.expr(OLD_CODE_SQL).alias("old"))
+    return C.completion_log(answers, session="conv_id", seq="turn", old_code="old")
 
 
 PURCHASE_SQL = "CASE WHEN event_type = 'purchase' THEN props ELSE '' END"
@@ -303,19 +324,6 @@ def q_batch_complete(spark, sf):
     return C.batch_complete(prompts)
 
 
-@register("completion_tokens", """
-WITH s AS (SELECT conv_id, turn, string_split(upper(replace(text, 'ß', 'ss')), ' ') AS parts
-           FROM conversations WHERE role = 'user'),
-e AS (SELECT conv_id, turn, parts, unnest(generate_series(1, len(parts))) AS i FROM s)
-SELECT conv_id, turn, CAST(i - 1 AS BIGINT) AS pos,
-  CASE WHEN i = len(parts) THEN parts[i] ELSE parts[i] || ' ' END AS token FROM e""")
-def q_completion_tokens(spark, sf):
-    prompts = table(spark, sf, "conversations").where(F.col("role") == "user") \
-        .select("conv_id", "turn", F.col("text").alias("prompt"))
-    done = C.batch_complete(prompts)
-    return C.completion_tokens(done, "completion", keys=("conv_id", "turn"))
-
-
 # ----------------------------------------------------------------- prompts
 WS1 = WS[:-1]  # one whitespace character (class without '+')
 DOC_TEMPLATE = ("Document {doc_id} ({lang}, {source}) quality={quality} "
@@ -342,17 +350,19 @@ FIELD_TEMPLATE = "Review {text} from {source} in {lang}; quality {quality}."
 
 def _field_rows(spark, sf):
     d = _docs_labels(spark, sf)
+    # A key is there by a rule on the label, whatever its value: unlabelled
+    # documents have the key "quality" with a NULL value.
     m = F.map_filter(F.create_map(
         F.lit("text"), F.col("text"), F.lit("source"), F.col("source"),
         F.lit("lang"), F.col("lang"), F.lit("quality"), F.col("quality").cast("string"),
         F.lit("toxic"), F.when(F.col("toxic") == 1, F.lit("yes"))),
-        lambda k, v: v.isNotNull())
+        lambda k, v: ~k.isin("quality", "toxic") | ((k == "quality") & F.coalesce(F.col("quality") != 0, F.lit(True)))
+        | ((k == "toxic") & v.isNotNull()))
     return P.prompt_field_check(d.select("doc_id", m.alias("fields")), FIELD_TEMPLATE)
 
 
-FIELD_CHECK_CTE = """g AS (SELECT d.doc_id, list_filter([
-    CASE WHEN text IS NOT NULL THEN 'text' END, CASE WHEN source IS NOT NULL THEN 'source' END,
-    CASE WHEN lang IS NOT NULL THEN 'lang' END, CASE WHEN quality IS NOT NULL THEN 'quality' END,
+FIELD_CHECK_CTE = f"""g AS (SELECT d.doc_id, list_filter([
+    'text', 'source', 'lang', CASE WHEN coalesce(quality, 1) <> 0 THEN 'quality' END,
     CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS given
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 c AS (SELECT doc_id,
@@ -360,10 +370,10 @@ c AS (SELECT doc_id,
   list_sort(list_filter(['lang', 'quality', 'source', 'text'], lambda x: NOT list_contains(given, x))) AS missing
   FROM g),
 r AS (SELECT doc_id, unexpected, missing,
-  CASE WHEN len(unexpected) > 0 THEN 'Received unexpected kwarg(s): {' ||
-         array_to_string(list_transform(unexpected, lambda x: '''' || x || ''''), ', ') || '}'
-       WHEN len(missing) > 0 THEN 'Missing required kwarg(s): {' ||
-         array_to_string(list_transform(missing, lambda x: '''' || x || ''''), ', ') || '}'
+  CASE WHEN len(unexpected) > 0 THEN '{P.UNEXPECTED_MSG}{{' ||
+         array_to_string(list_transform(unexpected, lambda x: '''' || x || ''''), ', ') || '}}'
+       WHEN len(missing) > 0 THEN '{P.MISSING_MSG}{{' ||
+         array_to_string(list_transform(missing, lambda x: '''' || x || ''''), ', ') || '}}'
   END AS error FROM c)"""
 
 
@@ -383,11 +393,6 @@ def q_prompt_field_report(spark, sf):
     return P.prompt_field_report(_field_rows(spark, sf))
 
 
-def hour_chunk():
-    """Chunk key monotone in (ts, event_id): the hour of the event."""
-    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3600 * 10 ** 6))
-
-
 @register("prompt_kind", """
 WITH e AS (SELECT user_id, event_id, ts, event_type, event_type <> 'error' AS answered
            FROM events),
@@ -400,8 +405,10 @@ SELECT user_id, event_id, CASE WHEN prev IS NOT NULL AND
 def q_prompt_kind(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
     return P.prompt_kind(ev, session="user_id", order=("ts", "event_id"),
-                         state=("event_type",), answered=F.col("event_type") != "error",
-                         chunk=hour_chunk()).select("user_id", "event_id", "prompt_kind")
+                         state=("event_type",), answered=F.col("event_type") != "error").select("user_id", "event_id", "prompt_kind")
+
+
+SHELL_SQL = ", ".join(f"'{n}'" for n in P.SHELL_NAMES)
 
 
 @register("used_variables", f"""
@@ -410,7 +417,7 @@ WITH bt AS (SELECT item_id, unnest(list_distinct(list_filter(
             FROM benchmark),
 v AS (SELECT name, min(item_id) AS value FROM bt GROUP BY name),
 v2 AS (SELECT * FROM v WHERE NOT (regexp_matches(name, '^_{{1,2}}i?[0-9]*$')
-         OR replace(name, '_', '') = '' OR name IN ('In', 'Out', '_dh', '_ih', '_ii', '_iii', '_oh'))),
+         OR replace(name, '_', '') = '' OR name IN ({SHELL_SQL}))),
 t AS (SELECT doc_id, unnest(list_distinct(list_filter(
         regexp_split_to_array(coalesce(text, ''), '{WS}'), lambda x: x <> ''))) AS token
       FROM documents)
@@ -422,6 +429,21 @@ def q_used_variables(spark, sf):
                             code_keys=["doc_id"])
 
 
+@register("used_variables_session", f"""
+WITH w AS (SELECT conv_id, turn, unnest(list_distinct(list_filter(
+             regexp_split_to_array(coalesce(text, ''), '{WS}'), lambda x: x <> ''))) AS name FROM conversations),
+v AS (SELECT conv_id, name, CASE WHEN min(turn) % 2 = 0 THEN 'local' ELSE 'global' END AS scope
+      FROM w WHERE turn < 2 AND NOT (regexp_matches(name, '^_{{1,2}}i?[0-9]*$')
+        OR replace(name, '_', '') = '' OR name IN ({SHELL_SQL})) GROUP BY conv_id, name)
+SELECT w.turn, v.conv_id, v.name, v.scope FROM w JOIN v USING (conv_id, name)""")
+def q_used_variables_session(spark, sf):
+    conv = table(spark, sf, "conversations")
+    names = P.code_tokens(conv, "text", ["conv_id", "turn"])
+    scope = F.when(F.min("turn") % 2 == 0, "local").otherwise("global")
+    variables = names.where("turn < 2").groupBy("conv_id", F.col("token").alias("name")).agg(scope.alias("scope"))
+    return P.used_variables(variables, conv, keys=["conv_id"], code_col="text", code_keys=["conv_id", "turn"])
+
+
 def _str_preview_sql(x: str, n: int = 400) -> str:
     q = f"('''' || {x} || '''')"
     return (f"CASE WHEN {x} IS NULL THEN 'None' WHEN length({q}) < {n} THEN {q} "
@@ -429,7 +451,8 @@ def _str_preview_sql(x: str, n: int = 400) -> str:
 
 
 SNAP_COLS = [("c_custkey", "bigint", False), ("c_name", "string", True),
-             ("c_nationkey", "int", False), ("c_mktsegment", "string", True)]
+             ("c_nationkey", "int", False), ("c_acctbal", "double", False),
+             ("c_mktsegment", "string", True)]
 
 
 def _snapshot_sql() -> str:
@@ -488,7 +511,7 @@ MESSAGE_SQL = "event_type || ' ' || coalesce(props, '')"
 WITH c AS (SELECT conv_id, turn, {COMPLETION_SQL} AS completion
            FROM conversations WHERE role = 'assistant'),
 a AS (SELECT conv_id, turn, CASE WHEN {STRIP_SQL} = ''
-        THEN 'Sorry, I don''t know. Can you try rephrasing your question?'
+        THEN {EMPTY_SQL}
         ELSE {STRIP_SQL} END AS completion FROM c),
 b AS (SELECT *, regexp_extract_all(completion, '{BLOCK_RE}', 1) AS blocks FROM a),
 lg AS (SELECT conv_id, turn, completion, {JOINED_SQL} AS new_code FROM b),
@@ -600,24 +623,29 @@ def q_settings_resolve(spark, sf):
 
 
 SCHEMA_TYPES = [("o_orderpriority", "int"), ("o_orderstatus", "string"),
-                ("o_orderkey_text", "bigint")]
+                ("o_orderkey_text", "bigint"), ("o_mixed", "int")]
+MIXED_SQL = ("CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority WHEN 1 THEN CAST(o_orderkey AS STRING) END")
 
 
 @register("schema_check", "\nUNION ALL\n".join(
     f"SELECT '{c}' AS \"column\", '{t}' AS type, count({c}) AS \"values\", "
     f"count(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST({c} AS {t.upper()}) IS NULL) "
-    f"AS violations FROM (SELECT *, CAST(o_orderkey AS VARCHAR) AS o_orderkey_text FROM orders)"
+    f"AS violations FROM (SELECT *, CAST(o_orderkey AS VARCHAR) AS o_orderkey_text, {MIXED_SQL} AS o_mixed FROM orders)"
     for c, t in SCHEMA_TYPES))
 def q_schema_check(spark, sf):
     o = table(spark, sf, "orders").withColumn(
-        "o_orderkey_text", F.col("o_orderkey").cast("string"))
+        "o_orderkey_text", F.col("o_orderkey").cast("string")).withColumn("o_mixed", F.expr(MIXED_SQL))
     return S.schema_check(o, dict(SCHEMA_TYPES))
 
 
 # ------------------------------------------------------------ files (O19-O25)
 # Messages span lines; error messages carry a line that looks like a record
-# start (written escaped) and an indented trace line.
+# start (written escaped) after a carriage return alone and after a line
+# break, and an indented trace line. Levels are NULL or have no capitals only.
+LOG_LEVEL_SQL = ("CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'Level 15' "
+                 "WHEN 'view' THEN NULL ELSE 'INFO' END")
 LOG_MESSAGE_SQL = ("CASE WHEN event_type = 'error' THEN 'failed: ' || coalesce(props, '') "
+                   "|| chr(13) || '1999-12-31 23:59:59,998 [ERROR]: forged' "
                    "|| chr(10) || '1999-12-31 23:59:59,999 [ERROR]: nested' || chr(10) "
                    "|| '  trace ' || CAST(event_id AS STRING) "
                    "ELSE event_type || ' ' || coalesce(props, '') END")
@@ -625,11 +653,11 @@ LOG_MESSAGE_SQL = ("CASE WHEN event_type = 'error' THEN 'failed: ' || coalesce(p
 
 def _log_events(spark, sf):
     return table(spark, sf, "events").select(
-        "ts", F.expr(LEVEL_SQL).alias("level"), F.expr(LOG_MESSAGE_SQL).alias("message"))
+        "ts", F.expr(LOG_LEVEL_SQL).alias("level"), F.expr(LOG_MESSAGE_SQL).alias("message"))
 
 
 @register("log_records", f"""
-SELECT CAST(date_trunc('millisecond', ts) AS TIMESTAMP) AS ts, {LEVEL_SQL} AS level,
+SELECT CAST(date_trunc('millisecond', ts) AS TIMESTAMP) AS ts, {LOG_LEVEL_SQL} AS level,
   {LOG_MESSAGE_SQL} AS message FROM events""")
 def q_log_records(spark, sf):
     path = scratch_path(spark, "log")
@@ -638,14 +666,14 @@ def q_log_records(spark, sf):
 
 
 @register("log_write", f"""
-WITH r AS (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S,%g') || ' [' || {LEVEL_SQL} || ']: ' ||
+WITH r AS (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S,%g') || ' [' || coalesce({LOG_LEVEL_SQL}, '') || ']: ' ||
   regexp_replace({LOG_MESSAGE_SQL}, '{LT.ESCAPE_FIND.replace(chr(92) + "n", chr(10))}',
                  '\\1 \\2', 'g') AS rec FROM events)
 SELECT unnest(string_split(rec, chr(10))) AS value FROM r""")
 def q_log_write(spark, sf):
     path = scratch_path(spark, "log")
     LT.log_write(_log_events(spark, sf), path, "w")
-    return spark.read.text(path)
+    return spark.read.text(path, lineSep="\n")
 
 
 def _source_lines_sql() -> str:
@@ -666,15 +694,15 @@ def q_notebook_text(spark, sf):
            .when(F.col("text") == "", F.array().cast("array<string>"))
            .otherwise(F.transform(parts, lambda l, i: F.when(
                i < F.size(parts) - 1, F.concat(l, F.lit("\n"))).otherwise(l))))
-    cell = F.struct(F.when(F.col("role") == "assistant", "code").otherwise("markdown")
-                    .alias("cell_type"), src.alias("source"))
-    nbs = conv.groupBy("conv_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("turn", cell.alias("c")))),
-                    lambda x: x["c"]).alias("cells"))
+    kind = F.when(F.col("role") == "assistant", "code").otherwise("markdown").alias("cell_type")
+    # Every second cell's source is one string, the others' a list of lines.
+    cell = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(kind, F.col("text").alias("source")))) \
+        .otherwise(F.to_json(F.struct(kind, src.alias("source"))))
+    nbs = conv.groupBy("conv_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("turn", cell.alias("c")))), lambda x: x["c"]), ",").alias("cells"))
     path = scratch_path(spark, "notebooks")
-    (nbs.select(F.to_json(F.struct(
-        F.create_map(F.lit("conv_id"), F.col("conv_id").cast("string")).alias("metadata"),
-        "cells")).alias("value")).write.option("lineSep", "\n").text(path))
+    nbs.select(F.format_string('{"metadata": {"conv_id": "%d"}, "cells": [%s]}', "conv_id", "cells")) \
+        .write.option("lineSep", "\n").text(path)
     nb = NB.notebook_text(NB.read_notebooks(spark, path, multiline=False))
     return nb.select(F.col("metadata")["conv_id"].cast("bigint").alias("conv_id"), "text")
 
@@ -709,8 +737,48 @@ def q_history_text(spark, sf):
 
 
 # -------------------------------------------------------- end-to-end paths
+QUESTION_STATE = {"code": "'x = ' || CAST(turn // 4 AS STRING)", "next_line": "'run'",
+                  "local_vars": "'{}'", "global_vars": "'{}'"}
+QUESTION_LIMIT, QUESTION_SYSTEM = 120, "You help with code. Be brief."
+
+
+@register("answer_questions", f"""
+WITH q AS (SELECT conv_id, turn, regexp_replace('>' || coalesce(text, ''), '^>+', '') AS question,
+             {QUESTION_STATE['code']} AS code FROM conversations WHERE role = 'user'),
+k AS (SELECT *, row_number() OVER w - 1 AS n, lag(code) OVER w IS NOT DISTINCT FROM code
+        AND row_number() OVER w > 1 AS same FROM q WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT *, CASE WHEN same THEN 'Asked: ' || question ELSE 'Asked: ' || question || chr(10) || 'Source:' || chr(10)
+        || code || chr(10) || 'About to run: run' || chr(10) || 'Locals: {{}}' || chr(10) || 'Globals: {{}}' || chr(10)
+        || 'Reply with an explanation, then fixed code in one fenced block.' END AS prompt FROM k),
+a AS (SELECT *, regexp_replace(upper(replace(prompt, 'ß', 'ss')), '^{WS}|{WS}$', '', 'g') AS completion FROM p),
+t AS (SELECT conv_id, -1 AS pos, 'system' AS role, {words_sql("'" + QUESTION_SYSTEM + "'")} + 1 AS n_words
+      FROM (SELECT DISTINCT conv_id FROM q)
+      UNION ALL SELECT conv_id, 2 * n, 'user', {words_sql('prompt')} + 1 FROM a
+      UNION ALL SELECT conv_id, 2 * n + 1, 'assistant', {words_sql('prompt')} + 1 FROM a),
+r AS (SELECT *, sum(n_words) OVER (PARTITION BY conv_id ORDER BY pos) AS run,
+        first_value(n_words) OVER (PARTITION BY conv_id ORDER BY pos) AS w0 FROM t),
+best AS (SELECT u.conv_id, u.pos, min(c.run - c.n_words) AS before
+         FROM r u JOIN r c ON c.conv_id = u.conv_id AND c.pos >= 0 AND c.pos <= u.pos
+          AND u.w0 + u.run - (c.run - c.n_words) <= {QUESTION_LIMIT}
+         WHERE u.role = 'user' GROUP BY u.conv_id, u.pos)
+SELECT a.conv_id AS session_id, a.turn AS seq, a.completion, a.completion AS explanation,
+  CASE WHEN same THEN '' ELSE code END AS code, '' AS new_code, CAST(0 AS BIGINT) AS lines_added,
+  CAST(0 AS BIGINT) AS lines_removed, NULL::MAP(VARCHAR, VARCHAR) AS extra,
+  CAST(CASE WHEN best.before IS NULL THEN u.w0 + u.n_words ELSE u.w0 + u.run - best.before END AS BIGINT)
+    AS context_words,
+  CASE WHEN u.w0 + u.n_words > {QUESTION_LIMIT} THEN 'overflow' ELSE 'ok' END AS context_status
+FROM a JOIN r u ON u.conv_id = a.conv_id AND u.pos = 2 * a.n
+LEFT JOIN best ON best.conv_id = u.conv_id AND best.pos = u.pos""")
+def q_answer_questions(spark, sf):
+    lines = table(spark, sf, "conversations").where(F.col("role") == "user").select(
+        "conv_id", "turn", F.concat(F.lit(">"), F.coalesce("text", F.lit(""))).alias("line"),
+        *[F.expr(e.replace("//", "div")).alias(c) for c, e in QUESTION_STATE.items()])
+    return FL.answer_questions(lines, session="conv_id", seq="turn", context_limit=QUESTION_LIMIT,
+                               system=QUESTION_SYSTEM)
+
+
 @register("explain_errors", f"""
-WITH r AS (SELECT CAST(date_trunc('millisecond', ts) AS TIMESTAMP) AS ts, {LEVEL_SQL} AS level,
+WITH r AS (SELECT CAST(date_trunc('millisecond', ts) AS TIMESTAMP) AS ts, {LOG_LEVEL_SQL} AS level,
              {LOG_MESSAGE_SQL} AS message FROM events)
 SELECT ts, level, CASE WHEN level = 'ERROR' THEN message || chr(10) || chr(10) ||
   upper(replace('Explain this error:' || chr(10) || message, 'ß', 'ss')) ELSE message END
@@ -721,7 +789,7 @@ def q_explain_errors(spark, sf):
     return FL.explain_errors(spark, path).select("ts", "level", "message")
 
 
-PREVIEW_COLS = ["c_name", "c_nationkey", "c_mktsegment"]
+PREVIEW_COLS = [c for c, _, _ in SNAP_COLS]
 
 
 def _list_sql(c: str, is_str: bool) -> str:
@@ -734,7 +802,7 @@ def _list_sql(c: str, is_str: bool) -> str:
     f"SELECT '{c}' AS \"column\", '{t}' AS type, (SELECT count({c}) FROM customer) AS non_null, "
     f"'[' || (SELECT string_agg({_list_sql(c, t == 'string')}, ', ' ORDER BY c_custkey) FROM "
     f"(SELECT * FROM customer ORDER BY c_custkey LIMIT 3)) || ']' AS first_values"
-    for c, t in [("c_name", "string"), ("c_nationkey", "int"), ("c_mktsegment", "string")]))
+    for c, t, _ in SNAP_COLS))
 def q_table_preview(spark, sf):
     return P.table_preview(table(spark, sf, "customer"), PREVIEW_COLS, ["c_custkey"], k=3)
 
@@ -749,9 +817,9 @@ def _stream_source(spark, df, col: str, bounds: list[int], key: str) -> str:
     for hi in bounds + [None]:
         part = df
         if lo is not None:
-            part = part.where(F.col(col) >= lo)
+            part = part.where(F.col(col) >= lo)  # rows without the column are in the first slice
         if hi is not None:
-            part = part.where(F.col(col) < hi)
+            part = part.where((F.col(col) < hi) | (F.col(col).isNull() if lo is None else F.lit(False)))
         part.repartition(key).write.mode("append").parquet(src)
         lo = hi
     return src

@@ -3,37 +3,34 @@ carry-forward of the last non-null value).
 
 A plain ``Window.partitionBy(key).orderBy(order)`` sends a whole group to one
 task; one conversation or session holding a third of the table would then be
-a third of the job on one core. Here every group is cut into *chunks* of
-bounded size (``chunk`` must be monotone in ``order``; by default
-``floor(order / chunk_rows)``, which holds at most ``chunk_rows`` rows per chunk
-because the order value is unique within its group):
-
-1. one window per ``(key, chunk)`` gives chunk-local running values
-   (bounded partitions, one sort, no group sees more than a chunk);
-2. a pre-aggregated chunk table (partial aggregation before its shuffle) gives
-   per-chunk totals; a window over chunks of the same key gives offsets. Only
-   groups that span more than one chunk are kept, so the table is empty for
-   ordinary data and small otherwise;
-3. the offsets are left-joined back on ``(key, chunk)``. The join side is
-   small, so AQE turns it into a broadcast from its measured size; when it is
-   not small the join stays a shuffle join.
-
-The input is read by both branches: the window branch with all columns, the
-chunk-table branch column-pruned and partially aggregated before its small
-shuffle. (Feeding both from one explicit repartition does not share it:
-Catalyst prunes the aggregate branch below the exchange, and that branch then
-loses its map-side aggregation.)
+a third of the job on one core. Here the rows are partitioned by range on
+``(keys, order)``, so a hot group is split by rows wherever its order values
+lie (dense turns, epoch times, random 64-bit ids), and written once to the
+shared folder with their partition's number:
+
+1. one window per ``(keys, partition)`` gives local running values; no window
+   group is larger than a range partition;
+2. a partially aggregated table of ``(keys, partition)`` totals, and a window
+   over the partitions of a key, give offsets. Only groups that lie in several
+   partitions are kept: at most two rows a partition, and the partitions of
+   hot groups;
+3. the offsets are left-joined back on ``(keys, partition)``; AQE turns the
+   join into a broadcast when their measured size allows it.
+
+The input is evaluated for the range partitioning only (Spark samples the
+keys, then writes the rows); both branches read the written rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_CHUNK_ROWS = 1 << 16
-CHUNK = "_chunk"
+from parley.session import scratch_path
+
+PART = "_part"
 
 
 def _names(xs) -> list[str]:
@@ -45,8 +42,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str] | str,
                  sums: Sequence[str] = (), firsts: Sequence[str] = (),
                  lasts: Sequence[str] = (), carries: Sequence[str] = (),
                  position: str | None = None, group_rows: str | None = None,
-                 chunk: Column | None = None,
-                 chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                 parts: int | None = None) -> DataFrame:
     """Add, per row of each group ``keys`` in ``order``:
 
     * ``{c}_run`` / ``{c}_total`` for ``c`` in ``sums`` (inclusive prefix sum,
@@ -54,17 +50,22 @@ def ordered_scan(df: DataFrame, keys: Sequence[str] | str,
     * ``{c}_first`` / ``{c}_last``: value of ``c`` at the group's first/last row;
     * ``{c}_prev``: last non-NULL ``c`` strictly before the row (NULL if none);
     * ``position`` (0-based rank in the group) and ``group_rows`` if named.
+
+    ``parts`` is the number of range partitions (default: the session's
+    shuffle partitions, joined by AQE where they are small). ``order`` must be
+    unique within a group.
     """
     keys, order = _names(keys), _names(order)
     sums, firsts, lasts, carries = map(list, (sums, firsts, lasts, carries))
-    if chunk is None:
-        if len(order) != 1:
-            raise ValueError("give `chunk` when ordering by several columns")
-        chunk = F.floor(F.col(order[0]) / F.lit(chunk_rows))
-    d = df.withColumn(CHUNK, chunk.cast("bigint"))
-
-    # -- 1. chunk-local window (one Exchange on (keys, chunk), one Sort) ----
-    wl = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    by = [*keys, *order]
+    ranged = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    d = ranged.withColumn(PART, F.spark_partition_id())
+    path = scratch_path(df.sparkSession, "ordered")
+    d.write.parquet(path)
+    d = df.sparkSession.read.schema(d.schema).parquet(path)
+
+    # -- 1. local window (one Exchange on (keys, partition), one Sort) ------
+    wl = Window.partitionBy(*keys, PART).orderBy(*order)
     run = wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = wl.rowsBetween(Window.unboundedPreceding, -1)
     full = wl.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -81,9 +82,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str] | str,
         local.append(F.last(c, ignorenulls=True).over(before).alias(f"_lp_{c}"))
     loc = d.select("*", *local)
 
-    # -- 2. chunk table: partial aggregate, then offsets across chunks -----
+    # -- 2. totals: partial aggregate, then offsets across partitions ------
     # A bare order column keeps min_by/max_by buffers fixed-width for
-    # fixed-width values, so the chunk table is a HashAggregate (no sort).
+    # fixed-width values, so the totals are a HashAggregate (no sort).
     ordkey = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(o) for o in order])
     aggs = [F.count(F.lit(1)).alias("_s_cnt")]
     for c in sums:
@@ -96,11 +97,11 @@ def ordered_scan(df: DataFrame, keys: Sequence[str] | str,
         nn = F.col(c).isNotNull()
         aggs.append(F.max_by(F.when(nn, F.col(c)), F.when(nn, ordkey))
                     .alias(f"_s_p_{c}"))
-    chunks = d.groupBy(*keys, CHUNK).agg(*aggs)
-    cw = Window.partitionBy(*keys).orderBy(CHUNK)
+    totals = d.groupBy(*keys, PART).agg(*aggs)
+    cw = Window.partitionBy(*keys).orderBy(PART)
     prev = cw.rowsBetween(Window.unboundedPreceding, -1)
     whole = cw.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offs = [F.count(F.lit(1)).over(whole).alias("_n_chunks"),
+    offs = [F.count(F.lit(1)).over(whole).alias("_n_parts"),
             F.coalesce(F.sum("_s_cnt").over(prev), F.lit(0)).alias("_o_cnt"),
             F.sum("_s_cnt").over(whole).alias("_g_cnt")]
     for c in sums:
@@ -113,15 +114,15 @@ def ordered_scan(df: DataFrame, keys: Sequence[str] | str,
     for c in carries:
         offs.append(F.last(f"_s_p_{c}", ignorenulls=True).over(prev)
                     .alias(f"_g_p_{c}"))
-    off = (chunks.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                         F.col(CHUNK).alias("_k_chunk"), *offs)
-           .where(F.col("_n_chunks") > 1))
+    off = (totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
+                         F.col(PART).alias("_k_part"), *offs)
+           .where(F.col("_n_parts") > 1))
 
     # -- 3. join offsets back (small side; AQE broadcasts it when small) ---
     cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    cond.append(F.col(CHUNK) == F.col("_k_chunk"))
+    cond.append(F.col(PART) == F.col("_k_part"))
     j = loc.join(off, cond, "left")
-    multi = F.col("_k_chunk").isNotNull()
+    multi = F.col("_k_part").isNotNull()
     out = []
     for c in sums:
         out += [(F.col(f"_l_{c}") + F.coalesce(F.col(f"_o_{c}"), F.lit(0)))

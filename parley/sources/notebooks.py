@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.plans.ordered import ordered_scan
 
+# A cell's source is a list of strings or one string.
 CELL = T.StructType([T.StructField("cell_type", T.StringType()),
-                     T.StructField("source", T.ArrayType(T.StringType()))])
+                     T.StructField("source", T.VariantType())])
 NOTEBOOK = T.StructType([
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
     T.StructField("cells", T.ArrayType(CELL))])
@@ -17,8 +18,16 @@ NOTEBOOK = T.StructType([
 FENCE = "```"
 
 
-def _cell_text(cell) -> F.Column:
-    src = F.concat(F.lit("\n"), F.array_join(cell["source"], ""), F.lit("\n"))
+def _source(cell) -> Column:
+    """The source as one text; '' for an empty or missing one."""
+    v = cell["source"]
+    return F.coalesce(
+        F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")),
+        F.array_join(F.try_variant_get(v, "$", "array<string>"), ""), F.lit(""))
+
+
+def _cell_text(cell) -> Column:
+    src = F.concat(F.lit("\n"), _source(cell), F.lit("\n"))
     return F.when(cell["cell_type"] == "code",
                   F.concat(F.lit("\n" + FENCE), src, F.lit(FENCE + "\n"))).otherwise(src)
 
@@ -34,14 +43,14 @@ def notebook_text(nb: DataFrame) -> DataFrame:
     """One text per notebook: cells with an empty source are skipped, code
     cells are fenced, all concatenated in order. Works on the cell array in
     the row (no shuffle)."""
-    kept = F.filter(F.col("cells"), lambda c: F.size(c["source"]) > 0)
+    kept = F.filter(F.col("cells"), lambda c: _source(c) != "")
     return nb.withColumn("text", F.array_join(F.transform(kept, _cell_text), ""))
 
 
 def notebook_cells(nb: DataFrame) -> DataFrame:
     """One row per non-empty cell: ``file, cell_no (0-based), cell_type, text``."""
     c = nb.select("*", F.posexplode("cells").alias("cell_no", "_c")).where(
-        F.size("_c.source") > 0)
+        _source(F.col("_c")) != "")
     return c.select(*[x for x in nb.columns if x != "cells"],
                     F.col("cell_no").cast("bigint").alias("cell_no"),
                     F.col("_c.cell_type").alias("cell_type"),
@@ -66,17 +75,17 @@ def history_lines(spark: SparkSession, paths) -> DataFrame:
 
 def history_text(lines: DataFrame, keys=("file",)) -> DataFrame:
     """One text per history file: each cell fenced, cells separated by a blank
-    line, in file order. The ordered concat is a per-file aggregate (a file is
-    one shell session)."""
+    line, in the order of files, then lines. The ordered concat is an aggregate
+    of the keys: the result is one text of each."""
     keys = list(keys)
     piece = F.concat(F.lit(FENCE + "\n"), F.col("cell"), F.lit("\n" + FENCE))
     return lines.groupBy(*keys).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("_block", "_id", piece.alias("p")))),
+        F.array_sort(F.collect_list(F.struct("file", "_block", "_id", piece.alias("p")))),
         lambda x: x["p"]), "\n\n").alias("text"))
 
 
 def history_cell_numbers(lines: DataFrame, keys=("file",)) -> DataFrame:
-    """Cells with their 0-based number in the file (skew-safe ordered scan,
-    one chunk per split)."""
-    return ordered_scan(lines, list(keys), ["_block", "_id"], position="cell_no",
-                        chunk=F.col("_block"))
+    """Cells with their 0-based number in the key, in the order of files, then
+    lines (skew-safe ordered scan)."""
+    return ordered_scan(lines, list(keys), [c for c in ("file", "_block", "_id") if c not in keys],
+                        position="cell_no")
