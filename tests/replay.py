@@ -1,5 +1,4 @@
-"""Plain-Python replays of the reference rules (small inputs only): the
-brute-force side of the tests."""
+"""What a truncated conversation is, by definition (small inputs only)."""
 
 
 def words(text):
@@ -7,28 +6,24 @@ def words(text):
 
 
 def truncate(history, limit):
-    """Pop loop: drop index 1 while over the limit; returns (kept, overflow)."""
-    hist = list(history)
-    n = sum(words(t) for _, t in hist)
-    while n > limit:
-        if len(hist) <= 2:
-            return hist, True
-        _, t = hist.pop(1)
-        n -= words(t)
-    return hist, False
+    """(kept, overflow): the first turn and the longest tail of the others that
+    fits with it; the last turn stays whether it fits or not."""
+    first, rest = history[0], history[1:]
+    if not rest:
+        return list(history), words(first[1]) > limit
+    tails = (rest[i:] for i in range(len(rest)))
+    fitting = next((t for t in tails if sum(words(x) for _, x in [first, *t]) <= limit), None)
+    return [first, *(fitting or rest[-1:])], fitting is None
 
 
 def context_replay(rows, limit):
-    """rows: [(turn, role, text)] in order. Truncate after each user row
-    (drops permanent); returns {turn: (first_kept, turns_sent, words, status)}."""
+    """rows: [(turn, role, text)] in order; {user turn: (first kept, turns sent,
+    words, status)} of the conversation up to it. With one limit, a turn that
+    did not fit once never fits later, so each prefix can be looked at alone."""
     out = {}
-    hist = []
-    for turn, role, text in rows:
-        hist.append((turn, text))
-        if role != "user":
-            continue
-        hist, over = truncate(hist, limit)
-        first = hist[1][0] if len(hist) > 1 else None
-        out[turn] = (first, len(hist), sum(words(t) for _, t in hist),
-                     "overflow" if over else "ok")
+    for n, (turn, role, _) in enumerate(rows):
+        if role == "user":
+            kept, over = truncate([(t, x) for t, _, x in rows[:n + 1]], limit)
+            out[turn] = (kept[1][0] if n else None, len(kept), sum(words(x) for _, x in kept),
+                         "overflow" if over else "ok")
     return out

@@ -21,7 +21,7 @@ def test_prompt_field_check(spark):
     assert got[1] == ([], [], None)
     assert got[2] == ([], ["code"], "Missing required kwarg(s): {'code'}")
     assert got[3][2] == "Received unexpected kwarg(s): {'stack_trace'}"
-    assert got[4][1] == ["code", "question"]  # NULL value counts as not given
+    assert got[4][1] == ["code"]  # a key with a NULL value is given
     rep = P.prompt_field_report(P.prompt_field_check(df, tmpl)).first()
     assert (rep.rows, rep.rows_missing, rep.rows_unexpected, rep.rows_ok) == (4, 2, 2, 1)
 
@@ -43,10 +43,10 @@ def test_prompt_kind_vs_replay(spark, sf_dir):
     by = defaultdict(list)
     for r in rows:
         by[r.user_id].append((r.event_id, r.event_type, r.event_type != "error"))
-    for chunk in (1 << 16, 7):
+    for parts in (None, 7):
         got = P.prompt_kind(ev.select("user_id", "event_id", "event_type"),
                             session="user_id", order=("event_id",), state=("event_type",),
-                            answered=F.col("event_type") != "error", chunk_rows=chunk)
+                            answered=F.col("event_type") != "error", parts=parts)
         res = {(r.user_id, r.event_id): r.prompt_kind for r in got.collect()}
         for uid, rs in by.items():
             for seq, kind in _kind_replay(rs).items():
@@ -131,27 +131,42 @@ def test_schema_check(spark):
     assert S.schema_violations(df, {"a": ["int"], "z": ["int"]}) == ["a must be int, not string"]
 
 
-def test_batch_complete_isolates_failures(spark):
+def test_batch_complete_calls_the_model_once_a_batch(spark):
     import pandas as pd
 
-    def model(s: pd.Series) -> pd.Series:
-        if s.str.contains("boom").any():
-            raise ValueError("bad prompt")
-        return s.str.upper()
+    calls = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(i, "boom" if i == 3 else f"p{i}") for i in range(20)],
+                               "id int, prompt string").coalesce(1)
 
-    df = spark.createDataFrame([(1, "hello"), (2, "boom"), (3, "straße")], "id int, prompt string")
-    got = {r.id: (r.completion, r.error) for r in C.batch_complete(df, model).collect()}
-    assert got[1] == ("HELLO", None) and got[3] == ("STRASSE", None)
-    assert got[2] == (None, "ValueError: bad prompt")
+    def some_fail(s: pd.Series) -> list:
+        calls.add(len(s))
+        out = [ValueError("bad prompt") if p == "boom" else p.upper() for p in s]
+        raise C.RowErrors(out)
 
+    def short(s: pd.Series) -> list:
+        calls.add(len(s))
+        return ["only one"]
 
-def test_revision_diff_multichunk(spark):
+    def down(s: pd.Series) -> list:
+        calls.add(len(s))
+        raise RuntimeError("down")
+
+    got = {r.id: (r.completion, r.error) for r in C.batch_complete(df, some_fail).collect()}
+    assert got[3] == (None, "ValueError: bad prompt") and got[4] == ("P4", None) and calls.value == 20
+    got = C.batch_complete(df, short).collect()
+    assert {(r.completion, r.error) for r in got} == \
+        {(None, "ValueError: the model returned 1 completions for 20 prompts")} and calls.value == 40
+    assert {r.error for r in C.batch_complete(df, down).collect()} == {"RuntimeError: down"} and calls.value == 60
+    assert {r.completion for r in C.batch_complete(df).collect()} == {"BOOM", *(f"P{i}" for i in range(20) if i != 3)}
+
+
+def test_revision_diff_over_partitions(spark):
     df = spark.createDataFrame(
         [(1, 0, "a\nb"), (1, 1, "a\nc\nc"), (1, 2, ""), (1, 5, "c"), (2, 3, None)],
         "doc_id long, version long, text string")
-    for chunk in (1 << 16, 1, 2):
+    for parts in (None, 1, 4):
         got = {(r.doc_id, r.version): (r.lines_added, r.lines_removed)
-               for r in C.revision_diff(df, chunk_rows=chunk).collect()}
+               for r in C.revision_diff(df, parts=parts).collect()}
         assert got == {(1, 0): (2, 0), (1, 1): (2, 1), (1, 2): (0, 3), (1, 5): (1, 0),
                        (2, 3): (0, 0)}
 
@@ -172,3 +187,12 @@ def test_parse_completion_with_json_parser(spark):
         [('{"explanation": "why", "code": "fix()", "extra": {"k": "v"}}',)], "completion string")
     r = C.parse_completion(df, parser=lambda c: F.from_json(c, schema)).first()
     assert (r.explanation, r.code, r.extra) == ("why", "fix()", {"k": "v"})
+
+
+def test_completion_log_counts_changed_lines(spark):
+    df = spark.createDataFrame([(1, 1, "why\n```\na\nb\nb\n```", "b\nc"), (1, 2, "no code", "x"), (1, 3, "  ", None)],
+                               "session_id int, seq int, completion string, old string")
+    got = {r.seq: (r.code, r.new_code, r.lines_added, r.lines_removed, r.completion)
+           for r in C.completion_log(df, old_code="old").collect()}
+    assert got[1][:4] == ("b\nc", "a\nb\nb", 2, 1) and got[2][1:4] == ("", 0, 0)
+    assert got[3][4] == C.EMPTY_ANSWER

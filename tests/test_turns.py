@@ -30,10 +30,10 @@ def _fixture(spark):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
 
-@pytest.mark.parametrize("limit,chunk", [(15, 2), (25, 3), (60, 1 << 16)])
+@pytest.mark.parametrize("limit,chunk", [(15, 2), (25, 3), (60, 5)])
 def test_truncate_fixture_vs_replay(spark, limit, chunk):
     df = _fixture(spark)
-    got = T.history_truncate(df, limit, chunk_rows=chunk).collect()
+    got = T.history_truncate(df, limit, parts=chunk).collect()
     by = defaultdict(list)
     for r in df.collect():
         by[r.conv_id].append((r.turn, r.text))
@@ -51,11 +51,11 @@ def test_truncate_fixture_vs_replay(spark, limit, chunk):
     assert {c: (sorted(v), status[c]) for c, v in res.items()} == exp
 
 
-@pytest.mark.parametrize("limit,chunk", [(60, 2), (200, 3), (400, 1 << 16), (1000, 5)])
+@pytest.mark.parametrize("limit,chunk", [(60, 2), (200, 3), (400, 5), (1000, 5)])
 def test_truncate_sf_vs_replay(spark, sf_dir, limit, chunk):
     convs = _convs(spark, sf_dir)
     got = T.history_truncate(table(spark, sf_dir, "conversations"), limit,
-                             chunk_rows=chunk).collect()
+                             parts=chunk).collect()
     res = defaultdict(list)
     for r in got:
         res[r.conv_id].append(r.turn)
@@ -64,7 +64,7 @@ def test_truncate_sf_vs_replay(spark, sf_dir, limit, chunk):
         assert sorted(res[cid]) == [t for t, _ in kept], cid
 
 
-@pytest.mark.parametrize("limit,chunk", [(12, 2), (20, 1), (60, 3), (200, 1 << 16), (400, 4)])
+@pytest.mark.parametrize("limit,chunk", [(12, 2), (20, 1), (60, 3), (200, 5), (400, 4)])
 def test_context_at_turn_vs_replay(spark, sf_dir, limit, chunk):
     cases = [(_fixture(spark), None), (table(spark, sf_dir, "conversations"), None)]
     for df, _ in cases:
@@ -77,7 +77,7 @@ def test_context_at_turn_vs_replay(spark, sf_dir, limit, chunk):
             for turn, v in replay.context_replay(rows, limit).items():
                 exp[(cid, turn)] = v
         got = {(r.conv_id, r.turn): (r.first_kept, r.turns_sent, r.words, r.status)
-               for r in T.context_at_turn(df, limit, chunk_rows=chunk).collect()}
+               for r in T.context_at_turn(df, limit, parts=chunk, position_rows=chunk).collect()}
         assert got == exp
 
 
@@ -90,6 +90,22 @@ def test_model_limits(spark):
                    "nope": (8192, 6144, 5760), None: (8192, 6144, 5760)}
 
 
+def test_repeated_model_names_do_not_multiply_rows(spark):
+    df = spark.createDataFrame([("m",), ("m",)], "model string")
+    got = T.model_limits(df, T.models_table(spark, [("m", 90), ("m", 70)])).collect()
+    assert [r.context_window for r in got] == [70, 70]
+
+
+def test_each_turn_has_its_own_limit(spark):
+    """A limit column larger than any chunk, and other for each turn."""
+    rows = [(1, i, "system" if i == 0 else "user", "w " * 5, 1000 if i % 2 else 20) for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, lim long")
+    from pyspark.sql import functions as F
+    got = {r.turn: (r.first_kept, r.words) for r in
+           T.context_at_turn(df, F.col("lim"), parts=5, position_rows=2).collect()}
+    assert got[39] == (1, 240) and got[38] == (37, 18)
+
+
 def test_history_render_truncated(spark):
     df = _fixture(spark).where("conv_id = 1")
     got = T.history_render(df, limit=15).first().history
@@ -111,8 +127,8 @@ def test_context_at_turn_column_limit(spark, sf_dir):
     with_lim = df.withColumn("lim", F.when(F.col("conv_id") % 3 == 0, 60)
                              .when(F.col("conv_id") % 3 == 1, 200).otherwise(400))
     got = {(r.conv_id, r.turn): (r.first_kept, r.turns_sent, r.words, r.status)
-           for r in T.context_at_turn(with_lim, F.col("lim"), max_limit=400,
-                                      chunk_rows=3).collect()}
+           for r in T.context_at_turn(with_lim, F.col("lim"), parts=4,
+                                      position_rows=3).collect()}
     by = defaultdict(list)
     for r in df.collect():
         by[r.conv_id].append((r.turn, r.role, r.text))
