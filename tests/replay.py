@@ -1,4 +1,5 @@
 """What a truncated conversation is, by definition (small inputs only)."""
+from itertools import accumulate, takewhile
 
 
 def words(text):
@@ -11,9 +12,9 @@ def truncate(history, limit):
     first, rest = history[0], history[1:]
     if not rest:
         return list(history), words(first[1]) > limit
-    tails = (rest[i:] for i in range(len(rest)))
-    fitting = next((t for t in tails if sum(words(x) for _, x in [first, *t]) <= limit), None)
-    return [first, *(fitting or rest[-1:])], fitting is None
+    from_end = accumulate(words(x) for _, x in reversed(rest))
+    n = sum(1 for _ in takewhile(lambda size: words(first[1]) + size <= limit, from_end))
+    return [first, *rest[len(rest) - max(n, 1):]], n == 0
 
 
 def context_replay(rows, limit):
