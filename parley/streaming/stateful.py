@@ -4,7 +4,7 @@
   small state per session/conversation with ``applyInPandasWithState``. Rows
   of a micro-batch arrive unordered, so each group is sorted by its order
   column inside the handler; a row whose order is not after the last one seen
-  is flagged ``late`` and does not move the state. With ``idle_timeout_ms``
+  is flagged ``late``, has NULL results and does not move the state. With ``idle_timeout_ms``
   set, idle keys expire after that much processing time, which bounds the
   state store (Spark then also runs empty batches to fire the timeouts).
 * ``stream_latest_nonempty`` (O17) is the batch ``max_by`` aggregate run in
@@ -16,9 +16,10 @@ Python handler; the handler only walks the (bounded) state.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -83,7 +84,8 @@ def stream_prompt_kind(events: DataFrame, *, session: str = "session_id",
                                 rows["st"], rows["answered"]):
             k = _order_key(vals)
             late = last is not None and k <= last
-            kinds.append(CONTEXTLESS if has_prev and st == prev else CONTEXTFUL)
+            # A late question's state is gone: it has no kind.
+            kinds.append(None if late else CONTEXTLESS if has_prev and st == prev else CONTEXTFUL)
             lates.append(bool(late))
             if not late:
                 last = k
@@ -103,7 +105,7 @@ def stream_prompt_kind(events: DataFrame, *, session: str = "session_id",
 
 
 # ------------------------------------------------------------- O3 stream --
-CONTEXT_STATE = ("has_pinned boolean, w0 long, last_turn long, "
+CONTEXT_STATE = ("has_pinned boolean, w0 long, last_turn long, most long, "
                  "kept_turns array<long>, kept_words array<long>")
 
 
@@ -112,9 +114,12 @@ def stream_context_at_turn(turns: DataFrame, limit: int | Column, *, key: str =
                            user_role: str = "user",
                            idle_timeout_ms: int | None = None) -> DataFrame:
     """Streaming O3: per user turn ``conv_id, turn, first_kept, turns_sent,
-    words, status, late``. State: the pinned row's words and the kept turns
-    with their words; it never holds more than ``limit`` words plus the
-    newest turn. ``limit`` may be a column constant within a conversation."""
+    words, status, late``. ``limit`` may be a column: each user turn has its
+    own. State: the pinned row's words and the kept turns with their words. It
+    is trimmed whenever it is saved, also between user turns, to what fits the
+    largest limit met so far (each turn has a word at least, so that many
+    turns, and the newest), so a later turn cannot bring back what did not fit
+    then. Late turns have NULL results and are in no later context."""
     lim_col = limit if isinstance(limit, Column) else F.lit(limit)
     inp = turns.select(F.col(key).alias("k"), F.col(order).cast("long").alias("t"),
                        (F.col(role) == user_role).alias("is_user"),
@@ -127,38 +132,36 @@ def stream_context_at_turn(turns: DataFrame, limit: int | Column, *, key: str =
         if gs.hasTimedOut:
             gs.remove()
             return
-        if gs.exists:
-            has_pinned, w0, last, kt, kw = gs.get
-            kt, kw = list(kt), list(kw)
-        else:
-            has_pinned, w0, last, kt, kw = False, 0, None, [], []
+        has_pinned, w0, last, most, kt, kw = gs.get if gs.exists else (False, 0, None, 0, (), ())
+        kept = deque(zip(kt, kw, strict=True))
+        total = sum(kw)
         rows = pd.concat(list(pdfs)).sort_values("t", kind="stable")
-        limit = int(rows["lim"].iloc[0])
         out = []
-        total = sum(kw)
-        for t, is_user, n in zip(rows["t"], rows["is_user"], rows["n"]):
-            t, n = int(t), int(n)
+
+        def trim(limit: int) -> None:
+            nonlocal total
+            while w0 + total > limit and len(kept) > 1:
+                total -= kept.popleft()[1]
+
+        for t, is_user, n, limit in zip(rows["t"], rows["is_user"], rows["n"], rows["lim"], strict=True):
+            t, n, limit = int(t), int(n), 0 if pd.isna(limit) else int(limit)
             if last is not None and t <= last:
                 out.append((t, None, None, None, None, True))
                 continue
-            last = t
+            last, most = t, max(most, limit)
             if not has_pinned:
                 has_pinned, w0 = True, n
                 if is_user:
                     out.append((t, None, 1, w0, "overflow" if w0 > limit else "ok", False))
                 continue
-            kt.append(t)
-            kw.append(n)
+            kept.append((t, n))
             total += n
-            if not is_user:
-                continue
-            while w0 + total > limit and len(kt) > 1:
-                kt.pop(0)
-                total -= kw.pop(0)
-            over = w0 + total > limit
-            out.append((t, kt[0], len(kt) + 1, w0 + total,
-                        "overflow" if over else "ok", False))
-        gs.update((has_pinned, w0, last, kt, kw))
+            if is_user:
+                trim(limit)
+                out.append((t, kept[0][0], len(kept) + 1, w0 + total,
+                            "overflow" if w0 + total > limit else "ok", False))
+        trim(most)
+        gs.update((has_pinned, w0, last, most, [k for k, _ in kept], [w for _, w in kept]))
         if idle_timeout_ms:
             gs.setTimeoutDuration(int(idle_timeout_ms))
         if out:
@@ -195,21 +198,23 @@ DIFF_STATE = "last_version long, counts string"
 
 
 def _line_counts(text) -> Counter:
+    """How often each line is in the text, by the line's hash."""
     if text is None or text == "":
         return Counter()
     body = text
     m = _BREAK.search(body, max(0, len(body) - 2))  # one final break is not a line
     if m and m.end() == len(body):
         body = body[:m.start()]
-    return Counter(_BREAK.split(body))
+    return Counter(hashlib.blake2b(line.encode(), digest_size=12).hexdigest() for line in _BREAK.split(body))
 
 
 def stream_revision_diff(versions: DataFrame, *, doc: str = "doc_id",
                          version: str = "version", text: str = "text",
                          idle_timeout_ms: int | None = None) -> DataFrame:
     """Streaming O18: ``doc, version, lines_added, lines_removed, late`` per
-    version, against the previous version seen for the document. State: the
-    line counts of the latest version (one document's lines)."""
+    version, against the previous version seen for the document. State: a
+    hash and a count of each line of the latest version, not the lines. Late
+    versions have NULL counts."""
     inp = versions.select(F.col(doc).alias("d"), F.col(version).cast("long").alias("v"),
                           F.col(text).alias("x"))
     key_type = inp.schema["d"].dataType.simpleString()

@@ -57,7 +57,7 @@ def test_stream_context_column_limit(spark, sf_dir):
     src = _files(spark, conv, [2, 4], "turn")
     stream = spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", 1).parquet(src)
     got = _run(spark, S.stream_context_at_turn(stream, F.col("lim")))
-    exp = T.context_at_turn(conv, F.col("lim"), max_limit=300)
+    exp = T.context_at_turn(conv, F.col("lim"))
     assert {(r.conv_id, r.turn): (r.first_kept, r.words, r.status) for r in got.collect()} == \
         {(r.conv_id, r.turn): (r.first_kept, r.words, r.status) for r in exp.collect()}
 
@@ -83,10 +83,9 @@ def test_stream_late_rows_flagged(spark):
     df.coalesce(1).write.parquet(src)
     late.coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    rows = sorted((r.seq, r.prompt_kind, r.late) for r in
-                  _run(spark, S.stream_prompt_kind(stream)).collect())
-    assert rows == [(1, "contextful", False), (1, "contextful", True),
-                    (2, "contextless", False)]
+    rows = sorted(((r.seq, r.prompt_kind, r.late) for r in
+                   _run(spark, S.stream_prompt_kind(stream)).collect()), key=lambda r: (r[0], not r[2]))
+    assert rows == [(1, None, True), (1, "contextful", False), (2, "contextless", False)]
 
 
 def test_stream_latest_nonempty_update_mode(spark, sf_dir):
@@ -169,3 +168,45 @@ def test_stream_revision_diff_equals_batch(spark, sf_dir):
     exp = C.revision_diff(conv, doc="conv_id", version="turn")
     assert {(r.conv_id, r.turn): (r.lines_added, r.lines_removed) for r in got.collect()} == \
         {(r.conv_id, r.turn): (r.lines_added, r.lines_removed) for r in exp.collect()}
+
+
+def test_stream_context_state_is_bounded_and_late_turns_are_told(spark):
+    """A long stretch of answers only, then a question, then late turns."""
+    schema = "conv_id long, turn long, role string, text string"
+    parts = [[(1, 0, "system", "s")] + [(1, i, "assistant", "w w w") for i in range(1, 200)],
+             [(1, 200 + i, "assistant", "w") for i in range(100)], [(1, 400, "user", "q q")],
+             [(1, 50, "user", "late"), (1, 401, "user", "on time")]]
+    src = scratch_path(spark, "stream-src")
+    for p in parts:
+        spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = {r.turn: r for r in _run(spark, S.stream_context_at_turn(stream, 30)).collect()}
+    on_time = spark.createDataFrame([r for p in parts for r in p if r[1] != 50], schema)
+    want = {r.turn: r for r in T.context_at_turn(on_time, 30).collect()}
+    for t in (400, 401):
+        assert (got[t].first_kept, got[t].turns_sent, got[t].words, got[t].late) == \
+            (want[t].first_kept, want[t].turns_sent, want[t].words, False)
+    assert got[50].late and got[50].words is None
+
+
+def test_stream_revision_diff_late_versions(spark):
+    schema = "doc_id long, version long, text string"
+    src = scratch_path(spark, "stream-src")
+    for rows in ([(1, 2, "a\nb")], [(1, 1, "late"), (1, 3, "a\nc\nc")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = {r.version: (r.lines_added, r.lines_removed, r.late) for r in _run(spark, S.stream_revision_diff(stream)).collect()}
+    assert got == {2: (2, 0, False), 1: (None, None, True), 3: (2, 1, False)}
+
+
+def test_row_wise_operators_on_a_stream(spark):
+    from parley.operators import logs as L
+    df = spark.createDataFrame([(1, "why?\n```\nfix()\n```", 'duck()\ntoken = "sk-12345"')],
+                               "id long, completion string, code string")
+    src = scratch_path(spark, "stream-src")
+    df.write.parquet(src)
+    read = lambda: spark.readStream.schema(df.schema).parquet(src)
+    for op in (lambda d: C.extract_code_blocks(d, keys=("id",)), lambda d: C.parse_completion(d).drop("extra"),
+               lambda d: L.route_turns(d, "completion"), lambda d: L.strip_lines(d, "code", out="kept"),
+               lambda d: L.redact_secrets(d, "code", 'token = "([^"]+)"', 1, keys=("id",))):
+        assert _run(spark, op(read())).collect() == op(df).collect() != []
