@@ -334,7 +334,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_kept: bool = False)
     release()
     go = first.where("at >= 0")
     size = F.sum(F.col("at").bitwiseAND(0xFFFF) + (length - 1))
-    hot = go.groupBy("h").agg(size.alias("n")).where(F.col("n") > SHARD // 2).select("h", F.lit(True).alias("hot"))
+    hot = written(go.groupBy("h").agg(size.alias("n")).where(F.col("n") > SHARD // 2)
+                  .select("h", F.lit(True).alias("hot")), "repeat-hot")
     wanted = go.join(hot, "h", "left").groupBy("doc", "th").agg(
         F.collect_list(F.struct("h", "at", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("want"))
     of = F.expr(f"substring(text, cast(shiftright(w.at, 16) as int) + 1, cast((w.at & 65535) + {length - 1} as int))")
