@@ -341,6 +341,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_kept: bool = False)
     of = F.expr(f"substring(text, cast(shiftright(w.at, 16) as int) + 1, cast((w.at & 65535) + {length - 1} as int))")
     fetched = written(rows.join(wanted, ["doc", "th"]).select("doc", "th", "text", F.explode("want").alias("w"))
                       .select("doc", "th", "w.h", "w.at", "w.hot", of.alias("bytes")), "repeat-texts")
+    release()
     mark = "doc long, th long, at long"
     dealt = fetched.where("not hot").repartition("h").sortWithinPartitions("h") \
         .mapInPandas(_shards(length), mark)
