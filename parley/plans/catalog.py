@@ -832,28 +832,84 @@ def _files_per_trigger(spark, src: str, batches: int = 3) -> int:
     return max(1, -(-n // batches))
 
 
-def _run_to_parquet(spark, sdf) -> DataFrame:
-    """Run a stream to completion into a parquet sink and read it back. The
-    state partition count is fixed when a stream starts (then kept in its
-    checkpoint): these small fixtures start with the default parallelism,
-    and the session setting is restored right after."""
-    out = scratch_path(spark, "stream-out")
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+STREAM_CONF = {"spark.sql.streaming.stateStore.providerClass":
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def _started(spark, writer):
+    """Start a stream with its state in RocksDB and as many state partitions as
+    the default parallelism: both are fixed when a stream starts (then kept in
+    its checkpoint), so the session's settings are restored right after."""
+    conf = STREAM_CONF | {"spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
-        q = (sdf.writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
-             .outputMode("append").start())
+        return writer.option("checkpointLocation", scratch_path(spark, "stream-ckpt")).start()
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _finished(query) -> None:
     try:
-        q.processAllAvailable()
+        query.processAllAvailable()
     finally:
-        q.stop()
+        query.stop()
+
+
+def _run_to_parquet(spark, sdf) -> DataFrame:
+    """Run an appending stream to completion into a parquet sink; read it back."""
+    out = scratch_path(spark, "stream-out")
+    _finished(_started(spark, sdf.writeStream.format("parquet").option("path", out).outputMode("append")))
     return spark.read.parquet(out)
 
 
+def _run_updates(spark, sdf, keys: list[str]) -> DataFrame:
+    """Run an updating stream to completion, each batch's changed rows written
+    under its number; the last row of each key is the result."""
+    out = scratch_path(spark, "stream-out")
+
+    def write(batch, number):
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/n={number}")
+
+    _finished(_started(spark, sdf.writeStream.foreachBatch(write).outputMode("update")))
+    rest = [c for c in sdf.columns if c not in keys]
+    last = spark.read.option("recursiveFileLookup", True).parquet(out).groupBy(*keys).agg(
+        F.max_by(F.struct(*rest), "_batch").alias("_r"))
+    return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def _event_stream(spark, df, key: str):
+    n = df.agg(F.max("event_id")).first()[0] or 0
+    src = _stream_source(spark, df, "event_id", [n // 3 + 1, 2 * n // 3 + 1], key)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", _files_per_trigger(spark, src)).parquet(src)
+
+
+@register("latest_nonempty_stream", ORACLES["latest_nonempty"])
+def q_latest_nonempty_stream(spark, sf):
+    ev = table(spark, sf, "events").select("user_id", "ts", "event_id", F.expr(PURCHASE_SQL).alias("v"))
+    return _run_updates(spark, ST.stream_latest_nonempty(
+        _event_stream(spark, ev, "user_id"), "v", key="user_id", order=("ts", "event_id")), ["user_id"])
+
+
+@register("settings_upsert_stream", ORACLES["settings_upsert"])
+def q_settings_upsert_stream(spark, sf):
+    ch = table(spark, sf, "events").select(
+        F.col("user_id").alias("owner"), F.col("event_type").alias("key"),
+        F.expr(SETTING_VALUE_SQL).alias("value"), "event_id")
+    got = _run_updates(spark, ST.stream_settings_upsert(
+        _event_stream(spark, ch, "owner").withColumnRenamed("event_id", "seq")), ["owner", "key"])
+    return got.where("value is not null")
+
+
+@register("route_turns_stream", ORACLES["route_turns"])
+def q_route_turns_stream(spark, sf):
+    lines = table(spark, sf, "conversations").select("conv_id", "turn", F.expr(LINE_SQL).alias("line"))
+    src = _stream_source(spark, lines, "turn", [2, 4], "conv_id")
+    return _run_to_parquet(spark, L.route_turns(spark.readStream.schema(lines.schema).parquet(src)))
+
+
 @register("context_at_turn_stream", ORACLES["context_at_turn"])
 def q_context_at_turn_stream(spark, sf):
     conv = table(spark, sf, "conversations")
