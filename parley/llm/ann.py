@@ -40,8 +40,6 @@ TOLD = 6
 #: Rounds end when a smaller share of all list entries is new, or at ROUNDS.
 STILL, ROUNDS = 0.01, 7
 
-_EMPTY = np.iinfo(np.int64).max
-
 
 def _sorted_stream(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """Frames of rows sorted by ``key``, cut so that no key is in two of them."""
@@ -77,13 +75,12 @@ def _best(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, old: np.ndarray,
     return owner[top], ids[top], sims[top], old[top]
 
 
-def _lists(owner, ids, sims, old, names=("id", "ids", "sims", "old")) -> pd.DataFrame:
+def _lists(owner, ids, sims, old) -> pd.DataFrame:
     """One row an owner, its lists packed."""
     start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if owner.size else np.zeros(0, int)
     end = np.r_[start[1:], owner.size]
     cut = lambda x, t: [x[a:b].astype(t).tobytes() for a, b in zip(start, end, strict=True)]
-    return pd.DataFrame({names[0]: owner[start], names[1]: cut(ids, "<i8"), names[2]: cut(sims, "<f4"),
-                         names[3]: cut(old, "?")})
+    return pd.DataFrame({"id": owner[start], "ids": cut(ids, "<i8"), "sims": cut(sims, "<f4"), "old": cut(old, "?")})
 
 
 def _flat(column, dtype: str) -> tuple[np.ndarray, np.ndarray]:

@@ -98,7 +98,7 @@ def codeword(words: np.ndarray) -> np.ndarray:
     return (words ^ error[r]) >> 11
 
 
-def near_codewords(words: np.ndarray, width: int) -> list[np.ndarray]:
+def near_codewords(words: np.ndarray, width: int) -> np.ndarray:
     """Columns of the codewords of each word and its one-bit neighbours; a
     repeated one is -1."""
     all_ = np.sort(np.stack([codeword(words)] + [codeword(words ^ (1 << b)) for b in range(width)], axis=1), axis=1)

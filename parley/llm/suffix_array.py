@@ -91,6 +91,36 @@ def _induce(text: np.ndarray, is_s: np.ndarray, sizes: np.ndarray, lms: np.ndarr
     return out
 
 
+def _induce_by_entry(text: np.ndarray, is_s: np.ndarray, sizes: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The same for an alphabet about as large as the text (the names of a
+    recursion): its buckets have an entry or two, so entries are scanned one by
+    one instead of bucket by bucket."""
+    n = len(text)
+    head, tail = (x.tolist() for x in _buckets(sizes))
+    t, small = text.tolist(), is_s.tolist()
+    sa, free = [-1] * n, tail.copy()
+    for p in lms[::-1].tolist():
+        free[t[p]] -= 1
+        sa[free[t[p]]] = p
+    free = head.copy()
+    sa[free[t[n - 1]]] = n - 1  # the last suffix is of the larger type
+    free[t[n - 1]] += 1
+    for i in range(n):
+        p = sa[i] - 1
+        if p >= 0 and not small[p]:
+            c = t[p]
+            sa[free[c]] = p
+            free[c] += 1
+    free = tail.copy()
+    for i in range(n - 1, -1, -1):
+        p = sa[i] - 1
+        if p >= 0 and small[p]:
+            c = t[p]
+            free[c] -= 1
+            sa[free[c]] = p
+    return np.array(sa, dtype=np.int64)
+
+
 def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
     """Names of the leftmost-smaller substrings, in text order; equal ones
     (compared symbol by symbol, all still equal at once) get one name."""
@@ -121,8 +151,7 @@ def suffix_array(text: np.ndarray, alphabet: int) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
-    if alphabet > 4 * 256:  # names of a recursion: few symbols repeat
-        return _by_doubling(text)
+    induce = _induce if alphabet <= 4 * 256 else _induce_by_entry
     # Smaller type: text[i:] < text[i + 1:]; the last suffix is of the larger
     # type (the end of the text is the smallest symbol).
     less = np.r_[text[:-1] < text[1:], False]
@@ -131,52 +160,17 @@ def suffix_array(text: np.ndarray, alphabet: int) -> np.ndarray:
     is_s = less[decided[np.searchsorted(decided, np.arange(n))]]
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     sizes = np.bincount(text, minlength=alphabet)
-    sa = _induce(text, is_s, sizes, lms)
+    sa = induce(text, is_s, sizes, lms)
     if len(lms) > 1:
         is_lms = np.zeros(n, dtype=bool)
         is_lms[lms] = True
         order = sa[is_lms[sa]]
         names, k = _names(text, lms, order)
         order = lms[suffix_array(names, k)] if k < len(lms) else order
-        sa = _induce(text, is_s, sizes, order)
+        sa = induce(text, is_s, sizes, order)
     return sa
 
 
-def _by_doubling(text: np.ndarray) -> np.ndarray:
-    """For the reduced string of a recursion, whose symbols are mostly distinct:
-    ranks of twice as many symbols each time, only where still equal."""
-    n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    rank = _first_ranks(rank[order], order)
-    k = 1
-    while True:
-        counts = np.bincount(rank, minlength=n)
-        open_ = np.flatnonzero(counts[rank] > 1)
-        if not open_.size:
-            out = np.empty(n, dtype=np.int64)
-            out[rank] = np.arange(n)
-            return out
-        nxt = open_ + k
-        second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        o = np.lexsort((second, rank[open_]))
-        r, s, at = rank[open_][o], second[o], open_[o]
-        group = np.r_[True, r[1:] != r[:-1]]
-        new = group | np.r_[True, s[1:] != s[:-1]]
-        start = np.maximum.accumulate(np.where(group, np.arange(len(r)), 0))
-        first = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
-        rank = rank.copy()
-        rank[at] = r + first - start
-        k *= 2
-
-
-def _first_ranks(sorted_keys: np.ndarray, order: np.ndarray) -> np.ndarray:
-    new = np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return rank
-
-
 def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
     """For each text position, how many symbols its suffix shares with the one
     before it in the order, ``limit`` at most.
@@ -195,9 +189,8 @@ def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, limit: int) -> np
     follows[ok] = (text[ok - 1] == text[prev[ok] - 1]) & (prev[ok - 1] == prev[ok] - 1)
     start = np.flatnonzero(~follows)
     value = np.zeros(len(start), dtype=np.int64)
-    reach = start.copy()  # symbols to look at: up to the limit past the run's end
     runs = np.diff(np.r_[start, n])
-    most = limit + runs - 1
+    most = limit + runs - 1  # symbols to look at: up to the limit past the run's end
     open_ = np.flatnonzero(prev[start] >= 0)
     step = 0
     while open_.size:
@@ -209,6 +202,5 @@ def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray, limit: int) -> np
         open_ = open_[same]
         step += 1
         value[open_] = step
-    del reach
     whole = np.repeat(value, runs) - (at - np.repeat(start, runs))
     return np.clip(whole, 0, limit)
