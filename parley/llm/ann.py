@@ -3,10 +3,11 @@ a neighbour graph through iterative Spark joins, greedy search walks it.
 
 Rows: every distinct vector is one node, named by its smallest id, so copies
 cost nothing and cannot fill each other's neighbour lists. A node carries a
-code: its vector and the component that makes all norms equal (which turns
-largest inner product among the nodes into nearest neighbour), as 8-bit
-integers. Graph and search work on codes; what is returned is scored on the
-original vectors.
+code: its vector without loss, as 4-byte floats if all vectors of the table are
+such, else as 8-byte ones. The graph is one of nearest neighbours by distance,
+after a component that makes all norms equal (which turns largest inner product
+among the nodes into nearest neighbour); the search goes by inner product. Both
+are computed in double precision.
 
 NN-descent: each node starts with the best of ``START`` random groups of nodes.
 A round tells each node's neighbours, in and out, about each other (a join of
@@ -14,7 +15,8 @@ neighbours of neighbours by way of their common neighbour), and each node keeps
 the best ``degree`` it has heard of. Rounds end when few lists change.
 
 Search: a query has a beam of the best nodes it has seen, at first its own
-neighbours. A hop joins all beam entries not yet expanded with the adjacency
+neighbours and the best of the ``HEAD`` longest vectors, which are few nodes'
+neighbours where norms differ much. A hop joins all beam entries not yet expanded with the adjacency
 table, scores their neighbours where they are, and sends back those better
 than the beam's last. A query ends when no entry is left to expand.
 """
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -39,6 +42,33 @@ GROUP, START = 512, 2
 TOLD = 6
 #: Rounds end when a smaller share of all list entries is new, or at ROUNDS.
 STILL, ROUNDS = 0.01, 7
+#: The longest vectors, which every query is compared with at the start.
+HEAD = 4096
+
+
+class Space(NamedTuple):
+    """The type of the codes' components, and the largest squared norm."""
+
+    dtype: str
+    high: float
+
+    def vectors(self, column) -> np.ndarray:
+        return matrix(column, self.dtype).astype(np.float64)
+
+    def equal(self, column) -> np.ndarray:
+        """The vectors with the component that makes all norms equal."""
+        x = self.vectors(column)
+        rest = np.sqrt(np.maximum(0, self.high - (x * x).sum(axis=1))) if len(x) else np.zeros(0)
+        return np.hstack([x, rest[:, None]])
+
+
+def _near(x: np.ndarray) -> np.ndarray:
+    """Less the squared distances of all rows. (Inner products would do as the
+    norms are equal, but lose what sets the rows apart when the norm is large.)
+    Rounded, so that equals are equal wherever they are computed."""
+    x = x - x.mean(axis=0)
+    n = (x * x).sum(axis=1)
+    return (2 * (x @ x.T) - n[:, None] - n[None, :]).astype(np.float32).astype(np.float64)
 
 
 def _sorted_stream(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -80,7 +110,7 @@ def _lists(owner, ids, sims, old) -> pd.DataFrame:
     start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if owner.size else np.zeros(0, int)
     end = np.r_[start[1:], owner.size]
     cut = lambda x, t: [x[a:b].astype(t).tobytes() for a, b in zip(start, end, strict=True)]
-    return pd.DataFrame({"id": owner[start], "ids": cut(ids, "<i8"), "sims": cut(sims, "<f4"), "old": cut(old, "?")})
+    return pd.DataFrame({"id": owner[start], "ids": cut(ids, "<i8"), "sims": cut(sims, "<f8"), "old": cut(old, "?")})
 
 
 def _flat(column, dtype: str) -> tuple[np.ndarray, np.ndarray]:
@@ -97,51 +127,42 @@ def release() -> None:
     SparkContext._active_spark_context._jvm.System.gc()
 
 
-def coded(nodes: DataFrame) -> DataFrame:
-    """``id, code`` of ``id, vec``: the vector and the component that makes all
-    norms equal, in 8-bit steps of one scale."""
-    def norms(frames):
+def coded(nodes: DataFrame) -> tuple[DataFrame, Space]:
+    """``id, code`` of ``id, vec``, and what is needed to read the codes."""
+    def ranges(frames):
         for pdf in frames:
             x = matrix(pdf["vec"])
             if len(x):
-                n = (x * x).sum(axis=1)
-                yield pd.DataFrame({"low": [n.min()], "high": [n.max()], "comp": [np.abs(x).max()]})
+                with np.errstate(over="ignore"):
+                    exact = bool((x.astype("<f4") == x).all())
+                yield pd.DataFrame({"high": [(x * x).sum(axis=1).max()], "exact": [exact]})
 
-    m = nodes.select("vec").mapInPandas(norms, "low double, high double, comp double") \
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("comp").alias("comp")).first()
-    high = m["high"] or 1.0
-    step = max(m["comp"] or 1.0, float(np.sqrt(high - (m["low"] or high)))) / 127
+    m = nodes.select("vec").mapInPandas(ranges, "high double, exact boolean") \
+        .agg(F.max("high").alias("high"), F.min("exact").alias("exact")).first()
+    space = Space("<f4" if m["exact"] else "<f8", m["high"] or 0.0)
 
     def code(frames):
         for pdf in frames:
-            x = matrix(pdf["vec"])
-            if len(x):
-                rest = np.sqrt(np.maximum(0, high - (x * x).sum(axis=1)))
-                steps = np.rint(np.hstack([x, rest[:, None]]) / step).clip(-127, 127).astype(np.int8)
-                yield pd.DataFrame({"id": pdf["id"], "code": [r.tobytes() for r in steps]})
-
-    return nodes.mapInPandas(code, "id long, code binary")
+            yield pd.DataFrame({"id": pdf["id"], "code": [r.tobytes() for r in matrix(pdf["vec"]).astype(space.dtype)]})
 
+    return nodes.mapInPandas(code, "id long, code binary"), space
 
-def _codes(column) -> np.ndarray:
-    return matrix(column, "i1").astype(np.float32)
 
-
-def start_lists(codes: DataFrame, degree: int) -> DataFrame:
+def start_lists(codes: DataFrame, space: Space, degree: int) -> DataFrame:
     """``id, ids, sims, old``: each node's best of its random groups."""
     n = codes.count()
     groups = max(1, -(-n // GROUP))
 
     def within(frames):
         for pdf in _sorted_stream(frames, "grp"):
-            ids, x = pdf["id"].to_numpy(), _codes(pdf["code"])
+            ids, x = pdf["id"].to_numpy(), space.equal(pdf["code"])
             for _, at in pdf.groupby("grp").indices.items():
-                s = x[at] @ x[at].T
+                s = _near(x[at])
                 np.fill_diagonal(s, -np.inf)
                 k = min(degree, len(at) - 1)
                 top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(at), 0), int)
                 yield pd.DataFrame({"id": ids[at], "ids": [ids[at][t].astype("<i8").tobytes() for t in top],
-                                    "sims": [r[t].astype("<f4").tobytes() for r, t in zip(s, top, strict=True)],
+                                    "sims": [r[t].astype("<f8").tobytes() for r, t in zip(s, top, strict=True)],
                                     "old": [np.zeros(k, "?").tobytes()] * len(at)})
 
     rounds = range(START if groups > 1 else 1)
@@ -156,7 +177,7 @@ def merged(lists: DataFrame, degree: int) -> DataFrame:
     def merge(frames):
         for pdf in _sorted_stream(frames, "id"):
             ids, counts = _flat(pdf["ids"], "<i8")
-            sims, _ = _flat(pdf["sims"], "<f4")
+            sims, _ = _flat(pdf["sims"], "<f8")
             old, _ = _flat(pdf["old"], "?")
             owner = np.repeat(pdf["id"].to_numpy(), counts)
             own = ids != owner
@@ -185,19 +206,20 @@ def around(graph: DataFrame, codes: DataFrame, degree: int) -> DataFrame:
     def last(frames):
         for pdf in frames:
             yield pd.DataFrame({"id": pdf["id"], "last": [
-                float(np.frombuffer(s, "<f4")[-1]) if len(s) >= 4 * degree else float("-inf") for s in pdf["sims"]]})
+                float(np.frombuffer(s, "<f8")[-1]) if len(s) >= 8 * degree else float("-inf") for s in pdf["sims"]]})
 
     near = Window.partitionBy("center").orderBy("back", F.xxhash64("center", "id"))
-    e = graph.mapInPandas(edges, "center long, id long, old boolean, back boolean")
+    e = graph.mapInPandas(edges, "center long, id long, old boolean, back boolean").repartition("center") \
+        .groupBy("center", "id").agg(F.min("old").alias("old"), F.min("back").alias("back"))
     e = e.withColumn("n", F.row_number().over(near)).where(F.col("n") <= 2 * degree).drop("n", "back")
-    return e.join(codes, "id").join(graph.mapInPandas(last, "id long, last float"), "id")
+    return e.join(codes, "id").join(graph.mapInPandas(last, "id long, last double"), "id")
 
 
-def descend(graph: DataFrame, codes: DataFrame, degree: int) -> DataFrame:
+def descend(graph: DataFrame, codes: DataFrame, space: Space, degree: int) -> DataFrame:
     """One round of NN-descent."""
     def tell(frames):
         for pdf in _sorted_stream(frames, "center"):
-            ids, x = pdf["id"].to_numpy(), _codes(pdf["code"])
+            ids, x = pdf["id"].to_numpy(), space.equal(pdf["code"])
             fresh, last = ~pdf["old"].to_numpy(dtype=bool), pdf["last"].to_numpy()
             center = pdf["center"].to_numpy()
             start = np.flatnonzero(np.r_[True, center[1:] != center[:-1]])
@@ -206,7 +228,7 @@ def descend(graph: DataFrame, codes: DataFrame, degree: int) -> DataFrame:
                 k = min(TOLD, b - a - 1)
                 if k < 1 or not fresh[a:b].any():
                     continue
-                s = x[a:b] @ x[a:b].T
+                s = _near(x[a:b])
                 s[~(fresh[a:b][:, None] | fresh[a:b][None, :])] = -np.inf
                 s[ids[a:b][:, None] == ids[a:b][None, :]] = -np.inf
                 s[s <= last[a:b][:, None]] = -np.inf
@@ -216,9 +238,9 @@ def descend(graph: DataFrame, codes: DataFrame, degree: int) -> DataFrame:
                     ok = best[i] > -np.inf
                     who.append(ids[a + i])
                     ids_out.append(ids[a:b][top[i][ok]].astype("<i8").tobytes())
-                    sims_out.append(best[i][ok].astype("<f4").tobytes())
+                    sims_out.append(best[i][ok].astype("<f8").tobytes())
             yield pd.DataFrame({"id": np.array(who, dtype=np.int64), "ids": ids_out, "sims": sims_out,
-                                "old": [bytes(len(s) // 4) for s in sims_out]})
+                                "old": [bytes(len(s) // 8) for s in sims_out]})
 
     told = around(graph, codes, degree).repartition("center").sortWithinPartitions("center") \
         .mapInPandas(tell, "id long, ids binary, sims binary, old binary")
@@ -230,11 +252,11 @@ def descend(graph: DataFrame, codes: DataFrame, degree: int) -> DataFrame:
     return merged(graph.mapInPandas(aged, graph.schema).unionAll(told), degree)
 
 
-def build_graph(codes: DataFrame, degree: int = 32) -> DataFrame:
+def build_graph(codes: DataFrame, space: Space, degree: int = 32) -> DataFrame:
     """``id, ids, sims, old``: the neighbour lists of NN-descent."""
-    graph = written(merged(start_lists(codes, degree), degree), "ann-graph")
+    graph = written(merged(start_lists(codes, space, degree), degree), "ann-graph")
     for _ in range(ROUNDS):
-        graph = written(descend(graph, codes, degree), "ann-graph")
+        graph = written(descend(graph, codes, space, degree), "ann-graph")
         release()
         fresh = graph.agg(F.sum(F.length(F.regexp_replace(F.hex("old"), "01", "")) / 2).alias("new"),
                           F.sum(F.length("old")).alias("all")).first()
@@ -244,53 +266,67 @@ def build_graph(codes: DataFrame, degree: int = 32) -> DataFrame:
 
 
 def adjacency(graph: DataFrame, codes: DataFrame, degree: int) -> DataFrame:
-    """``node, ids, codes``: the neighbours of a node, in and out, with their codes."""
-    def collect(frames):
-        for pdf in _sorted_stream(frames, "center"):
-            center, ids = pdf["center"].to_numpy(), pdf["id"].to_numpy()
-            code = pdf["code"].to_numpy()
-            o = np.lexsort((ids, center))
-            center, ids, code = center[o], ids[o], code[o]
-            first = np.r_[True, (center[1:] != center[:-1]) | (ids[1:] != ids[:-1])]
-            center, ids, code = center[first], ids[first], code[first]
-            start = np.flatnonzero(np.r_[True, center[1:] != center[:-1]])
-            end = np.r_[start[1:], len(center)]
-            yield pd.DataFrame({"node": center[start],
-                                "near": [ids[a:b].astype("<i8").tobytes() for a, b in zip(start, end, strict=True)],
-                                "codes": [b"".join(code[a:b]) for a, b in zip(start, end, strict=True)]})
-
+    """``node, near, codes``: the neighbours of a node, in and out, with their
+    codes; dealt by node."""
     return around(graph, codes, degree).select("center", "id", "code").repartition("center") \
-        .sortWithinPartitions("center").mapInPandas(collect, "node long, near binary, codes binary")
+        .groupBy("center").agg(F.collect_list(F.struct("id", "code")).alias("all")) \
+        .select(F.col("center").alias("node"), F.col("all.id").alias("near"), F.col("all.code").alias("codes"))
 
 
-def graph_search(queries: DataFrame, graph: DataFrame, codes: DataFrame, degree: int, beam: int) -> DataFrame:
+def longest(codes: DataFrame, space: Space) -> tuple[np.ndarray, list[bytes]]:
+    """Ids and codes of the ``HEAD`` longest vectors."""
+    def norms(frames):
+        for pdf in frames:
+            x = space.vectors(pdf["code"])
+            yield pdf.assign(n=(x * x).sum(axis=1) if len(x) else [])
+
+    rows = codes.mapInPandas(norms, "id long, code binary, n double").orderBy(F.desc("n"), "id").limit(HEAD).collect()
+    return np.array([r["id"] for r in rows], dtype=np.int64), [bytes(r["code"]) for r in rows]
+
+
+def graph_search(queries: DataFrame, graph: DataFrame, codes: DataFrame, space: Space, degree: int,
+                 beam: int) -> DataFrame:
     """``id, ids, sims, old``: for each query node its beam, best first."""
-    near = written(adjacency(graph, codes, degree), "ann-adjacency")
-    near = near.repartition("node").persist(StorageLevel.DISK_ONLY)
+    near = adjacency(graph, codes, degree).persist(StorageLevel.DISK_ONLY)
     q = written(queries.join(codes, "id").select("id", "code"), "ann-queries")
-    # A query starts as a beam of one unexpanded entry: its own node.
-    beams = q.select("id", F.col("id").alias("node"), F.lit(float("-inf")).cast("float").alias("last"))
+    head_ids, head_codes = longest(codes, space)
+
+    def heads(frames):
+        y = space.vectors(head_codes)
+        for pdf in frames:
+            x, rows = space.vectors(pdf["code"]), []
+            for i, own in enumerate(pdf["id"]):
+                s = (y * x[i]).sum(axis=1)
+                s[head_ids == own] = -np.inf
+                top = np.argsort(-s, kind="stable")[:degree]
+                top = top[s[top] > -np.inf]
+                rows.append((own, head_ids[top].tobytes(), s[top].tobytes(), bytes(len(top))))
+            yield pd.DataFrame(rows, columns=["id", "ids", "sims", "old"])
+
+    # A query starts with its own node and the best of the longest, all unexpanded.
+    beams = q.select("id", F.col("id").alias("node"), F.lit(float("-inf")).alias("last"))
+    state = written(q.mapInPandas(heads, "id long, ids binary, sims binary, old binary"), "ann-beams")
 
     def frontier(frames):
         for pdf in frames:
             ids, counts = _flat(pdf["ids"], "<i8")
             old, _ = _flat(pdf["old"], "?")
-            last = [float(np.frombuffer(s, "<f4")[-1]) if len(s) >= 4 * beam else float("-inf") for s in pdf["sims"]]
+            last = [float(np.frombuffer(s, "<f8")[-1]) if len(s) >= 8 * beam else float("-inf") for s in pdf["sims"]]
             new = ~old
             yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), counts)[new], "node": ids[new],
-                                "last": np.repeat(np.array(last, dtype=np.float32), counts)[new]})
+                                "last": np.repeat(np.array(last, dtype=np.float64), counts)[new]})
 
     def expand(frames):
         for pdf in frames:
             if not len(pdf):
                 continue
-            x = matrix(pdf["code"], "i1").astype(np.float32)[:, :-1]  # inner product: without the added component
+            x = space.vectors(pdf["code"])
             rows = []
-            for i, (near_ids, codes_, last) in enumerate(zip(pdf["near"], pdf["codes"], pdf["last"], strict=True)):
-                ids = np.frombuffer(near_ids, "<i8")
-                s = np.frombuffer(codes_, "i1").reshape(len(ids), -1)[:, :-1].astype(np.float32) @ x[i]
-                ok = s > last
-                rows.append((ids[ok].tobytes(), s[ok].astype("<f4").tobytes(), bytes(int(ok.sum()))))
+            for i, (ids, codes_, last) in enumerate(zip(pdf["near"], pdf["codes"], pdf["last"], strict=True)):
+                ids = np.asarray(ids, dtype="<i8")
+                s = (space.vectors(codes_) * x[i]).sum(axis=1)
+                ok = s >= last  # of equals, the smaller id
+                rows.append((ids[ok].tobytes(), s[ok].tobytes(), bytes(int(ok.sum()))))
             yield pd.DataFrame(rows, columns=["ids", "sims", "old"]).assign(id=pdf["id"])[["id", "ids", "sims", "old"]]
 
     def aged(frames):
@@ -298,13 +334,12 @@ def graph_search(queries: DataFrame, graph: DataFrame, codes: DataFrame, degree:
             yield pdf.assign(old=[b"\x01" * len(o) for o in pdf["old"]])
 
     schema = "id long, ids binary, sims binary, old binary"
-    state = None
+    beams = beams.unionAll(state.mapInPandas(frontier, "id long, node long, last double"))
     while True:
         seen = beams.join(q, "id").join(near, "node").select("id", "code", "near", "codes", "last") \
             .mapInPandas(expand, schema)
-        state = written(merged(seen if state is None else state.mapInPandas(aged, schema).unionAll(seen), beam),
-                        "ann-beams")
-        beams = state.mapInPandas(frontier, "id long, node long, last float")
+        state = written(merged(state.mapInPandas(aged, schema).unionAll(seen), beam), "ann-beams")
+        beams = state.mapInPandas(frontier, "id long, node long, last double")
         release()
         if beams.isEmpty():
             break
@@ -327,15 +362,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     member = written(rows.join(nodes.withColumnRenamed("id", "node"), "vec").select("node", "id"), "ann-members")
     asked = written(member.join(queries.select("id").distinct(), "id").select("node", F.col("id").alias("query_id")),
                     "ann-asked")
-    codes = written(coded(nodes), "ann-codes")
-    graph = build_graph(codes, degree)
-    found = graph_search(asked.select(F.col("node").alias("id")).distinct(), graph, codes, degree, beam)
+    coded_, space = coded(nodes)
+    codes = written(coded_, "ann-codes")
+    graph = build_graph(codes, space, degree)
+    found = graph_search(asked.select(F.col("node").alias("id")).distinct(), graph, codes, space, degree, beam)
 
     def candidates(frames):  # and the query's own node, for its copies
         for pdf in frames:
             ids, counts = _flat(pdf["ids"], "<i8")
             rank = np.arange(ids.size) - np.repeat(np.cumsum(counts) - counts, counts)
-            top = rank < 2 * k + 8  # the order of codes and that of vectors differ a little
+            top = rank < 2 * k + 8  # in the order of their scores
             at = pdf["id"].to_numpy()
             yield pd.DataFrame({"id": np.r_[np.repeat(at, counts)[top], at], "node": np.r_[ids[top], at]})
 

@@ -81,3 +81,20 @@ def test_nearest_recall_copies_and_odd_rows(spark):
     small = spark.createDataFrame(rows[:6], SCHEMA)
     assert [len(v) for v in by_query(nearest(small, ids_of(small, 2), 20).collect()).values()] == [5, 5, 5]
     assert nearest(df.limit(0), ids_of(df, 20), 20).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["one long vector", "uneven norms", "near copies"])
+def test_nearest_recall_whatever_the_norms_and_distances(spark, kind):
+    rng = np.random.default_rng(6)
+    unit = lambda n: (v := rng.normal(size=(n, 16))) / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(2500)
+    if kind == "one long vector":
+        x[7] *= 100
+    elif kind == "uneven norms":
+        x *= np.exp(rng.normal(size=(2500, 1)))
+    else:
+        x[200:2300] = x[200] + 0.003 * unit(2100)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = by_query(nearest(df, ids_of(df, 25), 20).collect())
+    want = brute(x, list(range(2500)), range(0, 2500, 25), 20, lambda m, q: m @ q)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
