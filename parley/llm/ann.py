@@ -40,12 +40,22 @@ from parley.llm.vectors import matrix, packed
 GROUP, START = 512, 2
 #: A round's joins tell a node at most this many partners by each common neighbour.
 TOLD = 6
-#: Rounds end when a smaller share of all list entries is new, or at ROUNDS.
-STILL, ROUNDS = 0.01, 7
+#: Rounds end when a smaller share of all list entries is new.
+STILL = 0.01
 #: The longest vectors, which every query is compared with at the start.
 HEAD = 4096
 
 
+def most_rounds(nodes: int) -> int:
+    """No table of so many nodes should need more rounds; one that does fails."""
+    return 12 + 2 * nodes.bit_length()
+
+
+def beam_of(nodes: int, k: int) -> int:
+    """The beam grows with the table's size; it holds all that is asked for."""
+    return max(2 * k + 8, 192, round(192 * (nodes / 10_000) ** 0.4))
+
+
 class Space(NamedTuple):
     """The type of the codes' components, and the largest squared norm."""
 
@@ -255,14 +265,15 @@ def descend(graph: DataFrame, codes: DataFrame, space: Space, degree: int) -> Da
 def build_graph(codes: DataFrame, space: Space, degree: int = 32) -> DataFrame:
     """``id, ids, sims, old``: the neighbour lists of NN-descent."""
     graph = written(merged(start_lists(codes, space, degree), degree), "ann-graph")
-    for _ in range(ROUNDS):
+    rounds = most_rounds(codes.count())
+    for _ in range(rounds):
         graph = written(descend(graph, codes, space, degree), "ann-graph")
         release()
         fresh = graph.agg(F.sum(F.length(F.regexp_replace(F.hex("old"), "01", "")) / 2).alias("new"),
                           F.sum(F.length("old")).alias("all")).first()
         if not fresh["all"] or fresh["new"] <= STILL * fresh["all"]:
-            break
-    return graph
+            return graph
+    raise RuntimeError(f"after {rounds} rounds {fresh['new']:.0f} of {fresh['all']} neighbours are still new")
 
 
 def adjacency(graph: DataFrame, codes: DataFrame, degree: int) -> DataFrame:
@@ -348,12 +359,12 @@ def graph_search(queries: DataFrame, graph: DataFrame, codes: DataFrame, space:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding",
-            degree: int = 32, beam: int = 192) -> DataFrame:
+            degree: int = 32, beam: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: of each query id (``queries.id``) the
     ``k`` nearest other ids found, all of them where there are no more.
 
     Score: the inner product of the original vectors in double precision; ties
-    go to the smaller id. Null, zero, ragged and non-finite vectors and null ids
+    go to the smaller id. ``beam``: by the table's size if not given. Null, zero, ragged and non-finite vectors and null ids
     take no part, neither as queries nor as candidates; see ``packed``. Other
     columns are not read. An empty table gives no rows.
     """
@@ -365,6 +376,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     coded_, space = coded(nodes)
     codes = written(coded_, "ann-codes")
     graph = build_graph(codes, space, degree)
+    beam = beam or beam_of(codes.count(), k)
     found = graph_search(asked.select(F.col("node").alias("id")).distinct(), graph, codes, space, degree, beam)
 
     def candidates(frames):  # and the query's own node, for its copies

@@ -98,3 +98,19 @@ def test_nearest_recall_whatever_the_norms_and_distances(spark, kind):
     got = by_query(nearest(df, ids_of(df, 25), 20).collect())
     want = brute(x, list(range(2500)), range(0, 2500, 25), 20, lambda m, q: m @ q)
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
+
+
+def test_rounds_end_when_the_lists_are_still_or_fail(spark, monkeypatch):
+    from parley.llm import ann
+    monkeypatch.setattr(ann, "STILL", 0)
+    monkeypatch.setattr(ann, "TOLD", 1)
+    x = np.random.default_rng(8).normal(size=(1500, 16))
+    codes, space = ann.coded(spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, vec binary"))
+    codes = codes.localCheckpoint()
+    graph = ann.build_graph(codes, space, 8).toPandas()
+    assert len(graph) == 1500 and all(set(old) == {1} for old in graph["old"])
+    monkeypatch.setattr(ann, "most_rounds", lambda nodes: 2)
+    with pytest.raises(RuntimeError, match="still new"):
+        ann.build_graph(codes, space, 8)
+    beams = [ann.beam_of(n, 20) for n in (10, 10_000, 50_000, 1_000_000)]
+    assert beams == sorted(beams) and beams[1] == 192 and beams[2] > 256 and ann.beam_of(10, 300) > 300
