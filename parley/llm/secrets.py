@@ -35,6 +35,18 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNI = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _UNI_ONE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of base64 below one another: of one length but the last, which may be
+#: shorter. Line ends may be escaped, lines indented or quoted ("> ").
+_BREAK = r"[\x20\t]*(?:\r\n|\n|\r|\\r\\n|\\n)[\x20\t>]*"
+_B64_LINE = re.compile(r"\\[rn]|[A-Za-z0-9+/_-]+={0,2}")
+_B64_BREAK = re.compile(_BREAK)
+_B64_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}" + _BREAK + r"[A-Za-z0-9+/_-]")
+#: Printable runs of bytes that are no clean text are scanned if this long.
+MIN_RUN = 6
+
+_ODD = re.compile(r"[\x00-\x08\x0e-\x1f]")
+_PLAIN = re.compile(r"[\t-\r\x20-\x7e]{%d,}" % MIN_RUN)
+_PLAIN_16 = re.compile(r"(?:[\t-\r\x20-\x7e]\x00){%d,}|(?:\x00[\t-\r\x20-\x7e]){%d,}" % (MIN_RUN, MIN_RUN))
 
 Span = tuple[int, int, int]  # start, end, index of the kind
 
@@ -140,14 +152,36 @@ def _unwrap_unicode(layer: Layer) -> Layer | None:
     return layer.replaced(parts) if parts else None
 
 
-def _readable(raw: bytes) -> str | None:
-    """The text of decoded bytes, or None for what is not text."""
+def _texts(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """What decoded bytes may say: texts, and the first and the last byte of
+    each of their code points.
+
+    Clean UTF-8 is one text. Of other bytes, each run of ``MIN_RUN`` or more
+    printable ASCII characters is one, as bytes or as UTF-16 of either order:
+    all patterns and wrappings are ASCII, and so the same in UTF-8, Latin-1 and
+    other supersets of it."""
     try:
         text = raw.decode()
     except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text if ord(c) < 32 and c not in "\t\n\r\x0b\x0c")
-    return text if text and not odd else None
+        text = None
+    if text is not None and not _ODD.search(text):
+        if text:
+            end = np.cumsum(_utf8_width(text))
+            yield text, end - _utf8_width(text), end - 1
+        return
+    latin = raw.decode("latin-1")
+    for m in _PLAIN.finditer(latin):
+        at = np.arange(m.start(), m.end(), dtype=np.int64)
+        yield m[0], at, at
+    for m in _PLAIN_16.finditer(latin):  # as big or as little endian, by the zeros' side
+        odd = int(m[0][0] == "\0")
+        at = np.arange(m.start() + odd, m.end(), 2, dtype=np.int64)
+        yield m[0][odd::2], at, at
+
+
+def _utf8_width(text: str) -> np.ndarray:
+    size = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    return 1 + (size > 0x7F) + (size > 0x7FF) + (size > 0xFFFF).astype(np.int64)
 
 
 def _inflate(raw: bytes, limit: int) -> bytes | None:
@@ -160,9 +194,37 @@ def _inflate(raw: bytes, limit: int) -> bytes | None:
         return None
 
 
+def _tokens(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Base64 tokens and where each of their characters is: unbroken runs, and
+    runs of lines below one another that are joined."""
+    for m in _B64.finditer(text):
+        yield m[0], np.arange(m.start(), m.end(), dtype=np.int64)
+    if not _B64_WRAPPED.search(text):
+        return
+    lines: list[tuple[int, int]] = []
+    for m in _B64_LINE.finditer(text):
+        if m[0][0] == "\\":  # an escaped line end: its letter is not of the line
+            continue
+        if lines and _B64_BREAK.fullmatch(text, lines[-1][1], m.start()):
+            first, last = lines[0][1] - lines[0][0], lines[-1][1] - lines[-1][0]
+            if last == first and m.end() - m.start() <= first and text[lines[-1][1] - 1] != "=":
+                lines.append((m.start(), m.end()))
+                continue
+        yield from _wrapped(text, lines)
+        lines = [(m.start(), m.end())]
+    yield from _wrapped(text, lines)
+
+
+def _wrapped(text: str, lines: list[tuple[int, int]]) -> Iterator[tuple[str, np.ndarray]]:
+    if sum(b - a - text.count("=", a, b) for a, b in lines) % 4 == 1:  # the last is a word that follows
+        lines = lines[:-1]
+    if len(lines) > 1 and lines[0][1] - lines[0][0] >= 16:
+        yield "".join(text[a:b] for a, b in lines), np.concatenate([np.arange(a, b, dtype=np.int64) for a, b in lines])
+
+
 def _unwrap_base64(layer: Layer, limit: int) -> Iterator[Layer]:
-    for m in _B64.finditer(layer.text):
-        token = m[0].rstrip("=")
+    for found, at in _tokens(layer.text):
+        token = found.rstrip("=")
         if len(token) % 4 == 1:
             continue
         std = token.replace("-", "+").replace("_", "/")
@@ -170,26 +232,22 @@ def _unwrap_base64(layer: Layer, limit: int) -> Iterator[Layer]:
             raw = base64.b64decode(std + "=" * (-len(std) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        whole = layer.origin(m.start(), m.end())
-        packed = raw
+        starts, ends = layer.maps()
+        whole = int(starts[at].min()), int(ends[at].max())
+        packed, inner = raw, None
         for _ in range(32):  # compressed bytes within compressed bytes
             packed = _inflate(packed, limit)
             if packed is None:
                 break
-            if (text := _readable(packed)) is not None:
-                n = len(text)
-                yield Layer(text, np.full(n, whole[0], dtype=np.int64), np.full(n, whole[1], dtype=np.int64))
-                break
-        if (text := _readable(raw)) is None:
-            continue
-        size = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        width = 1 + (size > 0x7F) + (size > 0x7FF) + (size > 0xFFFF)
-        end = np.cumsum(width)
-        starts, ends = layer.maps()
-        # Byte i is in the characters 4 * (i // 3) + i % 3 and the next one.
-        first = m.start() + 4 * ((end - width) // 3) + (end - width) % 3
-        last = m.start() + 4 * ((end - 1) // 3) + (end - 1) % 3 + 1
-        yield Layer(text, starts[first], ends[np.minimum(last, m.end() - 1)])
+            inner = packed
+        for text, _, _ in _texts(inner) if inner is not None else ():
+            n = len(text)
+            yield Layer(text, np.full(n, whole[0], dtype=np.int64), np.full(n, whole[1], dtype=np.int64))
+        for text, low, high in _texts(raw):
+            # Byte i is in the characters 4 * (i // 3) + i % 3 and the next one.
+            first = at[4 * (low // 3) + low % 3]
+            last = at[np.minimum(4 * (high // 3) + high % 3 + 1, len(at) - 1)]
+            yield Layer(text, starts[first], ends[last])
 
 
 def secret_spans(text: str, inflate_limit: int = 1 << 26) -> tuple[list[Span], list[Span]]:

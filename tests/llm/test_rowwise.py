@@ -148,3 +148,34 @@ def test_clause_grammar():
     assert hit("she is not an idiot.") == ["negated"]
     assert hit("he said: scum. fine") == ["reported"]
     assert hit("nothing at all. ") == [] and hit("") == []
+
+
+def wrapped(raw, width, end="\n"):
+    s = base64.b64encode(raw).decode()
+    return end.join(s[i:i + width] for i in range(0, len(s), width))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  ", "\\n"])
+@pytest.mark.parametrize("width", [64, 76])
+def test_base64_over_several_lines(width, end):
+    noise = " ".join(hashlib.sha256(bytes([i])).hexdigest()[:9] for i in range(70))
+    for raw, head in ((gzip.compress(f"{noise} {KEY} {noise}".encode()), None), (f"{'x ' * 24}{KEY} {'y ' * 50}".encode(), 48)):
+        text = "see:\n" + wrapped(raw, width, end) + "\nend"
+        spans = [s for s in secret_spans(text)[1] if s[2] == 1]
+        if head is None:
+            assert spans == [(5, len(text) - 4, 1)]
+        else:
+            assert len(spans) == 1
+            a, b, _ = spans[0]
+            lines = re.sub(r"\\n|[^A-Za-z0-9+/=]", "", text[a:b])
+            assert KEY[1:-1].encode() in base64.b64decode(lines + "=" * (-len(lines) % 4)) or KEY[1:-1].encode() in raw
+            assert a >= 5 + 4 * (head // 3) and b - a <= 28 + len(end)
+
+
+@pytest.mark.parametrize("raw", [
+    f"é password=hunter22 {KEY}".encode("latin-1"), f"key\0{KEY}\0end".encode(), f"a {KEY} b".encode("utf-16"),
+    f"漢字 {KEY} 漢".encode("utf-16-be"), f"漢字 {KEY} 漢".encode("utf-16-le"), b"\x89PNG\x1a\n\xff" + KEY.encode() + b"\xfe\x00",
+    gzip.compress(f"é {KEY}".encode("latin-1")), base64.b64encode(f"{KEY} x".encode("utf-16"))])
+def test_secrets_in_bytes_that_are_no_clean_text(raw):
+    text = "x " + base64.b64encode(raw).decode() + " y"
+    assert any(k == 1 and 2 <= a < b <= len(text) - 2 for a, b, k in secret_spans(text)[1])
