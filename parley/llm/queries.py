@@ -190,3 +190,11 @@ def op10_topk(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
     queries = vectors.where(F.col("vec_id") % TOP_QUERY_MOD == 0).select(F.col("vec_id").alias("id"))
     return top_k(vectors, queries, TOP_K, TOP_SCALE)
+
+
+# ------------------------------------------------------------------ quality
+@register("op11_quality")
+def op11_quality(spark, sf_dir):
+    from parley.llm.quality import quality_filter
+    return quality_filter(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")

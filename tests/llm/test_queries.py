@@ -6,11 +6,11 @@ import corpus_pipeline
 from parley.llm import queries as Q
 from .test_corpus import brute_lines, brute_simhash, same
 
-WANTED = {f"op{n}_" for n in range(1, 11)}
+WANTED = {f"op{n}_" for n in range(1, 14)}
 
 
 def test_each_operator_has_one_query():
-    assert {n.split("_")[0] + "_" for n in Q.QUERIES} == WANTED and len(Q.QUERIES) == 10
+    assert {n.split("_")[0] + "_" for n in Q.QUERIES} == WANTED and len(Q.QUERIES) == 13
 
 
 def test_toxicity_on_held_out_documents(spark, sf_dir):
