@@ -198,3 +198,13 @@ def op11_quality(spark, sf_dir):
     from parley.llm.quality import quality_filter
     return quality_filter(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+# ----------------------------------------------------------------- spelling
+SPELLING_FACTOR = 10
+
+
+@register("op12_spelling")
+def op12_spelling(spark, sf_dir):
+    from parley.llm.spelling import spelling_forms, vocabulary
+    return spelling_forms(vocabulary(documents(spark, sf_dir)), SPELLING_FACTOR)
