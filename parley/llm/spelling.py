@@ -21,11 +21,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +33,12 @@ from parley.llm.common import text_or_empty, written
 
 #: Gram lengths, and marks put before and after a word. With two marks on each
 #: side a word of MIN_CHARS has MIN_CHARS + 2 grams, more than one edit reaches.
-SHORTEST, LONGEST, MARKS = 3, 8, 2
+SHORTEST, LONGEST, MARKS = 3, 6, 2
 MIN_CHARS = 7
-#: A gram that more places have is cut longer.
+#: A gram that more places have is cut longer; that many rise with the vocabulary
+#: so that the dictionary, which every task gets, never has over MAX_GRAMS grams.
 MOST_PLACES = 64
+MAX_GRAMS = 500_000
 #: One in so many (document, run) pairs, by hash, is misspelled.
 DROP_MOD = 31
 #: A task hands on its counts when it holds so many words or characters.
@@ -89,111 +91,141 @@ def vocabulary(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = 2)
         .groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 
-def places(words: DataFrame) -> DataFrame:
-    """``id, p, size, ahead``: for each place of each marked word the next
-    LONGEST characters; ``size`` is the marked word's length."""
-    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            at, p, size, ahead = [], [], [], []
-            for i, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                marked = "\x01" * MARKS + word + "\x02" * MARKS
-                n = len(marked) - SHORTEST + 1
-                at += [i] * n
-                p += range(n)
-                size += [len(marked)] * n
-                ahead += [marked[k:k + LONGEST] for k in range(n)]
-                if len(at) > 200_000:
-                    yield rows(at, p, size, ahead)
-                    at, p, size, ahead = [], [], [], []
-            yield rows(at, p, size, ahead)
-
-    def rows(at, p, size, ahead):
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(p, pa.int32()), pa.array(size, pa.int32()),
-                                           pa.array(ahead, pa.string())], names=["id", "p", "size", "ahead"])
-
-    return words.select("id", "word").mapInArrow(batches, "id long, p int, size int, ahead string")
-
-
-def decomposed(words: DataFrame, most: int = MOST_PLACES) -> DataFrame:
-    """``id, p, size, gram, n_places``: the gram of each place; ``n_places`` is
-    how many places have it, null if it is rare. The dictionary is grown level
-    by level: only the continuations of frequent grams are counted."""
-    now, done = places(words), []
-    for q in range(SHORTEST, LONGEST + 1):
-        now = written(now, f"grams-{q}")
-        keyed = now.withColumn("gram", F.substring("ahead", 1, q))
-        frequent = keyed.groupBy("gram").agg(F.count(F.lit(1)).alias("n_places")).where(F.col("n_places") > most)
-        told = keyed.join(frequent, "gram", "left")
-        longer = F.col("n_places").isNotNull() & (F.length("ahead") > q) if q < LONGEST else F.lit(False)
-        done.append(told.where(~longer).select("id", "p", "size", "gram", "n_places"))
-        now = told.where(longer).select("id", "p", "size", "ahead")
-    whole = done[0]
-    for part in done[1:]:
-        whole = whole.unionAll(part)
-    return whole
-
-
-def most_affected(word: np.ndarray, start: np.ndarray, length: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Of each word the most grams that one edit lies in. ``word`` numbers the
-    word of each gram, ``start`` and ``length`` say where it is in the marked
-    word, ``sizes`` are the marked words' lengths. Edits touch no marks."""
-    at = np.concatenate([[0], np.cumsum(sizes + 1)])
-    change = np.zeros(at[-1] + 1, dtype=np.int64)
-    np.add.at(change, at[word] + start, 1)
-    np.add.at(change, at[word] + start + length, -1)
-    cover = np.cumsum(change)
-    place = np.arange(len(cover)) - np.repeat(at, np.diff(np.append(at, len(cover))))
-    end = np.repeat(np.append(sizes, 0), np.diff(np.append(at, len(cover))))
-    cover[(place < MARKS) | (place >= end - MARKS)] = 0
-    return np.maximum.reduceat(cover, at[:-1]) if len(sizes) else np.zeros(0, dtype=np.int64)
-
-
-def listed(grams: DataFrame) -> DataFrame:
-    """``id, p, size, gram``: the first ``affected + 1`` grams of each word, the
-    rare ones first, then by how many places have them."""
+@dataclass(frozen=True)
+class Grams:
+    """The dictionary: the frequent grams of each length, in order, and how many
+    places have each. A gram is the number that its Latin-1 bytes make."""
+
+    most: int
+    grams: tuple[np.ndarray, ...] = ()
+    counts: tuple[np.ndarray, ...] = ()
+
+    def places_of(self, level: int, codes: np.ndarray) -> np.ndarray:
+        """How many places have each gram of SHORTEST + level bytes, 0 if it is rare."""
+        known = self.grams[level]
+        at = np.minimum(np.searchsorted(known, codes), max(0, len(known) - 1))
+        return np.where(known[at] == codes, self.counts[level][at], 0) if len(known) else np.zeros(len(codes), dtype=np.int64)
+
+
+@dataclass
+class Marked:
+    """A batch of words with their marks: ``text`` has all bytes, ``sizes`` the
+    marked words' lengths; ``start``, ``word`` and ``p`` say of each place where
+    it is in ``text``, in which word, and where in that."""
+
+    text: np.ndarray
+    sizes: np.ndarray
+    start: np.ndarray
+    word: np.ndarray
+    p: np.ndarray
+
+    @staticmethod
+    def of(words: list[str]) -> Marked:
+        marked = [b"\x01" * MARKS + w.encode("latin-1") + b"\x02" * MARKS for w in words]
+        sizes = np.array([len(m) for m in marked], dtype=np.int64)
+        n = np.maximum(0, sizes - SHORTEST + 1)
+        word = np.repeat(np.arange(len(words)), n)
+        p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        text = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.int64)
+        return Marked(text, sizes, p + np.repeat(np.cumsum(sizes) - sizes, n), word, p)
+
+    def codes(self, at: np.ndarray, length: int) -> np.ndarray:
+        code = np.zeros(len(at), dtype=np.int64)
+        for k in range(length):
+            code = (code << 8) | self.text[self.start[at] + k]
+        return code
+
+    def longer(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Of the places ``at``, those whose word goes on after ``length`` bytes."""
+        return at[self.p[at] + length < self.sizes[self.word[at]]]
+
+
+def decomposed(batch: Marked, known: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place its gram, the gram's length, how many places have it (0: it
+    is rare), and which places go on to the next level of the dictionary."""
+    n = len(batch.p)
+    gram, length, places = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    at = np.arange(n)
+    for level in range(len(known.grams)):
+        gram[at] = batch.codes(at, SHORTEST + level)
+        length[at] = SHORTEST + level
+        places[at] = known.places_of(level, gram[at])
+        at = batch.longer(at[places[at] > 0], SHORTEST + level)
+    return gram, length, places, at
+
+
+def dictionary(words: DataFrame, most: int = MOST_PLACES, max_grams: int = MAX_GRAMS) -> Grams:
+    """The gram dictionary, grown level by level: only what continues a frequent
+    gram is counted. A gram is frequent if more than ``most`` places have it, or
+    more than keeps the whole dictionary within ``max_grams`` grams."""
+    levels = LONGEST - SHORTEST + 1
+    places = words.agg(F.sum(F.length("word") + 2 * MARKS - SHORTEST + 1)).first()[0] or 0
+    known = Grams(max(most, -(-levels * places // max_grams)))
+    for level in range(levels):
+        def batches(frames: Iterator[pa.RecordBatch], level=level, known=known) -> Iterator[pa.RecordBatch]:
+            for frame in frames:
+                batch = Marked.of(frame.column(0).to_pylist())
+                gram, n = np.unique(batch.codes(decomposed(batch, known)[3], SHORTEST + level), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["gram", "n"])
+
+        rows = words.select("word").mapInArrow(batches, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")) \
+            .where(F.col("n") > known.most).toPandas().sort_values("gram")  # places / most at the most
+        known = Grams(known.most, (*known.grams, rows["gram"].to_numpy(dtype=np.int64)),
+                      (*known.counts, rows["n"].to_numpy(dtype=np.int64)))
+    return known
+
+
+def most_affected(batch: Marked, length: np.ndarray) -> np.ndarray:
+    """Of each word the most grams that one edit lies in. Edits touch no marks."""
+    first = np.cumsum(batch.sizes) - batch.sizes
+    change = np.zeros(len(batch.text) + 1, dtype=np.int64)
+    np.add.at(change, batch.start, 1)
+    np.add.at(change, batch.start + length, -1)
+    cover = np.cumsum(change)[:-1]
+    place = np.arange(len(cover)) - np.repeat(first, batch.sizes)
+    cover[(place < MARKS) | (place >= np.repeat(batch.sizes, batch.sizes) - MARKS)] = 0
+    return np.maximum.reduceat(cover, first) if len(first) else first
+
+
+def listed(words: DataFrame, known: Grams) -> DataFrame:
+    """``id, word, p, size, gram``: the first ``affected + 1`` grams of each word,
+    the rare ones first, then by how many places have them. Nothing is shuffled."""
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            starts, texts = batch.column(2), batch.column(3)
-            n = np.diff(starts.offsets.to_numpy())
-            word = np.repeat(np.arange(len(n)), n)
-            p, gram = starts.flatten().to_numpy(), texts.flatten()
-            sizes = batch.column(1).to_numpy()
-            most = most_affected(word, p, pa.compute.utf8_length(gram).to_numpy(), sizes)
-            rank = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-            keep = rank <= most[word]
+        for frame in frames:
+            batch = Marked.of(frame.column(1).to_pylist())
+            gram, length, places, _ = decomposed(batch, known)
+            order = np.lexsort((batch.p, gram, places, batch.word))
+            first = np.searchsorted(batch.word, np.arange(len(batch.sizes)))
+            at = order[np.arange(len(order)) - first[batch.word] <= most_affected(batch, length)[batch.word]]
+            word = pa.array(batch.word[at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(batch.column(0).to_numpy()[word[keep]]), pa.array(p[keep], pa.int32()),
-                 pa.array(sizes[word[keep]], pa.int32()), gram.filter(pa.array(keep))], names=["id", "p", "size", "gram"])
+                [frame.column(0).take(word), frame.column(1).take(word), pa.array(batch.p[at], pa.int32()),
+                 pa.array(batch.sizes[batch.word[at]], pa.int32()), pa.array(gram[at])], names=["id", "word", "p", "size", "gram"])
 
-    order = F.struct(F.coalesce("n_places", F.lit(0)).alias("n"), "gram", "p")
-    by_word = grams.groupBy("id", "size").agg(F.sort_array(F.collect_list(order)).alias("g"))
-    return by_word.select("id", "size", F.col("g.p").alias("p"), F.col("g.gram").alias("gram")) \
-        .mapInArrow(batches, "id long, p int, size int, gram string")
+    return words.select("id", "word").mapInArrow(batches, "id long, word string, p int, size int, gram long")
 
 
 def near_pairs(words: DataFrame, most: int = MOST_PLACES) -> DataFrame:
-    """``a, b`` and their ``a_word, a_n, b_word, b_n``, once each, of the words
-    (``id, word, n``, all of MIN_CHARS or more) that are one insertion, deletion
-    or replacement apart. A gram that very many words have makes a long list;
-    lists are split by place and length, and AQE splits those still skewed.
-    Only verified pairs leave the join."""
-    lists = listed(decomposed(words, most)).join(words, "id")
+    """``a, b`` with a < b, once each: the ids of words (``id, word``; all of
+    MIN_CHARS or more Latin-1 characters) that are one insertion, deletion or
+    replacement apart. Lists are split by place and length, and AQE splits those
+    still skewed; only verified pairs leave the join."""
+    lists = written(listed(words, dictionary(words, most)), "gram-lists")
     key = lambda p, size: F.xxhash64("gram", p, size)  # noqa: E731  (equal hashes are told apart by the distance)
     p, size = F.col("p"), F.col("size")
-    lists = written(lists.select("id", "word", "n", "p", "size", "gram"), "gram-lists")
-    index = lists.select(key(p, size).alias("k"), F.col("id").alias("b"), F.col("word").alias("b_word"), F.col("n").alias("b_n"))
-    probes = lists.select(F.col("id").alias("a"), F.col("word").alias("a_word"), F.col("n").alias("a_n"), F.explode(F.array(
+    index = lists.select(key(p, size).alias("k"), F.col("id").alias("there"), F.col("word").alias("there_word"))
+    probes = lists.select(F.col("id").alias("here"), F.col("word").alias("here_word"), F.explode(F.array(
         F.struct(key(p, size).alias("k"), F.lit(True).alias("same")),
         F.struct(key(p, size + 1).alias("k"), F.lit(False).alias("same")),
-        F.struct(key(p + 1, size + 1).alias("k"), F.lit(False).alias("same")))).alias("x")).select("x.*", "a", "a_word", "a_n")
-    met = probes.join(index, (probes["k"] == index["k"]) & (~F.col("same") | (F.col("a") < F.col("b")))
-                      & (F.levenshtein("a_word", "b_word", 1) == 1))
-    return met.select("a", "b", "a_word", "a_n", "b_word", "b_n").dropDuplicates(["a", "b"])
+        F.struct(key(p + 1, size + 1).alias("k"), F.lit(False).alias("same")))).alias("x")).select("x.*", "here", "here_word")
+    met = probes.join(index, (probes["k"] == index["k"]) & (~F.col("same") | (F.col("here") < F.col("there")))
+                      & (F.levenshtein("here_word", "there_word", 1) == 1))
+    return met.select(F.least("here", "there").alias("a"), F.greatest("here", "there").alias("b")).distinct()
 
 
 def spelling_forms(vocab: DataFrame, factor: int = 10, most: int = MOST_PLACES) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` of each row of ``vocab`` (``word,
-    n``; words are distinct, of MIN_CHARS characters or more).
+    n``; words are distinct, of MIN_CHARS Latin-1 characters or more).
 
     ``n_near`` counts the words one edit apart; ``form`` is the one with the
     largest n (ties: the smallest in code-point order) if that is ``factor``
@@ -201,17 +233,17 @@ def spelling_forms(vocab: DataFrame, factor: int = 10, most: int = MOST_PLACES)
     where following the forms ends, the word itself if it has none; n grows by
     ``factor`` each step, so there are no cycles. An empty table gives none.
     """
-    words = written(vocab.select("word", "n").withColumn("id", F.monotonically_increasing_id()), "vocabulary")
+    # Ids in the order in which a near word is preferred: the best is the least.
+    words = written(vocab.select("word", "n").orderBy(F.desc("n"), "word")
+                    .withColumn("id", F.monotonically_increasing_id()), "vocabulary")
     pairs = near_pairs(words, most)
-    both = pairs.select(F.explode(F.array(
-        F.struct(F.col("a").alias("id"), F.col("b").alias("other"), F.col("b_word").alias("w"), F.col("b_n").alias("m")),
-        F.struct(F.col("b").alias("id"), F.col("a").alias("other"), F.col("a_word").alias("w"), F.col("a_n").alias("m")))).alias("x")) \
-        .select("x.*")
-    near = both.groupBy("id").agg(F.count(F.lit(1)).alias("n_near"),
-                                  F.min(F.struct((-F.col("m")).alias("m"), "w", "other")).alias("best"))
-    near = written(words.join(near, "id", "left"), "near-words")
-    large = -F.col("best.m") >= factor * F.col("n")
-    forms = near.where(large).select("id", F.col("best.other").alias("root_id"), F.col("best.w").alias("root"))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")),
+                                          F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("x")).select("x.*")
+    near = both.groupBy("id").agg(F.count(F.lit(1)).alias("n_near"), F.min("other").alias("best"))
+    best = words.select(F.col("id").alias("best"), F.col("word").alias("form"), F.col("n").alias("form_n"))
+    near = written(words.join(near, "id", "left").join(best, "best", "left"), "near-words")
+    large = F.col("form_n") >= factor * F.col("n")
+    forms = near.where(large).select("id", F.col("best").alias("root_id"), F.col("form").alias("root"))
     # Each round follows twice as many forms.
     while True:
         forms = written(forms, "forms")
@@ -221,5 +253,5 @@ def spelling_forms(vocab: DataFrame, factor: int = 10, most: int = MOST_PLACES)
             break
         forms = step.select("id", F.coalesce("next_id", "root_id").alias("root_id"), F.coalesce("next", "root").alias("root"))
     return near.join(forms.select("id", "root"), "id", "left").select(
-        "word", F.when(large, F.col("best.w")).alias("form"), F.coalesce("root", "word").alias("root"), "n",
-        F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(large, -F.col("best.m")).alias("form_n"))
+        "word", F.when(large, F.col("form")).alias("form"), F.coalesce("root", "word").alias("root"), "n",
+        F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(large, F.col("form_n")).alias("form_n"))

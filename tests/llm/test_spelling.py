@@ -77,22 +77,35 @@ def test_near_words_whatever_the_dictionary(spark, most):
 
 def test_affected_grams_by_hand():
     # Marked word of 11 characters, grams of three: an inner edit lies in three.
-    start = np.arange(9)
-    got = S.most_affected(np.zeros(9, dtype=int), start, np.full(9, 3), np.array([11]))
-    assert got.tolist() == [3]
-    two = S.most_affected(np.array([0, 0, 1]), np.array([0, 1, 0]), np.array([8, 1, 2]), np.array([11, 11]))
-    assert two.tolist() == [1, 0]  # the second word's gram has marks only
-
-
-def test_each_word_has_more_grams_than_an_edit_affects(spark):
-    words = made_words(3)
-    df = spark.createDataFrame([(i, w, 2) for i, w in enumerate(words)], "id long, word string, n long")
-    rows = S.decomposed(df, 4).toPandas()
-    for i, w in enumerate(words):
-        own = rows[rows["id"] == i].sort_values("p")
-        assert own["p"].tolist() == list(range(len(w) + 2))
-        cover = [sum(p <= k < p + len(g) for p, g in zip(own["p"], own["gram"], strict=True)) for k in range(2, len(w) + 2)]
-        assert max(cover) < len(own)
+    batch = S.Marked.of(["abcdefg", "hijklmno"])
+    assert batch.sizes.tolist() == [11, 12] and batch.p.tolist() == [*range(9), *range(10)]
+    length = np.full(19, 3)
+    assert S.most_affected(batch, length).tolist() == [3, 3]
+    length[0], length[9:] = 6, 1
+    assert S.most_affected(batch, length).tolist() == [4, 1]
+
+
+@pytest.mark.parametrize("most,max_grams", [(4, 500_000), (1, 40)])
+def test_dictionary_and_decomposition(spark, most, max_grams):
+    words = sorted(made_words(3))
+    known = S.dictionary(spark.createDataFrame([(w,) for w in words], "word string").repartition(3), most, max_grams)
+    marked = ["\x01\x01" + w + "\x02\x02" for w in words]
+    grams = Counter(m[k:k + q] for m in marked for q in range(3, 7) for k in range(len(m) - q + 1))
+    assert sum(map(len, known.grams)) <= max_grams and known.most >= most
+    batch = S.Marked.of(words)
+    gram, length, places, _ = S.decomposed(batch, known)
+    covers = S.most_affected(batch, length)
+    for i, m in enumerate(marked):
+        own = np.flatnonzero(batch.word == i)
+        assert batch.p[own].tolist() == list(range(len(m) - 2))
+        for j in own:
+            k, q = batch.p[j], length[j]
+            g = m[k:k + q]
+            assert gram[j] == int.from_bytes(g.encode("latin-1"), "big")
+            assert places[j] == (grams[g] if grams[g] > known.most else 0)
+            assert q == 6 or k + q == len(m) or grams[g] <= known.most
+            assert q == 3 or grams[g[:-1]] > known.most
+        assert covers[i] < len(own)
 
 
 def test_documents_odd_rows(spark, odd_docs, odd_rows, no_docs):
