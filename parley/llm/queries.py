@@ -208,3 +208,10 @@ SPELLING_FACTOR = 10
 def op12_spelling(spark, sf_dir):
     from parley.llm.spelling import spelling_forms, vocabulary
     return spelling_forms(vocabulary(documents(spark, sf_dir)), SPELLING_FACTOR)
+
+
+# ---------------------------------------------------------------- whitening
+@register("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    from parley.llm.whitening import whiten
+    return whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
