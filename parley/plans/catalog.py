@@ -10,6 +10,7 @@ sides, so the work grows with the tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,11 @@ from parley.operators import settings as S
 from parley.operators import turns as T
 from parley.plans import flows as FL
 from parley.session import scratch_path, table
+from parley.sources import logstream as LG
 from parley.sources import logtext as LT
 from parley.sources import notebooks as NB
 from parley.streaming import stateful as ST
+from parley.streaming.enrich import stream_error_enrich
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -836,7 +839,7 @@ STREAM_CONF = {"spark.sql.streaming.stateStore.providerClass":
                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def _started(spark, writer):
+def _started(spark, writer, checkpoint=None):
     """Start a stream with its state in RocksDB and as many state partitions as
     the default parallelism: both are fixed when a stream starts (then kept in
     its checkpoint), so the session's settings are restored right after."""
@@ -845,7 +848,7 @@ def _started(spark, writer):
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
-        return writer.option("checkpointLocation", scratch_path(spark, "stream-ckpt")).start()
+        return writer.option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt")).start()
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -941,3 +944,60 @@ def q_revision_diff_stream(spark, sf):
         "maxFilesPerTrigger", _files_per_trigger(spark, src)).parquet(src)
     out = _run_to_parquet(spark, ST.stream_revision_diff(stream, doc="conv_id", version="turn"))
     return out.select("conv_id", "turn", "lines_added", "lines_removed")
+
+
+@register("log_records_stream", ORACLES["log_records"])
+def q_log_records_stream(spark, sf):
+    """All but the last record of each file in a first run; a second one, from
+    the first one's checkpoint, drains the files."""
+    path, out, ckpt = (scratch_path(spark, n) for n in ("log", "stream-out", "stream-ckpt"))
+    LT.log_write(_log_events(spark, sf), path, "w")
+    for drain in (False, True):
+        stream = LG.stream_growing_log(spark, path, drain=drain, partition_bytes=4 << 20)
+        _finished(_started(spark, stream.writeStream.format("parquet").option("path", out).outputMode("append"), ckpt))
+    return spark.read.parquet(out).select("ts", "level", "message")
+
+
+EXPLAIN_BEFORE_S, EXPLAIN_AFTER_S = 86_400, 21_600
+EXPLAIN_CODE_SQL = "CASE WHEN value < 50 THEN event_type || '()' ELSE '' END"
+
+
+@register("error_enrich_stream", f"""
+WITH r AS (SELECT event_id, user_id, ts, {LEVEL_SQL} AS level, {MESSAGE_SQL} AS message FROM events),
+x AS (SELECT user_id, ts AS ets, coalesce(props, '') AS completion, {EXPLAIN_CODE_SQL} AS code
+      FROM events WHERE event_type IN ('click', 'view')),
+m AS (SELECT r.event_id, x.* EXCLUDE (user_id) FROM r JOIN x ON r.level = 'ERROR' AND r.user_id = x.user_id
+      AND x.ets >= r.ts - INTERVAL {EXPLAIN_BEFORE_S} SECOND AND x.ets <= r.ts + INTERVAL {EXPLAIN_AFTER_S} SECOND),
+c AS (SELECT event_id, completion FROM m WHERE completion <> ''
+      QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ets DESC, completion DESC) = 1),
+k AS (SELECT event_id, code FROM m WHERE code <> ''
+      QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ets DESC, code DESC) = 1)
+SELECT r.event_id, r.user_id, r.level, CASE WHEN c.completion IS NOT NULL
+  THEN concat_ws(chr(10) || chr(10), r.message, c.completion, k.code) ELSE r.message END AS message
+FROM r LEFT JOIN c USING (event_id) LEFT JOIN k USING (event_id)""")
+def q_error_enrich_stream(spark, sf):
+    """Two streams of event-time slices; a last row of each moves the
+    watermarks past all others."""
+    ev = table(spark, sf, "events")
+    recs = ev.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
+                     F.expr(LEVEL_SQL).alias("level"), F.expr(MESSAGE_SQL).alias("message"))
+    expl = ev.where("event_type in ('click', 'view')").select(
+        "user_id", F.col("ts").cast("timestamp").alias("ets"), F.coalesce("props", F.lit("")).alias("completion"),
+        F.expr(EXPLAIN_CODE_SQL).alias("code"))
+    span = recs.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(
+        "a", "b", (F.unix_micros("b") - F.unix_micros("a")).alias("n")).first()
+    step = (span["n"] or 0) // 3 + 1
+    bounds = [span["a"] + timedelta(microseconds=step * i) for i in (1, 2)] if span["a"] else []
+    after = (span["b"] or datetime(2000, 1, 1)) + timedelta(days=3650)
+    sides = []
+    for df, ts, key, last in ((recs, "ts", "user_id", (None, None, after, "INFO", "end")),
+                              (expl, "ets", "user_id", (None, after, "end", ""))):
+        src = _stream_source(spark, df, ts, bounds, key)
+        spark.createDataFrame([last], df.schema).write.mode("append").parquet(src)
+        sides.append(spark.readStream.schema(df.schema).option(
+            "maxFilesPerTrigger", _files_per_trigger(spark, src, 4)).parquet(src))
+    # No row is later than the slice before its own.
+    out = _run_to_parquet(spark, stream_error_enrich(
+        *sides, key="event_id", session="user_id", explained="ets", before_s=EXPLAIN_BEFORE_S,
+        after_s=EXPLAIN_AFTER_S, delay_s=2 * step // 1_000_000 + 1))
+    return out.where("event_id is not null").select("event_id", "user_id", "level", "message")
