@@ -991,7 +991,7 @@ def q_error_enrich_stream(spark, sf):
     after = (span["b"] or datetime(2000, 1, 1)) + timedelta(days=3650)
     sides = []
     for df, ts, key, last in ((recs, "ts", "user_id", (None, None, after, "INFO", "end")),
-                              (expl, "ets", "user_id", (None, after, "end", ""))):
+                              (expl, "ets", "user_id", (-1, after, "end", ""))):
         src = _stream_source(spark, df, ts, bounds, key)
         spark.createDataFrame([last], df.schema).write.mode("append").parquet(src)
         sides.append(spark.readStream.schema(df.schema).option(

@@ -28,7 +28,8 @@ def stream_error_enrich(records: DataFrame, explanations: DataFrame, *, key: str
     than that is dropped. Errors and explanations that are later than the
     watermark (``delay_s``, ``explanations_delay_s`` behind the newest seen) are
     dropped, as Spark's stateful operators do. Other records, and errors without
-    time or session, pass by at once, without state.
+    time or session, pass by at once, without state. All records move their
+    watermark, and all explanations with a session theirs.
 
     Sessions are split by time: errors meet explanations by (session, bucket of
     ``before_s + after_s`` seconds), and an explanation goes to the one or two
@@ -39,21 +40,19 @@ def stream_error_enrich(records: DataFrame, explanations: DataFrame, *, key: str
     span = 1_000_000 * max(1, before_s + after_s)
     bucket = lambda micros: F.floor(micros / F.lit(span))
     at, gap = F.col("_ets"), lambda s: F.expr(f"interval '{s}' second")
-    # Each filter names the event time as a whole, so that Spark does not push a
-    # part of it below the watermark: all rows of a stream move its watermark.
-    usable = F.coalesce(at.isNotNull() & F.col("_s").isNotNull() & (
-        (F.coalesce("_c", F.lit("")) != "") | (F.coalesce("_code", F.lit("")) != "")), F.lit(False))
     e = explanations.select(F.col(session).alias("_s"), F.col(explained).alias("_ets"),
                             F.col(completion).alias("_c"), F.col(code).alias("_code")) \
-        .withWatermark("_ets", f"{delay_s if explanations_delay_s is None else explanations_delay_s} seconds") \
-        .where(usable)
-    e = e.withColumn("_b", F.explode(F.sequence(bucket(_micros(at) - F.lit(1_000_000 * after_s)),
-                                                bucket(_micros(at) + F.lit(1_000_000 * before_s)))))
-    told = records.withWatermark(ts, f"{delay_s} seconds")
-    joins = F.coalesce((F.col(level) == ERROR_LEVEL) & F.col(ts).isNotNull() & F.col(session).isNotNull(), F.lit(False))
-    errors = told.where(joins).withColumn("_eb", bucket(_micros(F.col(ts))))
-    met = errors.join(e, (F.col(session) == F.col("_s")) & (F.col("_eb") == F.col("_b"))
-                      & (at >= F.col(ts) - gap(before_s)) & (at <= F.col(ts) + gap(after_s)), "leftOuter")
+        .withWatermark("_ets", f"{delay_s if explanations_delay_s is None else explanations_delay_s} seconds")
+    # Which rows join is told by whether they have a bucket: a plain filter would
+    # be pushed below the watermark, and the rows it drops would not move that.
+    usable = (F.coalesce("_c", F.lit("")) != "") | (F.coalesce("_code", F.lit("")) != "")
+    e = e.withColumn("_b", F.explode(F.when(usable, F.sequence(bucket(_micros(at) - F.lit(1_000_000 * after_s)),
+                                                               bucket(_micros(at) + F.lit(1_000_000 * before_s))))))
+    joins = (F.col(level) == ERROR_LEVEL) & F.col(ts).isNotNull() & F.col(session).isNotNull()
+    told = records.withWatermark(ts, f"{delay_s} seconds").withColumn("_eb", F.when(joins, bucket(_micros(F.col(ts)))))
+    met = told.where(F.col("_eb").isNotNull()).join(
+        e, (F.col(session) == F.col("_s")) & (F.col("_eb") == F.col("_b"))
+        & (at >= F.col(ts) - gap(before_s)) & (at <= F.col(ts) + gap(after_s)), "leftOuter")
     rest = [c for c in records.columns if c not in (key, ts)]
     newest = lambda c: F.max(F.when(F.col(c) != "", F.struct(at, F.col(c))))[c]  # noqa: E731  (ties: the larger text)
     one = met.groupBy(key, ts).agg(F.first(F.struct(*rest)).alias("_r"), newest("_c").alias("_c"), newest("_code").alias("_code"))
@@ -61,4 +60,4 @@ def stream_error_enrich(records: DataFrame, explanations: DataFrame, *, key: str
         .otherwise(F.col(f"_r.`{message}`"))
     enriched = one.select(*[F.col(c) if c in (key, ts) else text.alias(c) if c == message else F.col(f"_r.`{c}`").alias(c)
                             for c in records.columns])
-    return enriched.unionByName(told.where(~joins).select(*records.columns))
+    return enriched.unionByName(told.where(F.col("_eb").isNull()).select(*records.columns))

@@ -101,3 +101,17 @@ def test_state_is_split_by_time_and_dropped(spark):
         assert sum(o["numRowsTotal"] for o in state) <= 4
     finally:
         s.query.stop()
+
+
+def test_all_rows_move_the_watermarks(spark):
+    """Records of no error level, and explanations without text, count too."""
+    s = Streams(spark, before_s=600, after_s=300, delay_s=60)
+    try:
+        s.add([(1, "a", 10, "ERROR", "e")], [("a", 9, "why", "")])
+        s.add([(2, "a", 60, "INFO", "end")], [("z", 60, "", "")])
+        assert s.told() == [(1, "e\n\nwhy"), (2, "end")]
+        s.add([(3, "b", 70, "ERROR", "f")], [("a", 71, "", None)])
+        s.add([(4, "b", 90, "ERROR", "g")], [("a", 91, "", None)])
+        assert s.told() == [(1, "e\n\nwhy"), (2, "end"), (3, "f")]  # only errors and empty explanations since
+    finally:
+        s.query.stop()
