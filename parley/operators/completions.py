@@ -86,7 +86,7 @@ def completion_log(answers: DataFrame, *, session: str = "session_id",
 
 def _only_in(a: str, b: str) -> Column:
     """Lines of ``a`` beyond those that ``b`` also has, counting repeats."""
-    la, lb = _lines(F.col(a)), _lines(F.col(b))
+    la, lb = text_lines(F.col(a)), text_lines(F.col(b))
     times = lambda lines, x: F.size(F.filter(lines, lambda y: y == x))
     return F.aggregate(F.array_distinct(la), F.lit(0).cast("bigint"),
                        lambda n, x: n + F.greatest(F.lit(0), times(la, x) - times(lb, x)))
@@ -112,7 +112,7 @@ def latest_nonempty(log: DataFrame, value: str, *, key: str = "session_id",
 
 
 # ---------------------------------------------------------------- O18 ----
-def _lines(text: Column) -> Column:
+def text_lines(text: Column) -> Column:
     """Lines as ``str.splitlines`` gives them; '' and NULL have none."""
     body = F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", "")
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")) \
@@ -134,7 +134,7 @@ def revision_diff(versions: DataFrame, *, doc: str = "doc_id",
         .select(F.col(doc).alias("_d0"), F.col(version).alias("_v0"), F.col("_v_prev").alias("_next"))
     v = versions.select(doc, version, text).join(
         nxt, F.col(doc).eqNullSafe(F.col("_d0")) & (F.col(version) == F.col("_v0")))
-    rows = v.select(doc, version, "_next", F.explode_outer(_lines(F.col(text))).alias("_line"))
+    rows = v.select(doc, version, "_next", F.explode_outer(text_lines(F.col(text))).alias("_line"))
     deltas = rows.select(
         doc, F.explode(F.array(
             F.struct(F.col(version).alias("v"), F.lit(1).alias("d")),

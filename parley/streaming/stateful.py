@@ -1,56 +1,137 @@
 """Structured Streaming forms of the per-session operators.
 
-* ``stream_prompt_kind`` (O9) and ``stream_context_at_turn`` (O3) keep one
-  small state per session/conversation with ``applyInPandasWithState``. Rows
-  of a micro-batch arrive unordered, so each group is sorted by its order
-  column inside the handler; a row whose order is not after the last one seen
-  is flagged ``late``, has NULL results and does not move the state. With ``idle_timeout_ms``
-  set, idle keys expire after that much processing time, which bounds the
-  state store (Spark then also runs empty batches to fire the timeouts).
+* ``stream_prompt_kind`` (O9), ``stream_context_at_turn`` (O3) and
+  ``stream_revision_diff`` (O18) keep a small typed state per session,
+  conversation or document with ``transformWithStateInPandas`` (the state store
+  must be RocksDB). A key's rows of a micro-batch come in chunks and in any
+  order. Each chunk is cut down to the few numbers that the rule needs (no
+  text), these are sorted, and the results go out in chunks; a row whose order
+  is not after the last one seen is flagged ``late``, has NULL results and does
+  not move the state.
+* With ``idle_timeout_ms`` a key's state is dropped after that much processing
+  time without rows: by the state's time to live where all of it is written
+  with every batch (O9), by a timer elsewhere.
 * ``stream_latest_nonempty`` (O17) is the batch ``max_by`` aggregate run in
   update mode: the order key decides, so late rows are harmless.
 
-Word counts and state keys are native expressions computed before the
-Python handler; the handler only walks the (bounded) state.
+Word counts, state digests and line digests are native expressions computed
+before the Python handlers; these only walk numbers.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
-import re
+import bisect
 from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from parley.functions.text import speaker_words
-from parley.operators.completions import latest_nonempty
+from parley.operators.completions import latest_nonempty, text_lines
 from parley.operators.prompts import CONTEXTFUL, CONTEXTLESS
 
+#: Rows in one chunk of results.
+CHUNK_ROWS = 10_000
 
 
-def _timeout_conf(idle_timeout_ms: int | None) -> str:
-    return "ProcessingTimeTimeout" if idle_timeout_ms else "NoTimeout"
+def _chunks(n: int) -> Iterator[slice]:
+    return (slice(i, min(i + CHUNK_ROWS, n)) for i in range(0, n, CHUNK_ROWS))
 
 
-# ------------------------------------------------------------- O9 stream --
-KIND_STATE = "last_key string, has_prev boolean, prev string"
+def _time_mode(idle_timeout_ms: int | None) -> str:
+    return "ProcessingTime" if idle_timeout_ms else "None"
+
+
+class _Idle(StatefulProcessor):
+    """A processor whose state is cleared by a timer after ``idle_ms`` without rows."""
 
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
 
-def _order_key(values) -> list:
-    """Comparable form of one row's order values (timestamps as integers)."""
-    out = []
-    for v in values:
-        if isinstance(v, pd.Timestamp):
-            v = v.value
-        elif hasattr(v, "item"):
-            v = v.item()
-        out.append(v)
-    return out
+    def postpone(self, now_ms: int) -> None:
+        if self.idle_ms:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(now_ms + int(self.idle_ms))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.forget()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+# ------------------------------------------------------------- O9 stream --
+class _KindProcessor(StatefulProcessor):
+    """State: the last order key, and the digest of the last answered state."""
+
+    def __init__(self, order_types: str, order: list[str], ttl_ms: int | None):
+        self.order_types, self.order, self.ttl_ms = order_types, order, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("kind", f"{self.order_types}, has_prev boolean, prev string", self.ttl_ms)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        order, digests, answered = [], [], []
+        for pdf in rows:  # a few numbers and 32 characters a row
+            order.append([pdf[c].to_numpy() for c in self.order])
+            digests.append(pdf["st"].to_numpy(dtype="U32"))
+            answered.append(pdf["answered"].fillna(False).to_numpy(dtype=bool))
+        cols = [np.concatenate([o[i] for o in order]) for i in range(len(self.order))]
+        at = np.lexsort(cols[::-1])
+        cols = [c[at] for c in cols]
+        digest, answered = np.concatenate(digests)[at], np.concatenate(answered)[at]
+        state = self.state.get() if self.state.exists() else None
+        n = len(at)
+        same = np.ones(n, dtype=bool)  # as the row before: late too
+        same[0] = False
+        for c in cols:
+            same[1:] &= c[1:] == c[:-1]
+        late = same
+        if state is not None:
+            last = tuple(_plain(x) for x in state[:len(cols)])
+            late[:bisect.bisect_right(range(n), last, key=lambda i: tuple(_plain(c[i]) for c in cols))] = True
+        counts = answered & ~late
+        before = np.maximum.accumulate(np.where(counts, np.arange(n), -1))
+        before = np.concatenate([[-1], before[:-1]])  # the last answered row before each
+        has_prev, prev = (bool(state[-2]), state[-1]) if state is not None else (False, None)
+        known = np.where(before >= 0, digest[before] == digest, has_prev & (digest == (prev or "")))
+        for part in _chunks(n):
+            out = pd.DataFrame({c: v[part] for c, v in zip(self.order, cols, strict=True)})
+            out.insert(0, "session", [key[0]] * len(out))
+            kind = np.where(known[part], CONTEXTLESS, CONTEXTFUL).astype(object)
+            kind[late[part]] = None
+            yield out.assign(prompt_kind=kind, late=late[part])
+        if counts.any():
+            has_prev, prev = True, str(digest[np.flatnonzero(counts)[-1]])
+        if not late.all():
+            self.state.update((*(_python(c[-1]) for c in cols), has_prev, prev))
+        elif self.ttl_ms:
+            self.state.update(tuple(state))
+
+
+def _plain(x):
+    """A comparable form of an order value."""
+    if isinstance(x, np.datetime64):
+        return pd.Timestamp(x).value
+    if hasattr(x, "timestamp") and not isinstance(x, (int, float, str)):
+        return pd.Timestamp(x).tz_localize(None).value
+    return x.item() if hasattr(x, "item") else x
+
+
+def _python(x):
+    """An order value as the state keeps it."""
+    if isinstance(x, np.datetime64):
+        return pd.Timestamp(x).to_pydatetime()
+    return x.item() if hasattr(x, "item") else x
 
 
 def stream_prompt_kind(events: DataFrame, *, session: str = "session_id",
@@ -58,55 +139,99 @@ def stream_prompt_kind(events: DataFrame, *, session: str = "session_id",
                        answered: str | Column = "answered",
                        idle_timeout_ms: int | None = None) -> DataFrame:
     """Streaming O9: ``session, <seq columns>, prompt_kind, late`` per
-    question, ordered by ``seq`` (one or several columns, compared in order).
+    question, ordered by ``seq`` (one or several columns, compared in order; not
+    NULL).
 
-    The state compared is ``to_json(struct(state))`` so a NULL state and a
-    missing state differ; the last order key seen is kept as a JSON list."""
+    The state compared is the 128-bit digest of ``to_json(struct(state))``, so a
+    NULL state and a missing state differ. Kept per session: the last order key
+    and the digest of the last answered state."""
     order = [seq] if isinstance(seq, str) else list(seq)
     ans = F.col(answered) if isinstance(answered, str) else answered
-    inp = events.select(F.col(session).alias("session"), *[F.col(c) for c in order],
-                        F.to_json(F.struct(*[F.col(c) for c in state])).alias("st"),
+    types = {c: events.schema[c].dataType.simpleString() for c in order}
+    # Times travel as microseconds: exact, and alike in rows and in the state.
+    times = {c: t for c, t in types.items() if t in ("timestamp", "timestamp_ntz", "date")}
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if c in times else F.col(c)
+    inp = events.select(F.col(session).alias("session"), *[micros(c).alias(c) for c in order],
+                        F.md5(F.to_json(F.struct(*[F.col(c) for c in state]))).alias("st"),
                         ans.alias("answered"))
-    key_type = inp.schema["session"].dataType.simpleString()
-    out_schema = ", ".join([f"session {key_type}"] +
-                           [f"{c} {inp.schema[c].dataType.simpleString()}" for c in order] +
-                           ["prompt_kind string", "late boolean"])
-
-    def step(key, pdfs: Iterator[pd.DataFrame], gs: GroupState):
-        if gs.hasTimedOut:
-            gs.remove()
-            return
-        last_s, has_prev, prev = (gs.get if gs.exists else (None, False, None))
-        last = json.loads(last_s) if last_s else None
-        rows = pd.concat(list(pdfs)).sort_values(order, kind="stable")
-        kinds, lates = [], []
-        for vals, st, ok in zip(rows[order].itertuples(index=False, name=None),
-                                rows["st"], rows["answered"]):
-            k = _order_key(vals)
-            late = last is not None and k <= last
-            # A late question's state is gone: it has no kind.
-            kinds.append(None if late else CONTEXTLESS if has_prev and st == prev else CONTEXTFUL)
-            lates.append(bool(late))
-            if not late:
-                last = k
-                if ok:
-                    has_prev, prev = True, st
-        gs.update((json.dumps(last), has_prev, prev))
-        if idle_timeout_ms:
-            gs.setTimeoutDuration(int(idle_timeout_ms))
-        out = rows[order].reset_index(drop=True)
-        out.insert(0, "session", key[0])
-        out["prompt_kind"] = kinds
-        out["late"] = lates
-        yield out
-
-    return inp.groupBy("session").applyInPandasWithState(
-        step, out_schema, KIND_STATE, "append", _timeout_conf(idle_timeout_ms))
+    typed = ", ".join(f"{c} {inp.schema[c].dataType.simpleString()}" for c in order)
+    out = inp.groupBy("session").transformWithStateInPandas(
+        _KindProcessor(typed, order, int(idle_timeout_ms) if idle_timeout_ms else None),
+        f"session {inp.schema['session'].dataType.simpleString()}, {typed}, prompt_kind string, late boolean",
+        "append", _time_mode(idle_timeout_ms))
+    return out.select("session", *[F.timestamp_micros(c).cast(times[c]).alias(c) if c in times else F.col(c) for c in order],
+                      "prompt_kind", "late")
 
 
 # ------------------------------------------------------------- O3 stream --
-CONTEXT_STATE = ("has_pinned boolean, w0 long, last_turn long, most long, "
-                 "kept_turns array<long>, kept_words array<long>")
+class _ContextProcessor(_Idle):
+    """State: a few numbers, and the kept turns with their words as a list that
+    is appended to while nothing is dropped from it."""
+
+    def __init__(self, key: str, order: str, idle_ms: int | None):
+        super().__init__(idle_ms)
+        self.key, self.order = key, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "w0 long, last long, most long")
+        self.kept = handle.getListState("kept", "turn long, words long")
+
+    def forget(self) -> None:
+        self.seen.clear()
+        self.kept.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [pdf[["t", "is_user", "n", "lim"]].fillna({"lim": 0, "is_user": False}).to_numpy(dtype=np.int64) for pdf in rows]
+        row = np.concatenate(parts)  # four numbers a row
+        row = row[np.argsort(row[:, 0], kind="stable")]
+        w0, last, most = self.seen.get() if self.seen.exists() else (None, None, 0)
+        kept = deque((int(t), int(w)) for t, w in self.kept.get()) if w0 is not None else deque()
+        total, dropped, fresh = sum(w for _, w in kept), 0, len(kept)
+        out: list[tuple] = []
+
+        def trim(limit: int) -> None:
+            nonlocal total, dropped
+            while w0 + total > limit and len(kept) > 1:
+                total -= kept.popleft()[1]
+                dropped += 1
+
+        for i in range(len(row)):
+            t, is_user, n, limit = (int(x) for x in row[i])
+            if last is not None and t <= last:
+                out.append((t, None, None, None, None, True))
+            else:
+                last, most = t, max(most, limit)
+                if w0 is None:
+                    w0 = n
+                    if is_user:
+                        out.append((t, None, 1, w0, "overflow" if w0 > limit else "ok", False))
+                else:
+                    kept.append((t, n))
+                    total += n
+                    if is_user:
+                        trim(limit)
+                        out.append((t, kept[0][0], len(kept) + 1, w0 + total, "overflow" if w0 + total > limit else "ok", False))
+                    elif len(kept) % 1024 == 0:
+                        trim(most)  # never more kept turns than the largest limit has words
+            if len(out) >= CHUNK_ROWS:
+                yield self.told(key, out)
+                out = []
+        trim(most)
+        if w0 is not None:
+            self.seen.update((w0, last, most))
+            if dropped:
+                self.kept.put(list(kept)) if kept else self.kept.clear()
+            elif len(kept) > fresh:
+                self.kept.appendList([kept[i] for i in range(fresh, len(kept))])
+        self.postpone(timerValues.getCurrentProcessingTimeInMs() if self.idle_ms else 0)
+        if out:
+            yield self.told(key, out)
+
+    def told(self, key, rows: list[tuple]) -> pd.DataFrame:
+        df = pd.DataFrame(rows, columns=[self.order, "first_kept", "turns_sent", "words", "status", "late"])
+        df.insert(0, self.key, [key[0]] * len(df))
+        return df.astype({"first_kept": "Int64", "turns_sent": "Int64", "words": "Int64"})
 
 
 def stream_context_at_turn(turns: DataFrame, limit: int | Column, *, key: str = "conv_id",
@@ -115,63 +240,20 @@ def stream_context_at_turn(turns: DataFrame, limit: int | Column, *, key: str =
                            idle_timeout_ms: int | None = None) -> DataFrame:
     """Streaming O3: per user turn ``conv_id, turn, first_kept, turns_sent,
     words, status, late``. ``limit`` may be a column: each user turn has its
-    own. State: the pinned row's words and the kept turns with their words. It
-    is trimmed whenever it is saved, also between user turns, to what fits the
-    largest limit met so far (each turn has a word at least, so that many
-    turns, and the newest), so a later turn cannot bring back what did not fit
-    then. Late turns have NULL results and are in no later context."""
+    own (NULL: 0). State: the pinned row's words and the kept turns with their
+    words. They are trimmed whenever they are saved, also between user turns, to
+    what fits the largest limit met so far (each turn has a word at least, so
+    that many turns, and the newest), so a later turn cannot bring back what did
+    not fit then. Late turns have NULL results and are in no later context."""
     lim_col = limit if isinstance(limit, Column) else F.lit(limit)
     inp = turns.select(F.col(key).alias("k"), F.col(order).cast("long").alias("t"),
                        (F.col(role) == user_role).alias("is_user"),
                        speaker_words("text").alias("n"), lim_col.cast("long").alias("lim"))
-    key_type = inp.schema["k"].dataType.simpleString()
-    out_schema = (f"{key} {key_type}, {order} long, first_kept long, turns_sent long, "
-                  f"words long, status string, late boolean")
-
-    def step(k, pdfs: Iterator[pd.DataFrame], gs: GroupState):
-        if gs.hasTimedOut:
-            gs.remove()
-            return
-        has_pinned, w0, last, most, kt, kw = gs.get if gs.exists else (False, 0, None, 0, (), ())
-        kept = deque(zip(kt, kw, strict=True))
-        total = sum(kw)
-        rows = pd.concat(list(pdfs)).sort_values("t", kind="stable")
-        out = []
-
-        def trim(limit: int) -> None:
-            nonlocal total
-            while w0 + total > limit and len(kept) > 1:
-                total -= kept.popleft()[1]
-
-        for t, is_user, n, limit in zip(rows["t"], rows["is_user"], rows["n"], rows["lim"], strict=True):
-            t, n, limit = int(t), int(n), 0 if pd.isna(limit) else int(limit)
-            if last is not None and t <= last:
-                out.append((t, None, None, None, None, True))
-                continue
-            last, most = t, max(most, limit)
-            if not has_pinned:
-                has_pinned, w0 = True, n
-                if is_user:
-                    out.append((t, None, 1, w0, "overflow" if w0 > limit else "ok", False))
-                continue
-            kept.append((t, n))
-            total += n
-            if is_user:
-                trim(limit)
-                out.append((t, kept[0][0], len(kept) + 1, w0 + total,
-                            "overflow" if w0 + total > limit else "ok", False))
-        trim(most)
-        gs.update((has_pinned, w0, last, most, [k for k, _ in kept], [w for _, w in kept]))
-        if idle_timeout_ms:
-            gs.setTimeoutDuration(int(idle_timeout_ms))
-        if out:
-            df = pd.DataFrame(out, columns=[order, "first_kept", "turns_sent", "words",
-                                            "status", "late"])
-            df.insert(0, key, k[0])
-            yield df.astype({"first_kept": "Int64", "turns_sent": "Int64", "words": "Int64"})
-
-    return inp.groupBy("k").applyInPandasWithState(
-        step, out_schema, CONTEXT_STATE, "append", _timeout_conf(idle_timeout_ms))
+    inp = inp.withColumn("lim", F.coalesce("lim", F.lit(0))).withColumn("is_user", F.coalesce("is_user", F.lit(False)).cast("int"))
+    out = (f"{key} {inp.schema['k'].dataType.simpleString()}, {order} long, first_kept long, turns_sent long, "
+           f"words long, status string, late boolean")
+    return inp.groupBy("k").transformWithStateInPandas(
+        _ContextProcessor(key, order, idle_timeout_ms), out, "append", _time_mode(idle_timeout_ms))
 
 
 # ------------------------------------------------------------ O17 stream --
@@ -192,20 +274,51 @@ def stream_settings_upsert(changes: DataFrame, *, owner: str = "owner", key: str
 
 
 # ------------------------------------------------------------ O18 stream --
-# Same line breaks as the batch form (functions.text.LINE_BREAK).
-_BREAK = re.compile("\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]")
-DIFF_STATE = "last_version long, counts string"
-
-
-def _line_counts(text) -> Counter:
-    """How often each line is in the text, by the line's hash."""
-    if text is None or text == "":
-        return Counter()
-    body = text
-    m = _BREAK.search(body, max(0, len(body) - 2))  # one final break is not a line
-    if m and m.end() == len(body):
-        body = body[:m.start()]
-    return Counter(hashlib.blake2b(line.encode(), digest_size=12).hexdigest() for line in _BREAK.split(body))
+class _DiffProcessor(_Idle):
+    """State: the last version, and a map from each line's digest to how often
+    the version has it. Only the lines that a batch changed are written."""
+
+    def __init__(self, doc: str, version: str, idle_ms: int | None):
+        super().__init__(idle_ms)
+        self.doc, self.version = doc, version
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "version long")
+        self.lines = handle.getMapState("lines", "line string", "n long")
+
+    def forget(self) -> None:
+        self.last.clear()
+        self.lines.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found: list[tuple[int, Counter]] = []
+        for pdf in rows:  # digests, counted version by version
+            found += [(int(v), Counter(x)) for v, x in zip(pdf["v"], pdf["x"], strict=True)]
+        found.sort(key=lambda r: r[0])
+        last = self.last.get()[0] if self.last.exists() else None
+        stored = {k[0]: int(n[0]) for k, n in self.lines.iterator()} if last is not None else {}
+        prev: dict[str, int] = stored
+        out = []
+        for v, cur in found:
+            if last is not None and v <= last:
+                out.append((v, None, None, True))
+                continue
+            out.append((v, sum(max(n - prev.get(line, 0), 0) for line, n in cur.items()),
+                        sum(max(n - cur.get(line, 0), 0) for line, n in prev.items()), False))
+            last, prev = v, cur
+        if prev is not stored:
+            self.last.update((last,))
+            for line in stored.keys() - prev.keys():
+                self.lines.removeKey((line,))
+            for line, n in prev.items():
+                if stored.get(line) != n:
+                    self.lines.updateValue((line,), (n,))
+        self.postpone(timerValues.getCurrentProcessingTimeInMs() if self.idle_ms else 0)
+        for part in _chunks(len(out)):
+            df = pd.DataFrame(out[part], columns=[self.version, "lines_added", "lines_removed", "late"])
+            df.insert(0, self.doc, [key[0]] * len(df))
+            yield df.astype({"lines_added": "Int64", "lines_removed": "Int64"})
 
 
 def stream_revision_diff(versions: DataFrame, *, doc: str = "doc_id",
@@ -213,38 +326,12 @@ def stream_revision_diff(versions: DataFrame, *, doc: str = "doc_id",
                          idle_timeout_ms: int | None = None) -> DataFrame:
     """Streaming O18: ``doc, version, lines_added, lines_removed, late`` per
     version, against the previous version seen for the document. State: a
-    hash and a count of each line of the latest version, not the lines. Late
-    versions have NULL counts."""
+    128-bit digest and a count of each line of the latest version, not the
+    lines; a new version writes the lines that it changed. Late versions have
+    NULL counts."""
     inp = versions.select(F.col(doc).alias("d"), F.col(version).cast("long").alias("v"),
-                          F.col(text).alias("x"))
-    key_type = inp.schema["d"].dataType.simpleString()
-    out_schema = (f"{doc} {key_type}, {version} long, lines_added long, "
-                  f"lines_removed long, late boolean")
-
-    def step(k, pdfs: Iterator[pd.DataFrame], gs: GroupState):
-        if gs.hasTimedOut:
-            gs.remove()
-            return
-        last, counts = gs.get if gs.exists else (None, None)
-        prev = Counter(json.loads(counts)) if counts else Counter()
-        rows = pd.concat(list(pdfs)).sort_values("v", kind="stable")
-        out = []
-        for v, x in zip(rows["v"], rows["x"]):
-            v = int(v)
-            if last is not None and v <= last:
-                out.append((v, None, None, True))
-                continue
-            cur = _line_counts(x)
-            added = sum(max(n - prev.get(line, 0), 0) for line, n in cur.items())
-            removed = sum(max(n - cur.get(line, 0), 0) for line, n in prev.items())
-            out.append((v, added, removed, False))
-            last, prev = v, cur
-        gs.update((last, json.dumps(prev)))
-        if idle_timeout_ms:
-            gs.setTimeoutDuration(int(idle_timeout_ms))
-        df = pd.DataFrame(out, columns=[version, "lines_added", "lines_removed", "late"])
-        df.insert(0, doc, k[0])
-        yield df.astype({"lines_added": "Int64", "lines_removed": "Int64"})
-
-    return inp.groupBy("d").applyInPandasWithState(
-        step, out_schema, DIFF_STATE, "append", _timeout_conf(idle_timeout_ms))
+                          F.transform(text_lines(F.col(text)), F.md5).alias("x"))
+    out = (f"{doc} {inp.schema['d'].dataType.simpleString()}, {version} long, lines_added long, "
+           f"lines_removed long, late boolean")
+    return inp.groupBy("d").transformWithStateInPandas(
+        _DiffProcessor(doc, version, idle_timeout_ms), out, "append", _time_mode(idle_timeout_ms))

@@ -1,7 +1,9 @@
 """Stream = batch: the same table fed as ordered micro-batches gives the
 batch operator's answer."""
+import time
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import completions as C
@@ -26,6 +28,15 @@ def _files(spark, df, bounds, col):
     return src
 
 
+@pytest.fixture(autouse=True)
+def rocksdb(spark):
+    """Typed state needs this state store."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(key)
+
+
 def _run(spark, sdf, mode="append"):
     name = "q" + uuid.uuid4().hex[:8]
     q = (sdf.writeStream.format("memory").queryName(name).outputMode(mode)
@@ -210,3 +221,115 @@ def test_row_wise_operators_on_a_stream(spark):
                lambda d: L.route_turns(d, "completion"), lambda d: L.strip_lines(d, "code", out="kept"),
                lambda d: L.redact_secrets(d, "code", 'token = "([^"]+)"', 1, keys=("id",))):
         assert _run(spark, op(read())).collect() == op(df).collect() != []
+
+
+def test_a_million_rows_of_one_key_in_a_batch(spark):
+    """Questions, turns and versions of one key, in any order, in one batch;
+    then a second batch that goes on from the state."""
+    n = 1_000_000
+    rows = spark.range(n).select(
+        F.lit("hot").alias("session_id"), F.col("id").alias("seq"), (F.col("id") % 7 < 4).alias("answered"),
+        F.concat(F.lit("s"), F.floor(F.col("id") / 3)).alias("state"))
+    src = scratch_path(spark, "stream-src")
+    rows.where(F.col("seq") < n - 10).orderBy(F.xxhash64("seq")).coalesce(1).write.parquet(src)
+    rows.where(F.col("seq") >= n - 10).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = _run(spark, S.stream_prompt_kind(stream))
+    assert got.count() == n and not got.where("late").count()
+    # By hand: the same state as the last answered question before it?
+    state = lambda i: i // 3
+    want, last = 0, None
+    for i in range(n):
+        want += last is not None and state(i) == state(last)
+        last = i if i % 7 < 4 else last
+    assert got.where("prompt_kind = 'contextless'").count() == want
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") % 5 == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit("w w").alias("text"))
+    src = scratch_path(spark, "stream-src")
+    turns.orderBy(F.xxhash64("turn")).coalesce(1).write.parquet(src)
+    got = _run(spark, S.stream_context_at_turn(spark.readStream.schema(turns.schema).parquet(src), 303))
+    assert got.count() == n // 5
+    # Each turn has three words: the pinned one and 100 more fit.
+    assert got.where("turn >= 100 and first_kept = turn - 99 and words = 303 and status = 'ok'").count() == n // 5 - 20
+
+
+def test_orders_of_several_columns_and_times(spark):
+    rows = [("a", "2024-01-01 00:00:00.000001", "x", "s", True), ("a", "2024-01-01 00:00:00.000001", "y", "s", False),
+            ("a", "2024-01-01 00:00:00.000002", "a", "t", True), ("b", "1969-12-31 23:59:59.999999", "", None, True)]
+    later = [("a", "2024-01-01 00:00:00.000002", "b", "t", True), ("a", "2024-01-01 00:00:00.000001", "z", "t", True),
+             ("b", "1970-01-01 00:00:00", "", None, None), ("b", "1970-01-01 00:00:00", "", "late twin", None)]
+    schema = "session_id string, at string, part string, state string, answered boolean"
+    for kind in ("timestamp", "timestamp_ntz"):
+        src = scratch_path(spark, "stream-src")
+        for batch in (rows, later):
+            df = spark.createDataFrame(batch, schema).withColumn("at", F.col("at").cast(kind))
+            df.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        got = {(r.session, str(r.at), r.part, r.late): r.prompt_kind
+               for r in _run(spark, S.stream_prompt_kind(stream, seq=("at", "part"))).collect()}
+        assert got == {("a", "2024-01-01 00:00:00.000001", "x", False): "contextful",
+                       ("a", "2024-01-01 00:00:00.000001", "y", False): "contextless",
+                       ("a", "2024-01-01 00:00:00.000002", "a", False): "contextful",
+                       ("a", "2024-01-01 00:00:00.000002", "b", False): "contextless",
+                       ("a", "2024-01-01 00:00:00.000001", "z", True): None,
+                       ("b", "1969-12-31 23:59:59.999999", "", False): "contextful",
+                       ("b", "1970-01-01 00:00:00", "", False): "contextless",
+                       ("b", "1970-01-01 00:00:00", "", True): None}
+
+
+def _in_steps(spark, schema, steps, make, wait_s):
+    """The rows of each step as a file; a pause after each."""
+    src, name = scratch_path(spark, "stream-src"), "q" + uuid.uuid4().hex[:8]
+    spark.createDataFrame(steps[0], schema).coalesce(1).write.parquet(src)
+    q = (make(spark.readStream.schema(schema).parquet(src)).writeStream.format("memory").queryName(name)
+         .option("checkpointLocation", scratch_path(spark, "stream-ckpt")).start())
+    try:
+        q.processAllAvailable()
+        for rows in steps[1:]:
+            time.sleep(wait_s)
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.table(name).collect()
+
+
+def test_idle_state_is_dropped(spark):
+    """After the pause a session, a conversation and a document start anew;
+    rows of another key in between don't keep them."""
+    rows = _in_steps(spark, "session_id string, seq long, state string, answered boolean",
+                     [[("a", 1, "s", True)], [("b", 1, "s", True)], [("a", 2, "s", True)]],
+                     lambda df: S.stream_prompt_kind(df, idle_timeout_ms=1500), 1.2)
+    assert {(r.session, r.seq): r.prompt_kind for r in rows} == {("a", 1): "contextful", ("b", 1): "contextful", ("a", 2): "contextful"}
+    rows = _in_steps(spark, "conv_id long, turn long, role string, text string",
+                     [[(1, 0, "system", "x y"), (1, 1, "user", "z")], [(2, 0, "user", "w")], [(1, 2, "user", "v")]],
+                     lambda df: S.stream_context_at_turn(df, 100, idle_timeout_ms=1500), 1.5)
+    assert {(r.conv_id, r.turn): r.words for r in rows} == {(1, 1): 5, (2, 0): 2, (1, 2): 2}
+    rows = _in_steps(spark, "doc_id long, version long, text string",
+                     [[(1, 1, "a\nb")], [(2, 1, "a")], [(1, 2, "a\nb")]],
+                     lambda df: S.stream_revision_diff(df, idle_timeout_ms=1500), 1.5)
+    assert {(r.doc_id, r.version): (r.lines_added, r.lines_removed) for r in rows} == {(1, 1): (2, 0), (2, 1): (1, 0), (1, 2): (2, 0)}
+
+
+def test_a_version_writes_only_the_lines_it_changed(spark):
+    """10,000 lines; each later version changes two. Counts go on from the state."""
+    lines = [f"line {i}" for i in range(10_000)]
+    versions = [(1, 0, "\n".join(lines))]
+    for v in range(1, 5):
+        lines[v], lines[-v] = f"new {v}", "line 7"
+        versions.append((1, v, "\n".join(lines)))
+    schema = "doc_id long, version long, text string"
+    src, name = scratch_path(spark, "stream-src"), "q" + uuid.uuid4().hex[:8]
+    for row in versions:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(src)
+    q = (S.stream_revision_diff(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src))
+         .writeStream.format("memory").queryName(name).option("checkpointLocation", scratch_path(spark, "stream-ckpt")).start())
+    try:
+        q.processAllAvailable()
+        updated = [sum(o["numRowsUpdated"] for o in p["stateOperators"]) for p in q.recentProgress if p["numInputRows"]]
+    finally:
+        q.stop()
+    got = {r.version: (r.lines_added, r.lines_removed) for r in spark.table(name).collect()}
+    assert got == {0: (10_000, 0), **{v: (2, 2) for v in range(1, 5)}}
+    assert updated[0] >= 10_000 and max(updated[1:]) < 10
