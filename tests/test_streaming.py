@@ -279,17 +279,25 @@ def test_orders_of_several_columns_and_times(spark):
 
 
 def _in_steps(spark, schema, steps, make, wait_s):
-    """The rows of each step as a file; a pause after each."""
+    """The rows of each step as a file, a pause after each. With timers Spark
+    runs batches all the time, so what is waited for is one result a step."""
     src, name = scratch_path(spark, "stream-src"), "q" + uuid.uuid4().hex[:8]
     spark.createDataFrame(steps[0], schema).coalesce(1).write.parquet(src)
     q = (make(spark.readStream.schema(schema).parquet(src)).writeStream.format("memory").queryName(name)
-         .option("checkpointLocation", scratch_path(spark, "stream-ckpt")).start())
+         .trigger(processingTime="200 milliseconds").option("checkpointLocation", scratch_path(spark, "stream-ckpt")).start())
+
+    def told(n):
+        until = time.time() + 60
+        while spark.table(name).count() < n and q.isActive and time.time() < until:
+            time.sleep(0.1)
+        assert spark.table(name).count() == n
+
     try:
-        q.processAllAvailable()
-        for rows in steps[1:]:
+        told(1)
+        for i, rows in enumerate(steps[1:], 2):
             time.sleep(wait_s)
             spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-            q.processAllAvailable()
+            told(i)
     finally:
         q.stop()
     return spark.table(name).collect()
