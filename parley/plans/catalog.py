@@ -27,6 +27,7 @@ from parley.sources import logtext as LT
 from parley.sources import notebooks as NB
 from parley.streaming import stateful as ST
 from parley.streaming.enrich import stream_error_enrich
+from parley.streaming.requests import complete_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1001,3 +1002,16 @@ def q_error_enrich_stream(spark, sf):
         *sides, key="event_id", session="user_id", explained="ets", before_s=EXPLAIN_BEFORE_S,
         after_s=EXPLAIN_AFTER_S, delay_s=2 * step // 1_000_000 + 1))
     return out.where("event_id is not null").select("event_id", "user_id", "level", "message")
+
+
+@register("batch_complete_stream", ORACLES["batch_complete"])
+def q_batch_complete_stream(spark, sf):
+    prompts = table(spark, sf, "conversations").where(F.col("role") == "user") \
+        .select("conv_id", "turn", F.col("text").alias("prompt"))
+    src = _stream_source(spark, prompts, "turn", [2, 4], "conv_id")
+    stream = spark.readStream.schema(prompts.schema).option(
+        "maxFilesPerTrigger", _files_per_trigger(spark, src)).parquet(src)
+    journal, out = scratch_path(spark, "journal"), scratch_path(spark, "stream-out")
+    _finished(_started(spark, stream.writeStream.foreachBatch(
+        lambda batch, number: complete_batch(batch, number, journal_path=journal, out=out))))
+    return spark.read.option("recursiveFileLookup", True).parquet(out)
