@@ -41,8 +41,24 @@ def turn_words(turns: DataFrame, text: str = "text",
 
 
 # ---------------------------------------------------------------- O2 -----
+def kept_turns(words: DataFrame, *, key: str = "conv_id", order: str = "turn", limit: str = "limit",
+               parts: int | None = None) -> DataFrame:
+    """The rows of ``words`` (``key, order, n_words, limit`` and what else is to
+    travel with them; no text) that O2 keeps, and their ``status``."""
+    s = ordered_scan(words, key, order, sums=["n_words"],
+                     firsts=["n_words", order], lasts=["n_words", order], parts=parts)
+    lim = F.col(limit)
+    w0 = F.col("n_words_first")
+    suffix = F.col("n_words_total") - F.col("n_words_run") + F.col("n_words")
+    single = F.col(f"{order}_first") == F.col(f"{order}_last")
+    overflow = F.when(single, w0 > lim).otherwise(w0 + F.col("n_words_last") > lim)
+    keep = ((F.col(order) == F.col(f"{order}_first")) |
+            (F.col(order) == F.col(f"{order}_last")) | (w0 + suffix <= lim))
+    return s.where(keep).select(*words.columns, F.when(overflow, "overflow").otherwise("ok").alias("status"))
+
+
 def history_truncate(turns: DataFrame, limit, *, key: str = "conv_id",
-                     order: str = "turn", parts: int | None = None) -> DataFrame:
+                     order: str = "turn", parts: int | None = None, keyed: bool = False) -> DataFrame:
     """Final history of each conversation after dropping the oldest
     non-pinned turns until it fits ``limit`` words.
 
@@ -50,19 +66,27 @@ def history_truncate(turns: DataFrame, limit, *, key: str = "conv_id",
     last row, or ``w_first + suffix_words(k) <= limit``. ``status`` is
     ``overflow`` when the first and last rows alone exceed the limit (a lone
     row: when it exceeds it), else ``ok``. ``limit`` may be a column.
+
+    The scan carries key, order and word count only; the kept rows then get
+    their other columns by a join on key and order, so no dropped text goes
+    further than the table's scan, and a hot conversation is spread by its
+    turns. ``keyed`` says that neither key nor order is NULL: over a table of
+    ``save_turns`` the texts are then not shuffled at all.
     """
-    t = turn_words(turns)
-    s = ordered_scan(t, key, order, sums=["n_words"],
-                     firsts=["n_words", order], lasts=["n_words", order], parts=parts)
-    lim = _lim(limit)
-    w0 = F.col("n_words_first")
-    suffix = F.col("n_words_total") - F.col("n_words_run") + F.col("n_words")
-    single = F.col(f"{order}_first") == F.col(f"{order}_last")
-    overflow = F.when(single, w0 > lim).otherwise(w0 + F.col("n_words_last") > lim)
-    keep = ((F.col(order) == F.col(f"{order}_first")) |
-            (F.col(order) == F.col(f"{order}_last")) | (w0 + suffix <= lim))
-    return s.where(keep).select(*turns.columns, "n_words",
-                                F.when(overflow, "overflow").otherwise("ok").alias("status"))
+    narrow = turns.select(F.col(key), F.col(order), speaker_words("text").alias("n_words"), _lim(limit).alias("_limit"))
+    kept = kept_turns(narrow, key=key, order=order, limit="_limit", parts=parts).select(
+        F.col(key).alias("_k"), F.col(order).alias("_o"), "n_words", "status")
+    same = F.col(key) == F.col("_k"), F.col(order) == F.col("_o")
+    if not keyed:
+        same = F.col(key).eqNullSafe(F.col("_k")), F.col(order).eqNullSafe(F.col("_o"))
+    return turns.join(kept, same[0] & same[1]).select(*turns.columns, "n_words", "status")
+
+
+def save_turns(turns: DataFrame, table: str, buckets: int, *, key: str = "conv_id", order: str = "turn") -> None:
+    """Save turns as a table bucketed and sorted by key and order, so that O2
+    joins kept rows to their texts without shuffling these. ``buckets``: so
+    many that one of them suits a task."""
+    turns.write.bucketBy(buckets, key, order).sortBy(key, order).mode("overwrite").saveAsTable(table)
 
 
 # ---------------------------------------------------------------- O3 -----
@@ -189,7 +213,7 @@ def model_limits(df: DataFrame, models: DataFrame, *, model: str = "model",
 
 # ---------------------------------------------------------------- O4 -----
 def budget_status(turns: DataFrame, models: DataFrame, *, key: str = "conv_id",
-                  model: str = "model", max_tokens: int = 0,
+                  order: str = "turn", model: str = "model", max_tokens: int = 0,
                   parts: int | None = None) -> DataFrame:
     """Per conversation: truncate to its model's hard budget (O2), then
     ``overflow`` (pinned + last alone exceed it), ``warn`` (remaining words
@@ -199,9 +223,11 @@ def budget_status(turns: DataFrame, models: DataFrame, *, key: str = "conv_id",
     limits come from a join with the model table; the output row of
     a conversation comes from the same partially aggregated ``groupBy`` (the
     model and its limits are constant within a conversation, so grouping by
-    them too changes nothing and keeps the aggregate a HashAggregate)."""
-    t = model_limits(turns, models, model=model, max_tokens=max_tokens)
-    kept = history_truncate(t, F.col("hard_limit"), key=key, parts=parts)
+    them too changes nothing and keeps the aggregate a HashAggregate). Texts are
+    counted in the scan and go no further."""
+    words = turns.select(F.col(key), F.col(order), F.col(model), speaker_words("text").alias("n_words"))
+    t = model_limits(words, models, model=model, max_tokens=max_tokens)
+    kept = kept_turns(t, key=key, order=order, limit="hard_limit", parts=parts)
     per = kept.groupBy(key, model, "context_window", "hard_limit", "soft_limit").agg(
         F.sum("n_words").cast("bigint").alias("words_kept"),
         F.count(F.lit(1)).alias("turns_kept"),

@@ -31,6 +31,37 @@ def test_truncation_plan(spark, sf_dir):
     assert "unboundedpreceding$(), currentrow$()" in plan
 
 
+def test_truncation_scans_no_text(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from parley.operators import turns as T
+    from parley.session import table
+    conv = table(spark, sf_dir, "conversations")
+    narrow = conv.select("conv_id", "turn", T.speaker_words("text").alias("n_words"), F.lit(200).alias("limit"))
+    kept = T.kept_turns(narrow)
+    assert "text" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in _plan(spark, sf_dir, "budget_status").replace("Context", "").replace("context_window", "")
+
+
+def test_truncation_of_a_bucketed_table_shuffles_no_text(spark, sf_dir):
+    from parley.operators import turns as T
+    from parley.session import table
+    conv = table(spark, sf_dir, "conversations")
+    T.save_turns(conv, "turns_by_bucket", 4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = T.history_truncate(spark.table("turns_by_bucket"), 200, keyed=True)
+        assert sorted(df.collect()) == sorted(T.history_truncate(conv, 200).collect())
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        lines = [x for x in plan.splitlines() if "Exchange" in x or "SortMergeJoin" in x or "FileScan" in x or "Scan parquet" in x]
+        # Above the texts of the first join there is no exchange, only above the kept rows.
+        join = next(i for i, x in enumerate(lines) if "SortMergeJoin" in x)
+        assert "Scan parquet" in lines[join + 1] or "FileScan" in lines[join + 1], lines[:6]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("drop table turns_by_bucket")
+
+
 def test_context_at_turn_reads_no_text(spark, sf_dir):
     plan = _plan(spark, sf_dir, "context_at_turn")
     assert "text" not in plan                   # words are counted once, before the range partitioning

@@ -136,3 +136,10 @@ def test_context_at_turn_column_limit(spark, sf_dir):
         rows.sort()
         for turn, v in replay.context_replay(rows, lim[cid % 3]).items():
             assert got[(cid, turn)] == v
+
+
+def test_truncation_keeps_conversations_without_a_key(spark):
+    rows = [(None, 0, "system", "a"), (None, 1, "user", "b c"), (None, 2, "user", "d"), (1, 0, "user", "x"), (1, 1, "user", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(((r.conv_id or -1, r.turn, r.text, r.n_words, r.status) for r in T.history_truncate(df, 4).collect()))
+    assert got == [(-1, 0, "a", 2, "ok"), (-1, 2, "d", 2, "ok"), (1, 0, "x", 2, "ok"), (1, 1, "y", 2, "ok")]
