@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, DataType, MapType,
+                               NumericType, StringType, StructField, StructType)
 
 from parley.functions.text import (LINE_BREAK, MULTI_BLOCK_PREFIX, code_blocks,
                                    explanation, join_code_blocks)
@@ -84,12 +85,28 @@ def completion_log(answers: DataFrame, *, session: str = "session_id",
                     *[F.col(f"_keep.{c}").alias(c) for c in keep])
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _numbered(lines: Column) -> Column:
+    """Each line with how often it came before, as text: all are different.
+    One sort; runs of equal lines are counted from where they start."""
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
+        return _let(starts, lambda at: F.flatten(F.transform(at, lambda i, j: F.transform(
+            F.sequence(F.lit(0), F.coalesce(F.get(at, j + 1), F.size(s)) - i - 1),
+            lambda k: F.concat(k.cast("string"), F.lit(":"), F.get(s, i))))))
+
+    return _let(F.sort_array(lines), runs)
+
+
 def _only_in(a: str, b: str) -> Column:
-    """Lines of ``a`` beyond those that ``b`` also has, counting repeats."""
+    """Lines of ``a`` beyond those that ``b`` also has, counting repeats: a sort
+    of each and one hash lookup a line. A NULL text has no lines."""
     la, lb = text_lines(F.col(a)), text_lines(F.col(b))
-    times = lambda lines, x: F.size(F.filter(lines, lambda y: y == x))
-    return F.aggregate(F.array_distinct(la), F.lit(0).cast("bigint"),
-                       lambda n, x: n + F.greatest(F.lit(0), times(la, x) - times(lb, x)))
+    return F.size(F.array_except(_numbered(la), _numbered(lb))).cast("bigint")
 
 
 # Fixed value: text stored when the model returns only whitespace.
@@ -97,15 +114,33 @@ EMPTY_ANSWER = "Sorry, I don't know. Can you try rephrasing your question?"
 
 
 # ---------------------------------------------------------------- O17 ----
+def is_useful(v: Column, dt: DataType) -> Column:
+    """Whether a value says something: not NULL, and by its type not an empty
+    text, binary, array or map, not zero and not false. NaN, times and structs
+    (with fields) always do. Never NULL."""
+    if isinstance(dt, (StringType, BinaryType)):
+        ok = F.length(v) > 0
+    elif isinstance(dt, (ArrayType, MapType)):
+        ok = F.size(v) > 0
+    elif isinstance(dt, NumericType):
+        ok = v != F.lit(0).cast(dt)
+    elif isinstance(dt, BooleanType):
+        ok = v
+    else:
+        ok = F.lit(not (isinstance(dt, StructType) and not dt.fields))
+    return v.isNotNull() & ok
+
+
 def latest_nonempty(log: DataFrame, value: str, *, key: str = "session_id",
                     order: tuple[str, ...] = ("seq",), newest: bool = True,
                     out: str = "latest") -> DataFrame:
-    """Newest (or oldest) non-empty ``value`` per key; NULL when none.
+    """Newest (or oldest) useful ``value`` per key; NULL when none. See
+    ``is_useful``: an empty text, list or map, zero and false are not.
 
     ``max_by``/``min_by`` with the condition inside: partial aggregation
     before the shuffle, one row per key and partition exchanged."""
     v = F.col(value)
-    good = v.isNotNull() & (v.cast("string") != "")
+    good = is_useful(v, log.schema[value].dataType)
     ordkey = F.when(good, F.struct(*[F.col(o) for o in order]))
     agg = F.max_by if newest else F.min_by
     return log.groupBy(key).agg(agg(F.when(good, v), ordkey).alias(out))

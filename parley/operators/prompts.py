@@ -172,7 +172,9 @@ def _float_repr(c: Column) -> Column:
                           F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))),
                                  F.lit("0")))
     return (F.when(F.isnan(d), F.lit("nan")).when(d == float("inf"), F.lit("inf"))
-            .when(d == float("-inf"), F.lit("-inf")).when(~F.contains(s, F.lit("E")), s)
+            .when(d == float("-inf"), F.lit("-inf"))
+            .when(F.abs(d) == 5e-324, F.concat(sign, F.lit("5e-324")))  # the JVM tells two digits at least
+            .when(~F.contains(s, F.lit("E")), s)
             .otherwise(F.concat(sign, F.when((e >= 0) & (e < 16), above).when((e < 0) & (e >= -4), below)
                                 .otherwise(scientific))))
 
@@ -209,11 +211,20 @@ def _scalar_repr(c: Column, dt: T.DataType) -> Column:
         r = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(
             _scalar_repr(e["key"], dt.keyType), F.lit(": "), _scalar_repr(e["value"], dt.valueType))), ", "),
             F.lit("}"))
+    elif isinstance(dt, T.StructType):
+        r = F.concat(F.lit("{"), F.concat_ws(", ", *[e["whole"] for e in _field_items(c, dt)]), F.lit("}"))
     else:
         r = F.lit(f"<{dt.simpleString()}>")
     return F.when(c.isNull(), F.lit("None")).otherwise(r)
 
 
+def _field_items(c: Column, dt: T.StructType) -> list[dict[str, Column]]:
+    """A struct's fields as the items of a map from names: ``name: value`` and
+    the pair that a cut map shows."""
+    told = [(quote(F.lit(f.name)), _scalar_repr(c.getField(f.name), f.dataType)) for f in dt.fields]
+    return [{"whole": F.concat(n, F.lit(": "), v), "pair": F.concat(F.lit("("), n, F.lit(", "), v, F.lit(")"))} for n, v in told]
+
+
 def _scalar_len(c: Column, dt: T.DataType) -> Column:
     """Length of ``_scalar_repr``; for texts without building the quoted text."""
     if isinstance(dt, T.StringType):
@@ -293,6 +304,16 @@ def preview_map(c: Column, key: T.DataType, value: T.DataType,
         _seq_preview(F.map_entries(c), (kv, pair), ln, "dict", "{", "}", max_len))
 
 
+def preview_struct(c: Column, dt: T.StructType, max_len: int = PREVIEW_MAX_LEN) -> Column:
+    """Bounded text of a struct, as of a map from its fields' names."""
+    if not dt.fields:
+        return F.when(c.isNull(), F.lit("None")).otherwise(F.lit("{}"))
+    items = F.array(*[F.struct(e["whole"].alias("whole"), e["pair"].alias("pair")) for e in _field_items(c, dt)])
+    return F.when(c.isNull(), F.lit("None")).otherwise(_seq_preview(
+        items, (lambda e: e["whole"], lambda e: e["pair"]), lambda e: F.length(e["whole"]).cast("bigint"),
+        "dict", "{", "}", max_len))
+
+
 def preview(c: Column, dt: T.DataType, max_len: int = PREVIEW_MAX_LEN) -> Column:
     if isinstance(dt, T.StringType):
         return preview_string(c, max_len)
@@ -300,14 +321,16 @@ def preview(c: Column, dt: T.DataType, max_len: int = PREVIEW_MAX_LEN) -> Column
         return preview_array(c, dt.elementType, max_len)
     if isinstance(dt, T.MapType):
         return preview_map(c, dt.keyType, dt.valueType, max_len)
+    if isinstance(dt, T.StructType):
+        return preview_struct(c, dt, max_len)
     return _value_preview(c, dt, max_len)
 
 
 def bounded_preview(df: DataFrame, cols: Sequence[str], *, max_len: int = PREVIEW_MAX_LEN,
                     suffix: str = "_preview") -> DataFrame:
     """Add ``{c}_preview`` for each column: strings, numbers, booleans,
-    dates and times, arrays and maps of them, nested too; any other type is
-    told by its name."""
+    dates and times, arrays, maps and structs of them, nested too (a struct is
+    told as a map from its fields' names); any other type is told by its name."""
     sch = {f.name: f.dataType for f in df.schema.fields}
     return df.select("*", *[preview(F.col(c), sch[c], max_len).alias(c + suffix)
                             for c in cols])

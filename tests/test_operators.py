@@ -1,5 +1,8 @@
 from collections import defaultdict
+from datetime import date
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import completions as C
@@ -196,3 +199,31 @@ def test_completion_log_counts_changed_lines(spark):
            for r in C.completion_log(df, old_code="old").collect()}
     assert got[1][:4] == ("b\nc", "a\nb\nb", 2, 1) and got[2][1:4] == ("", 0, 0)
     assert got[3][4] == C.EMPTY_ANSWER
+
+
+def test_completion_log_counts_many_lines_in_time(spark):
+    """20,000 lines, repeats among them, counted as a multiset difference."""
+    import random
+    import time
+    from collections import Counter
+    r = random.Random(3)
+    new = [f"x{r.randrange(9000)}" for _ in range(20_000)]
+    old = [f"x{r.randrange(9000)}" for _ in range(20_000)] + ["", "1:x5"]
+    df = spark.createDataFrame([(1, 1, "why\n```\n" + "\n".join(new) + "\n```", "\n".join(old))],
+                               "session_id int, seq int, completion string, old string")
+    began = time.time()
+    got = C.completion_log(df, old_code="old").first()
+    assert time.time() - began < 30
+    assert (got.lines_added, got.lines_removed) == ((Counter(new) - Counter(old)).total(), (Counter(old) - Counter(new)).total())
+
+
+@pytest.mark.parametrize("kind,values,want", [
+    ("map<string,string>", [{"a": "b"}, {}, None], {"a": "b"}), ("array<int>", [[0], [], None], [0]),
+    ("bigint", [5, 0, None], 5), ("double", [float("nan"), 0.0, -0.0], float("nan")), ("boolean", [True, False, None], True),
+    ("string", ["0", "", None], "0"), ("binary", [b"x", b"", None], b"x"), ("decimal(9,2)", [Decimal("0.10"), Decimal("0.00"), None], Decimal("0.10")),
+    ("struct<a: int>", [(None,), None, None], (None,)), ("date", [date(1970, 1, 1), None, None], date(1970, 1, 1))])
+def test_latest_useful_value_by_type(spark, kind, values, want):
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], f"session_id int, seq int, v {kind}")
+    got = C.latest_nonempty(df, "v").first().latest
+    assert got == want or (got != got and want != want)
+    assert C.latest_nonempty(df.where("seq > 0"), "v").first().latest is None
