@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,9 +43,14 @@ _B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _BREAK = r"[\x20\t]*(?:\r\n|\n|\r|\\r\\n|\\n)[\x20\t>]*"
 _B64_LINE = re.compile(r"\\[rn]|[A-Za-z0-9+/_-]+={0,2}")
 _B64_BREAK = re.compile(_BREAK)
-_B64_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}" + _BREAK + r"[A-Za-z0-9+/_-]")
-#: Printable runs of bytes that are no clean text are scanned if this long.
-MIN_RUN = 6
+_B64_END = re.compile(r"\n|\r|\\[rn]")
+_B64_TAIL = re.compile(r"[A-Za-z0-9+/_-]{16}={0,2}\Z")
+#: Printable runs of bytes that are no clean text are scanned if this long: the
+#: shortest hit ("token=" and six characters) has that many, wrapped ones more.
+MIN_RUN = 12
+#: Inflated bytes are read in windows of WINDOW, each with the last OVERLAP bytes
+#: of the one before, so a layer of any size is read in bounded memory.
+WINDOW, OVERLAP = 1 << 26, 1 << 20
 
 _ODD = re.compile(r"[\x00-\x08\x0e-\x1f]")
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e]{%d,}" % MIN_RUN)
@@ -77,6 +85,12 @@ class Layer:
             return start, end
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
+    def behind(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends in the original for pieces from one code point to another."""
+        if self.starts is None:
+            return first, last + 1
+        return self.starts[first], self.ends[last]
+
     def maps(self) -> tuple[np.ndarray, np.ndarray]:
         if self.starts is None:
             at = np.arange(len(self.text), dtype=np.int64)
@@ -184,14 +198,69 @@ def _utf8_width(text: str) -> np.ndarray:
     return 1 + (size > 0x7F) + (size > 0x7FF) + (size > 0xFFFF).astype(np.int64)
 
 
-def _inflate(raw: bytes, limit: int) -> bytes | None:
-    """Of a gzip or zlib stream: its bytes, up to ``limit``."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        return None
+#: Starts of gzip, zlib and bzip2 streams.
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]\x31\x41\x59\x26\x53\x59", re.S)
+
+
+def _gzip_header(raw: bytes, at: int) -> int:
+    """Where the data of the gzip member at ``at`` start."""
+    if len(raw) < at + 10:
+        return len(raw)
+    flags, pos = raw[at + 3], at + 10
+    if flags & 4:
+        pos += 2 + int.from_bytes(raw[pos:pos + 2], "little")
+    for bit in (8, 16):
+        if flags & bit:
+            end = raw.find(b"\0", pos)
+            pos = len(raw) if end < 0 else end + 1
+    return pos + 2 if flags & 2 else pos
+
+
+def _inflated(raw: bytes, start: int, make) -> Iterator[tuple[bytes, int]]:
+    """Windows of the stream whose data start at ``start``, and where it ends: 0
+    with all but the last window, and if it breaks off or does not end. What
+    comes before a fault is told; checksums are not looked at."""
+    stream, held, pos, fresh = make(), b"", start, False
     try:
-        return zlib.decompressobj(wbits=47).decompress(raw, limit) or None
-    except zlib.error:
-        return None
+        while not stream.eof and pos < len(raw) + 1:
+            rest = getattr(stream, "unconsumed_tail", b"")
+            if not rest and pos < len(raw) and getattr(stream, "needs_input", True):
+                rest, pos = raw[pos:pos + (1 << 16)], pos + (1 << 16)
+            room = WINDOW - len(held)
+            more = stream.decompress(rest, room)
+            if not more and not rest:
+                break
+            held, fresh = held + more if held else more, fresh or bool(more)
+            if len(held) >= WINDOW:
+                yield held, 0
+                held, fresh = held[-OVERLAP:], False
+    except (zlib.error, OSError, ValueError):
+        pass
+    end = min(pos, len(raw)) - len(stream.unused_data) if stream.eof else 0
+    if fresh:
+        yield held, end
+
+
+def _unpacked(raw: bytes) -> Iterator[bytes]:
+    """Windows of all compressed streams in some bytes: gzip members, zlib and
+    bzip2 streams wherever they start, and bytes that are one raw deflate stream."""
+    import bz2
+    raw_deflate = lambda: zlib.decompressobj(-15)
+    pos, found = 0, False
+    while m := _PACKED.search(raw, pos):
+        pos = m.start() + 1
+        kind = raw[m.start()]
+        start = _gzip_header(raw, m.start()) if kind == 0x1F else m.start() + 2 if kind == 0x78 else m.start()
+        for window, end in _inflated(raw, start, bz2.BZ2Decompressor if kind == 0x42 else raw_deflate):
+            found = True
+            yield window
+            pos = max(pos, end)
+    if not found and len(raw) > 8:
+        windows = _inflated(raw, 0, raw_deflate)
+        first = next(windows, None)
+        if first is not None and (first[1] == len(raw) or first[1] == 0 and len(first[0]) >= WINDOW):
+            yield first[0]
+            yield from (w for w, _ in windows)
 
 
 def _tokens(text: str) -> Iterator[tuple[str, np.ndarray]]:
@@ -199,7 +268,7 @@ def _tokens(text: str) -> Iterator[tuple[str, np.ndarray]]:
     runs of lines below one another that are joined."""
     for m in _B64.finditer(text):
         yield m[0], np.arange(m.start(), m.end(), dtype=np.int64)
-    if not _B64_WRAPPED.search(text):
+    if not any(_ends_a_line(text, m.start()) for m in _B64_END.finditer(text)):
         return
     lines: list[tuple[int, int]] = []
     for m in _B64_LINE.finditer(text):
@@ -215,6 +284,13 @@ def _tokens(text: str) -> Iterator[tuple[str, np.ndarray]]:
     yield from _wrapped(text, lines)
 
 
+def _ends_a_line(text: str, at: int) -> bool:
+    """Whether a line of base64 ends at the line break there."""
+    while at and text[at - 1] in "\x20\t":
+        at -= 1
+    return _B64_TAIL.search(text, max(0, at - 18), at) is not None
+
+
 def _wrapped(text: str, lines: list[tuple[int, int]]) -> Iterator[tuple[str, np.ndarray]]:
     if sum(b - a - text.count("=", a, b) for a, b in lines) % 4 == 1:  # the last is a word that follows
         lines = lines[:-1]
@@ -222,61 +298,93 @@ def _wrapped(text: str, lines: list[tuple[int, int]]) -> Iterator[tuple[str, np.
         yield "".join(text[a:b] for a, b in lines), np.concatenate([np.arange(a, b, dtype=np.int64) for a, b in lines])
 
 
-def _unwrap_base64(layer: Layer, limit: int) -> Iterator[Layer]:
+def _unwrap_base64(layer: Layer) -> Iterator[Layer | Packed]:
+    """What base64 tokens say. A token may begin with characters that are not of
+    it (a path, a name) and end with one too many, so it is read from each of
+    its first four characters: one of these readings is in step."""
     for found, at in _tokens(layer.text):
-        token = found.rstrip("=")
-        if len(token) % 4 == 1:
-            continue
-        std = token.replace("-", "+").replace("_", "/")
-        try:
-            raw = base64.b64decode(std + "=" * (-len(std) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        starts, ends = layer.maps()
-        whole = int(starts[at].min()), int(ends[at].max())
-        packed, inner = raw, None
-        for _ in range(32):  # compressed bytes within compressed bytes
-            packed = _inflate(packed, limit)
-            if packed is None:
-                break
-            inner = packed
-        for text, _, _ in _texts(inner) if inner is not None else ():
-            n = len(text)
-            yield Layer(text, np.full(n, whole[0], dtype=np.int64), np.full(n, whole[1], dtype=np.int64))
-        for text, low, high in _texts(raw):
-            # Byte i is in the characters 4 * (i // 3) + i % 3 and the next one.
-            first = at[4 * (low // 3) + low % 3]
-            last = at[np.minimum(4 * (high // 3) + high % 3 + 1, len(at) - 1)]
-            yield Layer(text, starts[first], ends[last])
-
-
-def secret_spans(text: str, inflate_limit: int = 1 << 26) -> tuple[list[Span], list[Span]]:
+        token = found.rstrip("=").replace("-", "+").replace("_", "/")
+        for step in range(4):
+            std = token[step:len(token) - ((len(token) - step) % 4 == 1)]
+            if len(std) < 16 - 4:
+                continue
+            try:
+                raw = base64.b64decode(std + "=" * (-len(std) % 4), validate=True)
+            except (binascii.Error, ValueError):
+                continue
+            clean = False
+            for text, low, high in _texts(raw):
+                # Byte i is in the characters 4 * (i // 3) + i % 3 and the next one.
+                first = at[step + 4 * (low // 3) + low % 3]
+                last = at[np.minimum(step + 4 * (high // 3) + high % 3 + 1, len(at) - 1)]
+                clean |= len(low) == len(raw)
+                yield Layer(text, *layer.behind(first, last))
+            if not clean:
+                yield Packed(raw, *layer.origin(int(at[0]), int(at[-1]) + 1))
+
+
+@dataclass(frozen=True)
+class Packed:
+    """Bytes that may hold compressed streams, and the original span of the
+    token they are in."""
+
+    raw: bytes
+    start: int
+    end: int
+
+    def layers(self) -> Iterator[Layer | Packed]:
+        for window in _unpacked(self.raw):
+            clean = False
+            for text, low, _ in _texts(window):
+                n = len(text)
+                clean |= n == len(low) == len(window)
+                yield Layer(text, np.full(n, self.start, dtype=np.int64), np.full(n, self.end, dtype=np.int64))
+            if not clean:
+                yield Packed(window, self.start, self.end)
+
+
+def secret_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of a text, each sorted by start, then kind.
 
-    The worklist holds layers not yet unwrapped. A layer whose text and origin
-    were met before is not taken up again, so wrappings that lead back to
-    themselves end. All layers but inflated ones are shorter than what they
-    came from; an inflated layer is read up to ``inflate_limit`` bytes (64 MB),
-    which bounds a task's memory against decompression bombs.
+    The worklist holds layers, and bytes, not yet unwrapped; it runs until none
+    is left. A layer whose content and origin were met before is not taken up
+    again, so wrappings that lead back to themselves end. All layers but
+    inflated ones are shorter than what they came from; inflated bytes are read
+    to their end in windows (WINDOW), and a token or stream that is longer than
+    OVERLAP and lies over a window's edge is read in two parts.
     """
     base = scan(text)
     every = set(base)
-    work, seen = [Layer(text)], {(text, 0, len(text))}
+    work: list[Layer | Packed] = [Layer(text)]
+    seen = {_mark(text, 0, len(text))}
     while work:
         layer = work.pop()
-        for new in (_unwrap_url(layer), _unwrap_unicode(layer), *_unwrap_base64(layer, inflate_limit)):
-            if new is None or not new.text:
-                continue
-            mark = (new.text, int(new.starts.min()), int(new.ends.max()))
+        news = layer.layers() if isinstance(layer, Packed) else \
+            (x for make in (_unwrap_url, _unwrap_unicode) if (x := make(layer)) is not None and x.text)
+        for new in news if isinstance(layer, Packed) else itertools.chain(news, _unwrap_base64(layer)):
+            if isinstance(new, Packed):
+                mark = _mark(new.raw, new.start, new.end)
+            else:
+                mark = _mark(new.text, int(new.starts.min()), int(new.ends.max()))
             if mark in seen:
                 continue
             seen.add(mark)
-            every.update((*new.origin(a, b), kind) for a, b, kind in scan(new.text))
+            if isinstance(new, Layer):
+                every.update((*new.origin(a, b), kind) for a, b, kind in scan(new.text))
+                if len(new.text) < MIN_RUN + 4:
+                    continue  # too short to wrap anything
             work.append(new)
     in_order = lambda spans: sorted(spans, key=lambda x: (x[0], x[2], x[1]))
     return in_order(base), in_order(every)
 
 
+def _mark(content: str | bytes, start: int, end: int) -> tuple:
+    """A layer's content and origin; long contents by their digest."""
+    if len(content) > 64:
+        content = hashlib.blake2b(content if isinstance(content, bytes) else content.encode(), digest_size=32).digest()
+    return content, start, end
+
+
 def _joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 

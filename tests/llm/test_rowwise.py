@@ -1,10 +1,13 @@
 """BPE, token counts, secrets, toxicity: row by row, against libraries or
 brute force."""
 import base64
+import bz2
+import functools
 import gzip
 import hashlib
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -179,3 +182,74 @@ def test_base64_over_several_lines(width, end):
 def test_secrets_in_bytes_that_are_no_clean_text(raw):
     text = "x " + base64.b64encode(raw).decode() + " y"
     assert any(k == 1 and 2 <= a < b <= len(text) - 2 for a, b, k in secret_spans(text)[1])
+
+
+def found(text):
+    return {(a, b) for a, b, k in secret_spans(text)[1] if k == 1}
+
+
+def packed_in(text, token):
+    """Whether the key is told at (all of) the token it is packed in."""
+    at = text.index(token)
+    return any(at - 9 <= a < b <= at + len(token) + 4 for a, b in found(text))
+
+
+SECRET = f"some words {KEY} more".encode()
+
+
+@pytest.mark.parametrize("raw", [
+    gzip.compress(b"first") + gzip.compress(SECRET), b"\x00" + gzip.compress(SECRET), gzip.compress(SECRET)[:-8] + b"\0" * 8,
+    bz2.compress(SECRET), zlib.compress(SECRET)[2:-4], b"\xff\xfe" + zlib.compress(SECRET) + b"tail", gzip.compress(SECRET)[:-12],
+    functools.reduce(lambda x, _: gzip.compress(x), range(40), SECRET), gzip.compress(b"\xff" * 300 + zlib.compress(SECRET) + b"\xff"),
+], ids=["second member", "stray byte", "wrong checksum", "bzip2", "raw deflate", "amid bytes", "cut off", "40 layers", "zlib in gzip"])
+def test_compressed_layers_are_unwrapped_to_the_end(raw):
+    token = base64.b64encode(raw).decode()
+    assert packed_in(f"é {token} end", token)
+
+
+@pytest.mark.parametrize("before,after", [("x/", ""), ("id_", ""), ("a-b/", ""), ("", "Q"), ("q", "zz"), ("/usr/lib/", "=")])
+def test_tokens_that_begin_or_end_with_more(before, after):
+    for raw in (SECRET, gzip.compress(SECRET)):
+        token = base64.b64encode(raw).decode().rstrip("=")
+        assert packed_in(f"see {before}{token}{after} end", token)
+
+
+def test_inflated_layers_are_read_in_windows(monkeypatch):
+    from parley.llm import secrets
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 12)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 8)
+    r = random.Random(2)
+    for at in (10, 4_080, 4_096, 8_000, 50_000):
+        body = bytes(r.choices(b"abc \n", k=60_000))
+        token = base64.b64encode(gzip.compress(body[:at] + b" " + KEY.encode() + b" " + body[at:])).decode()
+        assert packed_in(f"x {token} y", token)
+
+
+def test_long_texts_take_linear_time():
+    r = random.Random(1)
+    took = []
+    for text in ("A" * 3_000_000, "".join(r.choices("ABCDEFabcdef0123456789+/", k=3_000_000)), "ab " * 1_000_000, " " * 3_000_000 + "\n",
+                 "password" + " " * 1_000_000, ("A" * 76 + "\n") * 40_000, "%41" * 400_000, "\\n" * 1_000_000):
+        began = time.time()
+        secret_spans(text)
+        took.append(round(time.time() - began, 1))
+    assert max(took) < 25, took
+
+
+def brute_spans(text):
+    """All spans of a text whose only wrappings are the given ones, by plain means."""
+    kinds = [(r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|"
+              r"[aA][pP][iI]_?[kK][eE][yY])[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", 6), (r"(AKIA[A-Z0-9]+)", 20), (r"([0-9a-f]+)", 24)]
+    return sorted((m.start(), k, m.end()) for k, (p, least) in enumerate(kinds) for m in re.finditer(p, text) if len(m[1]) >= least)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["password=hunter22", "secret : 'abc", KEY, KEY + "X", "AKIASHORT", "0123456789abcdef" * 2, "0a" * 11, "Token=",
+                                 "apİkey=xxxxxxxx", "API_KEY=\"zzzzzzzz", " ", "\n", "é", "漢", "=", "api-key"]), max_size=14))
+def test_base_spans_and_their_digest(parts):
+    text = "".join(parts)
+    base, every = secret_spans(text)
+    want = brute_spans(text)
+    assert [(a, k, b) for a, b, k in base] == want and set(base) <= set(every)
+    from parley.llm.secrets import _joined
+    assert _joined(base) == ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in want)
