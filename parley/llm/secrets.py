@@ -222,7 +222,7 @@ def _inflated(raw: bytes, start: int, make) -> Iterator[tuple[bytes, int]]:
     comes before a fault is told; checksums are not looked at."""
     stream, held, pos, fresh = make(), b"", start, False
     try:
-        while not stream.eof and pos < len(raw) + 1:
+        while not stream.eof:
             rest = getattr(stream, "unconsumed_tail", b"")
             if not rest and pos < len(raw) and getattr(stream, "needs_input", True):
                 rest, pos = raw[pos:pos + (1 << 16)], pos + (1 << 16)
