@@ -16,9 +16,11 @@ the best ``degree`` it has heard of. Rounds end when few lists change.
 
 Search: a query has a beam of the best nodes it has seen, at first its own
 neighbours and the best of the ``HEAD`` longest vectors, which are few nodes'
-neighbours where norms differ much. A hop joins all beam entries not yet expanded with the adjacency
-table, scores their neighbours where they are, and sends back those better
-than the beam's last. A query ends when no entry is left to expand.
+neighbours where norms differ much. A hop joins the best quarter beam of the
+entries not yet expanded with the adjacency table, scores their neighbours where
+they are, and sends back those better than the beam's last; entries that better
+ones push out of the beam meanwhile are never expanded. A query ends when no
+entry is left to expand.
 """
 
 from __future__ import annotations
@@ -46,6 +48,15 @@ STILL = 0.01
 HEAD = 4096
 
 
+def next_out(old: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """Of packed beams, best first, the entries that the next hop expands: the
+    best ``most`` of each that are not yet expanded."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    before = np.cumsum(~old) - ~old  # unexpanded entries before this one, in all beams
+    start = np.concatenate([[0], np.cumsum(~old)])[np.cumsum(counts) - counts]
+    return ~old & (before - start[owner] < most)
+
+
 def most_rounds(nodes: int) -> int:
     """No table of so many nodes should need more rounds; one that does fails."""
     return 12 + 2 * nodes.bit_length()
@@ -318,12 +329,14 @@ def graph_search(queries: DataFrame, graph: DataFrame, codes: DataFrame, space:
     beams = q.select("id", F.col("id").alias("node"), F.lit(float("-inf")).alias("last"))
     state = written(q.mapInPandas(heads, "id long, ids binary, sims binary, old binary"), "ann-beams")
 
+    most = max(1, beam // 4)
+
     def frontier(frames):
         for pdf in frames:
             ids, counts = _flat(pdf["ids"], "<i8")
             old, _ = _flat(pdf["old"], "?")
             last = [float(np.frombuffer(s, "<f8")[-1]) if len(s) >= 8 * beam else float("-inf") for s in pdf["sims"]]
-            new = ~old
+            new = next_out(old, counts, most)
             yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), counts)[new], "node": ids[new],
                                 "last": np.repeat(np.array(last, dtype=np.float64), counts)[new]})
 
@@ -342,7 +355,10 @@ def graph_search(queries: DataFrame, graph: DataFrame, codes: DataFrame, space:
 
     def aged(frames):
         for pdf in frames:
-            yield pdf.assign(old=[b"\x01" * len(o) for o in pdf["old"]])
+            old, counts = _flat(pdf["old"], "?")
+            told = old | next_out(old, counts, most)
+            ends = np.cumsum(counts)
+            yield pdf.assign(old=[told[e - n:e].tobytes() for n, e in zip(counts, ends, strict=True)])
 
     schema = "id long, ids binary, sims binary, old binary"
     beams = beams.unionAll(state.mapInPandas(frontier, "id long, node long, last double"))

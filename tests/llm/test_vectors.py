@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 
 from parley.llm.ann import nearest
+from parley.llm.common import written
 from parley.llm.topk import Lists, top_k
 
 SCHEMA = "vec_id long, embedding array<double>, id long, score double, rank int, label int"
@@ -106,7 +107,7 @@ def test_rounds_end_when_the_lists_are_still_or_fail(spark, monkeypatch):
     monkeypatch.setattr(ann, "TOLD", 1)
     x = np.random.default_rng(8).normal(size=(1500, 16))
     codes, space = ann.coded(spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, vec binary"))
-    codes = codes.localCheckpoint()
+    codes = written(codes, "codes")
     graph = ann.build_graph(codes, space, 8).toPandas()
     assert len(graph) == 1500 and all(set(old) == {1} for old in graph["old"])
     monkeypatch.setattr(ann, "most_rounds", lambda nodes: 2)
@@ -114,3 +115,11 @@ def test_rounds_end_when_the_lists_are_still_or_fail(spark, monkeypatch):
         ann.build_graph(codes, space, 8)
     beams = [ann.beam_of(n, 20) for n in (10, 10_000, 50_000, 1_000_000)]
     assert beams == sorted(beams) and beams[1] == 192 and beams[2] > 256 and ann.beam_of(10, 300) > 300
+
+
+def test_a_hop_expands_the_best_of_each_beam():
+    from parley.llm.ann import next_out
+    old = np.array([0, 1, 0, 0, 1, 1, 0, 0, 0, 0], dtype=bool)
+    counts = np.array([4, 0, 2, 4])
+    assert next_out(old, counts, 2).tolist() == [True, False, True, False, False, False, True, True, False, False]
+    assert next_out(old, counts, 9).tolist() == (~old).tolist() and not next_out(np.zeros(0, bool), np.zeros(0, int), 2).size
