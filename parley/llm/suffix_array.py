@@ -95,29 +95,31 @@ def _induce_by_entry(text: np.ndarray, is_s: np.ndarray, sizes: np.ndarray, lms:
     """The same for an alphabet about as large as the text (the names of a
     recursion): its buckets have an entry or two, so entries are scanned one by
     one instead of bucket by bucket."""
-    n = len(text)
     head, tail = (x.tolist() for x in _buckets(sizes))
-    t, small = text.tolist(), is_s.tolist()
-    sa, free = [-1] * n, tail.copy()
-    for p in lms[::-1].tolist():
-        free[t[p]] -= 1
-        sa[free[t[p]]] = p
-    free = head.copy()
-    sa[free[t[n - 1]]] = n - 1  # the last suffix is of the larger type
-    free[t[n - 1]] += 1
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not small[p]:
-            c = t[p]
-            sa[free[c]] = p
-            free[c] += 1
-    free = tail.copy()
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and small[p]:
-            c = t[p]
-            free[c] -= 1
-            sa[free[c]] = p
+    # The bucket of a position of one type, -1 for those of the other; the last
+    # entry is what lies before position 0 and before an empty place.
+    larger = np.append(np.where(is_s, -1, text), -1).tolist()
+    smaller = np.append(np.where(is_s, text, -1), -1).tolist()
+    sa, free = [0] * len(text), tail.copy()
+    for p, c in zip(lms[::-1].tolist(), text[lms[::-1]].tolist(), strict=True):
+        free[c] -= 1
+        sa[free[c]] = p
+    free = head
+    last = larger[len(text) - 1]  # the last suffix is of the larger type
+    sa[free[last]] = len(text) - 1
+    free[last] += 1
+    for p in sa:  # sees what is put ahead of it
+        c = larger[p - 1]
+        if c >= 0:
+            at = free[c]
+            sa[at] = p - 1
+            free[c] = at + 1
+    free = tail
+    for p in reversed(sa):
+        c = smaller[p - 1]
+        if c >= 0:
+            free[c] = at = free[c] - 1
+            sa[at] = p - 1
     return np.array(sa, dtype=np.int64)
 
 
