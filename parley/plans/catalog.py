@@ -19,6 +19,7 @@ from parley.operators import completions as C
 from parley.operators import logs as L
 from parley.operators import prompts as P
 from parley.operators import settings as S
+from parley.operators import snapshots as SN
 from parley.operators import turns as T
 from parley.plans import flows as FL
 from parley.session import scratch_path, table
@@ -1015,3 +1016,18 @@ def q_batch_complete_stream(spark, sf):
     _finished(_started(spark, stream.writeStream.foreachBatch(
         lambda batch, number: complete_batch(batch, number, journal_path=journal, out=out))))
     return spark.read.option("recursiveFileLookup", True).parquet(out)
+
+
+@register("settings_upsert_snapshot", ORACLES["settings_upsert"])
+def q_settings_upsert_snapshot(spark, sf):
+    """The change log in three slices, upserted one after the other into a
+    snapshot in buckets."""
+    ch = table(spark, sf, "events").select(
+        F.col("user_id").alias("owner"), F.col("event_type").alias("key"),
+        F.expr(SETTING_VALUE_SQL).alias("value"), F.col("event_id").alias("seq"))
+    path = scratch_path(spark, "snapshot")
+    n = ch.agg(F.max("seq")).first()[0] or 0
+    for lo, hi in ((None, n // 3), (n // 3, 2 * n // 3), (2 * n // 3, None)):
+        part = ch.where(F.col("seq") >= lo) if lo is not None else ch
+        SN.upsert_snapshot(path, part.where(F.col("seq") < hi) if hi is not None else part, buckets=8)
+    return SN.read_snapshot(spark, path, SN._schema("owner", "key", "value", ch))
