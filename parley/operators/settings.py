@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: layer precedence, highest first
@@ -79,7 +79,8 @@ _NUMERIC_SHAPE = r"^[\x00-\x20]*[+-]?[0-9.]+[\x00-\x20]*$"
 _INTEGRAL = {"tinyint", "smallint", "int", "integer", "bigint", "long", "short", "byte"}
 
 
-def _parses(c: str, t: str):
+def parses(c: str, t: str) -> Column:
+    """Whether a column's text parses as a type."""
     cast_ok = F.col(c).try_cast(t).isNotNull()
     if t.lower() in _INTEGRAL:
         return F.when(F.col(c).cast("string").rlike(_NUMERIC_SHAPE), cast_ok) \
@@ -93,7 +94,7 @@ def schema_check(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     column, as one row of counts per column (an aggregate, no rows kept)."""
     aggs = []
     for c, t in types.items():
-        bad = F.col(c).isNotNull() & ~_parses(c, t)
+        bad = F.col(c).isNotNull() & ~parses(c, t)
         aggs += [F.count_if(bad).alias(f"{c}__bad"), F.count(F.col(c)).alias(f"{c}__n")]
     one = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"),
