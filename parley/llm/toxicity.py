@@ -1,30 +1,34 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is a sequence of clauses, a clause a sequence of symbols: insult (I),
-threat (T), target (Y), negation (N), reported speech (R), or nothing (-). Four
-transducers are composed over a clause:
-
-* the lexicon reads words letter by letter and writes symbols: insults are
-  whole words or word beginnings learned from labelled texts, the rest are
-  closed lists;
-* the negation transducer turns insults and threats within ``NEGATION_REACH``
-  words after a negation into their negated symbols;
-* the reported-speech transducer turns those of a clause that opens a report,
-  and of a quotation in it, into reported symbols;
-* the matcher turns the symbols into the clause's pattern (insult, insult at a
-  target, threat, threat at a target, negated, reported).
-
-What is scored are the matched clauses: how many there are of each pattern,
-and the weight of the strongest lexicon path in each. Their weights are those
-of a logistic model.
+A text is read as words, ends of clauses (``.``) and quotation marks (``"``).
+Four weighted transducers (``parley/llm/transducers.py``) are composed:
+
+* the lexicon reads a word letter by letter and writes its symbol: insult (I),
+  threat (T), target (Y), negation (N), report (R) or nothing (-), with a
+  weight. Insults are whole words or word beginnings learned from labelled
+  texts, the rest are closed lists;
+* the negation transducer writes insults and threats within ``NEGATION_REACH``
+  words after a negation as negated (i);
+* the report transducer writes those of a clause that holds a report word, and
+  of a quotation that such a clause opens, as reported (J). It doesn't know yet
+  whether a report word follows, so it guesses, and wrong guesses die;
+* the matcher writes a clause's pattern at its end: insult, insult at a target,
+  threat, threat at a target, negated, reported, or clean.
+
+The last three are composed and made deterministic when this module is loaded;
+the lexicon is composed with them as it goes, a word at a time. What is scored
+are the matched clauses: how many there are of each pattern, and the weight of
+the strongest path through each. Their weights are those of a logistic model.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import id_in, id_out, text_or_empty
+from parley.llm.transducers import ANY, Transducer, compose, determinized
 
 #: Labelled texts that the model is fitted on, at most: those whose ids have the
 #: smallest hashes, in two folds.
@@ -40,10 +45,13 @@ MAX_LABELLED = 24_000
 MAX_LEXICON = 20_000
 #: A beginning of a word is read as one from this to that many letters.
 STEM = (3, 7)
+#: Characters of words whose symbols a task keeps, with 100 a word.
+WORD_CACHE = 50_000_000
 NEGATION_REACH = 3
-#: An entry is in this share of the toxic texts at least, and this much (as a
-#: logarithm) more often in them than in others.
-MIN_SHARE, MIN_RATIO = 0.012, 2.5
+#: An entry is this much (as a logarithm) more often in toxic texts than in
+#: others, with this likelihood ratio (G) at least: chance gives it to one in
+#: 3,000. Chosen by the two folds of the labelled rows that are learned from.
+MIN_RATIO, MIN_EVIDENCE = 2.5, 13.0
 
 TARGETS = frozenset("""you your yours yourself he him she her they them du dich dir dein ihr euch sie
     tu te toi ton vous votre il elle ils elles usted ustedes tú ti él ella ellos""".split())
@@ -66,6 +74,105 @@ def stems(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in range(STEM[0], STEM[1] + 1) if len(word) > k)]
 
 
+# ------------------------------------------------------------ transducers
+END = " "  # after the letters of a word
+
+
+def lexicon_transducer(entries: dict[str, float]) -> Transducer:
+    """Letters and END to symbols. The states are the beginnings of entries
+    and, for words that go on otherwise, one state a weight: a path remembers
+    the strongest beginning that it has passed. A word that is an insult by
+    any entry is one; its weight is that of its strongest."""
+    listed = {w: k for k, words in (("R", REPORTS), ("N", NEGATIONS), ("Y", TARGETS), ("T", THREATS)) for w in words}
+    t = Transducer()
+    beginnings = {w[:i] for e in (*entries, *listed) for w in (e.rstrip("*"),) for i in range(len(w) + 1)}
+    node = lambda word: ("word", word) if word else t.start
+    loose = lambda weight: ("other", weight)
+    passed = {"": 0.0}
+    for word in sorted(beginnings, key=len):
+        if word:
+            passed[word] = max(passed[word[:-1]], entries.get(word[:-1] + "*", 0.0))
+            t.arc(node(word[:-1]), word[-1], "", 0.0, node(word))
+        on = max(passed[word], entries.get(word + "*", 0.0))
+        t.arc(node(word), ANY, "", 0.0, loose(on))
+        insult = max(passed[word], entries.get(word, 0.0))
+        kind = "I" if insult > 0 else listed.get(word, "-")
+        if word:
+            t.arc(node(word), END, kind, insult or float(kind == "T"), t.start)
+    for weight in {0.0, *(w for e, w in entries.items() if e.endswith("*")), *passed.values()}:
+        t.arc(loose(weight), ANY, "", 0.0, loose(weight))
+        t.arc(loose(weight), END, "I" if weight > 0 else "-", weight, t.start)
+    for mark in MARKS:
+        t.arc(t.start, mark, mark, 0.0, t.start)
+    t.final.add(t.start)
+    return t
+
+
+def negation_transducer(reach: int = NEGATION_REACH) -> Transducer:
+    """The state is the number of words that the last negation still reaches."""
+    t = Transducer()
+    for left in range(reach + 1):
+        on = max(0, left - 1)
+        for x in "ITYR-":
+            t.arc(left, x, "i" if left and x in "IT" else x, 0.0, on)
+        t.arc(left, "N", "N", 0.0, reach)
+        t.arc(left, ".", ".", 0.0, 0)
+        t.arc(left, '"', '"', 0.0, left)
+        t.final.add(left)
+    return t
+
+
+def report_transducer() -> Transducer:
+    """The state is whether a quotation is open, and what the clause is: plain,
+    a report, or to become a report (a guess that dies at the clause's end)."""
+    t = Transducer(start=(False, "plain"))
+    for quoted in (False, True):
+        for mode in ("plain", "guess", "report"):
+            here = (quoted, mode)
+            for x in "ITiYN-":
+                t.arc(here, x, "J" if mode != "plain" and x in "ITi" else x, 0.0, here)
+            if mode != "plain":
+                t.arc(here, "R", "R", 0.0, (quoted, "report"))
+            t.arc(here, '"', '"', 0.0, (not quoted, mode))
+            if mode == "report" and quoted:
+                t.arc(here, ".", ".", 0.0, here)
+            elif mode != "guess":
+                for then in ("plain", "guess"):
+                    t.arc(here, ".", ".", 0.0, (quoted, then))
+        t.final |= {(quoted, "plain"), (quoted, "report")}
+    t.also.add((False, "guess"))  # a text starts as a clause does
+    return t
+
+
+def matcher_transducer() -> Transducer:
+    """The state is the strongest kind of the clause so far and whether it has
+    a target; the pattern is written at the clause's end, nothing for a clause
+    without words."""
+    kinds = ("", "clean", "negated", "insult", "threat", "reported")
+    raises = {"I": "insult", "T": "threat", "i": "negated", "J": "reported"}
+    t = Transducer(start=("", False))
+    for kind in kinds:
+        for target in (False, True):
+            for x in "ITiJYNR-":
+                then = max(kind, raises.get(x, "clean"), key=kinds.index)
+                t.arc((kind, target), x, "", 0.0, (then, target or x == "Y"))
+            t.arc((kind, target), '"', "", 0.0, (kind, target))
+            pattern = kind + "_target" if target and kind in ("insult", "threat") else kind
+            t.arc((kind, target), ".", pattern, 0.0, t.start)
+    t.final.add(t.start)
+    return t
+
+
+MARKS = '."'
+#: Symbols to patterns: negation, report and matcher, composed.
+CLAUSES = determinized(compose(compose(negation_transducer(), report_transducer()), matcher_transducer()))
+
+
+def tokens(text: str) -> list[str]:
+    """Words and marks of a text; a text ends its last clause."""
+    return ["." if t in _ENDS else '"' if t in _QUOTES else t for t in _WORDS.findall(text.lower())] + ["."]
+
+
 @dataclass
 class Grammar:
     """The composed transducers: a lexicon and the model's weights."""
@@ -74,78 +181,49 @@ class Grammar:
     weights: list[float] = field(default_factory=list)
 
     def __post_init__(self):
-        self._kept: dict[str, tuple[str, float]] = {}
+        self._words = lexicon_transducer(self.lexicon)
+        self._kept: dict[str, tuple[str, float]] = {m: (m, 0.0) for m in MARKS}
+        self._room = WORD_CACHE
 
     def __getstate__(self):
         return self.lexicon, self.weights
 
     def __setstate__(self, state):
         self.lexicon, self.weights = state
-        self._kept = {}
+        self.__post_init__()
 
     def symbol(self, word: str) -> tuple[str, float]:
-        """The lexicon transducer: the symbol of a word and its weight."""
+        """The symbol of a word and its weight, by a walk through the lexicon."""
         got = self._kept.get(word)
         if got is None:
-            if len(self._kept) > 500_000:
-                self._kept.clear()
-            weight = max((self.lexicon[s] for s in stems(word) if s in self.lexicon), default=0.0)
-            kind = "I" if weight > 0 else "T" if word in THREATS else "Y" if word in TARGETS else \
-                "N" if word in NEGATIONS else "R" if word in REPORTS else "-"
-            got = self._kept[word] = (kind, weight)
+            (got,) = self._words.run((x, 0.0) for x in chain(word, END))
+            self._room -= 100 + len(word)
+            if self._room < 0:
+                self.__post_init__()
+            self._kept[word] = got
         return got
 
+    def clauses(self, text: str) -> list[tuple[str, float]]:
+        """The pattern of each clause and the weight of its strongest symbol."""
+        out, at, weight = [], CLAUSES.start, 0.0
+        step = CLAUSES.table
+        for token in tokens(text):
+            symbol, w = self.symbol(token)
+            if w > weight:
+                weight = w
+            pattern, _, at = step[at][symbol]
+            if pattern:
+                out.append((pattern, weight))
+                weight = 0.0
+        return out
+
     def features(self, text: str) -> list[float]:
         """Clause patterns of a text; see FEATURES."""
-        counts = dict.fromkeys(PATTERNS, 0)
-        weights: list[float] = []
-        clauses = 0
-        words: list[tuple[str, float]] = []
-        hits = report = quoted = False
-        for token in [*_WORDS.findall(text.lower()), "\n"]:
-            if token in _ENDS:
-                if words:
-                    clauses += 1
-                    if hits:
-                        pattern, weight = self.clause(words, report)
-                        counts[pattern] += 1
-                        weights.append(weight)
-                    words, hits = [], False
-                report = report and quoted  # a quotation carries a report on
-            elif token in _QUOTES:
-                quoted = not quoted
-            else:
-                got = self.symbol(token)
-                words.append(got)
-                hits |= got[0] in "IT"
-                report |= got[0] == "R"
-        strong = sorted(weights, reverse=True)
-        return [*(math.log1p(counts[p]) for p in PATTERNS), float(bool(weights)), strong[0] if strong else 0.0,
-                math.log1p(sum(strong)), len(weights) / max(1, clauses)]
-
-    @staticmethod
-    def clause(words: list[tuple[str, float]], report: bool) -> tuple[str, float]:
-        """The pattern that a clause with an insult or threat matches, and its
-        weight: the state machine left after composition, one step a symbol."""
-        since, weight, kind, negated, plain, target = NEGATION_REACH + 1, 0.0, "", 0, 0, False
-        for symbol, w in words:
-            since += 1
-            if symbol == "N":
-                since = 0
-            elif symbol == "Y":
-                target = True
-            elif symbol in "IT":
-                if since <= NEGATION_REACH:
-                    negated += 1
-                else:
-                    plain += 1
-                    kind = "threat" if symbol == "T" or kind == "threat" else "insult"
-                weight = max(weight, w or 1.0)
-        if report:
-            return "reported", weight
-        if not plain:
-            return "negated", weight
-        return kind + ("_target" if target else ""), weight
+        found = self.clauses(text)
+        counts = Counter(p for p, _ in found)
+        strong = sorted((w for p, w in found if p != "clean"), reverse=True)
+        return [*(math.log1p(counts[p]) for p in PATTERNS), float(bool(strong)), strong[0] if strong else 0.0,
+                math.log1p(sum(strong)), len(strong) / max(1, len(found))]
 
     def score(self, text: str) -> float:
         x = self.features(text)
@@ -181,16 +259,19 @@ def entry_counts(sample: DataFrame) -> DataFrame:
 
 def lexicon(counts: DataFrame, folds: tuple[int, ...]) -> dict[str, float]:
     """Insults: words and word beginnings that toxic texts of these folds have
-    far more often than others, with the logarithm of how much more often. At
-    most MAX_LEXICON entries reach the driver."""
+    far more often than others, with the logarithm of how much more often. What
+    is enough doesn't depend on how many texts there are. At most MAX_LEXICON
+    entries reach the driver."""
     of = lambda label: sum((F.col(f"n{f}{label}") for f in folds), F.lit(0))
     counts = counts.select("entry", of(0).alias("clean"), of(1).alias("toxic"))
     n = counts.where("entry = ''").first()
     if n is None or not n["clean"] or not n["toxic"]:
         return {}
     ratio = F.log((F.col("toxic") + 0.5) / (n["toxic"] + 1)) - F.log((F.col("clean") + 0.5) / (n["clean"] + 1))
-    least = max(3.0, MIN_SHARE * n["toxic"])
-    rows = counts.where(F.col("toxic") >= least).withColumn("ratio", ratio).where(f"ratio > {MIN_RATIO}") \
+    share = n["toxic"] / (n["toxic"] + n["clean"])
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("toxic") + F.col("clean")) * p))).otherwise(0.0)
+    evidence = 2 * (part("toxic", share) + part("clean", 1 - share))
+    rows = counts.where("entry <> ''").withColumn("ratio", ratio).where((F.col("ratio") > MIN_RATIO) & (evidence > MIN_EVIDENCE)) \
         .orderBy(F.desc(F.col("ratio") * F.col("toxic")), "entry").limit(MAX_LEXICON).collect()
     return {r["entry"]: float(r["ratio"]) for r in rows}
 
