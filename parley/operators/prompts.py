@@ -21,6 +21,9 @@ PREVIEW_MAX_LEN = 400
 # Field-check messages (unexpected fields are reported first)
 UNEXPECTED_MSG = "Received unexpected kwarg(s): "
 MISSING_MSG = "Missing required kwarg(s): "
+# O10: code rows of a slice of a frequent token; frequent tokens told by the
+# sketch, and items it tracks.
+HOT_ROWS, HOT_NAMES, HOT_TRACKED = 1_000_000, 1_000, 100_000
 CONTEXTFUL, CONTEXTLESS = "contextful", "contextless"
 
 
@@ -121,23 +124,42 @@ def code_tokens(df: DataFrame, code: str, keys: Sequence[str],
     return df.select(*keys, F.explode(F.array_distinct(arr)).alias("token"))
 
 
+def hot_tokens(toks: DataFrame, hot_rows: int) -> DataFrame:
+    """``_hot, _slices``: the tokens of more than ``hot_rows`` rows and how many
+    slices of that size they make, by a frequent-items sketch: one pass with
+    partial aggregation, ``HOT_NAMES`` rows at most. The sketch only decides
+    how tokens are dealt; what it misses is joined all the same, in one slice."""
+    top = toks.agg(F.call_function("approx_top_k", F.col("token"), F.lit(HOT_NAMES), F.lit(HOT_TRACKED)).alias("top"))
+    return top.select(F.inline("top").alias("_hot", "_count")).where(F.col("_count") > hot_rows) \
+        .select("_hot", F.ceil(F.col("_count") / hot_rows).cast("long").alias("_slices"))
+
+
 def used_variables(variables: DataFrame, code: DataFrame, *,
                    keys: Sequence[str] = (), code_col: str = "code",
                    code_keys: Sequence[str] = (), name: str = "name",
-                   tokens: str = "whitespace") -> DataFrame:
+                   tokens: str = "whitespace", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Variables whose name is a whitespace token of the code (``nums[j]``
     does not use ``nums``), minus shell names.
 
     ``keys`` join variables to their code (session, seq); with no keys the
     variables are one global namespace shared by every code row. An equi-join
-    on ``(keys, name)``: Catalyst chooses broadcast or shuffle from sizes."""
+    on ``(keys, name, slice)``: Catalyst chooses broadcast or shuffle from
+    sizes. Tokens of more than ``hot_rows`` code rows are dealt to slices of
+    about that many by a hash of the row, and the variables of such a name are
+    there once a slice (see ``hot_tokens``); others have one slice."""
     keys = list(keys)
     own = list(code_keys) or keys
-    toks = code_tokens(code, code_col, own, tokens).withColumnsRenamed({c: f"_code_{c}" for c in own})
+    code = code.withColumn("_row", F.xxhash64(*own, code_col))
+    toks = code_tokens(code, code_col, [*own, "_row"], tokens).withColumnsRenamed({c: f"_code_{c}" for c in own})
+    hot = F.broadcast(hot_tokens(toks, hot_rows))  # HOT_NAMES rows at most
+    toks = toks.join(hot, F.col("token") == F.col("_hot"), "left") \
+        .withColumn("_slice", F.coalesce(F.pmod("_row", "_slices"), F.lit(0))).drop("_hot", "_slices", "_row")
     v = variables.where(~is_shell_name(F.col(name)))
-    cond = [F.col(f"_code_{k}") == F.col(k) for k in keys] + [F.col("token") == F.col(name)]
+    sliced = v.join(hot, F.col(name) == F.col("_hot"), "left").withColumn(
+        "_of", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_slices"), F.lit(1)) - 1)))
+    cond = [F.col(f"_code_{k}") == F.col(k) for k in keys] + [F.col("token") == F.col(name), F.col("_slice") == F.col("_of")]
     extra = [c for c in own if c not in keys]
-    return toks.join(v, cond, "inner").select(*[F.col(f"_code_{c}").alias(c) for c in extra],
+    return toks.join(sliced, cond, "inner").select(*[F.col(f"_code_{c}").alias(c) for c in extra],
                                               *[F.col(c) for c in v.columns])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import speaker_label, speaker_words
-from parley.plans.ordered import ordered_scan
+from parley.plans.ordered import PART_CHARS, ordered_scan, text_parts
 
 # Fixed values (reference model table and budget rule):
 #   context windows in tokens per model name; unknown models get the smallest
@@ -263,3 +263,14 @@ def history_render(turns: DataFrame, *, key: str = "conv_id",
                 F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"),
                                                      piece.alias("p")))),
                 lambda x: x["p"]), sep).alias("history")))
+
+
+def history_parts(turns: DataFrame, *, key: str = "conv_id", order: str = "turn", sep: str = "\n\n",
+                  speaker_prefix: bool = True, part_chars: int = PART_CHARS, parts: int | None = None) -> DataFrame:
+    """``key, part, text``: the history of ``history_render`` in parts of
+    ``part_chars`` characters, for conversations of any length: no group holds
+    more than a part (see ``text_parts``)."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    piece = F.concat(speaker_label("role"), F.lit(": "), body) if speaker_prefix else body
+    return text_parts(turns.select(key, order, piece.alias("piece")), key, order, "piece", sep=sep,
+                      part_chars=part_chars, parts=parts)

@@ -128,6 +128,22 @@ def q_history_render(spark, sf):
     return T.history_render(table(spark, sf, "conversations"))
 
 
+HISTORY_PART_CHARS = 300
+
+
+@register("history_parts", f"""
+WITH h AS (SELECT conv_id, string_agg(
+    CASE role WHEN 'user' THEN 'Human' WHEN 'assistant' THEN 'AI'
+              WHEN 'system' THEN 'System' END || ': ' || coalesce(text, ''),
+    chr(10) || chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, history, unnest(range(0, greatest(1, (length(history) + {HISTORY_PART_CHARS - 1}) // {HISTORY_PART_CHARS}))) AS part
+      FROM h WHERE history IS NOT NULL)
+SELECT conv_id, CAST(part AS BIGINT) AS part,
+  substr(history, part * {HISTORY_PART_CHARS} + 1, {HISTORY_PART_CHARS}) AS text FROM p""")
+def q_history_parts(spark, sf):
+    return T.history_parts(table(spark, sf, "conversations"), part_chars=HISTORY_PART_CHARS)
+
+
 # models assigned to conversations and events by the same CASE on both sides
 CONV_MODEL_SQL = ("CASE conv_id % 4 WHEN 0 THEN 'gpt-4' WHEN 1 THEN 'gpt-3.5-turbo' "
                   "WHEN 2 THEN 'gpt-4o-mini' ELSE 'local-model' END")

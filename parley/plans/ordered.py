@@ -32,6 +32,9 @@ from parley.session import scratch_path
 
 PART = "_part"
 
+#: Characters of a part of a long text.
+PART_CHARS = 1 << 20
+
 
 def _names(xs) -> list[str]:
     return [xs] if isinstance(xs, str) else list(xs)
@@ -145,3 +148,35 @@ def ordered_scan(df: DataFrame, keys: Sequence[str] | str,
         out.append(F.when(multi, F.col("_g_cnt")).otherwise(F.col("_c_cnt"))
                    .alias(group_rows))
     return j.select(*[F.col(c) for c in df.columns], *out)
+
+
+def text_parts(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] | str, piece: str, *,
+               sep: str = "\n\n", part_chars: int = PART_CHARS, parts: int | None = None) -> DataFrame:
+    """``keys..., part, text``: of each key, its pieces in order with ``sep``
+    between them, cut into parts of exactly ``part_chars`` characters (the last
+    may be shorter). The parts of a key, one after another, are its text.
+
+    Where a piece starts is the sum of the lengths before it, from the ordered
+    scan; a piece is cut at the parts it lies in, so no group is longer than a
+    part, however long the key's text is. NULL pieces are left out, a key
+    without others has no part; a key whose text is empty has one empty part.
+    ``order`` must be unique within a key."""
+    keys, order = _names(keys), _names(order)
+    scanned = ordered_scan(
+        df.select(*keys, *order, F.col(piece).alias("_piece")).where("_piece is not null")
+        .withColumn("_chars", F.length("_piece").cast("long")),
+        keys, order, sums=["_chars"], position="_at", group_rows="_of", parts=parts)
+    size = F.lit(part_chars).cast("long")
+    placed = scanned.select(
+        *keys, F.when(F.col("_at") < F.col("_of") - 1, F.concat("_piece", F.lit(sep))).otherwise(F.col("_piece")).alias("_text"),
+        (F.col("_chars_run") - F.col("_chars") + F.col("_at") * len(sep)).alias("_from"), F.col("_at")) \
+        .withColumn("_to", F.col("_from") + F.length("_text")) \
+        .where("_to > _from or _at = 0")
+    cut = placed.withColumn("part", F.explode(F.sequence(
+        F.floor(F.col("_from") / size), F.floor(F.greatest(F.col("_from"), F.col("_to") - 1) / size))))
+    begin = F.greatest(F.col("_from"), F.col("part") * size)
+    end = F.least(F.col("_to"), (F.col("part") + 1) * size)
+    return cut.select(*keys, "part", begin.alias("_begin"), F.substring(
+        F.col("_text"), (begin - F.col("_from") + 1).cast("int"), (end - begin).cast("int")).alias("_text")) \
+        .groupBy(*keys, "part").agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("_begin", "_text"))), lambda x: x["_text"]), "").alias("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.plans.ordered import ordered_scan
+from parley.plans.ordered import PART_CHARS, ordered_scan, text_parts
 
 # A cell's source is a list of strings or one string.
 CELL = T.StructType([T.StructField("cell_type", T.StringType()),
@@ -84,6 +84,17 @@ def history_text(lines: DataFrame, keys=("file",)) -> DataFrame:
         lambda x: x["p"]), "\n\n").alias("text"))
 
 
+def history_text_parts(lines: DataFrame, keys=("file",), *, part_chars: int = PART_CHARS,
+                       parts: int | None = None) -> DataFrame:
+    """``keys..., part, text``: the text of ``history_text`` in parts of
+    ``part_chars`` characters, for histories of any length: no group holds more
+    than a part (see ``text_parts``)."""
+    keys = list(keys)
+    order = [c for c in ("file", "_block", "_id") if c not in keys]
+    piece = F.concat(F.lit(FENCE + "\n"), F.col("cell"), F.lit("\n" + FENCE))
+    return text_parts(lines.withColumn("piece", piece), keys, order, "piece", part_chars=part_chars, parts=parts)
+
+
 def history_cell_numbers(lines: DataFrame, keys=("file",)) -> DataFrame:
     """Cells with their 0-based number in the key, in the order of files, then
     lines (skew-safe ordered scan)."""
