@@ -181,8 +181,13 @@ class Grammar:
     weights: list[float] = field(default_factory=list)
 
     def __post_init__(self):
-        self._words = lexicon_transducer(self.lexicon)
-        self._kept: dict[str, tuple[str, float]] = {m: (m, 0.0) for m in MARKS}
+        self._words = determinized(lexicon_transducer(self.lexicon))
+        self._kept: dict[str, tuple[str, float]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._kept.clear()
+        self._kept.update({**dict.fromkeys(_ENDS, (".", 0.0)), **dict.fromkeys(_QUOTES, ('"', 0.0))})
         self._room = WORD_CACHE
 
     def __getstate__(self):
@@ -196,19 +201,25 @@ class Grammar:
         """The symbol of a word and its weight, by a walk through the lexicon."""
         got = self._kept.get(word)
         if got is None:
-            (got,) = self._words.run((x, 0.0) for x in chain(word, END))
+            step, at = self._words.table, self._words.start
+            for x in word:
+                arc = step[at].get(x) or step[at][ANY]
+                if arc[2] == at:  # from here on every letter loops
+                    break
+                at = arc[2]
+            got = step[at][END][:2]
             self._room -= 100 + len(word)
             if self._room < 0:
-                self.__post_init__()
+                self._forget()
             self._kept[word] = got
         return got
 
     def clauses(self, text: str) -> list[tuple[str, float]]:
         """The pattern of each clause and the weight of its strongest symbol."""
         out, at, weight = [], CLAUSES.start, 0.0
-        step = CLAUSES.table
-        for token in tokens(text):
-            symbol, w = self.symbol(token)
+        step, kept = CLAUSES.table, self._kept
+        for token in chain(_WORDS.findall(text.lower()), "."):  # a text ends its last clause
+            symbol, w = kept.get(token) or self.symbol(token)
             if w > weight:
                 weight = w
             pattern, _, at = step[at][symbol]

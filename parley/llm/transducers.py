@@ -92,14 +92,16 @@ class Table:
 
 
 def determinized(t: Transducer) -> Table:
-    """The same by subsets of states, for transducers without arcs for ANY.
-    Raises ValueError where paths of one subset write different things for a
-    symbol, or weigh differently."""
+    """The same by subsets of states. Raises ValueError where paths of one
+    subset write different things for a symbol, or weigh differently, and for
+    arcs for ANY in a subset of several states."""
     out, numbers = Table(), {frozenset(t.starts): 0}
     todo = [frozenset(t.starts)]
     out.table.append({})
     while todo:
         subset = todo.pop()
+        if len(subset) > 1 and any(ANY in t.arcs.get(s, {}) for s in subset):
+            raise ValueError("arcs for any symbol need a state of their own")
         for symbol in sorted({x for s in subset for x in t.arcs.get(s, {})}):
             arcs = [a for s in subset for a in t.arcs.get(s, {}).get(symbol, ())]
             if not arcs:
