@@ -101,7 +101,7 @@ def test_long_words_and_the_word_cache(monkeypatch):
     monkeypatch.setattr(X, "WORD_CACHE", 1000)
     g = X.Grammar(LEXICON)
     for i in range(50):
-        assert g.symbol(f"idio{i}") == ("I", 4.0) and len(g._kept) < 15
+        assert g.symbol(f"idio{i}") == ("I", 4.0) and len(g._kept) <= 10 + len(X._ENDS | X._QUOTES)  # marks stay
     assert g.symbol("x" * 300_000) == ("-", 0.0)
     assert g.clauses("") == [] and g.clauses("you idiot" + "s" * 100_000) == [("insult_target", 4.0)]
 
