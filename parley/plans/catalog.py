@@ -740,20 +740,20 @@ c AS (SELECT session, doc_id, i, regexp_replace(replace(line, chr(13), ' '),
 SELECT CAST(session AS BIGINT) AS session, string_agg('```' || chr(10) || cell || chr(10) || '```',
   chr(10) || chr(10) ORDER BY doc_id, i) AS text FROM c WHERE cell <> '' GROUP BY session""")
 def q_history_text(spark, sf):
-    docs = table(spark, sf, "documents")
-    lines = docs.select(
+    docs = table(spark, sf, "documents").select(
         (F.col("doc_id") / HISTORY_SESSION_ROWS).cast("bigint").alias("session"), "doc_id",
-        F.posexplode(F.split(F.col("text"), "\n", -1)).alias("i", "line"))
-    hist = lines.select("session", "doc_id", "i", F.concat(
-        (F.col("i") + 1).cast("string"), F.lit(": "),
-        F.regexp_replace("line", "\r", " ")).alias("value"))
+        F.replace("text", F.lit("\r"), F.lit(" ")).alias("text"))
+    # Documents are shuffled, not their lines, and a file has many sessions
+    # (``session/n: code``): a folder and a file for each would be made, listed
+    # and opened one by one.
+    lines = docs.repartition("session").select(
+        "session", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     path = scratch_path(spark, "history")
-    # Sorted by the partition column first: the writer's own sort on it would
-    # otherwise reorder the lines of a session file.
-    (hist.repartition("session").sortWithinPartitions("session", "doc_id", "i")
-     .select("session", "value").write.partitionBy("session").option("lineSep", "\n")
-     .text(path))
-    out = NB.history_text(NB.history_lines(spark, path), keys=("session",))
+    (lines.sortWithinPartitions("session", "doc_id", "i")
+     .select(F.concat(F.coalesce(F.col("session").cast("string"), F.lit("")), F.lit("/"),
+                      (F.col("i") + 1).cast("string"), F.lit(": "), "line").alias("value"))
+     .write.option("lineSep", "\n").text(path))
+    out = NB.history_text(NB.history_lines(spark, path, session="session"), keys=("session",))
     return out.select(F.col("session").cast("bigint").alias("session"), "text")
 
 

@@ -16,6 +16,9 @@ NOTEBOOK = T.StructType([
     T.StructField("cells", T.ArrayType(CELL))])
 
 FENCE = "```"
+# What a history line is stripped of: Unicode whitespace (Java's (?U)\s).
+SPACES = ("\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b)))
+          + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _source(cell) -> Column:
@@ -58,30 +61,43 @@ def notebook_cells(nb: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------- O25 ----
-def history_lines(spark: SparkSession, paths) -> DataFrame:
+def history_lines(spark: SparkSession, paths, *, session: str | None = None) -> DataFrame:
     """Shell history lines ``n: code`` -> ``file, _block, _id, cell`` where
     cell is the stripped text after the *first* colon; lines without a colon
     or with nothing after it are dropped (so continuation lines of multi-line
-    cells are lost, as in the reference)."""
+    cells are lost, as in the reference). ``session`` names a column for the
+    session of lines ``session/n: code``, as a file of many sessions has them
+    (text; NULL for none)."""
     raw = (spark.read.text(paths)
            .select(F.col("value").alias("line"),
                    F.col("_metadata.file_path").alias("file"),
                    F.col("_metadata.file_block_start").alias("_block"),
-                   F.monotonically_increasing_id().alias("_id"), "*"))
-    cell = F.regexp_replace(F.regexp_extract(F.col("line"), r"(?s)^[^:]*:(.*)$", 1),
-                            r"(?U)^\s+|\s+\z", "")
-    return raw.drop("value").withColumn("cell", cell).where(F.col("cell") != "")
+                   F.monotonically_increasing_id().alias("_id"), "*")).drop("value")
+    colon = F.instr("line", ":")
+    if session is not None:
+        number = F.substring_index("line", ":", 1)
+        raw = raw.withColumn(session, F.when(
+            number.contains("/"), F.nullif(F.trim(F.substring_index(number, "/", 1)), F.lit(""))))
+    # A plain cut and trim: a regular expression would try each place of the line.
+    cell = F.trim(F.substr("line", colon + 1), F.lit(SPACES))
+    return raw.withColumn("cell", cell).where((colon > 0) & (F.col("cell") != ""))
 
 
 def history_text(lines: DataFrame, keys=("file",)) -> DataFrame:
     """One text per history file: each cell fenced, cells separated by a blank
     line, in the order of files, then lines. The ordered concat is an aggregate
-    of the keys: the result is one text of each."""
+    of the keys: the result is one text of each. Lines are shuffled once, by the
+    keys; the lines of a split become one text first, so that files' names are
+    kept and compared once a split, not once a line."""
     keys = list(keys)
     piece = F.concat(F.lit(FENCE + "\n"), F.col("cell"), F.lit("\n" + FENCE))
-    return lines.groupBy(*keys).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("file", "_block", "_id", piece.alias("p")))),
-        lambda x: x["p"]), "\n\n").alias("text"))
+    whole = lambda *order: F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(*order, "_p"))), lambda x: x["_p"]), "\n\n")
+    split = [c for c in ("file", "_block") if c not in keys]
+    pieces = lines.select(*keys, *split, "_id", piece.alias("_p"))
+    return ((pieces.repartition(*keys) if keys else pieces)
+            .groupBy(*keys, *split).agg(whole("_id").alias("_p"))
+            .groupBy(*keys).agg(whole(*split).alias("text")))
 
 
 def history_text_parts(lines: DataFrame, keys=("file",), *, part_chars: int = PART_CHARS,
