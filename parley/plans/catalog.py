@@ -22,7 +22,7 @@ from parley.operators import settings as S
 from parley.operators import snapshots as SN
 from parley.operators import turns as T
 from parley.plans import flows as FL
-from parley.session import scratch_path, table
+from parley.session import DROP_SHUFFLES, scratch_path, table, with_conf
 from parley.sources import logstream as LG
 from parley.sources import logtext as LT
 from parley.sources import notebooks as NB
@@ -749,10 +749,11 @@ def q_history_text(spark, sf):
     lines = docs.repartition("session").select(
         "session", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     path = scratch_path(spark, "history")
-    (lines.sortWithinPartitions("session", "doc_id", "i")
-     .select(F.concat(F.coalesce(F.col("session").cast("string"), F.lit("")), F.lit("/"),
-                      (F.col("i") + 1).cast("string"), F.lit(": "), "line").alias("value"))
-     .write.option("lineSep", "\n").text(path))
+    hist = lines.sortWithinPartitions("session", "doc_id", "i").select(F.concat(
+        F.coalesce(F.col("session").cast("string"), F.lit("")), F.lit("/"),
+        (F.col("i") + 1).cast("string"), F.lit(": "), "line").alias("value"))
+    with with_conf(spark, DROP_SHUFFLES):
+        hist.write.option("lineSep", "\n").text(path)
     out = NB.history_text(NB.history_lines(spark, path, session="session"), keys=("session",))
     return out.select(F.col("session").cast("bigint").alias("session"), "text")
 
