@@ -76,8 +76,7 @@ def _induce(text: np.ndarray, is_s: np.ndarray, sizes: np.ndarray, lms: np.ndarr
         sa_s[free[s] - 1 - offset] = at
         free[s[start]] -= run
 
-    larger_end = head.copy()
-    np.add.at(larger_end, text[sa_l[sa_l >= 0]], 1)
+    larger_end = head + np.bincount(text[sa_l[sa_l >= 0]], minlength=len(sizes))
     for c in used[::-1]:
         hi = tail[c]
         while hi > free[c]:
@@ -91,36 +90,36 @@ def _induce(text: np.ndarray, is_s: np.ndarray, sizes: np.ndarray, lms: np.ndarr
     return out
 
 
-def _induce_by_entry(text: np.ndarray, is_s: np.ndarray, sizes: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The same for an alphabet about as large as the text (the names of a
-    recursion): its buckets have an entry or two, so entries are scanned one by
-    one instead of bucket by bucket."""
-    head, tail = (x.tolist() for x in _buckets(sizes))
-    # The bucket of a position of one type, -1 for those of the other; the last
-    # entry is what lies before position 0 and before an empty place.
-    larger = np.append(np.where(is_s, -1, text), -1).tolist()
-    smaller = np.append(np.where(is_s, text, -1), -1).tolist()
-    sa, free = [0] * len(text), tail.copy()
-    for p, c in zip(lms[::-1].tolist(), text[lms[::-1]].tolist(), strict=True):
-        free[c] -= 1
-        sa[free[c]] = p
-    free = head
-    last = larger[len(text) - 1]  # the last suffix is of the larger type
-    sa[free[last]] = len(text) - 1
-    free[last] += 1
-    for p in sa:  # sees what is put ahead of it
-        c = larger[p - 1]
-        if c >= 0:
-            at = free[c]
-            sa[at] = p - 1
-            free[c] = at + 1
-    free = tail
-    for p in reversed(sa):
-        c = smaller[p - 1]
-        if c >= 0:
-            free[c] = at = free[c] - 1
-            sa[at] = p - 1
-    return np.array(sa, dtype=np.int64)
+def _by_doubling(text: np.ndarray, alphabet: int) -> np.ndarray:
+    """The suffix array of a text over an alphabet about as large as itself (the
+    names of a recursion), whose suffixes mostly differ early: sorted by as many
+    symbols as a word holds, then those still equal by twice as many each time."""
+    n = len(text)
+    bits = int(alphabet).bit_length()  # 0 is what lies past the end
+    span = max(1, min(n, 62 // bits))
+    key = np.zeros(n, dtype=np.int64)
+    for j in range(span):
+        key <<= bits
+        key[:n - j] |= text[j:] + 1
+    sa = np.argsort(key)
+    rank = np.empty(n, dtype=np.int64)  # the first place of those still equal
+    tied, at, key = np.arange(n), sa, key[sa]
+    while True:
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        run = np.diff(np.r_[first, len(at)])
+        rank[at] = np.repeat(tied[first], run)
+        tied = tied[np.repeat(run > 1, run)]
+        if not tied.size:
+            return sa
+        at = sa[tied]
+        after = at + span
+        inside = after < n
+        key = rank[at] * (n + 1)
+        key[inside] += rank[after[inside]] + 1
+        o = np.argsort(key)
+        at, key = at[o], key[o]
+        sa[tied] = at
+        span *= 2
 
 
 def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
@@ -153,23 +152,24 @@ def suffix_array(text: np.ndarray, alphabet: int) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
-    induce = _induce if alphabet <= 4 * 256 else _induce_by_entry
+    if alphabet > 4 * 256:
+        return _by_doubling(text, alphabet)
     # Smaller type: text[i:] < text[i + 1:]; the last suffix is of the larger
     # type (the end of the text is the smallest symbol).
     less = np.r_[text[:-1] < text[1:], False]
     equal = np.r_[text[:-1] == text[1:], False]
     decided = np.flatnonzero(~equal)
-    is_s = less[decided[np.searchsorted(decided, np.arange(n))]]
+    is_s = np.repeat(less[decided], np.diff(np.r_[-1, decided]))
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     sizes = np.bincount(text, minlength=alphabet)
-    sa = induce(text, is_s, sizes, lms)
+    sa = _induce(text, is_s, sizes, lms)
     if len(lms) > 1:
         is_lms = np.zeros(n, dtype=bool)
         is_lms[lms] = True
         order = sa[is_lms[sa]]
         names, k = _names(text, lms, order)
         order = lms[suffix_array(names, k)] if k < len(lms) else order
-        sa = induce(text, is_s, sizes, order)
+        sa = _induce(text, is_s, sizes, order)
     return sa
 
 

@@ -222,25 +222,21 @@ def _strings(length: int):
 def shard_repeats(rows: list[tuple[int, int, int, bytes]], length: int):
     """(doc, th, start) of the strings in some segments (doc, th, start, text)
     that another, earlier string equals."""
-    parts, at = [], 0
-    place = []
-    for i, (_, _, _, t) in enumerate(rows):
-        parts += [np.frombuffer(t, dtype=np.uint8).astype(np.int64), np.array([256])]
-        n = len(t) - length + 1
-        place.append((np.arange(at, at + n), np.full(n, i)))
-        at += len(t) + 1
-    text = np.concatenate(parts)
+    sizes = np.array([len(t) for *_, t in rows]) + 1
+    text = np.frombuffer(b"".join(t + b"\0" for *_, t in rows), dtype=np.uint8).astype(np.uint16)
+    ends = np.cumsum(sizes)
+    text[ends - 1] = 256
     sa = suffix_array(text, 257)
     shared = permuted_common_prefixes(text, sa, length)
-    owner = np.full(len(text), -1, dtype=np.int64)
-    offset = np.zeros(len(text), dtype=np.int64)
-    for p, i in place:
-        owner[p], offset[p] = i, p - p[0] if len(p) else p
     group = np.cumsum(shared[sa] < length)  # suffixes in order; a group shares ``length`` bytes
-    starts = owner[sa] >= 0  # a whole string fits before the segment's end
-    group, pos = group[starts], sa[starts]
-    doc, th, start = (np.array([r[c] for r in rows], dtype=np.int64)[owner[pos]] for c in range(3))
-    start = start + offset[pos]
+    # A whole string fits before the segment's end.
+    starts = np.arange(len(text)) + length < np.repeat(ends, sizes)
+    several = np.bincount(group[starts[sa]], minlength=len(text) + 1) > 1
+    keep = starts[sa] & several[group]
+    group, pos = group[keep], sa[keep]
+    owner = np.searchsorted(ends, pos, "right")
+    doc, th, start = (np.array([r[c] for r in rows], dtype=np.int64)[owner] for c in range(3))
+    start = start + pos - (ends - sizes)[owner]
     o = np.lexsort((start, th, doc, group))
     group, doc, th, start = group[o], doc[o], th[o], start[o]
     new = np.r_[True, group[1:] != group[:-1]] if group.size else np.zeros(0, bool)

@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -89,6 +90,35 @@ def test_suffix_array_and_prefixes():
             assert got[sa[r]] == (ne[0] if ne.size else n)
 
 
+def test_suffix_array_of_names():
+    """Large alphabets: few symbols that repeat long, and many that mostly differ."""
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, rng.integers(1, 5), rng.integers(1, 60)) for _ in range(200)]
+    texts += [np.tile([7, 3], 200), np.zeros(300, int), np.tile(rng.permutation(90), 4), rng.integers(0, 5000, 400)]
+    for x in texts:
+        for alphabet in (5000, 1 << 40):
+            assert suffix_array(x, alphabet).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
+
+
+def test_suffix_array_takes_no_python_step_an_entry():
+    words = ["".join(w) for w in np.random.default_rng(2).choice(list("abcdefghij"), (3000, 6))]
+    x = np.frombuffer(" ".join(words[i] for i in np.random.default_rng(3).integers(0, 3000, 9000)).encode(), np.uint8)
+    lines = 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return count if frame.f_code.co_filename == suffix_array.__code__.co_filename else None
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        sa = suffix_array(x, 257)
+    finally:
+        sys.settrace(before)
+    assert sorted(sa.tolist()) == list(range(len(x))) and lines < len(x) // 10
+
+
 # ------------------------------------------------------------------ line dedup
 def brute_lines(rows, min_chars=10):
     strip = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s.strip(" \t\n\x0b\x0c\r"))
